@@ -81,7 +81,12 @@ def compare(runs: DataFrame, models: Sequence[str], metrics: Sequence[str]) -> D
     return long.groupBy("metric").pivot("run_name", list(models)).agg(F.avg("value"))
 
 
-def best_so_far(trials: DataFrame, value: str, order: str, study: str | None = None) -> Column:
-    """WN-2: running minimum of the objective over trial order (within a study)."""
-    w = Window.orderBy(order) if study is None else Window.partitionBy(study).orderBy(order)
+def best_so_far(trials: DataFrame, value: str, order, study: str | None = None) -> Column:
+    """WN-2: running minimum of the objective over trial order (within a study).
+
+    A study is one hyper-parameter search (bounded trial count); the window
+    spills to disk rather than holding a large study in memory.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.orderBy(*order) if study is None else Window.partitionBy(study).orderBy(*order)
     return F.min(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcel.plans import q_explore, q_features, q_geo, q_listing
+from parcel.plans import q_explore, q_features, q_geo, q_listing, q_models
 
-_MODULES = [q_listing, q_features, q_geo, q_explore]
+_MODULES = [q_listing, q_features, q_geo, q_explore, q_models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -98,11 +98,11 @@ def quantile_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iqr_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    """OD-1: rows outside the 1.5 IQR fences of revenue."""
-    li = _rev(table(spark, sf, "lineitem"))
-    lo, hi = X.iqr_fences(li, "revenue")
-    return (li.where((F.col("revenue") < lo) | (F.col("revenue") > hi))
-            .select("l_orderkey", "l_linenumber", r6("revenue").alias("revenue")))
+    """OD-1: events whose value lies outside the 1.5 IQR fences."""
+    ev = table(spark, sf, "events")
+    lo, hi = X.iqr_fences(ev, "value")
+    return (ev.where((F.col("value") < lo) | (F.col("value") > hi))
+            .select("event_id", r6("value").alias("value")))
 
 
 def winsorize_upper(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,10 +230,9 @@ SELECT o_orderkey, CASE WHEN o_totalprice >= q0 AND o_totalprice < q1 THEN 'Low'
                         WHEN o_totalprice >= q2 AND o_totalprice <= q3 THEN 'High' END
   AS price_category FROM orders, Q""",
     "iqr_outliers": """
-WITH LI AS (SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem),
-Q AS (SELECT quantile_cont(revenue, 0.25) AS q1, quantile_cont(revenue, 0.75) AS q3 FROM LI)
-SELECT l_orderkey, l_linenumber, round(revenue, 6) AS revenue FROM LI, Q
-WHERE revenue < q1 - 1.5 * (q3 - q1) OR revenue > q3 + 1.5 * (q3 - q1)""",
+WITH Q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, round(value, 6) AS value FROM events, Q
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
     "winsorize_upper": """
 WITH Q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3
            FROM orders),

@@ -13,6 +13,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,15 +220,21 @@ def fit_features(train: DataFrame, numeric: Sequence[str] = DEFAULT_NUMERIC,
                  exact: bool = True) -> FeatureMeta:
     """FE-8: fit medians, log columns, one-hot levels and the low-variance drop on train."""
     numeric, flags = list(numeric), list(flags)
-    parsed = train.select(*[P.to_float(F.col(c), numeric=_is_numeric(train, c)).alias(c)
-                            for c in numeric])
-    med = FIT.medians(parsed, numeric, exact=exact)
-    base = _base_features(train, numeric, flags, med, current_year)
-    log_cols = FIT.fit_log_columns(base, numeric, threshold_skew)
-    levels = FIT.fit_one_hot(base, list(CATEGORICALS))
-    with_ohe = FIT.apply_one_hot(base, levels)
-    ohe_cols = [FIT.one_hot_name(c, lv) for c, lvs in levels.items() for lv in lvs]
-    dropped = FIT.fit_low_variance(with_ohe, ohe_cols, low_variance)
+    # The fit runs a handful of aggregation jobs over the same rows: keep them
+    # (memory, spilling to disk) for the duration of the fit only.
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parsed = train.select(*[P.to_float(F.col(c), numeric=_is_numeric(train, c)).alias(c)
+                                for c in numeric])
+        med = FIT.medians(parsed, numeric, exact=exact)
+        base = _base_features(train, numeric, flags, med, current_year)
+        log_cols = FIT.fit_log_columns(base, numeric, threshold_skew)
+        levels = FIT.fit_one_hot(base, list(CATEGORICALS))
+        with_ohe = FIT.apply_one_hot(base, levels)
+        ohe_cols = [FIT.one_hot_name(c, lv) for c, lvs in levels.items() for lv in lvs]
+        dropped = FIT.fit_low_variance(with_ohe, ohe_cols, low_variance)
+    finally:
+        train.unpersist()
     kept = [c for c in ohe_cols if c not in dropped]
     return FeatureMeta(numeric, flags, med, log_cols, levels, dropped, kept, current_year)
 

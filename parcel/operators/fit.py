@@ -38,19 +38,14 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
     NULL and NaN are ignored. Returns one value per probability (None when
     the column has no values).
     """
-    probs = [float(p) for p in probs]
-    v = F.col("v")
     src = F.col(col) if isinstance(col, str) else col
-    base = df.select(src.cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
-    m = 4.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-m, 0.0, m)})
-    row = base.agg(F.count(v).alias("n"), F.approx_count_distinct(v).alias("d"),
-                   F.percentile_approx(v, grid, accuracy).alias("q")).first()
-    n, d = row["n"], row["d"]
-    if not n:
-        return [None] * len(probs)
-    q0 = dict(zip(grid, row["q"]))
-    wanted: dict[int, float] = {}      # rank -> probability used to bracket it
+    name = col if isinstance(col, str) else "_q"
+    return exact_quantiles_multi(df.select(src.alias(name)), [name], probs, accuracy,
+                                 collect_limit, max_levels)[name]
+
+
+def _plan(n: int, probs: Sequence[float]):
+    wanted: dict[int, float] = {}
     plan = []
     for p in probs:
         h = p * (n - 1)
@@ -59,89 +54,150 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
         plan.append((lo, hi, h - lo))
         wanted.setdefault(lo, p)
         wanted.setdefault(hi, p)
+    return wanted, plan
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                          accuracy: int = 10_000, collect_limit: int = 100_000,
+                          max_levels: int = 24, collect_budget: int = 400_000
+                          ) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns.
+
+    Job 1 computes, for every column at once, the count, an approximate
+    distinct count and bracketing ``percentile_approx`` sketches. Columns
+    with few distinct values (within ``collect_budget`` in total) are then
+    resolved together by one grouped ``(column, value, count)`` collect;
+    the others go through verified bracket refinement (``_refine``).
+    """
+    probs = [float(p) for p in probs]
+    cols = list(cols)
+    if not cols:
+        return {}
+    m = 4.0 / accuracy
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-m, 0.0, m)})
+    vals = {c: F.col(c).cast("double") for c in cols}
+    clean = {c: F.when(~F.isnan(v), v) for c, v in vals.items()}
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(clean[c]).alias(f"n{i}"), F.approx_count_distinct(clean[c]).alias(f"d{i}"),
+                 F.percentile_approx(clean[c], grid, accuracy).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    out: dict[str, list[float | None]] = {}
+    small, big = [], []
+    budget = collect_budget
+    for i, c in enumerate(cols):
+        n, d = row[f"n{i}"], row[f"d{i}"]
+        if not n:
+            out[c] = [None] * len(probs)
+        elif d <= collect_limit and d <= budget:
+            small.append((i, c, n))
+            budget -= d
+        else:
+            big.append((i, c, n))
+    if small:
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), clean[c].alias("v")) for i, c, _ in small])).alias("s"))
+        pairs = (long.where(F.col("s.v").isNotNull()).groupBy("s.i", "s.v")
+                 .agg(F.count(F.lit(1)).alias("c")).collect())
+        by_col: dict[int, list] = {}
+        for p in pairs:
+            by_col.setdefault(p["i"], []).append((p["v"], p["c"]))
+        for i, c, n in small:
+            wanted, plan = _plan(n, probs)
+            found = _pick(sorted(by_col.get(i, [])), wanted)
+            out[c] = [_interp(found[lo], found[hi], fr) for lo, hi, fr in plan]
+    for i, c, n in big:
+        base = df.select(clean[c].alias("v")).where(F.col("v").isNotNull())
+        q0 = dict(zip(grid, row[f"q{i}"]))
+        wanted, plan = _plan(n, probs)
+        found = _refine(base, wanted, q0, m, accuracy, collect_limit, max_levels)
+        out[c] = [_interp(found[lo], found[hi], fr) for lo, hi, fr in plan]
+    return out
+
 
+def _pick(sorted_pairs: list, ranks, below: int = 0) -> dict[int, float]:
+    """Value at each 0-based rank from sorted (value, count) pairs starting at ``below``."""
+    found = {}
+    targets = sorted(ranks)
+    j, seen = 0, below
+    for val, cnt in sorted_pairs:
+        while j < len(targets) and targets[j] < seen + cnt:
+            found[targets[j]] = val
+            j += 1
+        seen += cnt
+        if j == len(targets):
+            break
+    return found
+
+
+def _refine(base: DataFrame, wanted: dict[int, float], q0: dict, m: float, accuracy: int,
+            collect_limit: int, max_levels: int) -> dict[int, float]:
+    """Narrow verified brackets around each wanted rank until they are small enough."""
+    v = F.col("v")
+    inf = math.inf
+    clamp = lambda x: min(1.0, max(0.0, x))
+    cur = {r: (q0[clamp(p - m)], q0[clamp(p + m)]) for r, p in wanted.items()}
+    parent = {r: (-inf, inf) for r in wanted}
+    margin = {r: m for r in wanted}
     found: dict[int, float] = {}
-    if d <= collect_limit:
-        _resolve(base, {r: (-math.inf, math.inf, 0) for r in wanted}, found)
-    else:
-        inf = math.inf
-        cur = {r: (q0[min(1.0, max(0.0, p - m))], q0[min(1.0, max(0.0, p + m))])
-               for r, p in wanted.items()}
-        parent = {r: (-inf, inf) for r in wanted}
-        margin = {r: m for r in wanted}
-        for _ in range(max_levels):
-            if not cur:
-                break
-            ranks = list(cur)
-            aggs = []
-            for i, r in enumerate(ranks):
+    for _ in range(max_levels):
+        if not cur:
+            return found
+        ranks = list(cur)
+        aggs = []
+        for i, r in enumerate(ranks):
+            lo, hi = cur[r]
+            inb = (v >= lo) & (v <= hi)
+            aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if(inb).alias(f"c{i}"),
+                     F.approx_count_distinct(F.when(inb, v)).alias(f"d{i}")]
+        stats = base.agg(*aggs).first()
+        done, refine = {}, {}
+        for i, r in enumerate(ranks):
+            below, inside, dist = stats[f"b{i}"], stats[f"c{i}"], stats[f"d{i}"]
+            if not (below <= r < below + inside):
+                # The sketch missed: fall back to the verified parent and widen.
+                margin[r] *= 4
+                cur[r] = parent[r]
+                continue
+            if dist <= collect_limit:
+                done[r] = (cur[r][0], cur[r][1], below)
+            else:
+                refine[r] = (below, inside)
+        if done:
+            cond = None
+            for lo, hi, _ in done.values():
+                c = (v >= lo) & (v <= hi)
+                cond = c if cond is None else cond | c
+            pairs = sorted((p["v"], p["c"]) for p in base.where(cond).groupBy("v")
+                           .agg(F.count(F.lit(1)).alias("c")).collect())
+            for r, (lo, hi, below) in done.items():
+                inside = [(val, cnt) for val, cnt in pairs if lo <= val <= hi]
+                found.update(_pick(inside, [r], below))
+                cur.pop(r)
+        if refine:
+            aggs, order = [], []
+            for r, (below, inside) in refine.items():
                 lo, hi = cur[r]
+                rel = (r - below) / max(inside - 1, 1)
+                ps = [clamp(rel - margin[r]), clamp(rel + margin[r])]
                 inb = (v >= lo) & (v <= hi)
-                aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if(inb).alias(f"c{i}"),
-                         F.approx_count_distinct(F.when(inb, v)).alias(f"d{i}")]
-            stats = base.agg(*aggs).first()
-            done, refine = {}, {}
-            for i, r in enumerate(ranks):
-                below, inside, dist = stats[f"b{i}"], stats[f"c{i}"], stats[f"d{i}"]
-                if not (below <= r < below + inside):
-                    # The sketch missed: fall back to the verified parent, widen.
-                    margin[r] *= 4
-                    cur[r] = parent[r]
-                    continue
-                if dist <= collect_limit:
-                    done[r] = (cur[r][0], cur[r][1], below)
-                else:
-                    refine[r] = (below, inside)
-            if done:
-                _resolve(base, done, found)
-                for r in done:
-                    cur.pop(r)
-            if refine:
-                aggs, order = [], []
-                for r, (below, inside) in refine.items():
-                    lo, hi = cur[r]
-                    rel = (r - below) / max(inside - 1, 1)
-                    ps = [min(1.0, max(0.0, rel - margin[r])), min(1.0, max(0.0, rel + margin[r]))]
-                    inb = (v >= lo) & (v <= hi)
-                    aggs.append(F.percentile_approx(F.when(inb, v), ps, accuracy)
-                                .alias(f"q{len(order)}"))
-                    order.append(r)
-                qs = base.agg(*aggs).first()
-                for i, r in enumerate(order):
-                    parent[r] = cur[r]
-                    nlo, nhi = qs[f"q{i}"]
-                    cur[r] = (nlo, nhi)
-        if cur:
-            raise RuntimeError("exact_quantiles did not converge; raise collect_limit")
-    return [_interp(found[lo], found[hi], frac) for lo, hi, frac in plan]
-
-
-def _resolve(base: DataFrame, brackets: dict[int, tuple], found: dict) -> None:
-    """Collect each bracket as sorted (value, count) pairs and pick its rank."""
-    v = F.col("v")
-    cond = None
-    for lo, hi, _ in brackets.values():
-        c = (v >= lo) & (v <= hi) if math.isfinite(lo) or math.isfinite(hi) else F.lit(True)
-        cond = c if cond is None else cond | c
-    pairs = (base.where(cond).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-             .orderBy("v").collect())
-    vals = [(p["v"], p["c"]) for p in pairs]
-    for r, (lo, hi, below) in brackets.items():
-        pos = r - below
-        for val, cnt in vals:
-            if val < lo or val > hi:
-                continue
-            if pos < cnt:
-                found[r] = val
-                break
-            pos -= cnt
+                aggs.append(F.percentile_approx(F.when(inb, v), ps, accuracy)
+                            .alias(f"q{len(order)}"))
+                order.append(r)
+            qs = base.agg(*aggs).first()
+            for i, r in enumerate(order):
+                parent[r] = cur[r]
+                cur[r] = tuple(qs[f"q{i}"])
+    if cur:
+        raise RuntimeError("exact_quantiles did not converge; raise collect_limit")
+    return found
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               exact: bool = True, accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """Quantiles for several columns: exact (default) or one approximate job."""
     if exact:
-        return {c: exact_quantiles(df, c, probs, accuracy=accuracy) for c in cols}
+        return exact_quantiles_multi(df, cols, probs, accuracy=accuracy)
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(c)
                    for c in cols]).first()
     return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}

@@ -28,6 +28,7 @@ def get_spark(master: str | None = None, app: str = "parcel",
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master and master.startswith("local"):
         builder = (

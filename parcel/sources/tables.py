@@ -7,10 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
+# Fixed-size dimensions: never worth spreading out.
+TINY = {"region", "nation"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table as a lazily scanned parquet relation (pruning and pushdown apply)."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """One table as a lazily scanned parquet relation (pruning and pushdown apply).
+
+    Input-parallelism floor: a file written as one row group scans as one
+    task no matter its size. When a scan yields fewer partitions than the
+    cluster's default parallelism, it is spread round-robin so per-row work
+    (parsing, regexes, distances) uses every core. On large inputs the scan
+    already has far more splits than cores and nothing is added.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread and name not in TINY:
+        target = spark.sparkContext.defaultParallelism
+        if target > 1 and df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df

@@ -66,13 +66,20 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """AG-9: all ordered pairs (a, b, r) in one aggregation (diagonal included)."""
-    rows = []
+    """AG-9: all ordered pairs (a, b, r) from one aggregation over the upper triangle
+    (r is symmetric; the diagonal is computed, not assumed)."""
+    cols = list(cols)
+    stats, rows = {}, []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            stats[(a, b)] = f"c_{len(stats)}"
+    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n)
+                   for (a, b), n in stats.items()])
     for a, b in itertools.product(cols, cols):
+        key = (a, b) if (a, b) in stats else (b, a)
         rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-                             .alias("corr")))
-    return _long(df, rows)
+                             F.col(stats[key]).alias("corr")))
+    return agg.select(F.inline(F.array(*rows)))
 
 
 def high_corr_pairs(matrix: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:

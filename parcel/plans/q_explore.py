@@ -22,8 +22,9 @@ def _rev(li: DataFrame) -> DataFrame:
 
 def describe_numeric(spark: SparkSession, sf: str) -> DataFrame:
     """AG-4 on lineitem (exact quartiles)."""
-    d = X.describe(table(spark, sf, "lineitem"), NUM)
-    return d.select("column_name", "count", *[r6(c).alias(c) for c in
+    d = X.describe(table(spark, sf, "lineitem", spread=True), NUM)
+    # 8 decimals: a mean of 2-decimal values can sit exactly on a 7th-decimal tie.
+    return d.select("column_name", "count", *[F.round(c, 8).alias(c) for c in
                                               ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
@@ -118,7 +119,7 @@ def winsorize_upper(spark: SparkSession, sf: str) -> DataFrame:
 
 def p99_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """OD-4: p99 threshold, rows above it, and the maximum."""
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem", spread=True)
     t = quantiles(li, ["l_extendedprice"], [0.99])["l_extendedprice"][0]
     x = F.col("l_extendedprice")
     return li.agg(r6(F.lit(t)).alias("p99"), F.count_if(x > t).alias("n_above"),
@@ -127,7 +128,8 @@ def p99_extremes(spark: SparkSession, sf: str) -> DataFrame:
 
 def binned_trend(spark: SparkSession, sf: str) -> DataFrame:
     """OD-6: decile bins of quantity -> mean x, mean y, slope of extended price on quantity."""
-    t = X.binned_trend(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 10)
+    t = X.binned_trend(table(spark, sf, "lineitem", spread=True), "l_quantity",
+                       "l_extendedprice", 10)
     return t.select("bin", "n", r6("mean_x").alias("mean_x"), r6("mean_y").alias("mean_y"),
                     r6("slope").alias("slope"))
 
@@ -151,10 +153,10 @@ QUERIES = {
 
 
 def _describe_oracle() -> str:
-    parts = [f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean,
-  round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
-  round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
-  round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lineitem"""
+    parts = [f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 8) AS mean,
+  round(stddev_samp({c}), 8) AS std, round(min({c}), 8) AS min,
+  round(quantile_cont({c}, 0.25), 8) AS p25, round(quantile_cont({c}, 0.5), 8) AS p50,
+  round(quantile_cont({c}, 0.75), 8) AS p75, round(max({c}), 8) AS max FROM lineitem"""
              for c in NUM]
     return "\nUNION ALL\n".join(parts)
 

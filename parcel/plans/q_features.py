@@ -89,7 +89,8 @@ SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 def _scale(kind: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *SCALE_COLS)
+        li = table(spark, sf, "lineitem", spread=kind == "robust").select(
+            "l_orderkey", "l_linenumber", *SCALE_COLS)
         state = FIT.fit_scaler(li, SCALE_COLS, kind)
         out = FIT.apply_scaler(li, state)
         return out.select("l_orderkey", "l_linenumber", *[_r4(F.col(c)).alias(c)

@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, app: str = "parcel",
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Profiles fold many aggregates into one pass; keep them in whole-stage
+        # codegen (the default of 100 buffer fields turns it off for ~20 corr()).
+        .config("spark.sql.codegen.maxFields", "1000")
     )
     if master and master.startswith("local"):
         builder = (

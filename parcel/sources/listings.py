@@ -36,8 +36,8 @@ def _case(key: Column, values: list, default=None) -> Column:
 
 def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings: one row per order, text fields as scraped, plus lat/lon."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
-                                              "o_orderstatus")
+    o = table(spark, sf_dir, "orders", spread=True).select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)

@@ -11,14 +11,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TINY = {"region", "nation"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One table as a lazily scanned parquet relation (pruning and pushdown apply).
 
-    Input-parallelism floor: a file written as one row group scans as one
-    task no matter its size. When a scan yields fewer partitions than the
-    cluster's default parallelism, it is spread round-robin so per-row work
-    (parsing, regexes, distances) uses every core. On large inputs the scan
-    already has far more splits than cores and nothing is added.
+    ``spread``: input-parallelism floor for plans with heavy per-row work
+    (string building, parsing, HTML). A file written as one row group scans
+    as one task no matter its size; when a scan yields fewer partitions than
+    the cluster's default parallelism it is spread round-robin so the per-row
+    work uses every core. Cheap scans (aggregations) skip it: the extra
+    exchange costs more than it saves. On large inputs the scan already has
+    far more splits than cores and nothing is added either way.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")

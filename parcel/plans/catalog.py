@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcel.plans import q_explore, q_features, q_geo, q_listing, q_ml, q_models, q_pages
+from parcel.plans import (q_explore, q_features, q_geo, q_listing, q_ml, q_models, q_pages,
+                          q_sources, q_stream)
 
-_MODULES = [q_listing, q_features, q_geo, q_explore, q_models, q_ml, q_pages]
+_MODULES = [q_listing, q_features, q_geo, q_explore, q_models, q_ml, q_pages, q_sources,
+            q_stream]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -119,7 +119,8 @@ def extract_lease_years(c, current_year: int = 2025) -> Column:
     c = _col(c).cast("string")
     year = F.nullif(F.regexp_extract(c, LEASE_RE, 3), F.lit("")).try_cast("int")
     blank = c.isNull() | (F.trim(c) == "") | c.contains("Volle eigendom")
-    return F.when(blank, F.lit(None).cast("int")).otherwise(
+    # greatest() skips NULLs: guard so a text without an end date stays NULL.
+    return F.when(blank | year.isNull(), F.lit(None).cast("int")).otherwise(
         F.greatest(year - F.lit(current_year), F.lit(0)))
 
 

@@ -212,6 +212,15 @@ def dd_by_label(pairs: Column, label: str, exact: bool = False, default: str = N
     return F.coalesce(F.try_element_at(F.filter(pairs, cond), F.lit(1))["dd"], F.lit(default))
 
 
+def _label_contains(needle: str):
+    # One-argument lambdas only: Spark reads a two-argument lambda as (element, index).
+    return lambda p: p["label"].contains(needle)
+
+
+def _dt_equals(label: str):
+    return lambda p: p["dt"] == label
+
+
 def icon_list(els: Column) -> Column:
     """PG-3: (label, value) spans inside ``li.flex`` items; the last match per label wins."""
     items = select_all(els, ICON_LIST["item"])
@@ -228,7 +237,7 @@ def icon_list(els: Column) -> Column:
                      lambda p: p["label"].isNotNull() & p["value"].isNotNull())
     out = {}
     for name, needle in ICON_LIST["labels"].items():
-        hits = F.filter(pairs, lambda p, n=needle: p["label"].contains(n))
+        hits = F.filter(pairs, _label_contains(needle))
         out[name] = F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA))
     return F.struct(*[v.alias(k) for k, v in out.items()])
 
@@ -246,7 +255,7 @@ def neighbourhood_details(els: Column) -> Column:
     pairs = F.filter(F.transform(boxes, pair), lambda p: p["label"].isNotNull() & p["value"].isNotNull())
     keys, vals = [], []
     for key, needle in NEIGHBOURHOOD["labels"].items():
-        hits = F.filter(pairs, lambda p, n=needle: p["label"].contains(n))
+        hits = F.filter(pairs, _label_contains(needle))
         keys.append(F.lit(key))
         vals.append(F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA)))
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
@@ -291,7 +300,7 @@ def cadastral(els: Column) -> Column:
 def outdoor(els: Column) -> Column:
     """PG-8: fixed outdoor labels -> map with NULL defaults (last match wins)."""
     pairs = dt_dd_pairs(els, OUTDOOR["section"])
-    vals = [F.try_element_at(F.filter(pairs, lambda p, f=f: p["dt"] == f), F.lit(-1))["dd"]
+    vals = [F.try_element_at(F.filter(pairs, _dt_equals(f)), F.lit(-1))["dd"]
             for f in OUTDOOR["fields"]]
     return F.map_from_arrays(F.array(*[F.lit(f) for f in OUTDOOR["fields"]]), F.array(*vals))
 

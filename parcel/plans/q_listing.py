@@ -163,8 +163,10 @@ SELECT listing_id,
        ELSE coalesce(TRY_CAST(nullif(regexp_extract(located_on, '([0-9]+)', 1), '') AS INTEGER), 0)
        END AS floor_level,
   CASE WHEN ownership IS NULL OR trim(ownership) = '' OR ownership LIKE '%Volle eigendom%' THEN NULL
-       ELSE greatest(TRY_CAST(nullif(regexp_extract(ownership,
-              'einddatum erfpacht: ([0-9]{2})-([0-9]{2})-([0-9]{4})', 3), '') AS INTEGER) - 2025, 0)
+       WHEN regexp_extract(ownership, 'einddatum erfpacht: ([0-9]{2})-([0-9]{2})-([0-9]{4})', 3) = ''
+         THEN NULL
+       ELSE greatest(TRY_CAST(regexp_extract(ownership,
+              'einddatum erfpacht: ([0-9]{2})-([0-9]{2})-([0-9]{4})', 3) AS INTEGER) - 2025, 0)
        END AS lease_years
 FROM L"""),
     "simplify_categories": with_listing("""

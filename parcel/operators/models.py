@@ -87,6 +87,14 @@ def fit(df: DataFrame, features: Sequence[str], label: str, family: str = "linea
     data = df.withColumn("label", lab).where(F.col("label").isNotNull())
     if validation_col is not None and family == "gbt":
         sp["validationIndicatorCol"] = validation_col
+    if family == "linear":
+        # One pass builds the normal equations (d x d, d <= 4096); elastic net is then
+        # solved locally on them instead of one distributed job per iteration.
+        sp.setdefault("solver", "normal" if len(features) <= 4096 else "l-bfgs")
+    elif family in ("random_forest", "gbt"):
+        # Larger per-pass node budget: fewer passes over the data per tree level.
+        sp.setdefault("maxMemoryInMB", 1024)
+        sp.setdefault("cacheNodeIds", True)
     est = est_cls(featuresCol="features", labelCol="label", predictionCol="raw_prediction", **sp)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features",
                                 handleInvalid="keep")

@@ -161,7 +161,7 @@ AREA_FEATS = ["avg_price", "avg_size", "avg_price_m2", "n_listings"]
 
 def kmeans_areas(spark: SparkSession, sf: str) -> DataFrame:
     """ML-17 + AG-13: standardized area stats, k-means (k=4, seed 42), ranges per cluster."""
-    areas = _area_table(spark, sf)
+    areas = ML.materialize(_area_table(spark, sf))
     scaled = FIT.apply_scaler(areas, FIT.fit_scaler(areas, AREA_FEATS, "standard"), "_z")
     _, assigned = ML.kmeans(scaled, [c + "_z" for c in AREA_FEATS], 4)
     return (assigned.groupBy("cluster")
@@ -172,7 +172,7 @@ def kmeans_areas(spark: SparkSession, sf: str) -> DataFrame:
 
 def elbow_curve(spark: SparkSession, sf: str) -> DataFrame:
     """ML-18: within-cluster cost for k = 2..14."""
-    areas = _area_table(spark, sf)
+    areas = ML.materialize(_area_table(spark, sf))
     scaled = FIT.apply_scaler(areas, FIT.fit_scaler(areas, AREA_FEATS, "standard"), "_z")
     cost = ML.elbow(scaled, [c + "_z" for c in AREA_FEATS], range(2, 15))
     return spark.createDataFrame([(k, round(c, 4)) for k, c in cost], "k int, cost double")

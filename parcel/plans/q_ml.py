@@ -91,9 +91,7 @@ def _trials(n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def cv_random_search(spark: SparkSession, sf: str, n_trials: int = 6) -> DataFrame:
-    """ML-8 / ML-9 / ML-10 / WN-2: random search, 5-fold CV objective, best so far."""
-    X, feats = _training(spark, sf)
+def _search(spark: SparkSession, X: DataFrame, feats: list[str], n_trials: int):
     train = SP.with_folds(X.where(F.col("split") == "train"), "listing_id", 5)
     state = FIT.fit_scaler(train, feats, "standard")
     train = ML.materialize(FIT.apply_scaler(train, state))
@@ -107,20 +105,27 @@ def cv_random_search(spark: SparkSession, sf: str, n_trials: int = 6) -> DataFra
     for t, a, l1, m in rows:
         best = min(best, m)
         out.append((t, a, l1, round(m, 2), round(best, 2)))
-    return spark.createDataFrame(out, "trial int, alpha double, l1_ratio double, "
-                                      "mean_val_rmse double, best_so_far double")
+    return out
+
+
+def cv_random_search(spark: SparkSession, sf: str, n_trials: int = 6) -> DataFrame:
+    """ML-8 / ML-9 / ML-10 / WN-2: random search, 5-fold CV objective, best so far."""
+    X, feats = _training(spark, sf)
+    return spark.createDataFrame(_search(spark, X, feats, n_trials),
+                                 "trial int, alpha double, l1_ratio double, "
+                                 "mean_val_rmse double, best_so_far double")
 
 
-def retrain_best(spark: SparkSession, sf: str) -> DataFrame:
+def retrain_best(spark: SparkSession, sf: str, n_trials: int = 6) -> DataFrame:
     """ML-12: refit the best trial on train+val (fixed parameters), evaluate on test."""
-    search = cv_random_search(spark, sf)
-    b = search.orderBy("mean_val_rmse", "trial").first()
     X, feats = _training(spark, sf)
+    trials = _search(spark, X, feats, n_trials)
+    _, alpha, l1, _, _ = min(trials, key=lambda r: (r[3], r[0]))
     fitset = X.where(F.col("split") != "test")
     state = FIT.fit_scaler(fitset, feats, "standard")
     Xs = FIT.apply_scaler(X, state)
     fm = ML.fit(Xs.where(F.col("split") != "test"), feats, "price_num", "linear",
-                {"alpha": b["alpha"], "l1_ratio": b["l1_ratio"]}, log_target=True)
+                {"alpha": alpha, "l1_ratio": l1}, log_target=True)
     return _metrics(ML.predict(fm, Xs).where(F.col("split") == "test"))
 
 

@@ -1,6 +1,6 @@
 """Isolation-forest outlier flagging (OD-2).
 
-* Sampling: tree ``t`` takes the rows whose hash ``u_t(key)`` is below
+* Sampling: tree ``t`` takes the rows whose hash ``u_t(key)`` (xxhash64) is below
   ``p = oversample * psi / n`` (a Bernoulli sample decided per row, stable
   under repartitioning), then keeps the ``psi`` smallest ``u_t`` inside its
   group: every tree group is bounded by ~``oversample * psi`` rows whatever
@@ -22,12 +22,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcel.operators.fit import exact_quantiles
-from parcel.operators.split import hash_unit
 
 TREE_SCHEMA = ("tree_id int, feature array<int>, threshold array<double>, "
                "left array<int>, right array<int>, size array<int>")
@@ -90,24 +89,31 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str,
     psi = int(min(psi, max(n, 1)))
     p = min(1.0, oversample * psi / max(n, 1))
     feats = [F.col(c).cast("double").alias(c) for c in features]
+    # Per-(row, tree) uniform draw from the native 64-bit hash of (key, tree, seed):
+    # deterministic, partition-independent and cheap enough to evaluate n_trees times.
+    def unit(k: Column, t: Column, s: int) -> Column:
+        return F.pmod(F.xxhash64(k, t, F.lit(s)), F.lit(1 << 32)).cast("double") / float(1 << 32)
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: hash_unit(F.concat(F.col(key).cast("string"), F.lit(":"),
-                                                  t.cast("string")), seed) < F.lit(p))
+                     lambda t: unit(F.col(key), t, seed) < F.lit(p))
     sampled = (df.select(F.col(key), *feats).na.drop(subset=list(features))
                .withColumn("tree_id", F.explode(trees))
-               .withColumn("u", hash_unit(F.concat(F.col(key).cast("string"), F.lit(":"),
-                                                   F.col("tree_id").cast("string")), seed + 1)))
+               .withColumn("u", unit(F.col(key), F.col("tree_id"), seed + 1)))
     forest = (sampled.groupBy("tree_id")
               .applyInPandas(_build_group(features, psi), TREE_SCHEMA).collect())
     return [{"feature": r["feature"], "threshold": r["threshold"], "left": r["left"],
              "right": r["right"], "size": r["size"], "psi": psi} for r in forest]
 
 
+def _compile(tree: dict) -> dict:
+    """Node arrays as numpy, with the leaf adjustment c(size) precomputed per node."""
+    return {"feature": np.asarray(tree["feature"]), "threshold": np.asarray(tree["threshold"]),
+            "left": np.asarray(tree["left"]), "right": np.asarray(tree["right"]),
+            "adjust": np.array([_c(s) for s in tree["size"]], dtype=float)}
+
+
 def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
-    feat = np.asarray(tree["feature"])
-    thr = np.asarray(tree["threshold"])
-    left, right = np.asarray(tree["left"]), np.asarray(tree["right"])
-    size = np.asarray(tree["size"])
+    feat, thr = tree["feature"], tree["threshold"]
+    left, right = tree["left"], tree["right"]
     node = np.zeros(len(x), dtype=int)
     depth = np.zeros(len(x))
     active = feat[node] >= 0
@@ -118,13 +124,14 @@ def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
         node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
         depth[idx] += 1
         active = feat[node] >= 0
-    return depth + np.array([_c(s) for s in size[node]])
+    return depth + tree["adjust"][node]
 
 
 def score_column(forest: list[dict], features: Sequence[str]):
     """Anomaly score 2^(-E[h(x)] / c(psi)) as a vectorized pandas UDF column."""
     psi = forest[0]["psi"] if forest else 2
     norm = _c(psi)
+    forest = [_compile(t) for t in forest]
 
     @F.pandas_udf(T.DoubleType())
     def iso_score(*cols: pd.Series) -> pd.Series:

@@ -100,8 +100,9 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str,
                .withColumn("u", unit(F.col(key), F.col("tree_id"), seed + 1)))
     forest = (sampled.groupBy("tree_id")
               .applyInPandas(_build_group(features, psi), TREE_SCHEMA).collect())
-    return [{"feature": r["feature"], "threshold": r["threshold"], "left": r["left"],
-             "right": r["right"], "size": r["size"], "psi": psi} for r in forest]
+    return [{"tree_id": r["tree_id"], "feature": r["feature"], "threshold": r["threshold"],
+             "left": r["left"], "right": r["right"], "size": r["size"], "psi": psi}
+            for r in sorted(forest, key=lambda r: r["tree_id"])]
 
 
 def _compile(tree: dict) -> dict:

@@ -196,4 +196,21 @@ QUERIES = {
     "elbow_curve": elbow_curve,
 }
 
-ORACLE: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    from parcel.plans.oracle_features import feature_profile_sql
+    return {"feature_matrix_profile": feature_profile_sql()}
+
+
+ORACLE: dict[str, str] = _oracles()
+
+
+def feature_matrix_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """FE-8 / FE-9 checked end to end: per split, the mean of every model feature."""
+    X, meta = build_feature_matrix(spark, sf)
+    rows = [F.struct(F.lit(f).alias("feature"), F.round(F.avg(f), 4).alias("avg_value"))
+            for f in meta.feature_columns]
+    return (X.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.array(*rows).alias("r"))
+            .select("split", "n", F.inline("r")))
+
+
+QUERIES["feature_matrix_profile"] = feature_matrix_profile

@@ -84,9 +84,35 @@ def compare(runs: DataFrame, models: Sequence[str], metrics: Sequence[str]) -> D
 def best_so_far(trials: DataFrame, value: str, order, study: str | None = None) -> Column:
     """WN-2: running minimum of the objective over trial order (within a study).
 
-    A study is one hyper-parameter search (bounded trial count); the window
-    spills to disk rather than holding a large study in memory.
+    Window form, for studies of bounded size (a search has a trial budget).
+    ``running_min`` is the skew-safe form for unbounded groups.
     """
     order = [order] if isinstance(order, str) else list(order)
     w = Window.orderBy(*order) if study is None else Window.partitionBy(study).orderBy(*order)
     return F.min(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def running_min(df: DataFrame, value: str, order: Sequence[str], group: str,
+                out: str = "best_value", slices: int | None = None) -> DataFrame:
+    """WN-2 as a parallel prefix scan that never puts one group in one task.
+
+    1. Range-partition by (group, order...): a hot group spans many partitions.
+    2. Running min inside each (group, partition) slice (bounded by partition size).
+    3. Carry-in: min over the group's earlier slices, from a small per-slice table
+       (one row per group and partition) with its own window.
+    Result: least(slice running min, carry-in) == the running min over the whole group.
+    """
+    n = slices or df.sparkSession.sparkContext.defaultParallelism
+    order = list(order)
+    parts = (df.repartitionByRange(n, F.col(group), *[F.col(c) for c in order])
+             .withColumn("_slice", F.spark_partition_id()))
+    local = F.min(value).over(Window.partitionBy(group, "_slice").orderBy(*order)
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.withColumn("_local", local)
+    summary = parts.groupBy(group, "_slice").agg(F.min(value).alias("_slice_min"))
+    carry = summary.withColumn("_carry", F.min("_slice_min").over(
+        Window.partitionBy(group).orderBy("_slice")
+        .rowsBetween(Window.unboundedPreceding, -1))).drop("_slice_min")
+    return (parts.join(carry, [group, "_slice"], "left")
+            .withColumn(out, F.least(F.col("_local"), F.col("_carry")))
+            .drop("_slice", "_local", "_carry"))

@@ -198,9 +198,9 @@ def trial_sampling(spark: SparkSession, sf: str) -> DataFrame:
 
 def best_so_far(spark: SparkSession, sf: str) -> DataFrame:
     """WN-2: running minimum of the objective per study (user) over trial order (ts, id)."""
-    ev = table(spark, sf, "events")
-    best = RL.best_so_far(ev, "value", ["ts", "event_id"], study="user_id")
-    return ev.select("event_id", r6(best).alias("best_value"))
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    out = RL.running_min(ev, "value", ["ts", "event_id"], "user_id")
+    return out.select("event_id", r6("best_value").alias("best_value"))
 
 
 # ---------------------------------------------------------------------------- run ledger

@@ -21,3 +21,17 @@ def test_folds_cover_all_rows_once(spark):
     rep = SP.explode_training_folds(df, 5)
     assert rep.count() == 4 * 5000
     assert rep.where(F.col("cv_fold") == F.col("fold")).count() == 0
+
+
+def test_running_min_prefix_scan_equals_window(spark):
+    """WN-2: the skew-safe prefix scan equals the plain window, with one hot group."""
+    import random
+    from parcel.operators import runs as RL
+    rnd = random.Random(2)
+    rows = [(i, 0 if i % 3 == 0 else rnd.randint(1, 20), rnd.random() * 100) for i in range(6000)]
+    df = spark.createDataFrame(rows, "t long, study long, v double")
+    want = {r["t"]: r["b"] for r in df.select("t", RL.best_so_far(df, "v", "t", "study")
+                                               .alias("b")).collect()}
+    got = {r["t"]: r["best_value"] for r in RL.running_min(df, "v", ["t"], "study",
+                                                           slices=16).collect()}
+    assert got == want

@@ -74,3 +74,23 @@ def store_root(spark: SparkSession) -> str:
         return base
     ckpt = ensure_checkpoint_dir(spark)
     return ckpt.rstrip("/") + "/parcel_store"
+
+
+# SQL settings the operators rely on for speed (not for correctness); applied to any
+# session handed to the catalogue unless the user set them explicitly.
+SESSION_DEFAULTS = {
+    "spark.sql.codegen.maxFields": "1000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply ``SESSION_DEFAULTS`` where still at Spark's default; ensure a checkpoint dir."""
+    builtin = {"spark.sql.codegen.maxFields": "100"}
+    for key, value in SESSION_DEFAULTS.items():
+        current = spark.conf.get(key, None)
+        if current is None or current == builtin.get(key):
+            spark.conf.set(key, value)
+    ensure_checkpoint_dir(spark)
+    return spark

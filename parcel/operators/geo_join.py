@@ -7,6 +7,12 @@
   the 3x3 neighbouring cells of size R (the largest radius), points keep one
   cell, the exact haversine filter runs on the candidate pairs, and counts
   are aggregated per point before joining back. No cross join, no collect.
+  Dense cells are split on both sides (fragment-and-replicate): a cell with
+  more than ``hot_rows`` points is cut into hash slices of points, each
+  paired with a copy of the cell's amenities, and likewise for amenity-dense
+  cells, so one cell holding a third of all rows spreads over many tasks.
+  The hot-cell table is bounded by construction (cells above N / MAX_HOT_CELLS
+  rows) and is the only broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcel.functions import geo as G
@@ -28,6 +34,10 @@ AMENITY_RADIUS_KM = {
 # 110 km per degree is deliberately below the true ~111.2: cells are never
 # smaller than the radius, so the 3x3 neighbourhood always covers it.
 KM_PER_DEGREE_LOWER = 110.0
+# A join slice holds at most about this many rows of one side of one cell ...
+HOT_CELL_ROWS = 200_000
+# ... raised so that at most this many cells per side count as hot (broadcast bound).
+MAX_HOT_CELLS = 10_000
 
 
 def dedupe_geo_dim(geo: DataFrame, key: str = "address") -> DataFrame:
@@ -87,10 +97,40 @@ def count_column(amenity: str, r_km: float) -> str:
     return f"count_{amenity}_within_{int(r_km * 1000)}m"
 
 
+def _hot_cells(pts: DataFrame, amen9: DataFrame, n_pts: int, n_amen9: int,
+               hot_rows: int) -> DataFrame:
+    """Cells needing a split: (cy, cx, p_slices, a_slices), at most 2 * MAX_HOT_CELLS rows.
+
+    A side's threshold is max(hot_rows, N / MAX_HOT_CELLS); no more than
+    N / threshold cells can exceed it, which bounds the table whatever the data.
+    """
+    t_p = max(hot_rows, math.ceil(n_pts / MAX_HOT_CELLS))
+    t_a = max(hot_rows, math.ceil(n_amen9 / MAX_HOT_CELLS))
+    hp = (pts.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("np"))
+          .where(F.col("np") > t_p))
+    ha = (amen9.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("na"))
+          .where(F.col("na") > t_a))
+    return (hp.join(ha, ["cy", "cx"], "full")
+            .select("cy", "cx",
+                    F.greatest(F.lit(1), F.ceil(F.coalesce("np", F.lit(0)) / t_p))
+                    .cast("int").alias("p_slices"),
+                    F.greatest(F.lit(1), F.ceil(F.coalesce("na", F.lit(0)) / t_a))
+                    .cast("int").alias("a_slices")))
+
+
+def _slice(df: DataFrame, hot: DataFrame, own: str, other: str, key: Column) -> DataFrame:
+    """Own slice from a hash of the row key; one copy per slice of the other side."""
+    return (df.join(F.broadcast(hot), ["cy", "cx"], "left")
+            .withColumn(own, F.pmod(F.xxhash64(key), F.coalesce(f"{own}s", F.lit(1))))
+            .withColumn(other, F.explode(F.sequence(F.lit(0),
+                                                    F.coalesce(f"{other}s", F.lit(1)) - 1)))
+            .drop("p_slices", "a_slices"))
+
+
 def radius_counts(points: DataFrame, amenities: DataFrame,
                   radius_km: dict[str, Sequence[float]] = AMENITY_RADIUS_KM,
                   id_col: str = "listing_id", lat_max: float | None = None,
-                  bins: bool = True) -> DataFrame:
+                  bins: bool = True, hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """JN-3 + GE-3: per point, amenities of each type within each radius (inclusive).
 
     ``points`` needs (id, lat, lon); ``amenities`` (amenity_type, lat, lon).
@@ -98,17 +138,21 @@ def radius_counts(points: DataFrame, amenities: DataFrame,
     result keeps every column of ``points``.
     """
     big_r = max(r for rs in radius_km.values() for r in rs)
+    types = list(radius_km)
+    has_xy = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    # One scalar job: latitude extent (cell width) and the row counts (hot thresholds).
+    side = (points.where(has_xy).select(F.lit(True).alias("is_pt"), F.abs("lat").alias("a"))
+            .unionByName(amenities.where(has_xy & F.col("amenity_type").isin(types))
+                         .select(F.lit(False).alias("is_pt"), F.abs("lat").alias("a"))))
+    stats = side.agg(F.max("a").alias("m"), F.count_if("is_pt").alias("n_pts"),
+                     F.count_if(~F.col("is_pt")).alias("n_amen")).first()
     if lat_max is None:
-        row = (points.select(F.abs("lat").alias("a")).unionByName(
-            amenities.select(F.abs("lat").alias("a"))).agg(F.max("a").alias("m")).first())
-        lat_max = row["m"] if row["m"] is not None else 0.0
+        lat_max = stats["m"] if stats["m"] is not None else 0.0
     lat_max = min(abs(lat_max), 89.0)
     dy = big_r / KM_PER_DEGREE_LOWER
     dx = big_r / (KM_PER_DEGREE_LOWER * math.cos(math.radians(lat_max)))
 
-    types = list(radius_km)
-    amen = (amenities.where(F.col("amenity_type").isin(types)
-                            & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    amen = (amenities.where(F.col("amenity_type").isin(types) & has_xy)
             .select("amenity_type", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
             .groupBy("amenity_type", "a_lat", "a_lon").agg(F.count(F.lit(1)).alias("mult")))
     offsets = F.array(*[F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox"))
@@ -117,11 +161,15 @@ def radius_counts(points: DataFrame, amenities: DataFrame,
              .withColumns({"cy": F.floor(F.col("a_lat") / dy) + F.col("o.oy"),
                            "cx": F.floor(F.col("a_lon") / dx) + F.col("o.ox")})
              .drop("o"))
-    pts = (points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    pts = (points.where(has_xy)
            .select(id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
            .withColumns({"cy": F.floor(F.col("p_lat") / dy), "cx": F.floor(F.col("p_lon") / dx)}))
+    hot = _hot_cells(pts, amen9, stats["n_pts"], 9 * stats["n_amen"], hot_rows)
+    pts_s = _slice(pts, hot, "p_slice", "a_slice", F.col(id_col))
+    amen_s = _slice(amen9, hot, "a_slice", "p_slice",
+                    F.struct("amenity_type", "a_lat", "a_lon"))
     max_r = F.create_map(*[x for t, rs in radius_km.items() for x in (F.lit(t), F.lit(max(rs)))])
-    pairs = (pts.join(amen9, ["cy", "cx"])
+    pairs = (pts_s.join(amen_s, ["cy", "cx", "p_slice", "a_slice"])
              .withColumn("d_km", G.haversine_m("p_lat", "p_lon", "a_lat", "a_lon") / 1000.0)
              .where(F.col("d_km") <= max_r[F.col("amenity_type")]))
     cols = [(t, r) for t, rs in radius_km.items() for r in rs]
@@ -133,4 +181,3 @@ def radius_counts(points: DataFrame, amenities: DataFrame,
         out = out.withColumns({count_column(t, r) + "_bin_encoded":
                                G.count_bin(F.col(count_column(t, r))) for t, r in cols})
     return out
-

@@ -35,6 +35,29 @@ def test_radius_counts_equal_brute_force(spark):
     assert got[9999][GJ.count_column("school", 1.0) + "_bin_encoded"] == 0
 
 
+def test_radius_counts_split_hot_cells_equal_brute_force(spark):
+    # A third of the points and amenities in one cell; hot_rows=7 forces both sides to split.
+    rnd = random.Random(11)
+    pts = [(i, 52.3 + rnd.random() * 0.1, 4.8 + rnd.random() * 0.1) for i in range(200)]
+    pts += [(1000 + i, 52.35 + rnd.random() * 0.002, 4.85 + rnd.random() * 0.002)
+            for i in range(100)]
+    am = [("school", 52.3 + rnd.random() * 0.1, 4.8 + rnd.random() * 0.1) for _ in range(100)]
+    am += [("park", 52.35 + rnd.random() * 0.002, 4.85 + rnd.random() * 0.002)
+           for _ in range(60)]
+    am += [am[-1], am[-1]]  # duplicate amenities count with their multiplicity
+    radius = {"school": [0.5, 1.0], "park": [0.5, 1.0]}
+    pdf = spark.createDataFrame(pts, "listing_id long, lat double, lon double")
+    adf = spark.createDataFrame(am, "amenity_type string, lat double, lon double")
+    out = GJ.radius_counts(pdf, adf, radius, bins=False, hot_rows=7)
+    got = {r["listing_id"]: r for r in out.collect()}
+    assert len(got) == len(pts)
+    for pid, la, lo in pts:
+        for t, rs in radius.items():
+            for r in rs:
+                want = sum(1 for ty, a, b in am if ty == t and _hav_m(la, lo, a, b) / 1000.0 <= r)
+                assert got[pid][GJ.count_column(t, r)] == want
+
+
 def test_dedupe_prefers_smallest_lat_nulls_last(spark):
     rows = [("a", None, None), ("a", 52.5, 4.9), ("a", 52.4, None), ("b", None, None),
             ("c", 52.1, 4.1), ("c", 52.1, 4.0)]

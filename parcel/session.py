@@ -41,6 +41,7 @@ def get_spark(master: str | None = None, app: str = "parcel",
         )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    _size_cluster_shuffles(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -85,12 +86,37 @@ SESSION_DEFAULTS = {
 }
 
 
+# Cluster shuffle sizing: AQE starts from many partitions and coalesces them to the
+# advisory size, so a 100 TB join does not land in Spark's default 200 reducers
+# (AQE can merge small partitions but not split large ones, skew aside).
+CLUSTER_MIN_SHUFFLE_PARTITIONS = 2048
+CLUSTER_PARTITIONS_PER_CORE = 4
+ADVISORY_PARTITION_BYTES = "256m"
+
+
+def _size_cluster_shuffles(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        return
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None):
+        return
+    if spark.conf.get("spark.sql.shuffle.partitions", "200") != "200":
+        return  # sized by the user
+    n = max(CLUSTER_MIN_SHUFFLE_PARTITIONS, CLUSTER_PARTITIONS_PER_CORE * sc.defaultParallelism)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    if advisory in (None, "64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", ADVISORY_PARTITION_BYTES)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply ``SESSION_DEFAULTS`` where still at Spark's default; ensure a checkpoint dir."""
+    """Apply ``SESSION_DEFAULTS`` where still at Spark's default; size cluster shuffles;
+    ensure a checkpoint dir."""
     builtin = {"spark.sql.codegen.maxFields": "100"}
     for key, value in SESSION_DEFAULTS.items():
         current = spark.conf.get(key, None)
         if current is None or current == builtin.get(key):
             spark.conf.set(key, value)
+    _size_cluster_shuffles(spark)
     ensure_checkpoint_dir(spark)
     return spark

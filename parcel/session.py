@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +44,7 @@ def get_spark(master: str | None = None, app: str = "parcel",
     spark.sparkContext.setLogLevel("ERROR")
     _size_cluster_shuffles(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -68,6 +70,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+_SHIPPED: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks can
+    import it wherever the driver was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="parcel-package-")
+    path = os.path.join(folder, "parcel_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _SHIPPED[sc.applicationId] = path
+
+
 def store_root(spark: SparkSession) -> str:
     """Root folder for materialized tables: next to the shared checkpoint folder."""
     base = spark.conf.get("parcel.store.root", None)
@@ -119,4 +143,5 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     _size_cluster_shuffles(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark

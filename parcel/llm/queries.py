@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parcel.llm.common import table
 
@@ -18,5 +19,30 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip,)}
-ORACLE: dict[str, str] = {}
+def op2_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.shard import shard
+    placed = shard(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.exact import exact_dedup
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op7_slack_packing,
+                                   op9_extendible_dedup)}
+ORACLE: dict[str, str] = {
+    "op9_extendible_dedup": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY norm)""",
+}

@@ -26,6 +26,16 @@ def op2_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.topk import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.license import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcel.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -36,9 +46,53 @@ def op9_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op7_slack_packing,
+def license_oracle() -> str:
+    """Base places by word lists, and containment of every (line, template) pair."""
+    from parcel.llm.license import PHRASES, TEMPLATES, THRESHOLD, WORD, word_set
+    low = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+           "'abcdefghijklmnopqrstuvwxyz')")
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{n}', {word_set(t)!r})" for n, t in TEMPLATES.items())
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {low} AS low FROM documents),
+             w AS (SELECT *, regexp_extract_all(low, '{WORD}') AS words FROM d),
+             p(phrase, label, k) AS (VALUES {phrases}),
+             s AS (SELECT uid, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+             hit AS (SELECT uid, i - 1 AS place, label FROM s JOIN p
+                     ON array_to_string(words[i:i + k - 1], ' ') = phrase),
+             base AS (SELECT uid, count(*) AS n, min(place) AS lo, max(place) AS hi,
+                             list_sort(list(DISTINCT label)) AS labels FROM hit GROUP BY uid),
+             t(template, tw) AS (VALUES {templates}),
+             b AS (SELECT uid, list_distinct(regexp_extract_all(line, '{WORD}')) AS bw FROM (
+                   SELECT uid, unnest(string_split(low, chr(10))) AS line FROM d)),
+             m AS (SELECT uid, template, max(len(list_intersect(tw, bw)) / len(tw)) AS c
+                   FROM b JOIN t ON len(list_intersect(tw, bw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)
+                   GROUP BY uid, template),
+             best AS (SELECT uid, max(c) AS c, list(template) AS found FROM m GROUP BY uid)
+        SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word,
+               hi AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(
+                   coalesce(base.labels, []), coalesce(found, [])))), ','), '') AS labels,
+               CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
+        FROM w LEFT JOIN base USING (uid) LEFT JOIN best USING (uid)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op5_block_topk,
+                                   op7_slack_packing, op8_license_join,
                                    op9_extendible_dedup)}
 ORACLE: dict[str, str] = {
+    "op8_license_join": license_oracle(),
+    "op5_block_topk": """
+        WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding,
+                          lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+                          lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS (SELECT a.uid, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(
+                          list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                   FROM v a JOIN v b ON a.uid <> b.uid WHERE a.vec_id % 20 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)
+                          AS rank FROM p)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_extendible_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                           'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)

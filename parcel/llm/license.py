@@ -37,7 +37,6 @@ TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "mit-notice": "Released under the MIT License",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0": "Licensed under CC BY 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy "
                  "of this software and associated documentation files",

@@ -26,6 +26,11 @@ def op2_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcel.llm.topk import top_k
     return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
@@ -77,7 +82,8 @@ def license_oracle() -> str:
         FROM w LEFT JOIN base USING (uid) LEFT JOIN best USING (uid)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op5_block_topk,
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_lsh_forest,
+                                   op5_block_topk,
                                    op7_slack_packing, op8_license_join,
                                    op9_extendible_dedup)}
 ORACLE: dict[str, str] = {

@@ -31,6 +31,11 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.toxic import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcel.llm.topk import top_k
     return top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
@@ -82,7 +87,7 @@ def license_oracle() -> str:
         FROM w LEFT JOIN base USING (uid) LEFT JOIN best USING (uid)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_lsh_forest,
+QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_lsh_forest, op4_subsequence_svm,
                                    op5_block_topk,
                                    op7_slack_packing, op8_license_join,
                                    op9_extendible_dedup)}

@@ -46,6 +46,18 @@ def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines before, lines deleted, the deleted spans and the text that stays."""
+    from parcel.llm.linedup import dedup_lines
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform(F.coalesce("line_spans", F.expr(
+        "cast(array() as array<struct<first:int,last:int>>)")),
+        lambda s: F.concat_ws("-", s["first"], s["last"]))
+    return done.select("doc_id", "lines_before", "lines_deleted",
+                       F.array_join(spans, ",").alias("deleted_spans"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcel.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -88,7 +100,7 @@ def license_oracle() -> str:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_lsh_forest, op4_subsequence_svm,
-                                   op5_block_topk,
+                                   op5_block_topk, op6_suffix_lines,
                                    op7_slack_packing, op8_license_join,
                                    op9_extendible_dedup)}
 ORACLE: dict[str, str] = {

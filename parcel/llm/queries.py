@@ -68,6 +68,11 @@ def op9_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.hpylm import language_scores
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def license_oracle() -> str:
     """Base places by word lists, and containment of every (line, template) pair."""
     from parcel.llm.license import PHRASES, TEMPLATES, THRESHOLD, WORD, word_set
@@ -102,7 +107,7 @@ def license_oracle() -> str:
 QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_lsh_forest, op4_subsequence_svm,
                                    op5_block_topk, op6_suffix_lines,
                                    op7_slack_packing, op8_license_join,
-                                   op9_extendible_dedup)}
+                                   op9_extendible_dedup, op10_pitman_yor)}
 ORACLE: dict[str, str] = {
     "op8_license_join": license_oracle(),
     "op5_block_topk": """

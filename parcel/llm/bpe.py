@@ -244,14 +244,20 @@ def encoder(path: str) -> ChunkEncoder:
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """(doc_ids, texts) in runs of about BATCH_CHARS characters."""
+    for part in text_slices(batches):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (text in the second column) in parts of about BATCH_CHARS characters."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        ids, texts = range(batch.num_rows), batch.column(1)
         sizes = np.cumsum([len(t) for t in texts.to_pylist()]) if len(ids) else []
         start = 0
         while start < len(ids):
             base = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, base + BATCH_CHARS)))
-            yield ids[start:end], texts[start:end].to_pylist()
+            yield batch.slice(start, end - start)
             start = end
 
 

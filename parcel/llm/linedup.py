@@ -34,10 +34,11 @@ MIN_WORDS = 50
 SLICE_BITS = 10           # first ranking: slices by the id's top bits
 SLICE = 512               # later rankings: least width of a slice of ranks
 NO_ID = -(1 << 63)
+ROW = "__line_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def line_ids(docs: DataFrame) -> DataFrame:
     0), id, words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = numbered(docs).select(
-        F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.col(ROW).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.trim("line") != "")
     lines = lines.select("row", "doc", "no", F.xxhash64("line").alias("id"),
                          F.regexp_count("line", F.lit(r"\S+")).cast("long").alias("words"))
@@ -174,26 +175,24 @@ def deleted_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.sum("lines").alias("deleted"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated runs taken out of ``text`` (all other columns as
-    they are), and the columns line_spans, lines_before and lines_deleted."""
-    spans = cut(deleted_spans(docs, min_words)).withColumnsRenamed(
-        {"row": "_r", "spans": "_spans", "deleted": "_deleted"})
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda k: F.struct(
-        F.when(k == 0, F.lit(0)).otherwise(F.get("_spans", k - 1)["last"] + 1).alias("start"),
-        F.when(k == F.size("_spans"), F.size("_lines")).otherwise(
-            F.get("_spans", k)["first"]).alias("stop")))
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice(
-        F.col("_lines"), g["start"] + 1, g["stop"] - g["start"])))
-    joined = numbered(docs).join(spans, F.col("_row") == F.col("_r"), "left").withColumn(
-        "_lines", lines)
-    names = [c for c in docs.columns if c != "text"]
-    fresh = {"line_spans", "lines_before", "lines_deleted"} & set(names)
-    if fresh:
-        raise ValueError(f"columns {sorted(fresh)} are in the input already; rename them first")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = True) -> DataFrame:
+    """``docs`` with later copies of repeated runs taken out of ``text``, all other columns as
+    they are. ``report`` adds line_spans, lines_before and lines_deleted (columns of these names
+    in the input give way)."""
+    spans = cut(deleted_spans(docs, min_words)).select(
+        F.col("row").alias("__line_row2"), F.col("spans").alias("__line_spans"),
+        F.col("deleted").alias("__line_deleted"))
+    span, lines = F.col("__line_spans"), F.col("__line_all")
+    gaps = F.transform(F.sequence(F.lit(0), F.size(span)), lambda k: F.struct(
+        F.when(k == 0, F.lit(0)).otherwise(F.get(span, k - 1)["last"] + 1).alias("start"),
+        F.when(k == F.size(span), F.size(lines)).otherwise(F.get(span, k)["first"]).alias("stop")))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["start"] + 1,
+                                                        g["stop"] - g["start"])))
+    joined = numbered(docs).join(spans, F.col(ROW) == F.col("__line_row2"), "left").withColumn(
+        "__line_all", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    text = F.when(span.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    more = {"line_spans": span, "lines_before": F.size(lines).cast("long"),
+            "lines_deleted": F.coalesce(F.col("__line_deleted"), F.lit(0))} if report else {}
     return joined.select(
-        *[F.col(c) for c in names],
-        F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.col("_spans").alias("line_spans"), F.size("_lines").cast("long").alias("lines_before"),
-        F.coalesce("_deleted", F.lit(0)).alias("lines_deleted"))
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in more],
+        *[c.alias(n) for n, c in more.items()])

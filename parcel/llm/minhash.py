@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from parcel.llm.bpe import slices
+from parcel.llm.bpe import slices, text_slices
 from parcel.llm.common import cut, documents
 from parcel.llm.graph import components
 from parcel.llm.hashing import mix, words_of
@@ -86,18 +86,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, node (null without words), sig."""
+    """doc_id, text_key (hash of the text as it is), n_shingles, node (null without words),
+    sig."""
     def run(batches):
-        for ids, texts in slices(batches):
+        for part in text_slices(batches):
+            texts = part.column(1).to_pylist()
             sets = shingle_sets(texts, width)
             nodes = [s if len(x) else None for s, x in zip(sequence_ids(texts), sets)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()),
+                "doc_id": part.column(0), "text_key": part.column(2),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array(nodes, pa.int64()),
                 "sig": pa.array([signature(s).tobytes() if len(s) else None for s in sets],
                                 pa.binary())})
-    return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    keyed = documents(docs).withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, sig binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -243,7 +246,7 @@ def cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+    """Per document: doc_id, n_shingles, component_id, kept, text_key."""
     base = signatures(docs, width).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     base = cut(base)
     classes = cut(base.where("node is not null").groupBy("node").agg(
@@ -270,8 +273,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         "label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component"))
     owner = named.join(smallest, "label").select("node", "component")
-    out = base.select("doc_id", "id", "n_shingles", "node").join(owner, "node", "left")
+    out = base.select("doc_id", "id", "text_key", "n_shingles", "node").join(owner, "node", "left")
     component = F.coalesce("component", "id")
     return out.select("doc_id", "n_shingles",
                       F.nullif(component, F.lit(NO_ID)).alias("component_id"),
-                      (F.col("id") == component).alias("kept"))
+                      (F.col("id") == component).alias("kept"), "text_key")
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns: of every group the document with the smallest doc_id; of rows that
+    repeat doc_id and text one stays."""
+    found = near_duplicates(docs, width, percent).where("kept").groupBy("doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("n"))
+    kept = cut(found.withColumnsRenamed({"doc_id": "__doc", "text_key": "__key", "n": "__n"}))
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    first = docs.join(kept.drop("__n"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (
+        key == F.col("__key")), "left_semi")
+    if kept.where("__n > 1").isEmpty():
+        return first
+    return first.dropDuplicates(["doc_id", "text"])

@@ -28,7 +28,7 @@ def op2_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcel.llm.minhash import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -310,3 +311,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     scored = score(docs, fit(docs, labels, max_train))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: dict) -> DataFrame:
+    """``docs``, all columns, without the rows that score one half or more. The score is a
+    column of each row's own text, so rows are not joined and repeated rows stay together."""
+    if not model["words"]:
+        return docs if model["constant"] < 0.5 else docs.where(F.lit(False))
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        known = _landmarks(model["words"])
+        margin = features(known.evidence(text.fillna("").tolist()), model["root"]) @ model["w"]
+        return pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"],
+                                                  -500, 500))))
+
+    return docs.where(scored(F.col("text")) < 0.5)

@@ -29,7 +29,7 @@ RF_PARAMS = {"n_estimators": "numTrees", "max_depth": "maxDepth",
              "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
              "random_state": "seed", "max_bin": "maxBins"}
 LINEAR_PARAMS = {"fit_intercept": "fitIntercept", "alpha": "regParam",
-                 "l1_ratio": "elasticNetParam"}
+                 "l1_ratio": "elasticNetParam", "solver": "solver"}
 FAMILIES = {"linear": (LinearRegression, LINEAR_PARAMS),
             "random_forest": (RandomForestRegressor, RF_PARAMS),
             "gbt": (GBTRegressor, GBT_PARAMS)}
@@ -53,8 +53,8 @@ def spark_params(family: str, params: dict) -> tuple[dict, dict]:
         elif isinstance(v, (int, float)) and not isinstance(v, bool):
             v = float(v)
         out[name] = v
-    if family == "random_forest" and "maxDepth" in out:
-        out["maxDepth"] = min(out["maxDepth"], 30)
+    if out.get("maxDepth", 0) > 30:
+        raise ValueError(f"max_depth {out['maxDepth']}: Spark's trees have 30 levels at most")
     return out, ignored
 
 
@@ -88,9 +88,10 @@ def fit(df: DataFrame, features: Sequence[str], label: str, family: str = "linea
     if validation_col is not None and family == "gbt":
         sp["validationIndicatorCol"] = validation_col
     if family == "linear":
-        # One pass builds the normal equations (d x d, d <= 4096); elastic net is then
-        # solved locally on them instead of one distributed job per iteration.
-        sp.setdefault("solver", "normal" if len(features) <= 4096 else "l-bfgs")
+        # One pass builds the normal equations; elastic net is then solved on them instead of
+        # by one distributed job per iteration. They hold 4096 features at most: a caller with
+        # more passes solver="l-bfgs".
+        sp.setdefault("solver", "normal")
     elif family in ("random_forest", "gbt"):
         # Larger per-pass node budget: fewer passes over the data per tree level.
         sp.setdefault("maxMemoryInMB", 1024)
@@ -102,6 +103,40 @@ def fit(df: DataFrame, features: Sequence[str], label: str, family: str = "linea
     return FittedModel(model, list(features), family, log_target, ignored)
 
 
+def stopping_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(best round, counted from 1; whether ``patience`` rounds passed without a better one)."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, params: dict,
+                log_target: bool = False, rounds: int = 1000, patience: int = 50
+                ) -> tuple[FittedModel, int]:
+    """ML-3: boosting that stops once the validation error has not improved for ``patience``
+    rounds; returns the model of the best round and that round. Spark's trees come in the same
+    order for the same seed, so a fit of more rounds begins with the rounds of a shorter one:
+    the number of rounds is doubled until the rule has stopped it or ``rounds`` is reached."""
+    lab = F.log1p(F.col(label)) if log_target else F.col(label).cast("double")
+    n = min(rounds, 2 * patience)
+    while True:
+        fm = fit(train, features, label, "gbt", {**params, "num_boost_round": n}, log_target)
+        assembler, model = fm.model.stages
+        held = assembler.transform(val.withColumn("label", lab).where(F.col("label").isNotNull()))
+        errors = list(model.evaluateEachIteration(held, "squared"))
+        best, stopped = stopping_round(errors, patience)
+        if stopped or n >= rounds:
+            break
+        n = min(rounds, 2 * n)
+    if best < n:
+        fm = fit(train, features, label, "gbt", {**params, "num_boost_round": best}, log_target)
+    return fm, best
+
+
 def predict(fm: FittedModel, df: DataFrame) -> DataFrame:
     """Raw prediction -> ``prediction`` on the original target scale."""
     out = fm.model.transform(df)

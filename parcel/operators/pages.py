@@ -57,6 +57,7 @@ ELEMENT = T.StructType([
     T.StructField("id", T.IntegerType()), T.StructField("parent", T.IntegerType()),
     T.StructField("tag", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("anc", T.StringType()), T.StructField("text", T.StringType()),
+    T.StructField("single", T.StringType()),
     T.StructField("href", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
 ])
@@ -86,6 +87,7 @@ def tokenize(html: str | None) -> list[dict]:
     out: list[dict] = []
     stack: list[int] = []
     texts: dict[int, list[str]] = {}
+    children: dict[int, list] = {}      # element ids and texts; None for a comment
 
     class P(HTMLParser):
         def handle_starttag(self, tag, attrs):
@@ -96,9 +98,12 @@ def tokenize(html: str | None) -> list[dict]:
             out.append({"id": eid, "parent": parent, "tag": tag,
                         "path": ppath + "/" + _token(tag, attrs),
                         "anc": panc + (f"{parent}/" if parent >= 0 else ""),
-                        "text": None, "href": dict(attrs).get("href"),
+                        "text": None, "single": None, "href": dict(attrs).get("href"),
                         "attrs": {k: (v or "") for k, v in attrs if k != "class"}})
             texts[eid] = []
+            children[eid] = []
+            if parent >= 0:
+                children[parent].append(eid)
             if tag not in _VOID:
                 stack.append(eid)
 
@@ -113,7 +118,13 @@ def tokenize(html: str | None) -> list[dict]:
                     del stack[i:]
                     return
 
+        def handle_comment(self, data):
+            if stack:
+                children[stack[-1]].append(None)
+
         def handle_data(self, data):
+            if stack:
+                children[stack[-1]].append(data)
             s = data.strip()
             if not s or (stack and out[stack[-1]]["tag"] in _NO_TEXT):
                 return
@@ -125,10 +136,30 @@ def tokenize(html: str | None) -> list[dict]:
         try:
             p.feed(html)
             p.close()
-        except Exception:  # noqa: BLE001 - a broken page keeps what was parsed
-            pass
-    for e in out:
+        except Exception as err:  # noqa: BLE001 - the page is reported as failed
+            out.append({"id": len(out), "parent": -1, "tag": ERROR_TAG, "path": "", "anc": "/",
+                        "text": None, "single": None, "href": None, "attrs": {}})
+            texts[len(out) - 1] = [f"{type(err).__name__}: {err}"]
+            children[len(out) - 1] = []
+    for e in reversed(out):     # children come after their parents
         e["text"] = "".join(texts[e["id"]])
+        own = _joined(children[e["id"]])
+        if len(own) == 1 and own[0] is not None:
+            e["single"] = own[0] if isinstance(own[0], str) else out[own[0]]["single"]
+    return out
+
+
+ERROR_TAG = "#error"
+
+
+def _joined(nodes: list) -> list:
+    """Neighbouring pieces of text are one text."""
+    out: list = []
+    for n in nodes:
+        if isinstance(n, str) and out and isinstance(out[-1], str):
+            out[-1] += n
+        else:
+            out.append(n)
     return out
 
 
@@ -187,9 +218,9 @@ def select_text(els: Column, selector: str, default: str | None = NA) -> Column:
     return F.coalesce(first["text"], F.lit(default)) if default is not None else first["text"]
 
 
-def dt_dd_pairs(els: Column, within_section: str | None = None) -> Column:
+def dt_dd_pairs(els: Column, within_section: str | None = None, all_labels: bool = False) -> Column:
     """PG-2/4/7/8: every ``dt`` with its next sibling ``dd`` (text + first link), optionally
-    only inside ``div[data-testid=<section>]``."""
+    only inside ``div[data-testid=<section>]``; ``all_labels`` keeps those without a ``dd``."""
     dts = F.filter(els, lambda e: e["tag"] == "dt")
     if within_section is not None:
         rx = selector_regex(f"div[data-testid={within_section}] dt")
@@ -201,20 +232,35 @@ def dt_dd_pairs(els: Column, within_section: str | None = None) -> Column:
         needle = F.concat(F.lit("/"), dd["id"].cast("string"), F.lit("/"))
         link = F.try_element_at(F.filter(els, lambda e: (e["tag"] == "a")
                                          & (F.instr(e["anc"], needle) > 0)), F.lit(1))
-        return F.struct(dt["text"].alias("dt"), dd["text"].alias("dd"),
+        return F.struct(dt["text"].alias("dt"), dt["single"].alias("single"), dd["text"].alias("dd"),
                         link["href"].alias("link"), dd.isNotNull().alias("has_dd"))
-    return F.filter(F.transform(dts, pair), lambda p: p["has_dd"])
+    pairs = F.transform(dts, pair)
+    return pairs if all_labels else F.filter(pairs, lambda p: p["has_dd"])
 
 
 def dd_by_label(pairs: Column, label: str, exact: bool = False, default: str = NA) -> Column:
-    """PG-2: first pair whose dt equals / contains ``label`` -> its dd text."""
-    cond = (lambda p: F.trim(p["dt"]) == label) if exact else (lambda p: p["dt"].contains(label))
+    """PG-2: the first dt that is a single text equal to / containing ``label`` decides: its dd
+    text, or ``default`` when it has no dd. ``pairs`` are those of all labels."""
+    if exact:
+        def cond(p):
+            return F.coalesce(F.regexp_replace(p["single"], r"^\s+|\s+$", "") == label, F.lit(False))
+    else:
+        def cond(p):
+            return F.coalesce(p["single"].contains(label), F.lit(False))
     return F.coalesce(F.try_element_at(F.filter(pairs, cond), F.lit(1))["dd"], F.lit(default))
 
 
-def _label_contains(needle: str):
+def _first_label(label: Column, labels: dict[str, str]) -> Column:
+    """Key of the first entry whose text the label contains; the others are not tried."""
+    out = F.lit(None).cast("string")
+    for key, needle in reversed(labels.items()):
+        out = F.when(label.contains(needle), F.lit(key)).otherwise(out)
+    return out
+
+
+def _key_is(key: str):
     # One-argument lambdas only: Spark reads a two-argument lambda as (element, index).
-    return lambda p: p["label"].contains(needle)
+    return lambda p: p["key"] == key
 
 
 def _dt_equals(label: str):
@@ -232,12 +278,13 @@ def icon_list(els: Column) -> Column:
         spans = F.filter(els, lambda e: (F.instr(e["anc"], needle) > 0) & (e["tag"] == "span"))
         lab = F.try_element_at(F.filter(spans, lambda e: e["path"].rlike(lab_rx)), F.lit(1))
         val = F.try_element_at(F.filter(spans, lambda e: e["path"].rlike(val_rx)), F.lit(1))
-        return F.struct(F.lower(lab["text"]).alias("label"), val["text"].alias("value"))
+        return F.struct(_first_label(F.lower(lab["text"]), ICON_LIST["labels"]).alias("key"),
+                        val["text"].alias("value"))
     pairs = F.filter(F.transform(items, lv),
-                     lambda p: p["label"].isNotNull() & p["value"].isNotNull())
+                     lambda p: p["key"].isNotNull() & p["value"].isNotNull())
     out = {}
-    for name, needle in ICON_LIST["labels"].items():
-        hits = F.filter(pairs, _label_contains(needle))
+    for name in ICON_LIST["labels"]:
+        hits = F.filter(pairs, _key_is(name))
         out[name] = F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA))
     return F.struct(*[v.alias(k) for k, v in out.items()])
 
@@ -251,11 +298,12 @@ def neighbourhood_details(els: Column) -> Column:
         inside = F.filter(els, lambda e: F.instr(e["anc"], needle) > 0)
         dt = F.try_element_at(F.filter(inside, lambda e: e["tag"] == "dt"), F.lit(1))
         dd = F.try_element_at(F.filter(inside, lambda e: e["tag"] == "dd"), F.lit(1))
-        return F.struct(F.lower(dt["text"]).alias("label"), dd["text"].alias("value"))
-    pairs = F.filter(F.transform(boxes, pair), lambda p: p["label"].isNotNull() & p["value"].isNotNull())
+        return F.struct(_first_label(F.lower(dt["text"]), NEIGHBOURHOOD["labels"]).alias("key"),
+                        dd["text"].alias("value"))
+    pairs = F.filter(F.transform(boxes, pair), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
     keys, vals = [], []
-    for key, needle in NEIGHBOURHOOD["labels"].items():
-        hits = F.filter(pairs, _label_contains(needle))
+    for key in NEIGHBOURHOOD["labels"]:
+        hits = F.filter(pairs, _key_is(key))
         keys.append(F.lit(key))
         vals.append(F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA)))
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
@@ -313,7 +361,7 @@ def extract_listing(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     base = pages.select(*[F.col(k) for k in keep], F.col(url_col).alias("url"),
                         els.alias("els"))
     e = F.col("els")
-    pairs = dt_dd_pairs(e)
+    pairs = dt_dd_pairs(e, all_labels=True)
     icons = icon_list(e)
     cad = cadastral(e)
     rooms_txt = dd_by_label(pairs, DL_LABELS["rooms_info"])
@@ -332,9 +380,10 @@ def extract_listing(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     fields["ownership_situations"] = cad["ownership_situations"]
     fields["charges"] = cad["charges"]
     fields["outdoor_features"] = outdoor(e)
+    broken = F.try_element_at(F.filter(e, lambda x: x["tag"] == ERROR_TAG), F.lit(1))["text"]
     out = base.select(*[F.col(k) for k in keep], "url",
-                      (F.size(e) > 0).alias("success"),
-                      F.when(F.size(e) == 0, F.lit("empty or unparseable page")).alias("error"),
+                      (broken.isNull() & (F.size(e) > 0)).alias("success"),
+                      F.coalesce(broken, F.when(F.size(e) == 0, F.lit("empty page"))).alias("error"),
                       *[v.alias(k) for k, v in fields.items()])
     return out
 
@@ -362,6 +411,12 @@ def page_id(url: Column, ts: Column) -> Column:
     return F.concat_ws("_", F.substring(F.md5(url), 1, 8), F.date_format(ts, "yyyyMMdd_HHmmss"))
 
 
+def first_urls(pages: DataFrame, predicate: Column, cap: int | None = None) -> DataFrame:
+    """PG-13: the URLs that meet a predicate; ``cap`` keeps the first ones in URL order."""
+    hits = pages.where(predicate)
+    return hits if cap is None else hits.orderBy("url").limit(cap)
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 

@@ -64,14 +64,21 @@ def latest_run(runs: DataFrame, status: str = "FINISHED") -> DataFrame:
             .select("b.*"))
 
 
+def known_family(name: Column) -> Column:
+    """Whether the run name tells a model family."""
+    n = F.lower(name)
+    return n.contains("xgb") | n.contains("rf")
+
+
 def family_flags(runs: DataFrame) -> DataFrame:
-    """RL-4: model family / log target / extended features from the run name."""
+    """RL-4: model family / log target / extended features from the run name. A name that tells
+    no family stops the job: such a run cannot be retrained."""
     n = F.lower("run_name")
-    family = (F.when(n.contains("xgboost") | n.contains("xgb"), "xgboost")
-              .when(n.contains("random_forest") | n.contains("rf"), "random_forest")
-              .when(n.contains("linear"), "linear").otherwise("other"))
+    family = (F.when(n.contains("xgb"), "xgboost").when(n.contains("rf"), "random_forest")
+              .otherwise(F.raise_error(F.concat(F.lit("no model family in run name: "),
+                                                F.coalesce("run_name", F.lit("null"))))))
     return runs.withColumns({"family": family, "log_target": n.contains("log"),
-                             "extended": n.contains("extended")})
+                             "extended": n.contains("feature_eng")})
 
 
 def compare(runs: DataFrame, models: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -92,27 +99,50 @@ def best_so_far(trials: DataFrame, value: str, order, study: str | None = None)
     return F.min(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+def slice_of(df: DataFrame, order: str, slice_rows: int) -> Column:
+    """Number of the stretch of ``order`` that a row falls into: a pure function of the row.
+    The literal boundaries are quantiles from one job; nulls come first, as they are sorted."""
+    x = F.col(order).cast("double")
+    rows = df.select(order).count()
+    n = min(MAX_SLICES, max(1, -(-rows // slice_rows)))
+    if n == 1:
+        return F.lit(0)
+    shares = [k / n for k in range(1, n)]
+    bounds = sorted(set(df.agg(F.percentile_approx(x, shares, 20 * n).alias("b")).first()["b"] or []))
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return F.when(x.isNull(), F.lit(-1)).otherwise(place(0, len(bounds)))
+
+
+MAX_SLICES = 512
+
+
 def running_min(df: DataFrame, value: str, order: Sequence[str], group: str,
-                out: str = "best_value", slices: int | None = None) -> DataFrame:
+                out: str = "best_value", slice_rows: int = 100_000) -> DataFrame:
     """WN-2 as a parallel prefix scan that never puts one group in one task.
 
-    1. Range-partition by (group, order...): a hot group spans many partitions.
-    2. Running min inside each (group, partition) slice (bounded by partition size).
+    1. Every row names its slice, a stretch of the first order column (``slice_of``).
+    2. Running min inside each (group, slice).
     3. Carry-in: min over the group's earlier slices, from a small per-slice table
-       (one row per group and partition) with its own window.
+       (one row per group and slice) with its own window.
     Result: least(slice running min, carry-in) == the running min over the whole group.
     """
-    n = slices or df.sparkSession.sparkContext.defaultParallelism
     order = list(order)
-    parts = (df.repartitionByRange(n, F.col(group), *[F.col(c) for c in order])
-             .withColumn("_slice", F.spark_partition_id()))
+    parts = df.withColumn("_slice", slice_of(df, order[0], slice_rows))
     local = F.min(value).over(Window.partitionBy(group, "_slice").orderBy(*order)
                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parts = parts.withColumn("_local", local)
     summary = parts.groupBy(group, "_slice").agg(F.min(value).alias("_slice_min"))
-    carry = summary.withColumn("_carry", F.min("_slice_min").over(
-        Window.partitionBy(group).orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1))).drop("_slice_min")
-    return (parts.join(carry, [group, "_slice"], "left")
+    carry = summary.select(
+        F.col(group).alias("_group"), F.col("_slice").alias("_at"), F.min("_slice_min").over(
+            Window.partitionBy(group).orderBy("_slice")
+            .rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    parts = parts.withColumn("_local", local)
+    return (parts.join(carry, F.col(group).eqNullSafe(F.col("_group"))
+                       & (F.col("_slice") == F.col("_at")), "left")
             .withColumn(out, F.least(F.col("_local"), F.col("_carry")))
-            .drop("_slice", "_local", "_carry"))
+            .drop("_slice", "_local", "_carry", "_group", "_at"))

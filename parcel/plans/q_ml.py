@@ -19,15 +19,18 @@ from parcel.plans.common import IMPUTE_DEFAULT, clean_listings
 KEEP = ["listing_id", "split", "price_num"]
 
 
-def build_feature_matrix(spark: SparkSession, sf: str) -> tuple[DataFrame, FE.FeatureMeta]:
-    """Stages 1-5 of the training pipeline: load, preprocess, impute, drop missing target,
-    split, fit features on train, transform every split."""
+def build_feature_matrix(spark: SparkSession, sf: str, priced_only: bool = True
+                         ) -> tuple[DataFrame, FE.FeatureMeta]:
+    """Stages 1-5 of the training pipeline: load, preprocess, impute, drop missing target
+    (``priced_only``; scoring keeps every listing), split, fit features on the priced training
+    rows, transform every split."""
     # Several fit jobs read the cleaned listings: checkpoint them once.
     clean = ML.materialize(clean_listings(spark, sf))
     clean = facility_indicators(clean, FIT.fit_vocabulary(clean, "facilities_list"))
     filled = FIT.apply_impute(clean, FIT.fit_impute(clean, IMPUTE_DEFAULT))
-    base = SP.with_split(filled.where(F.col("price_num").isNotNull()), "listing_id", 0.2, 0.1)
-    meta = FE.fit_features(base.where(F.col("split") == "train"))
+    priced = F.col("price_num").isNotNull()
+    base = SP.with_split(filled.where(priced) if priced_only else filled, "listing_id", 0.2, 0.1)
+    meta = FE.fit_features(base.where((F.col("split") == "train") & priced))
     return FE.transform_features(base, meta, keep=KEEP), meta
 
 
@@ -66,13 +69,13 @@ def fit_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fit_boosted(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-3: boosted trees on log price with validation-based early stopping."""
+    """ML-3: boosted trees on log price; up to 1000 rounds, stopped after 50 without a better
+    validation error. The number of rounds kept comes with the metrics."""
     X, feats = _training(spark, sf)
-    data = X.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
-    fm = ML.fit(data, feats, "price_num", "gbt",
-                {"max_depth": 6, "eta": 0.05, "seed": 42, "num_boost_round": 100,
-                 "subsample": 0.85}, log_target=True, validation_col="is_val")
-    return _metrics(ML.predict(fm, X))
+    fm, rounds = ML.fit_boosted(
+        X.where(F.col("split") == "train"), X.where(F.col("split") == "val"), feats, "price_num",
+        {"max_depth": 6, "eta": 0.05, "seed": 42, "subsample": 0.85}, log_target=True)
+    return _metrics(ML.predict(fm, X)).withColumn("n_rounds", F.lit(rounds))
 
 
 SEARCH_SPACE = {"alpha": {"type": "float", "low": 1e-4, "high": 10.0, "log": True},
@@ -136,7 +139,7 @@ def importance_folds(spark: SparkSession, sf: str) -> DataFrame:
     per = None
     for f in range(5):
         fm = ML.fit(train.where(F.col("fold") != f), feats, "price_num", "random_forest",
-                    {"n_estimators": 20, "max_depth": 6, "random_state": 42})
+                    {"n_estimators": 200, "max_depth": 10, "random_state": 42})
         imp = ML.feature_importances(fm, spark).withColumn("fold", F.lit(f))
         per = imp if per is None else per.unionByName(imp)
     return (per.groupBy("feature").agg((F.sum("importance") / F.lit(5.0)).alias("importance"))
@@ -145,13 +148,30 @@ def importance_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """ML-16: score every listing through sanitize -> enforce schema -> predict -> expm1."""
-    X, feats = _training(spark, sf)
-    fm = ML.fit(X.where(F.col("split") == "train"), feats, "price_num", "linear",
-                {"fit_intercept": True}, log_target=True)
+    X, meta = build_feature_matrix(spark, sf, priced_only=False)
+    X, feats = ML.materialize(X), meta.feature_columns
+    fm = ML.fit(X.where((F.col("split") == "train") & F.col("price_num").isNotNull()), feats,
+                "price_num", "linear", {"fit_intercept": True}, log_target=True)
     return ML.score(X, fm, keep=["listing_id"]).select(
         "listing_id", F.round("prediction", 2).alias("prediction"))
 
 
+def score_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-16 checked: every listing, priced or not, has one prediction."""
+    return score_batch(spark, sf).groupBy("listing_id").agg(
+        F.count("prediction").alias("predictions"))
+
+
+def linear_one_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-1 checked: slope and intercept of a fitted one-feature model (order total by revenue
+    of its items, training split)."""
+    from parcel.plans.q_models import order_features
+    train = ML.materialize(order_features(spark, sf).where(F.col("split") == "train"))
+    model = ML.fit(train, ["revenue"], "y", "linear", {"fit_intercept": True}).model.stages[-1]
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 6),
+                                   round(float(model.intercept), 2))], "slope double, intercept double")
+
+
 def _area_table(spark, sf):
     clean = clean_listings(spark, sf)
     return (clean.groupBy(P.prefix("postal_code_clean", 4).alias("pc4"))
@@ -192,13 +212,21 @@ QUERIES = {
     "retrain_best": retrain_best,
     "importance_folds": importance_folds,
     "score_batch": score_batch,
+    "score_coverage": score_coverage,
+    "linear_one_feature": linear_one_feature,
     "kmeans_areas": kmeans_areas,
     "elbow_curve": elbow_curve,
 }
 
 def _oracles() -> dict[str, str]:
     from parcel.plans.oracle_features import feature_profile_sql
-    return {"feature_matrix_profile": feature_profile_sql()}
+    from parcel.plans.q_models import _w
+    return {"feature_matrix_profile": feature_profile_sql(),
+            "score_coverage": """
+SELECT o_orderkey AS listing_id, count(*) AS predictions FROM orders JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey GROUP BY o_orderkey""",
+            "linear_one_feature": _w("""SELECT round(regr_slope(y, revenue), 6) AS slope,
+  round(regr_intercept(y, revenue), 2) AS intercept FROM OF WHERE split = 'train'""")}
 
 
 ORACLE: dict[str, str] = _oracles()

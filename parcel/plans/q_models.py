@@ -137,8 +137,8 @@ def _per_fold_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def importance_mean(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-14 / AG-17: per-fold importances (|corr| >= 0.01 kept), mean over folds, absent = 0."""
-    imp = _per_fold_corr(spark, sf).where(F.col("importance") >= 0.01)
+    """ML-14 / AG-17: per-fold importances, mean over folds; a feature absent in a fold is 0."""
+    imp = _per_fold_corr(spark, sf)
     return imp.groupBy("feature").agg(r6(F.sum("importance") / F.lit(5.0)).alias("importance"))
 
 
@@ -198,14 +198,15 @@ def trial_sampling(spark: SparkSession, sf: str) -> DataFrame:
 
 def best_so_far(spark: SparkSession, sf: str) -> DataFrame:
     """WN-2: running minimum of the objective per study (user) over trial order (ts, id)."""
-    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    out = RL.running_min(ev, "value", ["ts", "event_id"], "user_id")
-    return out.select("event_id", r6("best_value").alias("best_value"))
+    ev = table(spark, sf, "events")
+    out = RL.running_min(ev, "value", ["ts", "event_id"], "user_id", slice_rows=1_000)
+    return out.select("event_id", "user_id", "ts", "event_type", r6("value").alias("value"), "props",
+                      r6("best_value").alias("best_value"))
 
 
 # ---------------------------------------------------------------------------- run ledger
 RUN_NAMES = {"purchase": "XGBoost_Optuna_log", "click": "RandomForest_optuna",
-             "view": "Linear_baseline", "signup": "XGBoost_extended_Optuna", "error": "rf_baseline"}
+             "view": "Linear_baseline", "signup": "XGB_feature_eng_Optuna", "error": "RF_Feature_Eng_log"}
 
 
 def runs_from_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,6 +218,10 @@ def runs_from_events(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("train_rmse"), v * 100, F.lit("val_rmse"), v * 110,
         F.lit("test_rmse"), v * 120 + (F.col("user_id") % 7).cast("double"),
         F.lit("test_mae"), v * 80, F.lit("test_rmse_trans"), v, F.lit("fit_seconds"), v * 2)
+    # a run logs some metrics only: click runs have no validation, errors no test MAE
+    gone = F.when(F.col("event_type") == "click", F.lit("val_rmse")).when(
+        F.col("event_type") == "error", F.lit("test_mae")).otherwise("")
+    metrics = F.map_filter(metrics, lambda k, _: k != gone)
     params = F.create_map(F.lit("max_depth"), (F.col("user_id") % 10).cast("string"),
                           F.lit("eta"), F.lit("0.1"))
     return ev.select(F.col("event_id").alias("run_id"), name[F.col("event_type")].alias("run_name"),
@@ -252,9 +257,9 @@ def latest_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_family_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """RL-4: family / log / extended derived from the run name."""
-    return RL.family_flags(runs_from_events(spark, sf)).select("run_id", "family", "log_target",
-                                                               "extended")
+    """RL-4: family / log / extended derived from the name of the runs that can be retrained."""
+    runs = runs_from_events(spark, sf).where(RL.known_family(F.col("run_name")))
+    return RL.family_flags(runs).select("run_id", "run_name", "family", "log_target", "extended")
 
 
 def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +370,7 @@ SELECT 'rmse' AS metric, round(avg(rmse), 6) AS mean, round(stddev_samp(rmse), 6
     "importance_mean": _w(""", I AS (""" + "\nUNION ALL\n".join(
         f"SELECT f, '{c}' AS feature, abs(corr({c}, y)) AS imp FROM OF, range(5) t(f) "
         f"WHERE fold <> f GROUP BY f" for c in FEATS) + """)
-SELECT feature, round(sum(imp) / 5.0, 6) AS importance FROM I WHERE imp >= 0.01 GROUP BY feature""")
+SELECT feature, round(sum(imp) / 5.0, 6) AS importance FROM I GROUP BY feature""")
     .replace("\n, I AS", ",\nI AS"),
     "linear_contributions": _w(""", CF AS (SELECT f AS cv_fold, """ + ", ".join(
         f"regr_slope(y, {c}) AS b_{c}, avg({c}) AS m_{c}" for c in FEATS)
@@ -396,10 +401,14 @@ SELECT event_id,
     + """ * 2) AS INTEGER) + 1] AS booster
 FROM events""",
     "best_so_far": """
-SELECT event_id, round(min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_value FROM events""",
+SELECT event_id, user_id, ts, event_type, round(value, 6) AS value, props,
+  round(min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_value FROM events""",
     "logged_metrics": """
-SELECT event_id AS run_id, 4 AS n_logged, 'test_mae,test_rmse,train_rmse,val_rmse' AS keys
+SELECT event_id AS run_id, CASE WHEN event_type IN ('click', 'error') THEN 3 ELSE 4 END AS n_logged,
+  CASE event_type WHEN 'click' THEN 'test_mae,test_rmse,train_rmse'
+    WHEN 'error' THEN 'test_rmse,train_rmse,val_rmse'
+    ELSE 'test_mae,test_rmse,train_rmse,val_rmse' END AS keys
 FROM events""",
     "run_leaderboard": "WITH " + _RUNS + """
 SELECT run_id, run_name, round(test_rmse, 6) AS test_rmse FROM R
@@ -412,11 +421,10 @@ WHERE lower(run_name) LIKE '%optuna%' ORDER BY test_rmse, run_id LIMIT 1""",
 SELECT run_id, run_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time FROM R
 WHERE status = 'FINISHED' ORDER BY start_time DESC, run_id DESC LIMIT 1""",
     "run_family_flags": "WITH " + _RUNS + """
-SELECT run_id,
-  CASE WHEN lower(run_name) LIKE '%xgboost%' OR lower(run_name) LIKE '%xgb%' THEN 'xgboost'
-       WHEN lower(run_name) LIKE '%random_forest%' OR lower(run_name) LIKE '%rf%' THEN 'random_forest'
-       WHEN lower(run_name) LIKE '%linear%' THEN 'linear' ELSE 'other' END AS family,
-  lower(run_name) LIKE '%log%' AS log_target, lower(run_name) LIKE '%extended%' AS extended FROM R""",
+SELECT run_id, run_name, CASE WHEN contains(lower(run_name), 'xgb') THEN 'xgboost' ELSE 'random_forest' END
+    AS family, contains(lower(run_name), 'log') AS log_target,
+  contains(lower(run_name), 'feature_eng') AS extended
+FROM R WHERE contains(lower(run_name), 'xgb') OR contains(lower(run_name), 'rf')""",
     "ab_compare": "WITH " + _RUNS + """
 SELECT 'test_rmse' AS metric,
   round(avg(CASE WHEN run_name = 'XGBoost_Optuna_log' THEN test_rmse END), 6) AS XGBoost_Optuna_log,

@@ -56,11 +56,11 @@ def url_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_filters(spark: SparkSession, sf: str) -> DataFrame:
-    """PG-13: URL predicate, then the capped first-N list (top-k by URL; the cap is
-    the feature)."""
-    p = table(spark, sf, "pages").select("url")
-    hits = p.where(F.col("url").contains("/en/"))
-    return hits.orderBy("url").limit(100)
+    """PG-13: every URL that meets the predicate, with its host's number of hits."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    hits = PG.first_urls(p, F.col("url").contains("/en/")).withColumn("host", PG.url_host(F.col("url")))
+    per_host = hits.groupBy("host").agg(F.count(F.lit(1)).alias("host_hits"))
+    return hits.join(per_host, "host").select("page_id", "url", "host_hits")
 
 
 def robots_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,9 +76,15 @@ def robots_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rooms_regex(spark: SparkSession, sf: str) -> DataFrame:
-    """PG-5 / PG-6 over whole document texts."""
-    d = table(spark, sf, "documents", spread=True).select("doc_id", "text")
-    t = F.col("text")
+    """PG-5 / PG-6 over whole document texts, two of three followed by a room description."""
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "text", "n_chars")
+    k, n = F.col("doc_id"), F.col("n_chars")
+    rooms = F.when(k % 3 != 0, F.concat(F.lit(" "), n % 9, F.lit(" kamers (" ), k % 5, F.lit(" slaapkamers)")))
+    baths = F.when(k % 4 != 0, F.concat(F.lit(", "), n % 3, F.when(n % 3 == 1, F.lit(" Badkamer")).otherwise(
+        F.lit(" badkamers"))))
+    toilets = F.when(k % 5 == 0, F.concat(F.lit(" en "), k % 7, F.lit(" aparte toiletten"))).when(
+        k % 5 == 1, F.lit(" en 1 apart toilet"))
+    t = F.concat_ws("", "text", rooms, baths, toilets)
     return d.select("doc_id", PG.rooms(t).alias("nr_rooms"), PG.bathrooms(t).alias("bathrooms"),
                     PG.toilets(t).alias("toilets"))
 
@@ -127,7 +133,8 @@ FROM pages""",
     "url_ids": """
 SELECT page_id, substr(md5(url), 1, 8) || '_20250101_000000' AS record_id FROM pages""",
     "url_filters": """
-SELECT url FROM pages WHERE contains(url, '/en/') ORDER BY url LIMIT 100""",
+SELECT page_id, url, count(*) OVER (PARTITION BY lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)))
+    AS host_hits FROM pages WHERE contains(url, '/en/')""",
     "robots_filter": """
 WITH P AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host,
                   regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
@@ -135,11 +142,16 @@ SELECT page_id, url FROM P
 WHERE NOT (starts_with(path, '/fr/') OR (starts_with(host, 'blog.') AND starts_with(path, '/en/8')))""",
     "rooms_regex": """
 SELECT doc_id,
-  coalesce(nullif(regexp_extract(lower(text), '(\\d+)\\s*kamers?', 1), ''), 'N/A') AS nr_rooms,
-  coalesce(nullif(regexp_extract(lower(text), '(\\d+)\\s*badkamer(s)?', 1), ''), 'N/A') AS bathrooms,
-  coalesce(nullif(regexp_extract(lower(text), '(\\d+)\\s*apart(e)? toilet(ten)?', 1), ''), 'N/A')
+  coalesce(nullif(regexp_extract(lower(t), '(\\d+)\\s*kamers?', 1), ''), 'N/A') AS nr_rooms,
+  coalesce(nullif(regexp_extract(lower(t), '(\\d+)\\s*badkamer(s)?', 1), ''), 'N/A') AS bathrooms,
+  coalesce(nullif(regexp_extract(lower(t), '(\\d+)\\s*apart(e)? toilet(ten)?', 1), ''), 'N/A')
     AS toilets
-FROM documents""",
+FROM (SELECT doc_id, concat(text,
+    CASE WHEN doc_id % 3 <> 0 THEN ' ' || n_chars % 9 || ' kamers (' || doc_id % 5 || ' slaapkamers)' END,
+    CASE WHEN doc_id % 4 <> 0 THEN ', ' || n_chars % 3 || CASE WHEN n_chars % 3 = 1 THEN ' Badkamer'
+      ELSE ' badkamers' END END,
+    CASE doc_id % 5 WHEN 0 THEN ' en ' || doc_id % 7 || ' aparte toiletten'
+      WHEN 1 THEN ' en 1 apart toilet' END) AS t FROM documents)""",
     "sitemap_urls": "SELECT page_id, url AS loc FROM pages",
     "all_na_reject": "SELECT page_id, url FROM pages",
 }

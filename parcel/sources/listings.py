@@ -9,7 +9,7 @@ real nested input.
 
 Scale: ``orders`` joins ``customer`` on the customer key (a shuffle join
 chosen by the planner; AQE broadcasts customer only when its measured size
-is under the threshold); ``nation`` has a fixed 25 rows and is broadcast.
+is under the threshold); ``nation`` has a fixed 25 rows, which the planner broadcasts.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
-          .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))
+          .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
     k = F.col("o_orderkey")
     cu = F.col("c_custkey")
     m2 = F.lit(" m²")

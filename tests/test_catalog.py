@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from parcel.plans import catalog
 from parcel.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+ORACLE = catalog.oracle_sql()
+QUERIES = catalog.queries()
 SLOW = {"fit_forest", "cv_random_search", "retrain_best", "importance_folds", "elbow_curve",
         "fit_boosted", "score_stream"}
 

@@ -68,3 +68,41 @@ def test_robots_and_ids(spark):
         ["https://a.nl/koop/1", "https://b.nl/private/x"]
     rid = pages.select(PG.page_id(F.col("url"), F.lit("2025-02-03 04:05:06").cast("timestamp")))
     assert rid.first()[0].endswith("_20250203_040506") and len(rid.first()[0]) == 8 + 1 + 15
+
+
+def _extract(spark, html):
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    return PG.extract_listing(df).first()
+
+
+def test_first_matching_label_decides(spark):
+    r = _extract(spark, "<dl><dt>Bouwjaar</dt><p>x</p></dl><dl><dt>Bouwjaar type</dt><dd>nieuw</dd>"
+                        "<dt>Soort <b>dak</b></dt><dd>plat</dd><dt><span>Gelegen op</span></dt>"
+                        "<dd>2e woonlaag</dd></dl>")
+    assert r["year_of_construction"] == "N/A"       # the first label has no value
+    assert r["roof_type"] == "N/A"                  # the label is not one text
+    assert r["located_on"] == "2e woonlaag"
+
+
+def test_a_list_item_counts_for_its_first_label(spark):
+    r = _extract(spark, '<li class="flex"><span class="ml-1">Wonen slaapkamer</span>'
+                        '<span class="md:font-bold">80</span></li>'
+                        '<div class="flex justify-between border-b"><dt>Inwoners gezin met kinderen</dt>'
+                        "<dd>7</dd></div>")
+    assert (r["size"], r["bedrooms"]) == ("80", "N/A")
+    assert r["neighborhood_details"]["Families with children"] == "N/A"
+    assert r["neighborhood_details"]["Inhabitants in neighborhood"] == "7"
+
+
+def test_parser_failure_is_reported(spark):
+    r = _extract(spark, "<p>a</p><![oops[ x")
+    assert r["success"] is False and "Error" in r["error"]
+    assert _extract(spark, "<p>a</p>")["error"] is None
+    assert _extract(spark, None)["error"] == "empty page"
+
+
+def test_first_urls_keeps_all_without_a_cap(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(f"u{k}",) for k in range(150)], "url string")
+    assert PG.first_urls(df, F.lit(True)).count() == 150
+    assert [r.url for r in PG.first_urls(df, F.lit(True), 2).collect()] == ["u0", "u1"]

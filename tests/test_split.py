@@ -24,14 +24,54 @@ def test_folds_cover_all_rows_once(spark):
 
 
 def test_running_min_prefix_scan_equals_window(spark):
-    """WN-2: the skew-safe prefix scan equals the plain window, with one hot group."""
-    import random
     from parcel.operators import runs as RL
-    rnd = random.Random(2)
-    rows = [(i, 0 if i % 3 == 0 else rnd.randint(1, 20), rnd.random() * 100) for i in range(6000)]
-    df = spark.createDataFrame(rows, "t long, study long, v double")
-    want = {r["t"]: r["b"] for r in df.select("t", RL.best_so_far(df, "v", "t", "study")
-                                               .alias("b")).collect()}
-    got = {r["t"]: r["best_value"] for r in RL.running_min(df, "v", ["t"], "study",
-                                                           slices=16).collect()}
-    assert got == want
+    rows = [(k, None if k % 50 == 7 else k // 3, ("a", "b", None)[k % 7 % 3], float((k * 7919) % 1009),
+             f"extra{k}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "t long, at long, study string, v double, note string")
+    key = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    best, want = {}, {}
+    for r in sorted(rows, key=key):
+        best[r[2]] = min(best.get(r[2], r[3]), r[3])
+        want[r[0]] = best[r[2]]
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        for columns in (["t", "at", "study", "v"], ["t", "at", "study", "v", "note"]):
+            out = RL.running_min(df.select(*columns), "v", ["at", "t"], "study", slice_rows=40)
+            assert out.columns == [*columns, "best_value"]
+            assert {r["t"]: r["best_value"] for r in out.collect()} == want
+    spark.conf.set("spark.sql.exchange.reuse", before)
+    assert RL.running_min(df.where("false"), "v", ["t"], "study").count() == 0
+
+
+def test_run_family_of_an_unknown_name_stops(spark):
+    import pytest
+
+    from parcel.operators import runs as RL
+    df = spark.createDataFrame([("XGB_feature_eng_log",), ("rf_base",)], "run_name string")
+    assert [tuple(r)[1:] for r in RL.family_flags(df).collect()] == [
+        ("xgboost", True, True), ("random_forest", False, False)]
+    with pytest.raises(Exception, match="no model family"):
+        RL.family_flags(df.union(spark.createDataFrame([("linear",)], "run_name string"))).collect()
+
+
+def test_stopping_round():
+    from parcel.operators.models import stopping_round
+    assert stopping_round([5, 4, 3, 3, 3.5], 2) == (3, True)
+    assert stopping_round([5, 4, 3, 2], 2) == (4, False)
+    assert stopping_round([1, 2, 0.5, 2, 2, 2, 0.1], 3) == (3, True)
+
+
+def test_boosting_stops_no_worse_than_all_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from parcel.operators import models as ML
+    df = spark.range(600).select((F.col("id") % 17).cast("double").alias("a"),
+                                 (F.col("id") % 5).cast("double").alias("b"), "id").withColumn(
+        "y", 100 * F.col("a") + 10 * F.col("b") * F.col("a") + (F.hash("id") % 7))
+    train, val = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+    params = {"max_depth": 3, "eta": 0.3, "seed": 1}
+    fm, best = ML.fit_boosted(train, val, ["a", "b"], "y", params, rounds=24, patience=4)
+    every = ML.fit(train, ["a", "b"], "y", "gbt", {**params, "num_boost_round": 24})
+    error = lambda m: ML.predict(m, val).agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))).first()[0]
+    assert 1 <= best <= 24 and error(fm) <= error(every) * 1.0001

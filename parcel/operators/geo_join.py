@@ -3,9 +3,9 @@
 * The geocode cache is deduplicated with a grouped ``min`` over a struct
   (partial aggregation), not a window: an address that holds a third of all
   rows collapses map-side instead of landing in one task.
-* The radius join is a grid-cell equi-join: amenities are replicated into
-  the 3x3 neighbouring cells of size R (the largest radius), points keep one
-  cell, the exact haversine filter runs on the candidate pairs, and counts
+* The radius join is a grid-cell equi-join over distinct coordinates, one grid for each
+  largest radius R of a type: amenities are replicated into the 3x3 neighbouring cells of
+  size R, points keep one cell, the exact haversine filter runs on the candidate pairs, and counts
   are aggregated per point before joining back. No cross join, no collect.
   Dense cells are split on both sides (fragment-and-replicate): a cell with
   more than ``hot_rows`` points is cut into hash slices of points, each
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcel.functions import geo as G
+from parcel.sources.store import scratch_table
 
 # Fixed values that must match the reference's results (amenity radii, km).
 AMENITY_RADIUS_KM = {
@@ -137,46 +138,53 @@ def radius_counts(points: DataFrame, amenities: DataFrame,
     Rows without coordinates, and types without amenities, count 0. The
     result keeps every column of ``points``.
     """
-    big_r = max(r for rs in radius_km.values() for r in rs)
     types = list(radius_km)
     has_xy = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    # Both sides are needed several times and have fewer coordinates than rows: write them once.
+    points = scratch_table(points)
+    spots = scratch_table(points.where(has_xy).select(
+        F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct())
+    amen = scratch_table(
+        amenities.where(F.col("amenity_type").isin(types) & has_xy)
+        .select("amenity_type", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+        .groupBy("amenity_type", "a_lat", "a_lon").agg(F.count(F.lit(1)).alias("mult")))
     # One scalar job: latitude extent (cell width) and the row counts (hot thresholds).
-    side = (points.where(has_xy).select(F.lit(True).alias("is_pt"), F.abs("lat").alias("a"))
-            .unionByName(amenities.where(has_xy & F.col("amenity_type").isin(types))
-                         .select(F.lit(False).alias("is_pt"), F.abs("lat").alias("a"))))
-    stats = side.agg(F.max("a").alias("m"), F.count_if("is_pt").alias("n_pts"),
-                     F.count_if(~F.col("is_pt")).alias("n_amen")).first()
+    stats = (spots.select(F.lit(True).alias("is_pt"), F.abs("p_lat").alias("a"))
+             .unionByName(amen.select(F.lit(False).alias("is_pt"), F.abs("a_lat").alias("a")))
+             .agg(F.max("a").alias("m"), F.count_if("is_pt").alias("n_pts"),
+                  F.count_if(~F.col("is_pt")).alias("n_amen")).first())
     if lat_max is None:
         lat_max = stats["m"] if stats["m"] is not None else 0.0
     lat_max = min(abs(lat_max), 89.0)
-    dy = big_r / KM_PER_DEGREE_LOWER
-    dx = big_r / (KM_PER_DEGREE_LOWER * math.cos(math.radians(lat_max)))
-
-    amen = (amenities.where(F.col("amenity_type").isin(types) & has_xy)
-            .select("amenity_type", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-            .groupBy("amenity_type", "a_lat", "a_lon").agg(F.count(F.lit(1)).alias("mult")))
     offsets = F.array(*[F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox"))
                         for oy in (-1, 0, 1) for ox in (-1, 0, 1)])
-    amen9 = (amen.withColumn("o", F.explode(offsets))
-             .withColumns({"cy": F.floor(F.col("a_lat") / dy) + F.col("o.oy"),
-                           "cx": F.floor(F.col("a_lon") / dx) + F.col("o.ox")})
-             .drop("o"))
-    pts = (points.where(has_xy)
-           .select(id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-           .withColumns({"cy": F.floor(F.col("p_lat") / dy), "cx": F.floor(F.col("p_lon") / dx)}))
-    hot = _hot_cells(pts, amen9, stats["n_pts"], 9 * stats["n_amen"], hot_rows)
-    pts_s = _slice(pts, hot, "p_slice", "a_slice", F.col(id_col))
-    amen_s = _slice(amen9, hot, "a_slice", "p_slice",
-                    F.struct("amenity_type", "a_lat", "a_lon"))
-    max_r = F.create_map(*[x for t, rs in radius_km.items() for x in (F.lit(t), F.lit(max(rs)))])
-    pairs = (pts_s.join(amen_s, ["cy", "cx", "p_slice", "a_slice"])
-             .withColumn("d_km", G.haversine_m("p_lat", "p_lon", "a_lat", "a_lon") / 1000.0)
-             .where(F.col("d_km") <= max_r[F.col("amenity_type")]))
+    pairs = None
+    # Types of one largest radius share a grid whose cells have that size.
+    for big_r in sorted({max(rs) for rs in radius_km.values()}):
+        own = [t for t, rs in radius_km.items() if max(rs) == big_r]
+        dy = big_r / KM_PER_DEGREE_LOWER
+        dx = big_r / (KM_PER_DEGREE_LOWER * math.cos(math.radians(lat_max)))
+        amen9 = (amen.where(F.col("amenity_type").isin(own)).withColumn("o", F.explode(offsets))
+                 .withColumns({"cy": F.floor(F.col("a_lat") / dy) + F.col("o.oy"),
+                               "cx": F.floor(F.col("a_lon") / dx) + F.col("o.ox")})
+                 .drop("o"))
+        pts = spots.withColumns({"cy": F.floor(F.col("p_lat") / dy),
+                                 "cx": F.floor(F.col("p_lon") / dx)})
+        hot = _hot_cells(pts, amen9, stats["n_pts"], 9 * stats["n_amen"], hot_rows)
+        pts_s = _slice(pts, hot, "p_slice", "a_slice", F.struct("p_lat", "p_lon"))
+        amen_s = _slice(amen9, hot, "a_slice", "p_slice",
+                        F.struct("amenity_type", "a_lat", "a_lon"))
+        near = (pts_s.join(amen_s, ["cy", "cx", "p_slice", "a_slice"])
+                .withColumn("d_km", G.haversine_m("p_lat", "p_lon", "a_lat", "a_lon") / 1000.0)
+                .where(F.col("d_km") <= big_r)
+                .select("p_lat", "p_lon", "amenity_type", "d_km", "mult"))
+        pairs = near if pairs is None else pairs.unionByName(near)
     cols = [(t, r) for t, rs in radius_km.items() for r in rs]
-    counts = pairs.groupBy(id_col).agg(*[
+    counts = pairs.groupBy("p_lat", "p_lon").agg(*[
         F.sum(F.when((F.col("amenity_type") == t) & (F.col("d_km") <= r), F.col("mult"))
               .otherwise(0)).cast("bigint").alias(count_column(t, r)) for t, r in cols])
-    out = points.join(counts, id_col, "left").na.fill(0, [count_column(t, r) for t, r in cols])
+    out = points.join(counts, (F.col("lat") == F.col("p_lat")) & (F.col("lon") == F.col("p_lon")),
+                      "left").drop("p_lat", "p_lon").na.fill(0, [count_column(t, r) for t, r in cols])
     if bins:
         out = out.withColumns({count_column(t, r) + "_bin_encoded":
                                G.count_bin(F.col(count_column(t, r))) for t, r in cols})

@@ -12,14 +12,17 @@ from parcel.operators import split as SP
 from parcel.plans.common import clean_listings, r2, r6
 from parcel.plans.oracle_base import with_listing
 from parcel.sources.listings import AMENITY_TYPES, amenity_points, geo_dimension, listing_view
+from parcel.sources.store import scratch_table
 from parcel.sources.tables import table
 
 
 def _filled(spark: SparkSession, sf: str) -> DataFrame:
-    clean = clean_listings(spark, sf).select("listing_id", "address", "postal_code_clean",
-                                             "neighborhood")
-    geo = GJ.dedupe_geo_dim(geo_dimension(listing_view(spark, sf)))
-    att = GJ.attach_coordinates(clean, geo)
+    # The listings are derived once; everything below reads the narrow written columns.
+    base = scratch_table(clean_listings(spark, sf).select(
+        "listing_id", "address", "postal_code_clean", "neighborhood", "lat", "lon", "price", "size"))
+    geo = GJ.dedupe_geo_dim(geo_dimension(base))
+    att = scratch_table(GJ.attach_coordinates(base.select(
+        "listing_id", "address", "postal_code_clean", "neighborhood"), geo))
     return GJ.fill_coordinates(att, GJ.centroids(att, "postal_code_clean"),
                                GJ.centroids(att, "neighborhood"))
 
@@ -87,7 +90,8 @@ def address_having(spark: SparkSession, sf: str) -> DataFrame:
 def area_left_merge(spark: SparkSession, sf: str) -> DataFrame:
     """JN-4: area table left join cluster labels, missing cluster -> -1."""
     a = _areas(spark, sf)
-    clusters = (a.where(F.col("n_listings") >= 150)
+    # areas without a numeric code have no cluster
+    clusters = (a.where(F.col("pc4").try_cast("int").isNotNull())
                 .select("pc4", (F.col("pc4").try_cast("int") % 4).alias("cluster")))
     return (a.select("pc4", "n_listings").join(clusters, "pc4", "left")
             .na.fill(-1, ["cluster"]))
@@ -110,7 +114,7 @@ def key_set_difference(spark: SparkSession, sf: str) -> DataFrame:
 def failed_lookup_semi(spark: SparkSession, sf: str) -> DataFrame:
     """JN-7: listings whose address lookup failed (left semi against the failed keys)."""
     raw = listing_view(spark, sf)
-    failed = geo_dimension(raw).where(F.col("lat").isNull()).select("address")
+    failed = raw.where(F.col("lat").isNull()).select("address")
     return raw.select("listing_id", "address").join(failed, "address", "left_semi")
 
 
@@ -193,8 +197,10 @@ SELECT listing_id, {", ".join(outs)} FROM CNT""".replace(d, d)).replace("\n),\n"
 
 
 _FILLED = """
-, G AS (SELECT address, min(lat) AS g_lat, min(lon) AS g_lon FROM L
-        WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY address),
+, OB AS (SELECT address, lat + (k % 3) * 0.001e0 AS lat, lon + (k % 2) * 0.002e0 AS lon FROM L
+        WHERE lat IS NOT NULL AND cu % 100 NOT IN (7, 57) AND neighborhood <> 'NATION_7' AND k % 5 <> 0),
+G AS (SELECT address, lat AS g_lat, lon AS g_lon FROM (SELECT *, row_number() OVER (
+        PARTITION BY address ORDER BY lat, lon) AS rn FROM OB) WHERE rn = 1),
 ATT AS (SELECT C.listing_id, C.address, C.postal_code_clean, C.neighborhood, G.g_lat, G.g_lon
         FROM C LEFT JOIN G USING (address)),
 PC AS (SELECT postal_code_clean, avg(g_lat) AS p_lat, avg(g_lon) AS p_lon FROM ATT
@@ -244,7 +250,7 @@ SELECT pc4, n_listings, avg_price, avg_size, avg_price_m2, avg_year, round(c_lat
 SELECT address, count(price_num) AS n_listings, round(avg(price_num), 2) AS avg_price FROM C
 GROUP BY address HAVING count(price_num) >= 3""", clean=True),
     "area_left_merge": _fix(with_listing(_AREAS + """
-, CL AS (SELECT pc4, TRY_CAST(pc4 AS INTEGER) % 4 AS cluster FROM AR WHERE n_listings >= 150)
+, CL AS (SELECT pc4, TRY_CAST(pc4 AS INTEGER) % 4 AS cluster FROM AR WHERE TRY_CAST(pc4 AS INTEGER) IS NOT NULL)
 SELECT pc4, n_listings, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster
 FROM AR LEFT JOIN CL USING (pc4)""", clean=True)),
     "listings_without_details": with_listing("""

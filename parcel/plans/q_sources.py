@@ -155,7 +155,8 @@ SELECT listing_id, CAST(TRY_CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIG
 SELECT substr(postal_code_clean, 1, 3) AS postal_district, count(*) AS n,
   round(avg(price_num), 2) AS avg_price FROM C GROUP BY 1""", clean=True),
     "csv_dimension": with_listing("""
-SELECT DISTINCT address, round(lat, 6) AS lat, round(lon, 6) AS lon FROM L WHERE lat IS NOT NULL"""),
+SELECT DISTINCT address, round(lat + (k % 3) * 0.001e0, 6) AS lat, round(lon + (k % 2) * 0.002e0, 6) AS lon
+FROM L WHERE lat IS NOT NULL AND cu % 100 NOT IN (7, 57) AND neighborhood <> 'NATION_7' AND k % 5 <> 0"""),
     "url_list_roundtrip": "SELECT url FROM pages",
     "persist_pages": """
 SELECT '2025-01-01' AS load_date, count(*) AS n_parsed, count(*) AS n_raw FROM pages""",

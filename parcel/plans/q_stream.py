@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 from parcel.functions import geo as G
 from parcel.functions import parse as P
 from parcel.operators import fit as FIT
+from parcel.operators import geo_join as GJ
 from parcel.operators import models as ML
 from parcel.operators import outliers as OD
 from parcel.operators.preprocess import apply_parsers, facility_indicators, preprocess_listings
 from parcel.plans.common import IMPUTE_DEFAULT, clean_listings, r6
 from parcel.plans.oracle_base import with_listing
 from parcel.session import ensure_checkpoint_dir
-from parcel.sources.listings import listing_view
+from parcel.sources.listings import geo_dimension, listing_view
+from parcel.sources.store import scratch_table
 from parcel.sources.tables import table
 from parcel.streaming import scoring as SS
 
@@ -37,25 +39,33 @@ def fit_scoring_state(spark: SparkSession, sf: str) -> SS.ScoringState:
 
 def score_stream(spark: SparkSession, sf: str) -> DataFrame:
     """SM-1..SM-3: listings land as JSON files, a stream scores them (availableNow),
-    a stream-static join adds the distance bin per micro-batch, errors go to a
-    dead-letter folder. Returns the scored rows read back from the sink."""
+    a stream-static join adds the address's distance bin per micro-batch, errors go to a
+    dead-letter folder. Returns the rows of both sinks."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parcel_stream/{uuid.uuid4().hex}"
     state = fit_scoring_state(spark, sf)
     raw = listing_view(spark, sf)
     raw.drop("lat", "lon").write.mode("overwrite").json(f"{base}/incoming")
-    geo = raw.select("listing_id", G.distance_to_center_bin("lat", "lon").alias("dist_bin"))
+    # the address dimension: one coordinate per address, written once for all micro-batches
+    geo = scratch_table(GJ.dedupe_geo_dim(geo_dimension(raw)).select(
+        "address", G.distance_to_center_bin("lat", "lon").alias("dist_bin")))
 
     def enrich(batch: DataFrame) -> DataFrame:
-        return batch.join(geo, "listing_id", "left")
+        return batch.join(geo, "address", "left")
 
     schema_extra = T.StructType(SS.IN.LISTING_RAW.fields
                                 + [T.StructField("listing_id", T.LongType())])
     stream = spark.readStream.schema(schema_extra).json(f"{base}/incoming")
     q = SS.start(stream, state, f"{base}/scored", f"{base}/dead_letter", f"{base}/_checkpoint",
-                 enrich=enrich)
+                 keep=("listing_id", "address"), enrich=enrich)
     q.awaitTermination()
-    out = spark.read.parquet(f"{base}/scored")
-    return out.select("listing_id", F.round("prediction", 2).alias("prediction"), "dist_bin")
+    out = spark.read.parquet(f"{base}/scored").unionByName(spark.read.parquet(f"{base}/dead_letter"))
+    return out.select("listing_id", F.round("prediction", 2).alias("prediction"), "dist_bin", "error")
+
+
+def stream_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-1..SM-3 checked: every listing comes out once, with its address's bin and error."""
+    return score_stream(spark, sf).select(
+        "listing_id", "dist_bin", F.col("prediction").isNotNull().alias("scored"), "error")
 
 
 def isolation_outliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,12 +123,23 @@ def pipeline_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "score_stream": score_stream,
+    "stream_coverage": stream_coverage,
     "isolation_outliers": isolation_outliers,
     "user_parsers": user_parsers,
     "pipeline_steps": pipeline_steps,
 }
 
+def _stream_oracle() -> str:
+    from parcel.plans.q_geo import _FILLED, CENTER, _fix, dist_bin, hav
+    first = _FILLED[:_FILLED.index("ATT AS")].rstrip().rstrip(",")
+    return _fix(with_listing(first + f"""
+SELECT listing_id, {dist_bin(hav("g_lat", "g_lon", *CENTER))} AS dist_bin, TRUE AS scored,
+  CAST(NULL AS VARCHAR) AS error
+FROM L LEFT JOIN G USING (address)"""))
+
+
 ORACLE = {
+    "stream_coverage": _stream_oracle(),
     "user_parsers": with_listing("""
 SELECT listing_id, TRY_CAST(nullif(regexp_extract(address, '(\\d+)$', 1), '') AS BIGINT) AS address_parsed,
   TRY_CAST(nullif(regexp_replace(price, '[^0-9]', '', 'g'), '') AS BIGINT) AS price_parsed,

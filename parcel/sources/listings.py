@@ -148,5 +148,13 @@ def amenity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_dimension(listings: DataFrame) -> DataFrame:
-    """Address -> coordinate observations (the geocode cache), one row per listing."""
-    return listings.select("address", "lat", "lon", "price", "neighborhood", "size")
+    """Address -> coordinate observations (the geocode cache), one row per listing: an address
+    has several, some without a coordinate; two postal districts and one neighbourhood have
+    none at all."""
+    street = F.substring_index("address", " ", -1).cast("long")
+    k = F.col("listing_id")
+    none = (street % 100).isin(7, 57) | (F.col("neighborhood") == F.lit("NATION_7")) | (k % 5 == 0)
+    return listings.select(
+        "address", F.when(~none, F.col("lat") + (k % 3) * F.lit(0.001)).alias("lat"),
+        F.when(~none, F.col("lon") + (k % 2) * F.lit(0.002)).alias("lon"), "price", "neighborhood",
+        "size")

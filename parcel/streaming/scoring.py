@@ -23,6 +23,7 @@ from parcel.operators import fit as FIT
 from parcel.operators import models as ML
 from parcel.operators.preprocess import facility_indicators, preprocess_listings
 from parcel.sources import ingest as IN
+from parcel.sources.store import scratch_table
 
 
 @dataclass
@@ -72,6 +73,7 @@ def write_micro_batch(sink: str, dead_letter: str, enrich: Callable | None = Non
     def run(batch: DataFrame, batch_id: int) -> None:
         if enrich is not None:
             batch = enrich(batch)
+        batch = scratch_table(batch)        # computed once, read by both sinks
         good = batch.where(F.col("error").isNull())
         bad = batch.where(F.col("error").isNotNull())
         good.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")

@@ -360,12 +360,14 @@ def extract_listing(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     els = html_elements(F.col(html_col))
     base = pages.select(*[F.col(k) for k in keep], F.col(url_col).alias("url"),
                         els.alias("els"))
+    # what several fields need is computed once, as a column of its own
     e = F.col("els")
-    pairs = dt_dd_pairs(e, all_labels=True)
-    icons = icon_list(e)
-    cad = cadastral(e)
-    rooms_txt = dd_by_label(pairs, DL_LABELS["rooms_info"])
-    bath_txt = dd_by_label(pairs, DL_LABELS["bathrooms_info"])
+    base = base.select("*", dt_dd_pairs(e, all_labels=True).alias("pairs"), icon_list(e).alias("icons"),
+                       cadastral(e).alias("cad"))
+    pairs, icons, cad = F.col("pairs"), F.col("icons"), F.col("cad")
+    base = base.select("*", dd_by_label(pairs, DL_LABELS["rooms_info"]).alias("rooms_txt"),
+                       dd_by_label(pairs, DL_LABELS["bathrooms_info"]).alias("bath_txt"))
+    rooms_txt, bath_txt = F.col("rooms_txt"), F.col("bath_txt")
     fields = {k: select_text(e, s) for k, s in SELECTORS.items()}
     fields.update({"size": icons["size"], "bedrooms": icons["bedrooms"],
                    "energy_label": icons["energy_label"],

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcel.operators import pages as PG
+from parcel.plans.oracle_base import with_listing
 from parcel.sources.ingest import sitemap_locs
+from parcel.sources.listings import listing_view
 from parcel.sources.tables import table
 
 LOAD_TS = "2025-01-01 00:00:00"
@@ -41,6 +43,83 @@ def page_listing_extract(spark: SparkSession, sf: str) -> DataFrame:
                       .alias("n_outdoor"))
 
 
+def rendered_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, url, html): every listing as the page it would be scraped from, an absent field
+    leaving no trace. One page in forty has no listing on it, one is cut off in markup."""
+    v = listing_view(spark, sf)
+    c = F.col
+    tag = lambda before, value, after: F.coalesce(F.concat(
+        F.lit(before), F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+        F.lit(after)), F.lit(""))
+    pair = lambda label, value: tag(f"<dt>{label}</dt>\n<dd>", value, "</dd>")
+    icon = lambda label, value: tag(
+        f'<li class="flex"><span class="ml-1">{label}</span><span class="md:font-bold">', value, "</span></li>")
+    box = lambda label, key: tag(
+        f'<div class="flex justify-between border-b"><dt>{label}</dt><dd>', c("neighborhood_details")[key],
+        "</dd></div>")
+    labels = {"contribution_vve": "Bijdrage VvE", "year_of_construction": "Bouwjaar",
+              "roof_type": "Soort dak", "external_storage": "Externe bergruimte",
+              "balcony": "Balkon/dakterras", "located_on": "Gelegen op", "facilities": "Voorzieningen"}
+    parcels = F.array_join(F.transform("cadastral_parcels", lambda p: F.concat(
+        F.lit("<dt>"), p["parcel"], F.lit('</dt><dd>kaart <a href="'), p["link"], F.lit('">hier</a></dd>'))), "")
+    section = lambda name, *parts: F.concat(
+        F.lit(f'<div data-testid="category-{name}"><dl>'), *parts, F.lit("</dl></div>"))
+    listed = lambda col, label: F.array_join(F.transform(
+        col, lambda x: F.concat(F.lit(f"<dt>{label}</dt><dd>"), x, F.lit("</dd>"))), "")
+    html = F.concat(
+        F.lit('<html><body><div class="flex items-baseline">'),
+        tag('<div class="bg-red-70 px-2">', c("status"), "</div>"), F.lit("</div>"),
+        F.concat(F.lit('<h1 data-global-id="'), c("listing_id").cast("string"), F.lit('">')),
+        tag('<span class="block font-bold">', c("address"), "</span>"),
+        tag('<span class="text-neutral-40">', c("postal_code"), "</span>"),
+        tag('<a href="/buurt">', c("neighborhood"), "</a></h1>"),
+        tag('<div class="text-xl flex flex-col"><div class="flex gap-2 font-bold"><span> ', c("price"),
+            "</span></div></div>"),
+        F.lit("<ul>"), icon("Wonen", c("size")), icon("Slaapkamers", c("bedrooms")),
+        icon("Energielabel", c("energy_label")), F.lit("</ul>"),
+        box("Inwoners", "Inhabitants in neighborhood"),
+        box("Gezin met kinderen", "Families with children"),
+        box("Gem. vraagprijs / m²", "Price per m² in neighborhood"),
+        F.lit("<dl>"), *[pair(label, c(k)) for k, label in labels.items()],
+        pair("Aantal kamers", F.concat(c("nr_rooms"), F.lit(" kamers (1 slaapkamer)"))),
+        pair("Aantal badkamers", F.concat(c("bathrooms"), F.lit(" badkamers en "), c("toilets"),
+                                          F.when(c("toilets") == "1", F.lit(" apart toilet"))
+                                          .otherwise(F.lit(" aparte toiletten")))),
+        F.lit("</dl>"),
+        section("cadastral", parcels, listed("ownership_situations", "Eigendomssituatie"),
+                listed("charges", "Lasten")),
+        section("buitenruimte", *[pair(f, c("outdoor_features")[f]) for f in PG.OUTDOOR["fields"]]),
+        F.lit("</body></html>"))
+    k = c("listing_id")
+    html = F.when(k % 40 == 39, F.lit("<html><body><p>niets te zien</p></body></html>")).when(
+        k % 40 == 38, F.lit("<html><p>afgebroken<![x[")).otherwise(html)
+    return v.select(k.alias("page_id"), F.concat(F.lit("https://huis.example/koop/"), k).alias("url"),
+                    html.alias("html"))
+
+
+def rendered_listing_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """PG-1..PG-9: what the extractor finds on every rendered page."""
+    out = PG.extract_listing(rendered_pages(spark, sf), keep=["page_id"])
+    details, outside = F.col("neighborhood_details"), F.col("outdoor_features")
+    return out.select(
+        "page_id", "success", F.col("error").isNotNull().alias("failed"), *PG.SCALAR_FIELDS,
+        F.array_join(F.transform("cadastral_parcels", lambda p: F.concat_ws("@", p["parcel"], p["link"])),
+                     "; ").alias("parcels"),
+        F.array_join("ownership_situations", "; ").alias("ownership"),
+        F.array_join("charges", "; ").alias("charges"),
+        *[details[key].alias(name) for key, name in (
+            ("Inhabitants in neighborhood", "inhabitants"), ("Families with children", "families"),
+            ("Price per m² in neighborhood", "price_m2"))],
+        *[outside[f].alias("out_" + f.lower().replace(" ", "_")) for f in PG.OUTDOOR["fields"]])
+
+
+def rendered_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """PG-10: kept and rejected pages by the all-N/A rule."""
+    kept, rejected = PG.split_rejects(PG.extract_listing(rendered_pages(spark, sf), keep=["page_id"]))
+    return kept.select("page_id", F.lit(False).alias("rejected")).unionByName(
+        rejected.select("page_id", F.lit(True).alias("rejected")))
+
+
 def all_na_reject(spark: SparkSession, sf: str) -> DataFrame:
     """PG-10: dead-letter rows whose every listing field is N/A."""
     out = PG.extract_listing(_pages(spark, sf), keep=["page_id"])
@@ -103,6 +182,8 @@ def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "page_fields": page_fields,
     "page_listing_extract": page_listing_extract,
+    "rendered_listing_extract": rendered_listing_extract,
+    "rendered_rejects": rendered_rejects,
     "all_na_reject": all_na_reject,
     "url_ids": url_ids,
     "url_filters": url_filters,
@@ -117,7 +198,36 @@ def _unescape(x: str) -> str:
             f"'&middot;', '·'), '&amp;', '&')")
 
 
+def _rendered_oracle() -> str:
+    plain = ["price", "address", "postal_code", "neighborhood", "status", "size", "bedrooms",
+             "energy_label", "contribution_vve", "year_of_construction", "roof_type",
+             "external_storage", "balcony", "located_on", "facilities", "nr_rooms", "bathrooms", "toilets"]
+    na = lambda c: f"CASE WHEN ok THEN coalesce({c}, 'N/A') ELSE 'N/A' END"
+    some = lambda c: f"CASE WHEN ok THEN {c} END"
+    nb = "cu % 13 <> 0"
+    return with_listing(", Q AS (SELECT *, k % 40 < 38 AS ok FROM L)\n" + f"""
+SELECT listing_id AS page_id, k % 40 <> 38 AS success, k % 40 = 38 AS failed,
+  {", ".join(f"{na(c)} AS {c}" for c in plain)}, 'N/A' AS living_area,
+  CASE WHEN ok THEN CASE k % 3 WHEN 0 THEN '' ELSE
+    concat('AMSTERDAM K ', cu, ' G1@https://kadaster.example/', k, '/1') END ||
+    CASE WHEN k % 3 = 2 THEN concat('; AMSTERDAM K ', cu, ' G2@https://kadaster.example/', k, '/2')
+    ELSE '' END ELSE '' END AS parcels,
+  CASE WHEN ok THEN coalesce(ownership, '') ELSE '' END AS ownership,
+  CASE WHEN ok THEN charges_joined ELSE '' END AS charges,
+  CASE WHEN ok AND {nb} THEN concat(1 + cu % 9, '.', lpad(CAST(cu % 1000 AS VARCHAR), 3, '0'))
+    ELSE 'N/A' END AS inhabitants,
+  CASE WHEN ok AND {nb} THEN concat(cu % 60, '%') ELSE 'N/A' END AS families,
+  CASE WHEN ok AND {nb} THEN concat('€ ', 3 + cu % 7, '.', lpad(CAST(cu % 1000 AS VARCHAR), 3, '0'))
+    ELSE 'N/A' END AS price_m2,
+  {some("od_ligging")} AS out_ligging, {some("od_tuin")} AS out_tuin,
+  {some("od_achtertuin")} AS out_achtertuin, {some("trim(od_ligging_tuin)")} AS out_ligging_tuin
+FROM Q""").replace("\n), Q AS", "\n),\nQ AS")
+
+
 ORACLE = {
+    "rendered_listing_extract": _rendered_oracle(),
+    "rendered_rejects": with_listing("""
+SELECT listing_id AS page_id, k % 40 >= 38 AS rejected FROM L"""),
     "page_fields": f"""
 SELECT page_id,
   coalesce(nullif(trim({_unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")}), ''), 'N/A')

@@ -205,16 +205,31 @@ def set_table(docs: DataFrame, nodes: DataFrame, classes: DataFrame, width: int)
 
 
 def cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one region that are in different components: all such
-    pairs are compared, block by block, and each block pair gives a spanning set of links."""
-    blocks = F.ceil(F.col("n") / REGION)
-    own = members.withColumn("blocks", blocks).withColumn(
-        "own", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("node", "region"), F.col("blocks"))).cast("int"))
-    rows = own.select("region", "node", "label", "own", F.explode(F.sequence(
-        F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")).select(
-        "region", "node", "label", "own", F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j")).join(sets, "node")
+    """Links (a, b) between members of one region that are in different components. The members
+    of a region's largest component need no comparison among themselves: they are dealt to blocks, the others
+    to blocks of their own, and every pair of blocks with an outsider in it is compared (pairs
+    from different components only) and gives a spanning set of links."""
+    sizes = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("region").agg(
+        F.max_by("label", F.struct("m", "label")).alias("_label"), F.max("m").alias("most"),
+        F.sum("m").alias("all")).withColumnRenamed("region", "_region")
+    marked = members.select("region", "node", "label").join(
+        largest, F.col("region") == F.col("_region")).withColumn("major", F.col("label") == F.col("_label"))
+    blocks = lambda n: F.ceil(n / REGION).cast("int")
+    slot = lambda n: F.pmod(F.xxhash64("node", "region"), blocks(n)).cast("int")
+    few = F.col("all") - F.col("most")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    major = marked.where("major").select(
+        "region", "node", "label", slot(F.col("most")).alias("j"), each(few).alias("k")).select(
+        "region", "node", "label", (-1 - F.col("k")).alias("i"), "j")
+    minor = marked.where("not major")
+    against = minor.select("region", "node", "label", (-1 - slot(few)).alias("i"),
+                           each(F.col("most")).alias("j"))
+    own = minor.withColumn("own", slot(few)).select(
+        "region", "node", "label", "own", each(few).alias("other"))
+    among = own.select("region", "node", "label", F.least("own", "other").alias("i"),
+                       F.greatest("own", "other").alias("j"))
+    rows = major.unionByName(against).unionByName(among).join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
@@ -227,14 +242,11 @@ def cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         sets_ = [np.frombuffer(s, np.uint64) for s in t["set"]]
         order = sorted(range(len(sets_)), key=lambda k: len(sets_[k]))
-        within = t["i"][0] == t["j"][0]
         a, b = [], []
         for p, x in enumerate(order):
             for y in order[p + 1:]:
                 if percent * len(sets_[y]) > 100 * len(sets_[x]):
                     break
-                if not within and t["own"][x] == t["own"][y]:
-                    continue
                 rx, ry = root(t["label"][x]), root(t["label"][y])
                 if rx != ry and linked(sets_[x], sets_[y], percent):
                     parent[rx] = ry

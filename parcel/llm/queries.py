@@ -109,6 +109,70 @@ QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_l
                                    op7_slack_packing, op8_license_join,
                                    op9_extendible_dedup, op10_pitman_yor)}
 ORACLE: dict[str, str] = {
+    "op2_splitter_shards": r"""
+WITH tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+     b AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(strlen(text), 0) + 1 AS size,
+                  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                 lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+     r AS (SELECT doc_id, size, md5(body) AS k, xor(list_reduce(list_prepend(4294967295, bytes),
+                  lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+           FROM b, tbl),
+     p AS (SELECT *, sum(size) OVER w - size AS start, sum(size) OVER () AS total,
+                  row_number() OVER w - 1 AS i
+           FROM r WINDOW w AS (ORDER BY k, coalesce(doc_id, -9223372036854775808), text_crc32, size
+                               ROWS UNBOUNDED PRECEDING)),
+     s AS (SELECT *, CAST((2 * start + size) * 16 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       i - min(i) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
+    "op3_lsh_forest": r"""
+WITH RECURSIVE
+     d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+     s AS (SELECT uid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(w) - 3),
+                       lambda i: array_to_string(w[i:i + 4], ' '))) END) AS shingle FROM d),
+     n AS (SELECT uid, count(*) AS n FROM s GROUP BY uid),
+     i AS (SELECT a.uid AS u, b.uid AS v, count(*) AS c FROM s a JOIN s b
+           ON a.shingle = b.shingle AND a.uid < b.uid GROUP BY a.uid, b.uid),
+     e AS (SELECT u, v FROM i JOIN n x ON x.uid = u JOIN n y ON y.uid = v
+           WHERE 100 * c >= 75 * (x.n + y.n - c)),
+     link AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+     r AS (SELECT uid, doc_id FROM d UNION SELECT link.v, r.doc_id FROM r JOIN link ON link.u = r.uid)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.doc_id) AS component_id,
+       d.doc_id IS NOT DISTINCT FROM min(r.doc_id) AS kept
+FROM d LEFT JOIN n USING (uid) JOIN r USING (uid) GROUP BY d.uid, d.doc_id""",
+    "op6_suffix_lines": r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, string_split(coalesce(text, ''), chr(10)) AS body
+           FROM documents),
+     l AS (SELECT uid, doc_id, unnest(body) AS line, unnest(range(len(body))) AS no FROM d),
+     f AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS words FROM l),
+     o AS (SELECT uid, doc_id, line, no, words, row_number() OVER (PARTITION BY uid ORDER BY no) AS i,
+                  count(*) OVER (PARTITION BY line) AS n FROM f WHERE words > 0),
+     p AS (SELECT *, i - row_number() OVER (PARTITION BY uid ORDER BY i) AS run FROM o WHERE n > 1),
+     q AS (SELECT *, sum(words) OVER (PARTITION BY uid, run ORDER BY i) AS stop FROM p),
+     w AS (SELECT a.uid, a.doc_id, a.i AS a, min(b.i) AS b FROM q a JOIN q b ON a.uid = b.uid
+             AND a.run = b.run AND b.i >= a.i AND b.stop - a.stop + a.words >= 50 GROUP BY ALL
+           UNION SELECT b.uid, b.doc_id, max(a.i), b.i FROM q a JOIN q b ON a.uid = b.uid
+             AND a.run = b.run AND b.i >= a.i AND b.stop - a.stop + a.words >= 50
+           GROUP BY b.uid, b.doc_id, b.i),
+     k AS (SELECT w.uid, w.doc_id, a, b, string_agg(line, chr(10) ORDER BY i) AS run
+           FROM w JOIN q ON q.uid = w.uid AND q.i BETWEEN a AND b GROUP BY w.uid, w.doc_id, a, b),
+     c AS (SELECT *, first_value(uid) OVER v AS uid0, first_value(a) OVER v AS a0 FROM k
+           WINDOW v AS (PARTITION BY run ORDER BY doc_id, uid, a)),
+     g AS (SELECT DISTINCT q.uid, q.i, q.no FROM c JOIN q ON q.uid = c.uid AND q.i <= b AND q.i >=
+             CASE WHEN c.uid = uid0 AND a <= a0 + b - a THEN a0 + b - a + 1 ELSE a END
+           WHERE c.uid <> uid0 OR a <> a0),
+     h AS (SELECT *, i - row_number() OVER (PARTITION BY uid ORDER BY i) AS island FROM g),
+     s AS (SELECT uid, min(no) AS lo, max(no) AS hi, count(*) AS lines FROM h GROUP BY uid, island),
+     t AS (SELECT uid, sum(lines) AS deleted, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS spans
+           FROM s GROUP BY uid),
+     x AS (SELECT l.uid, string_agg(line, chr(10) ORDER BY no) AS kept FROM l
+           WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.uid = l.uid AND l.no BETWEEN lo AND hi) GROUP BY l.uid)
+SELECT doc_id, CAST(len(body) AS BIGINT) AS lines_before, CAST(coalesce(deleted, 0) AS BIGINT) AS lines_deleted,
+       coalesce(spans, '') AS deleted_spans, sha256(coalesce(kept, '')) AS text_sha256
+FROM d LEFT JOIN t USING (uid) LEFT JOIN x USING (uid)""",
     "op8_license_join": license_oracle(),
     "op5_block_topk": """
         WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding,

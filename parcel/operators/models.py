@@ -122,7 +122,7 @@ def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], label
     order for the same seed, so a fit of more rounds begins with the rounds of a shorter one:
     the number of rounds is doubled until the rule has stopped it or ``rounds`` is reached."""
     lab = F.log1p(F.col(label)) if log_target else F.col(label).cast("double")
-    n = min(rounds, 2 * patience)
+    n = min(rounds, patience + 14)
     while True:
         fm = fit(train, features, label, "gbt", {**params, "num_boost_round": n}, log_target)
         assembler, model = fm.model.stages

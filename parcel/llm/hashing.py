@@ -34,10 +34,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: bytes hashed at once; a longer text is hashed alone
+BATCH_BYTES = 1 << 20
+
+
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A-Z lower-cased, split at space and 9 to 13. Returns (hash of each word, end of each
     text's words, first byte of each word, the joined lower-cased bytes)."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    groups, room = [[]], BATCH_BYTES
+    for r in raw:
+        if groups[-1] and len(r) > room:
+            groups.append([])
+            room = BATCH_BYTES
+        groups[-1].append(r)
+        room -= len(r) + 1
+    parts, words, size = [], 0, 0
+    for hashes, ends, starts, joined in map(_words, groups):
+        parts.append((hashes, ends + words, starts + size, joined))
+        words += len(hashes)
+        size += len(joined)
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     text_ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     space = _SPACE[joined]
@@ -45,7 +65,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     before[0], before[1:] = True, space[:-1]
     starts = np.flatnonzero(~space & before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), starts, joined
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64), starts, joined
     power, inverse = powers(len(joined))
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(_BYTES_OR_ZERO[joined] * power[:len(joined)], starts)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parcel.llm.common import documents
+from parcel.llm.common import documents, worker_cache
 
 WINDOW = 32            # bytes under the rolling hash
 CHUNK_BITS = 9         # a cut every 512 bytes on average
@@ -232,14 +232,9 @@ def _spans(ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1].tolist()], ends.tolist()))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file; it outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(("bpe", path), lambda: ChunkEncoder(path))
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:

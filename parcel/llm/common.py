@@ -27,6 +27,18 @@ def ascii_lower(c: Column) -> Column:
         F.translate(c, UPPER, UPPER.lower()))
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(key, build):
+    """An object that outlives a task in its Python worker. There is one at a time: the object
+    of another operator or model is let go first, so stages that share workers do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder (reliable, never local). Spark removes
     the files once nothing refers to the frame any more."""

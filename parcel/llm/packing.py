@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcel.llm.bpe import _gather, _spans, byte_strings, slices
-from parcel.llm.common import cut, documents
+from parcel.llm.common import cut, documents, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
-MAX_WORDS = 1_000_000        # word cache entries of a worker; emptied when full
+MAX_WORDS = 300_000        # word cache entries of a worker; emptied when full
 RANK_ROWS = 500_000          # pieces that one ranking task is meant to hold
 BROADCAST_ROWS = 60_000      # plan rows (about 60 bytes each) up to which they are broadcast
 
@@ -95,9 +95,6 @@ class ByteEncoder:
         return [ids[a:b] for a, b in _spans(id_ends)]
 
 
-_ENCODERS: dict[str, ByteEncoder] = {}
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 (and ids with ``with_ids``)."""
@@ -105,9 +102,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     schema += ", ids array<int>" if with_ids else ""
 
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = ByteEncoder(path)
-        enc = _ENCODERS[path]
+        enc = worker_cache(("packing", path), lambda: ByteEncoder(path))
         for doc_ids, texts in slices(batches):
             rows = []
             for doc_id, ids in zip(doc_ids, enc.encode(texts)):

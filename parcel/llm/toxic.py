@@ -21,6 +21,7 @@ toxic labels, smoothed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcel.llm.bpe import slices
-from parcel.llm.common import cut, documents
+from parcel.llm.common import cut, documents, worker_cache
 
 ORDER, DECAY = 3, 0.7
 LANDMARKS = 64
 MAX_TRAIN = 6_000
 FLOOR = 0.45
-MAX_WORDS = 800_000
+MAX_WORDS = 300_000
 _SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
 _ALNUM = re.compile(r"[\W_]+")
 
@@ -105,6 +106,9 @@ class Landmarks:
         self.codes, self.sizes, self.masks = codes(words, max(map(len, words)))
         self.norm = np.sqrt(kernel(self.codes, self.codes))
         self.allowed = np.maximum(1, np.bitwise_count(self.masks).astype(np.int64) * 3 // 10)
+        self.forget()
+
+    def forget(self) -> None:
         self.seen: set[str] = set()
         self.active: dict[str, np.ndarray] = {}
 
@@ -133,7 +137,7 @@ class Landmarks:
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > MAX_WORDS:
-            self.seen, self.active = set(), {}
+            self.forget()
         new = [w for w in words if w not in self.seen]
         self.seen.update(new)
         stripped: dict[str, list[str]] = {}
@@ -270,15 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, landmark
     return {"words": words, "root": root, "w": w, "slope": slope, "offset": offset}
 
 
-_MODELS: dict[tuple, Landmarks] = {}
-
-
 def _landmarks(words: list[str]) -> Landmarks:
-    key = tuple(words)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Landmarks(words)
-    return _MODELS[key]
+    return worker_cache(("toxic", *words), lambda: Landmarks(words))
 
 
 def _evidence_of(words):
@@ -302,6 +299,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"], -500, 500)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)],
                                              names=["doc_id", "score"])
+        known.forget()      # the worker may serve other stages next
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -320,10 +318,12 @@ def keep(docs: DataFrame, model: dict) -> DataFrame:
         return docs if model["constant"] < 0.5 else docs.where(F.lit(False))
 
     @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _landmarks(model["words"])
-        margin = features(known.evidence(text.fillna("").tolist()), model["root"]) @ model["w"]
-        return pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"],
-                                                  -500, 500))))
+        for text in texts:
+            margin = features(known.evidence(text.fillna("").tolist()), model["root"]) @ model["w"]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"],
+                                                     -500, 500))))
+        known.forget()      # the worker may serve other stages next
 
     return docs.where(scored(F.col("text")) < 0.5)

@@ -37,6 +37,7 @@ LANDMARKS = 64
 MAX_TRAIN = 6_000
 FLOOR = 0.45
 MAX_WORDS = 300_000
+GROUP_CHARS = 1 << 20
 _SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
 _ALNUM = re.compile(r"[\W_]+")
 
@@ -155,16 +156,25 @@ class Landmarks:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Per text: sum of kernel rows, and in the last column the number of words."""
+        out = np.zeros((len(texts), len(self.words) + 1))
+        start = size = 0
+        for end, text in enumerate(texts):      # the words of GROUP_CHARS characters at a time
+            if size and size + len(text) > GROUP_CHARS:
+                self._add_evidence(texts[start:end], out[start:end])
+                start, size = end, 0
+            size += len(text)
+        self._add_evidence(texts[start:], out[start:])
+        return out
+
+    def _add_evidence(self, texts: list[str], out: np.ndarray) -> None:
         words = [text_words(t) for t in texts]
         self.learn({w for ws in words for w in ws})
-        out = np.zeros((len(texts), len(self.words) + 1))
         active = self.active
         for k, ws in enumerate(words):
             hits = [active[w] for w in ws if w in active]
             if hits:
                 out[k, :-1] = np.sum(hits, axis=0)
             out[k, -1] = len(ws)
-        return out
 
 
 def _by_length(size: np.ndarray) -> list[np.ndarray]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     the files once nothing refers to the frame any more."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def number_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus a row number in column ``name``, written once in the shared checkpoint folder.
+    The number is stored with its row, so every later scan finds the same one, whatever partitions
+    it is planned in. Types that Parquet does not hold go to a checkpoint, which is larger."""
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    if any(re.search("void|interval|variant", kind) for _, kind in docs.dtypes):
+        return cut(rows)
+    path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/numbered/{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)

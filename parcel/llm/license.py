@@ -67,11 +67,9 @@ def word_order(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: k for k, (_, w) in enumerate(sorted((row[i], w) for i, w in enumerate(words)))}
 
 
-def similar_blocks(blocks: DataFrame, templates: dict[str, str], order: dict[str, int],
-                   threshold: float = THRESHOLD) -> DataFrame:
-    """``blocks``: doc_id, uid, lower. Returns uid, template, containment of every block that
-    meets the threshold for a template."""
-    spark = blocks.sparkSession
+def template_sides(templates: dict[str, str], order: dict[str, int], threshold: float):
+    """(name, size, words needed, words) of every template, and (name, word, place) of the words
+    in its prefix."""
     sides, prefixes = [], []
     for name, text in sorted(templates.items()):
         words = sorted(word_set(text), key=order.get)
@@ -80,14 +78,28 @@ def similar_blocks(blocks: DataFrame, templates: dict[str, str], order: dict[str
             continue
         sides.append((name, len(words), need, words))
         prefixes += [(name, w, i) for i, w in enumerate(words[:len(words) - need + 1])]
+    return sides, prefixes
+
+
+def holds_any(lower: Column, prefixes: list[tuple]) -> Column:
+    """Whether letters of a prefix word stand in the text."""
+    rare = sorted({w for _, w, _ in prefixes})
+    return F.greatest(*[lower.contains(w) for w in rare], F.lit(False), F.lit(False))
+
+
+def similar_blocks(blocks: DataFrame, templates: dict[str, str], order: dict[str, int],
+                   threshold: float = THRESHOLD) -> DataFrame:
+    """``blocks``: doc_id, uid, lower. Returns uid, template, containment of every block that
+    meets the threshold for a template."""
+    spark = blocks.sparkSession
+    sides, prefixes = template_sides(templates, order, threshold)
     side = spark.createDataFrame(sides, "template string, t_size int, need int, t_words array<string>")
     prefix = spark.createDataFrame(prefixes, "p_template string, word string, t_place int")
-    rare = sorted({w for _, w, _ in prefixes})
     vocabulary = F.array(*[F.lit(w) for w in sorted(order, key=order.get)])
 
     # words of the block that templates know, in the global order (array_intersect keeps the
     # order of its first argument)
-    tokens = blocks.where(F.greatest(*[F.col("lower").contains(w) for w in rare], F.lit(False), F.lit(False))
+    tokens = blocks.where(holds_any(F.col("lower"), prefixes)
                           ).select("uid", F.array_distinct(F.split("lower", SEPARATORS)).alias("b"))
     tokens = tokens.select("uid", F.size(F.array_remove("b", "")).alias("b_size"),
                            F.array_intersect(vocabulary, "b").alias("b_words"))
@@ -134,21 +146,26 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         likely = likely | here
     spaced = F.when(likely, F.concat(F.lit("  "), F.regexp_replace("lower", SEPARATORS, "  "),
                                      F.lit("  ")))
+    # the lines that can match go along with the row they are of, so ids come from one scan
+    prefixes = template_sides(templates, order, threshold)[1]
+    near = F.when(holds_any(F.col("lower"), prefixes), F.filter(
+        F.split("lower", "\n"), lambda line: holds_any(line, prefixes)))
     base = lower.select("uid", "doc_id", F.regexp_count("lower", F.lit(WORD)).cast("long").alias(
-        "n_words"), spaced.alias("spaced"))
+        "n_words"), spaced.alias("spaced"), near.alias("near"))
     places = [phrase_places(F.col("spaced"), p) for p in phrases]
     base = base.select(
-        "uid", "doc_id", "n_words",
+        "uid", "doc_id", "n_words", "near",
         sum((F.coalesce(n, F.lit(0)) for n, _, _ in places), F.lit(0)).cast("long").alias("n_base"),
         F.least(*[f for _, f, _ in places], F.lit(None).cast("int"), F.lit(None).cast("int")).cast("long").alias("first_word"),
         F.greatest(*[x for _, _, x in places], F.lit(None).cast("int"), F.lit(None).cast("int")).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for (n, _, _), label in zip(
             places, phrases.values())]))).alias("base"))
-    blocks = lower.select("uid", F.explode(F.split("lower", "\n")).alias("lower"))
+    base = cut(base)
+    blocks = base.select("uid", F.explode("near").alias("lower"))
     found = similar_blocks(blocks, templates, order, threshold).groupBy("uid").agg(
         F.collect_set("template").alias("more"), F.max("containment").alias("best"))
     join = lambda c: F.concat_ws(",", c)
-    both = cut(base).join(found, "uid", "left")
+    both = base.join(found, "uid", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -19,8 +19,8 @@ before they are shuffled.
 
 Null text counts as empty: one blank line, nothing deleted. Blank lines are no part of a run;
 those between two deleted lines go with them. Null doc_ids come first. ``docs`` is scanned
-twice and must give the same rows in the same partitions both times: a table or a checkpoint,
-not a random sample.
+once: its rows are numbered and written, and both the lines and the texts are read from there,
+so a span belongs to its row whatever partitions a scan is planned in.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcel.llm.common import cut
+from parcel.llm.common import cut, number_rows
 
 MIN_WORDS = 50
 SLICE_BITS = 10           # first ranking: slices by the id's top bits
@@ -37,15 +37,11 @@ NO_ID = -(1 << 63)
 ROW = "__line_row"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
-def line_ids(docs: DataFrame) -> DataFrame:
+def line_ids(numbered: DataFrame) -> DataFrame:
     """row, doc, i (place among the document's lines that are not blank), no (line number from
     0), id, words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = numbered(docs).select(
+    lines = numbered.select(
         F.col(ROW).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.trim("line") != "")
     lines = lines.select("row", "doc", "no", F.xxhash64("line").alias("id"),
@@ -53,9 +49,9 @@ def line_ids(docs: DataFrame) -> DataFrame:
     return lines.where("words > 0")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(numbered: DataFrame) -> DataFrame:
     """The lines whose id occurs more than once, with ``i`` and the number n of the class."""
-    lines = cut(line_ids(docs))
+    lines = cut(line_ids(numbered))
     counts = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     i = F.row_number().over(Window.partitionBy("row").orderBy("no"))
     placed = lines.withColumn("i", i)
@@ -126,9 +122,14 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``runs_of`` for rows that have no number yet."""
+    return runs_of(number_rows(docs, ROW), min_words)
+
+
+def runs_of(numbered: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(lines, copies). copies: row, a, b of every stretch that stands somewhere before, with
     row0, a0 of its first copy; lines: the repeated lines."""
-    lines = repeated_lines(docs)
+    lines = repeated_lines(numbered)
     spans = cut(stretches(lines, min_words))
     longest = spans.agg(F.max(F.col("b") - F.col("a") + 1)).first()[0] or 1
     members = lines.count()
@@ -157,10 +158,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     return lines, found
 
 
-def deleted_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deleted_spans(numbered: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """row, spans (array of first and last line number, ascending), deleted lines that are not
     blank."""
-    lines, copies = repeated_runs(docs, min_words)
+    lines, copies = runs_of(numbered, min_words)
     own_end = F.col("a0") + F.col("m") - 1
     start = F.when((F.col("row") == F.col("row0")) & (F.col("a") <= own_end), own_end + 1
                    ).otherwise(F.col("a"))
@@ -179,7 +180,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = True
     """``docs`` with later copies of repeated runs taken out of ``text``, all other columns as
     they are. ``report`` adds line_spans, lines_before and lines_deleted (columns of these names
     in the input give way)."""
-    spans = cut(deleted_spans(docs, min_words)).select(
+    numbered = number_rows(docs, ROW)
+    spans = cut(deleted_spans(numbered, min_words)).select(
         F.col("row").alias("__line_row2"), F.col("spans").alias("__line_spans"),
         F.col("deleted").alias("__line_deleted"))
     span, lines = F.col("__line_spans"), F.col("__line_all")
@@ -188,7 +190,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = True
         F.when(k == F.size(span), F.size(lines)).otherwise(F.get(span, k)["first"]).alias("stop")))
     kept = F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["start"] + 1,
                                                         g["stop"] - g["start"])))
-    joined = numbered(docs).join(spans, F.col(ROW) == F.col("__line_row2"), "left").withColumn(
+    joined = numbered.join(spans, F.col(ROW) == F.col("__line_row2"), "left").withColumn(
         "__line_all", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
     text = F.when(span.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     more = {"line_spans": span, "lines_before": F.size(lines).cast("long"),

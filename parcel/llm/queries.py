@@ -73,6 +73,42 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.subvector import clusters_with_inertia
+    return clusters_with_inertia(table(spark, sf_dir, "embeddings"))
+
+
+def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.whiten import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def cluster_oracle(k: int = 8, rounds: int = 10) -> str:
+    """Every round as three tables: distances to all centroids, sums per cluster, centroids."""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding,
+             lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+             WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding,
+             lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, q) - 1
+             AS c, q FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT uid, min({{'d': CAST(list_sum(list_transform(
+             list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': c.c}}) AS m
+             FROM v, c{r} c GROUP BY uid)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT a.m.c AS c, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n
+             FROM a{r} a JOIN v USING (uid), range(1, 65) t(i) GROUP BY a.m.c, i),
+         m{r} AS (SELECT c, list((s - (((s % n) + n) % n)) // n ORDER BY i) AS q FROM s{r} GROUP BY c),
+         c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{r} o LEFT JOIN m{r} m
+             ON m.c = o.c)""")
+    return "WITH " + ",\n         ".join(parts) + f"""
+        SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance,
+               CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (uid) JOIN c{rounds} c ON c.c = m.c"""
+
+
 def license_oracle() -> str:
     """Base places by word lists, and containment of every (line, template) pair."""
     from parcel.llm.license import PHRASES, TEMPLATES, THRESHOLD, WORD, word_set
@@ -107,7 +143,8 @@ def license_oracle() -> str:
 QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_lsh_forest, op4_subsequence_svm,
                                    op5_block_topk, op6_suffix_lines,
                                    op7_slack_packing, op8_license_join,
-                                   op9_extendible_dedup, op10_pitman_yor)}
+                                   op9_extendible_dedup, op10_pitman_yor,
+                                   op11_subvector_clusters, op13_cholesky_whitening)}
 ORACLE: dict[str, str] = {
     "op2_splitter_shards": r"""
 WITH tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -174,6 +211,7 @@ SELECT doc_id, CAST(len(body) AS BIGINT) AS lines_before, CAST(coalesce(deleted,
        coalesce(spans, '') AS deleted_spans, sha256(coalesce(kept, '')) AS text_sha256
 FROM d LEFT JOIN t USING (uid) LEFT JOIN x USING (uid)""",
     "op8_license_join": license_oracle(),
+    "op11_subvector_clusters": cluster_oracle(),
     "op5_block_topk": """
         WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding,
                           lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

@@ -78,6 +78,16 @@ def op11_subvector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters_with_inertia(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcel.llm.fingerprint import fingerprints, near_copies
+    docs = table(spark, sf_dir, "documents")
+    hexed = lambda c: F.lower(F.hex(c))
+    return near_copies(fingerprints(docs), docs).select(
+        "doc_id", "n_chars", "edited_sha256", hexed("places").alias("fingerprint"),
+        hexed("edited_places").alias("edited_fingerprint"), "near_edited", "near_next",
+        "component_id", "n_links")
+
+
 def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcel.llm.whiten import whiten
     return whiten(table(spark, sf_dir, "embeddings"))
@@ -144,7 +154,8 @@ QUERIES = {f.__name__: f for f in (op1_bpe_roundtrip, op2_splitter_shards, op3_l
                                    op5_block_topk, op6_suffix_lines,
                                    op7_slack_packing, op8_license_join,
                                    op9_extendible_dedup, op10_pitman_yor,
-                                   op11_subvector_clusters, op13_cholesky_whitening)}
+                                   op11_subvector_clusters, op12_minhash_fingerprints,
+                                   op13_cholesky_whitening)}
 ORACLE: dict[str, str] = {
     "op2_splitter_shards": r"""
 WITH tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),

@@ -92,57 +92,8 @@ def best_so_far(trials: DataFrame, value: str, order, study: str | None = None)
     """WN-2: running minimum of the objective over trial order (within a study).
 
     Window form, for studies of bounded size (a search has a trial budget).
-    ``running_min`` is the skew-safe form for unbounded groups.
+    ``ordered.running_min`` is the form for groups of any size.
     """
     order = [order] if isinstance(order, str) else list(order)
     w = Window.orderBy(*order) if study is None else Window.partitionBy(study).orderBy(*order)
     return F.min(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def slice_of(df: DataFrame, order: str, slice_rows: int) -> Column:
-    """Number of the stretch of ``order`` that a row falls into: a pure function of the row.
-    The literal boundaries are quantiles from one job; nulls come first, as they are sorted."""
-    x = F.col(order).cast("double")
-    rows = df.select(order).count()
-    n = min(MAX_SLICES, max(1, -(-rows // slice_rows)))
-    if n == 1:
-        return F.lit(0)
-    shares = [k / n for k in range(1, n)]
-    bounds = sorted(set(df.agg(F.percentile_approx(x, shares, 20 * n).alias("b")).first()["b"] or []))
-
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    return F.when(x.isNull(), F.lit(-1)).otherwise(place(0, len(bounds)))
-
-
-MAX_SLICES = 512
-
-
-def running_min(df: DataFrame, value: str, order: Sequence[str], group: str,
-                out: str = "best_value", slice_rows: int = 100_000) -> DataFrame:
-    """WN-2 as a parallel prefix scan that never puts one group in one task.
-
-    1. Every row names its slice, a stretch of the first order column (``slice_of``).
-    2. Running min inside each (group, slice).
-    3. Carry-in: min over the group's earlier slices, from a small per-slice table
-       (one row per group and slice) with its own window.
-    Result: least(slice running min, carry-in) == the running min over the whole group.
-    """
-    order = list(order)
-    parts = df.withColumn("_slice", slice_of(df, order[0], slice_rows))
-    local = F.min(value).over(Window.partitionBy(group, "_slice").orderBy(*order)
-                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summary = parts.groupBy(group, "_slice").agg(F.min(value).alias("_slice_min"))
-    carry = summary.select(
-        F.col(group).alias("_group"), F.col("_slice").alias("_at"), F.min("_slice_min").over(
-            Window.partitionBy(group).orderBy("_slice")
-            .rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    parts = parts.withColumn("_local", local)
-    return (parts.join(carry, F.col(group).eqNullSafe(F.col("_group"))
-                       & (F.col("_slice") == F.col("_at")), "left")
-            .withColumn(out, F.least(F.col("_local"), F.col("_carry")))
-            .drop("_slice", "_local", "_carry", "_group", "_at"))

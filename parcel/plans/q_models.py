@@ -15,6 +15,7 @@ from parcel.operators import fit as FIT
 from parcel.operators import metrics as M
 from parcel.operators import runs as RL
 from parcel.operators import split as SP
+from parcel.operators.ordered import SLICE_ROWS, running_min
 from parcel.plans.common import r6
 from parcel.sources.tables import table
 
@@ -196,10 +197,10 @@ def trial_sampling(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select("event_id", *cols)
 
 
-def best_so_far(spark: SparkSession, sf: str) -> DataFrame:
+def best_so_far(spark: SparkSession, sf: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """WN-2: running minimum of the objective per study (user) over trial order (ts, id)."""
     ev = table(spark, sf, "events")
-    out = RL.running_min(ev, "value", ["ts", "event_id"], "user_id", slice_rows=1_000)
+    out = running_min(ev, "value", ["ts", "event_id"], "user_id", slice_rows=slice_rows)
     return out.select("event_id", "user_id", "ts", "event_type", r6("value").alias("value"), "props",
                       r6("best_value").alias("best_value"))
 

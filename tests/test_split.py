@@ -23,27 +23,6 @@ def test_folds_cover_all_rows_once(spark):
     assert rep.where(F.col("cv_fold") == F.col("fold")).count() == 0
 
 
-def test_running_min_prefix_scan_equals_window(spark):
-    from parcel.operators import runs as RL
-    rows = [(k, None if k % 50 == 7 else k // 3, ("a", "b", None)[k % 7 % 3], float((k * 7919) % 1009),
-             f"extra{k}") for k in range(1500)]
-    df = spark.createDataFrame(rows, "t long, at long, study string, v double, note string")
-    key = lambda r: (r[1] is not None, r[1] or 0, r[0])
-    best, want = {}, {}
-    for r in sorted(rows, key=key):
-        best[r[2]] = min(best.get(r[2], r[3]), r[3])
-        want[r[0]] = best[r[2]]
-    before = spark.conf.get("spark.sql.exchange.reuse")
-    for reuse in ("true", "false"):
-        spark.conf.set("spark.sql.exchange.reuse", reuse)
-        for columns in (["t", "at", "study", "v"], ["t", "at", "study", "v", "note"]):
-            out = RL.running_min(df.select(*columns), "v", ["at", "t"], "study", slice_rows=40)
-            assert out.columns == [*columns, "best_value"]
-            assert {r["t"]: r["best_value"] for r in out.collect()} == want
-    spark.conf.set("spark.sql.exchange.reuse", before)
-    assert RL.running_min(df.where("false"), "v", ["t"], "study").count() == 0
-
-
 def test_run_family_of_an_unknown_name_stops(spark):
     import pytest
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +43,28 @@ def worker_cache(key, build):
     return _KEPT[key]
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends. For results that are stored: nothing
+    reads those files again, and Spark would else keep them until the driver's next collection."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder (reliable, never local). Spark removes
-    the files once nothing refers to the frame any more."""
+    the files once nothing refers to the frame any more. Go on with the result, not with ``df``:
+    the shuffles behind ``df`` are gone."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_released(df.sparkSession):
+        return df.checkpoint()
 
 
 def number_rows(docs: DataFrame, name: str) -> DataFrame:
@@ -57,5 +75,6 @@ def number_rows(docs: DataFrame, name: str) -> DataFrame:
     if any(re.search("void|interval|variant", kind) for _, kind in docs.dtypes):
         return cut(rows)
     path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/numbered/{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
+    with shuffles_released(docs.sparkSession):
+        rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)

@@ -48,8 +48,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def shuffles_released(spark: SparkSession):
-    """Shuffle files of what runs inside go when it ends. For results that are stored: nothing
-    reads those files again, and Spark would else keep them until the driver's next collection."""
+    """Shuffle files of frames made and run inside go when their job ends. For results that are
+    stored: nothing reads those files again, and Spark would else keep them until the driver's next
+    collection. (A frame takes the setting when it is made, hence the ``select`` below.)"""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -64,7 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
     the shuffles behind ``df`` are gone."""
     ensure_checkpoint_dir(df.sparkSession)
     with shuffles_released(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()
 
 
 def number_rows(docs: DataFrame, name: str) -> DataFrame:
@@ -76,5 +77,5 @@ def number_rows(docs: DataFrame, name: str) -> DataFrame:
         return cut(rows)
     path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/numbered/{uuid.uuid4().hex}"
     with shuffles_released(docs.sparkSession):
-        rows.write.option("compression", "zstd").parquet(path)
+        rows.select("*").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)

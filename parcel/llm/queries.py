@@ -85,7 +85,7 @@ def op12_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(fingerprints(docs), docs).select(
         "doc_id", "n_chars", "edited_sha256", hexed("places").alias("fingerprint"),
         hexed("edited_places").alias("edited_fingerprint"), "near_edited", "near_next",
-        "component_id", "n_links")
+        "group_id", "n_links")
 
 
 def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

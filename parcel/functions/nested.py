@@ -35,6 +35,11 @@ def indicator_name(item: str) -> str:
     return "has_" + item.replace(" ", "_")
 
 
+def indicator_item(name: str) -> str:
+    """The item behind an indicator column's name (items have spaces, no underscores)."""
+    return name.removeprefix("has_").replace("_", " ")
+
+
 def outdoor_field(c, key: str) -> Column:
     """NE-5: one outdoor-map value; NULL, blank or 'N/A' -> NULL, otherwise trimmed."""
     return F.trim(nullify_sentinels(_col(c).getItem(key)))

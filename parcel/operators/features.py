@@ -1,10 +1,10 @@
 """Engineered features (FE-*) and the fit/transform feature pipeline (FE-8/9/10).
 
 ``fit_features`` runs a handful of aggregation jobs on the training rows and
-returns a JSON-serialisable ``FeatureMeta``; ``transform_features`` is a pure
-projection that applies the same meta to any split, a batch to score, or a
-stream. There is no pivot at transform time: every data-dependent column set
-(vocabulary, one-hot levels, log columns) is fixed in the meta.
+returns a JSON-serialisable ``FeatureMeta``; ``transform_features`` applies the
+same meta to any split, a batch to score, or a micro-batch. There is no pivot at
+transform time: every data-dependent column set (one-hot levels, log columns) is
+fixed in the meta. ``fit_fold_features`` fits one meta per fold in the same jobs.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcel.functions import geo as G
 from parcel.functions import parse as P
 from parcel.operators import fit as FIT
+from parcel.operators import folds as FO
+from parcel.operators import geo_join as GJ
+from parcel.operators import quantiles as Q
+from parcel.sources.store import scratch, scratch_path
 
 # Fixed values that must match the reference's results.
 ENERGY_ORDER = ["G", "F", "E", "D", "C", "B", "A", "A+", "A++", "A+++", "A++++"]
@@ -32,6 +35,9 @@ DEFAULT_FLAGS = ["has_mechanische_ventilatie", "has_tv_kabel", "has_lift",
                  "has_natuurlijke_ventilatie", "has_schuifpui", "has_glasvezelkabel",
                  "has_frans_balkon", "has_buitenzonwering", "has_zonnepanelen",
                  "has_airconditioning", "has_domotica", "has_sauna", "has_zwembad"]
+FOLD_FLAGS = DEFAULT_FLAGS + ["has_balansventilatie", "has_dakraam", "has_alarminstallatie",
+                              "has_rookkanaal", "has_elektra", "has_cctv", "has_rolluiken",
+                              "has_stromend_water", "has_satellietschotel"]
 EXTRA_FEATURES = ["floor_level", "lease_years_remaining", "backyard_num", "balcony_flag",
                   "energy_label_encoded", "luxury_score", "num_luxury_facilities",
                   "has_high_end_facilities", "luxury_density", "size_per_luxury",
@@ -102,7 +108,7 @@ def luxury_features(df: DataFrame) -> DataFrame:
 def luxury_interactions(df: DataFrame) -> DataFrame:
     """FE-7: luxury score x price/m², x size, x inhabitants (needs FE-6 first)."""
     if "luxury_score" not in df.columns:
-        raise ValueError("Run luxury_features before luxury_interactions")
+        raise ValueError("luxury_interactions builds on the columns of luxury_features")
     s = F.col("luxury_score")
     return df.withColumns({
         "luxury_x_price_m2": s * F.col("price_per_m2_neighborhood").cast("double"),
@@ -171,18 +177,24 @@ CATEGORICALS = {"postal_district": "postal_district", "status_cat": "status",
 
 
 # ---------------------------------------------------------------------------- pipeline
+GEO_FEATURES = ["lat", "lon", "lat_lon_missing", "dist_to_center_bin_encoded"]
+CENTROID_KEYS = ["postal_code_clean", "neighborhood"]
+
+
 @dataclass
 class FeatureMeta:
-    """Everything ``transform_features`` needs; JSON-serialisable."""
+    """Everything ``transform_features`` needs; JSON-serialisable. Scalars and short lists are in
+    the meta itself; state that grows with the data (coordinates, centroids, the amenity index) is
+    in written tables that it names, so batches, streams and single rows join the same ones."""
     numeric_features: list[str]
     binary_flags: list[str]
     train_medians: dict[str, float | None]
     log_cols: list[str]
     ohe_levels: dict[str, list[str]]
-    dropped_ohe_columns: list[str]
-    ohe_columns: list[str]
     current_year: int = CURRENT_YEAR
-    expanded_features: list[str] = field(default_factory=lambda: list(EXPANSION_FEATURES))
+    extended: bool = True
+    tables: dict[str, str] = field(default_factory=dict)
+    amenities: dict | None = None
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -191,6 +203,23 @@ class FeatureMeta:
     def from_json(text: str) -> "FeatureMeta":
         return FeatureMeta(**json.loads(text))
 
+    @property
+    def ohe_columns(self) -> list[str]:
+        return [FIT.one_hot_name(c, lv) for c, lvs in self.ohe_levels.items() for lv in lvs]
+
+    @property
+    def count_columns(self) -> list[str]:
+        """Amenity counts; ``keep`` may name them, the features are their bins."""
+        radius = self.amenities["radius_km"] if self.amenities else {}
+        return [GJ.count_column(t, r) for t, rs in radius.items() for r in rs]
+
+    @property
+    def expanded_features(self) -> list[str]:
+        if not self.extended:
+            return []
+        return (EXPANSION_FEATURES + (GEO_FEATURES if self.tables else [])
+                + [f"{c}_bin_encoded" for c in self.count_columns])
+
     @property
     def feature_columns(self) -> list[str]:
         return (self.numeric_features + self.log_cols + self.binary_flags + EXTRA_FEATURES
@@ -215,46 +244,96 @@ def _is_numeric(df: DataFrame, c: str) -> bool:
 
 
 def fit_features(train: DataFrame, numeric: Sequence[str] = DEFAULT_NUMERIC,
-                 flags: Sequence[str] = DEFAULT_FLAGS, threshold_skew: float = 0.5,
-                 low_variance: float = 0.95, current_year: int = CURRENT_YEAR,
-                 exact: bool = True) -> FeatureMeta:
-    """FE-8: fit medians, log columns, one-hot levels and the low-variance drop on train."""
+                 flags: Sequence[str] = DEFAULT_FLAGS, **options) -> FeatureMeta:
+    """FE-8: fit medians, log columns, one-hot levels without constant ones and, given
+    ``geo``, coordinate centroids on the training rows."""
+    return _fit(train, None, [None], numeric, flags, **options)[None]
+
+
+def fit_fold_features(df: DataFrame, fold: str, k: int, numeric: Sequence[str] = DEFAULT_NUMERIC,
+                      flags: Sequence[str] = FOLD_FLAGS, **options) -> list[FeatureMeta]:
+    """FE-10: one meta per fold, fitted on the rows of the other folds, by the same number of
+    jobs as one fit: every statistic is summarised per fold and added up over the others."""
+    metas = _fit(df, fold, list(range(k)), numeric, flags, **options)
+    return [metas[f] for f in range(k)]
+
+
+def _fit(df: DataFrame, fold: str | None, targets: list, numeric: Sequence[str], flags: Sequence[str],
+         threshold_skew: float = 0.5, low_variance: float = 0.95, current_year: int = CURRENT_YEAR,
+         extended: bool = True, geo: DataFrame | None = None, amenities: DataFrame | None = None,
+         radius_km: dict[str, Sequence[float]] = GJ.AMENITY_RADIUS_KM, state_dir: str | None = None
+         ) -> dict:
+    """``geo``: address -> coordinate observations (the distance features); ``amenities``: points of
+    interest (their counts; they need ``geo``). ``state_dir`` names the folder of the state's tables."""
     numeric, flags = list(numeric), list(flags)
-    # The fit runs a handful of aggregation jobs over the same rows: keep them
-    # (memory, spilling to disk) for the duration of the fit only.
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        parsed = train.select(*[P.to_float(F.col(c), numeric=_is_numeric(train, c)).alias(c)
-                                for c in numeric])
-        med = FIT.medians(parsed, numeric, exact=exact)
-        base = _base_features(train, numeric, flags, med, current_year)
-        log_cols = FIT.fit_log_columns(base, numeric, threshold_skew)
-        levels = FIT.fit_one_hot(base, list(CATEGORICALS))
-        with_ohe = FIT.apply_one_hot(base, levels)
-        ohe_cols = [FIT.one_hot_name(c, lv) for c, lvs in levels.items() for lv in lvs]
-        dropped = FIT.fit_low_variance(with_ohe, ohe_cols, low_variance)
-    finally:
-        train.unpersist()
-    kept = [c for c in ohe_cols if c not in dropped]
-    return FeatureMeta(numeric, flags, med, log_cols, levels, dropped, kept, current_year)
+    with_geo = extended and geo is not None
+    if amenities is not None and extended and not with_geo:
+        raise ValueError("amenity counts need coordinates: give geo as well")
+    state = state_dir or scratch_path(df.sparkSession, "parcel_feature_state")
+    parsed = {c: P.to_float(F.col(c), numeric=_is_numeric(df, c)) for c in numeric}
+    # the fitted columns are parsed and written once; every job below reads that narrow table
+    places = [c for c in ("address", *CENTROID_KEYS) if with_geo]
+    narrow = categorical_columns(df).select(
+        (F.lit(0) if fold is None else F.col(fold).cast("int")).alias("_part"),
+        *[parsed[c].alias(c) for c in numeric], *CATEGORICALS, *places)
+    with scratch(narrow) as rows:
+        medians = Q.exact(rows, numeric, [0.5], None if fold is None else "_part", len(targets))
+        stats, count = FO.moments(rows, numeric, "_part")
+        levels = FIT.one_hot_levels(rows, list(CATEGORICALS), targets, count, low_variance)
+        tables, spec = {}, None
+        if with_geo:
+            tables["coordinates"] = f"{state}/coordinates"
+            GJ.dedupe_geo_dim(geo).write.parquet(tables["coordinates"])
+            known = GJ.attach_coordinates(rows, df.sparkSession.read.parquet(tables["coordinates"]))
+            for key in CENTROID_KEYS:
+                tables[key] = f"{state}/{key}"
+                GJ.fold_centroids(known, key, "_part", targets).write.partitionBy("target").parquet(tables[key])
+            if amenities is not None:
+                index, spec = GJ.build_amenity_index(amenities, radius_km)
+                tables["amenity_index"] = f"{state}/amenity_index"
+                index.write.parquet(tables["amenity_index"])
+    metas = {}
+    for t in targets:
+        middle = {c: medians[t][c][0] for c in numeric}
+        rows_of = sum(n for p, n in count.items() if p != t)
+        logs = [f"log_{c}" for c in numeric
+                if _log_helps(FO.others(stats[c], t, FO.Moments()), middle[c], rows_of, threshold_skew)]
+        own = {k: f"{v}/target={-1 if t is None else t}" if k in CENTROID_KEYS else v for k, v in tables.items()}
+        metas[t] = FeatureMeta(numeric, flags, middle, logs, levels[t], current_year, extended, own, spec)
+    return metas
+
+
+def _log_helps(known: "FO.Moments", median: float | None, rows: int, threshold: float) -> bool:
+    """IM-3 on the imputed column: its known values and the median in place of the others."""
+    filled = known + FO.Moments.repeated(median, rows - known.n)
+    return filled.n == rows and filled.lo > 0 and filled.skew is not None and abs(filled.skew) > threshold
+
+
+def attach_geo(df: DataFrame, meta: FeatureMeta) -> DataFrame:
+    """FE-15: coordinates by address, the state's centroids where there are none, the distance bin,
+    amenity counts and their bins."""
+    read = df.sparkSession.read.parquet
+    out = GJ.attach_coordinates(df, read(meta.tables["coordinates"]))
+    out = GJ.fill_coordinates(out, *(read(meta.tables[k]) for k in CENTROID_KEYS))
+    out = out.withColumn("dist_to_center_bin_encoded", G.distance_to_center_bin("lat", "lon"))
+    if meta.amenities:
+        out = GJ.amenity_counts(out, read(meta.tables["amenity_index"]), meta.amenities)
+    return out
 
 
 def transform_features(df: DataFrame, meta: FeatureMeta, keep: Sequence[str] = ()) -> DataFrame:
-    """FE-9: apply a fitted meta to any split / batch / stream (pure projection)."""
+    """FE-9: apply a fitted meta to any split, batch or micro-batch: a projection, and joins with
+    the state's tables where the meta has some."""
     out = _base_features(df, meta.numeric_features, meta.binary_flags, meta.train_medians,
                          meta.current_year)
     out = FIT.apply_log(out, meta.log_cols)
-    levels = {c: [lv for lv in lvs if FIT.one_hot_name(c, lv) in meta.ohe_columns]
-              for c, lvs in meta.ohe_levels.items()}
-    out = FIT.apply_one_hot(out, levels)
-    out = expansion_features(out.withColumn("year_of_construction",
-                                            _num(out, "year_of_construction",
-                                                 float(meta.current_year))),
-                             meta.current_year)
+    out = FIT.apply_one_hot(out, meta.ohe_levels)
+    if meta.extended:
+        out = expansion_features(out.withColumn("year_of_construction",
+                                                _num(out, "year_of_construction",
+                                                     float(meta.current_year))),
+                                 meta.current_year)
+        if meta.tables:
+            out = attach_geo(out, meta)
     cols = [F.col(c).cast("double").alias(c) for c in meta.feature_columns]
-    return out.select(*[F.col(k) for k in keep], *cols)
-
-
-def geo_features(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """GE-2 as a feature: distance-to-centre bin code."""
-    return df.withColumn("dist_to_center_bin_encoded", G.distance_to_center_bin(lat, lon))
+    return out.select(*[F.col(k) for k in keep if k not in meta.feature_columns], *cols)

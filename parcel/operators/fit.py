@@ -4,200 +4,51 @@ Each ``fit_*`` returns small, JSON-serialisable state (numbers, short lists);
 each ``apply_*`` is a pure column transform. Statistics for many columns are
 folded into one ``agg`` so a fit costs one scan, not one scan per column.
 
-Exact quantiles never buffer a whole column in one task: ``exact_quantiles``
-brackets each wanted rank with ``percentile_approx`` (bounded sketches that
-merge partially), verifies every bracket with exact counts, narrows until a
-bracket holds few distinct values, and only then collects that bracket as
-``(value, count)`` pairs. A value repeated in a third of all rows is one pair.
+Exact quantiles (``quantiles.exact``) never buffer a whole column in one task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcel.functions.nested import indicator_name
+from parcel.operators import levels as LV
+from parcel.operators import quantiles as Q
+from parcel.sources.store import scratch
 
 
 # ----------------------------------------------------------------------------
 # quantiles
 # ----------------------------------------------------------------------------
 
-def _interp(lo: float, hi: float, frac: float) -> float:
-    return lo + (hi - lo) * frac if frac else lo
-
-
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
-                    accuracy: int = 10_000, collect_limit: int = 100_000,
-                    max_levels: int = 24) -> list[float | None]:
+                    **options) -> list[float | None]:
     """Exact linear-interpolation quantiles (same as ``percentile`` / ``quantile_cont``).
 
     NULL and NaN are ignored. Returns one value per probability (None when
-    the column has no values).
+    the column has no values). ``options`` as in ``quantiles.exact``.
     """
     src = F.col(col) if isinstance(col, str) else col
     name = col if isinstance(col, str) else "_q"
-    return exact_quantiles_multi(df.select(src.alias(name)), [name], probs, accuracy,
-                                 collect_limit, max_levels)[name]
-
-
-def _plan(n: int, probs: Sequence[float]):
-    wanted: dict[int, float] = {}
-    plan = []
-    for p in probs:
-        h = p * (n - 1)
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        plan.append((lo, hi, h - lo))
-        wanted.setdefault(lo, p)
-        wanted.setdefault(hi, p)
-    return wanted, plan
+    return exact_quantiles_multi(df.select(src.alias(name)), [name], probs, **options)[name]
 
 
 def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                          accuracy: int = 10_000, collect_limit: int = 100_000,
-                          max_levels: int = 24, collect_budget: int = 400_000
-                          ) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns.
-
-    Job 1 computes, for every column at once, the count, an approximate
-    distinct count and bracketing ``percentile_approx`` sketches. Columns
-    with few distinct values (within ``collect_budget`` in total) are then
-    resolved together by one grouped ``(column, value, count)`` collect;
-    the others go through verified bracket refinement (``_refine``).
-    """
-    probs = [float(p) for p in probs]
-    cols = list(cols)
-    if not cols:
-        return {}
-    m = 4.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-m, 0.0, m)})
-    vals = {c: F.col(c).cast("double") for c in cols}
-    clean = {c: F.when(~F.isnan(v), v) for c, v in vals.items()}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(clean[c]).alias(f"n{i}"), F.approx_count_distinct(clean[c]).alias(f"d{i}"),
-                 F.percentile_approx(clean[c], grid, accuracy).alias(f"q{i}")]
-    row = df.agg(*aggs).first()
-    out: dict[str, list[float | None]] = {}
-    small, big = [], []
-    budget = collect_budget
-    for i, c in enumerate(cols):
-        n, d = row[f"n{i}"], row[f"d{i}"]
-        if not n:
-            out[c] = [None] * len(probs)
-        elif d <= collect_limit and d <= budget:
-            small.append((i, c, n))
-            budget -= d
-        else:
-            big.append((i, c, n))
-    if small:
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), clean[c].alias("v")) for i, c, _ in small])).alias("s"))
-        pairs = (long.where(F.col("s.v").isNotNull()).groupBy("s.i", "s.v")
-                 .agg(F.count(F.lit(1)).alias("c")).collect())
-        by_col: dict[int, list] = {}
-        for p in pairs:
-            by_col.setdefault(p["i"], []).append((p["v"], p["c"]))
-        for i, c, n in small:
-            wanted, plan = _plan(n, probs)
-            found = _pick(sorted(by_col.get(i, [])), wanted)
-            out[c] = [_interp(found[lo], found[hi], fr) for lo, hi, fr in plan]
-    for i, c, n in big:
-        base = df.select(clean[c].alias("v")).where(F.col("v").isNotNull())
-        q0 = dict(zip(grid, row[f"q{i}"]))
-        wanted, plan = _plan(n, probs)
-        found = _refine(base, wanted, q0, m, accuracy, collect_limit, max_levels)
-        out[c] = [_interp(found[lo], found[hi], fr) for lo, hi, fr in plan]
-    return out
-
-
-def _pick(sorted_pairs: list, ranks, below: int = 0) -> dict[int, float]:
-    """Value at each 0-based rank from sorted (value, count) pairs starting at ``below``."""
-    found = {}
-    targets = sorted(ranks)
-    j, seen = 0, below
-    for val, cnt in sorted_pairs:
-        while j < len(targets) and targets[j] < seen + cnt:
-            found[targets[j]] = val
-            j += 1
-        seen += cnt
-        if j == len(targets):
-            break
-    return found
-
-
-def _refine(base: DataFrame, wanted: dict[int, float], q0: dict, m: float, accuracy: int,
-            collect_limit: int, max_levels: int) -> dict[int, float]:
-    """Narrow verified brackets around each wanted rank until they are small enough."""
-    v = F.col("v")
-    inf = math.inf
-    clamp = lambda x: min(1.0, max(0.0, x))
-    cur = {r: (q0[clamp(p - m)], q0[clamp(p + m)]) for r, p in wanted.items()}
-    parent = {r: (-inf, inf) for r in wanted}
-    margin = {r: m for r in wanted}
-    found: dict[int, float] = {}
-    for _ in range(max_levels):
-        if not cur:
-            return found
-        ranks = list(cur)
-        aggs = []
-        for i, r in enumerate(ranks):
-            lo, hi = cur[r]
-            inb = (v >= lo) & (v <= hi)
-            aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if(inb).alias(f"c{i}"),
-                     F.approx_count_distinct(F.when(inb, v)).alias(f"d{i}")]
-        stats = base.agg(*aggs).first()
-        done, refine = {}, {}
-        for i, r in enumerate(ranks):
-            below, inside, dist = stats[f"b{i}"], stats[f"c{i}"], stats[f"d{i}"]
-            if not (below <= r < below + inside):
-                # The sketch missed: fall back to the verified parent and widen.
-                margin[r] *= 4
-                cur[r] = parent[r]
-                continue
-            if dist <= collect_limit:
-                done[r] = (cur[r][0], cur[r][1], below)
-            else:
-                refine[r] = (below, inside)
-        if done:
-            cond = None
-            for lo, hi, _ in done.values():
-                c = (v >= lo) & (v <= hi)
-                cond = c if cond is None else cond | c
-            pairs = sorted((p["v"], p["c"]) for p in base.where(cond).groupBy("v")
-                           .agg(F.count(F.lit(1)).alias("c")).collect())
-            for r, (lo, hi, below) in done.items():
-                inside = [(val, cnt) for val, cnt in pairs if lo <= val <= hi]
-                found.update(_pick(inside, [r], below))
-                cur.pop(r)
-        if refine:
-            aggs, order = [], []
-            for r, (below, inside) in refine.items():
-                lo, hi = cur[r]
-                rel = (r - below) / max(inside - 1, 1)
-                ps = [clamp(rel - margin[r]), clamp(rel + margin[r])]
-                inb = (v >= lo) & (v <= hi)
-                aggs.append(F.percentile_approx(F.when(inb, v), ps, accuracy)
-                            .alias(f"q{len(order)}"))
-                order.append(r)
-            qs = base.agg(*aggs).first()
-            for i, r in enumerate(order):
-                parent[r] = cur[r]
-                cur[r] = tuple(qs[f"q{i}"])
-    if cur:
-        raise RuntimeError("exact_quantiles did not converge; raise collect_limit")
-    return found
+                          **options) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns, all refined together (``quantiles.exact``)."""
+    return Q.exact(df, cols, probs, **options)[None]
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               exact: bool = True, accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """Quantiles for several columns: exact (default) or one approximate job."""
     if exact:
-        return exact_quantiles_multi(df, cols, probs, accuracy=accuracy)
+        return exact_quantiles_multi(df, cols, probs)
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(c)
                    for c in cols]).first()
     return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
@@ -223,7 +74,7 @@ def fit_impute(df: DataFrame, strategies: dict[str, str], exact: bool = True) ->
         elif s.startswith("constant:"):
             values[c] = float(s.split(":", 1)[1])
         else:
-            raise ValueError(f"Unknown imputation strategy: {s}")
+            raise ValueError(f"{c}: {s!r} is no way to impute (median, mean or constant:<number>)")
     if mean_cols:
         row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in mean_cols]).first()
         values.update({c: row[c] for c in mean_cols})
@@ -318,43 +169,43 @@ def apply_scaler(df: DataFrame, state: dict[str, tuple[float, float]],
 # vocabularies (NE-2, FE-3)
 # ----------------------------------------------------------------------------
 
-MAX_LEVELS = 10_000
-
-
-def fit_vocabulary(df: DataFrame, list_col: str, min_count: int = 1,
-                   top_k: int | None = None) -> list[str]:
-    """NE-2: items of an array column by descending frequency (ties by item).
-
-    ``top_k`` is a caller's explicit choice (the reference keeps all items);
-    without it the vocabulary must stay under ``MAX_LEVELS`` or the fit fails
-    rather than silently dropping items.
-    """
-    counts = (df.select(F.explode(F.col(list_col)).alias("item"))
-                .groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") >= min_count)
-                .orderBy(F.desc("n"), F.asc("item")))
-    limit = top_k if top_k is not None else MAX_LEVELS + 1
-    rows = counts.limit(limit).collect()
-    if top_k is None and len(rows) > MAX_LEVELS:
-        raise ValueError(f"vocabulary of {list_col} exceeds {MAX_LEVELS} items")
-    return [r["item"] for r in rows]
-
-
-def fit_one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True
-                ) -> dict[str, list[str]]:
-    """FE-3: sorted levels per column (first dropped), from one unpivot + distinct."""
-    if not cols:
-        return {}
-    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-              .unpivot([], list(cols), "name", "level")
-              .where(F.col("level").isNotNull()).distinct())
-    rows = long.limit(MAX_LEVELS * len(cols) + 1).collect()
-    if len(rows) > MAX_LEVELS * len(cols):
-        raise ValueError("too many one-hot levels")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        out[r["name"]].append(r["level"])
-    return {c: sorted(v)[1 if drop_first else 0:] for c, v in out.items()}
+def fit_vocabulary(df: DataFrame, list_col: str, min_count: int = 1) -> DataFrame:
+    """NE-2: items of an array column as a table (name, level, n, code), codes by descending
+    frequency (ties by item). ``levels.most_frequent`` names as many as a caller asks for."""
+    return LV.dictionary(LV.count_items(df, list_col), min_count)
+
+
+def fit_one_hot(df: DataFrame, cols: Sequence[str], low_variance: float = 0.95,
+                drop_first: bool = True) -> dict[str, list[str]]:
+    """FE-3 + IM-5: sorted levels per column that get an indicator: not the first level, and
+    not one whose indicator would be constant in ``low_variance`` of the rows."""
+    return one_hot_levels(df.withColumn("_part", F.lit(0)), cols, [None], {0: df.count()}, low_variance,
+                          drop_first)[None] if cols else {}
+
+
+def one_hot_levels(rows: DataFrame, cols: Sequence[str], targets: Sequence, count: dict[int, int],
+                   low_variance: float, drop_first: bool = True) -> dict:
+    """``fit_one_hot`` for the rows of all parts but one, for every part in ``targets`` (None: no part
+    left out), from one count of (part, level). Only levels whose share lies within the bounds in some
+    target reach the driver: fewer than 1 / (1 - low_variance) a column and target."""
+    n = F.col("n")
+    own = [n if t is None else F.when(F.col("_part") != t, n) for t in targets]
+    wide = LV.count_levels(rows, cols, by="_part").groupBy("name", "level").agg(*[
+        F.coalesce(F.sum(o), F.lit(0)).alias(f"n{j}") for j, o in enumerate(own)])
+    total = [sum(v for p, v in count.items() if p != t) for t in targets]
+    share = lambda j: F.col(f"n{j}") / F.lit(float(max(total[j], 1)))
+    kept = lambda x: (x < low_variance) & (1.0 - x < low_variance)
+    any_kept = reduce(lambda a, b: a | b, [kept(share(j)) for j in range(len(targets))])
+    out = {t: {c: [] for c in cols} for t in targets}
+    with scratch(wide) as table:
+        first = {r["name"]: r for r in table.groupBy("name").agg(*[F.min(F.when(
+            F.col(f"n{j}") > 0, F.col("level"))).alias(f"f{j}") for j in range(len(targets))]).collect()}
+        for r in table.where(any_kept).orderBy("name", "level").collect():
+            for j, t in enumerate(targets):
+                if kept(r[f"n{j}"] / max(total[j], 1)) and not (
+                        drop_first and r["level"] == first[r["name"]][f"f{j}"]):
+                    out[t][r["name"]].append(r["level"])
+    return {t: {c: sorted(v) for c, v in by.items()} for t, by in out.items()}
 
 
 def one_hot_name(col: str, level: str) -> str:

@@ -4,15 +4,13 @@
   (partial aggregation), not a window: an address that holds a third of all
   rows collapses map-side instead of landing in one task.
 * The radius join is a grid-cell equi-join over distinct coordinates, one grid for each
-  largest radius R of a type: amenities are replicated into the 3x3 neighbouring cells of
-  size R, points keep one cell, the exact haversine filter runs on the candidate pairs, and counts
-  are aggregated per point before joining back. No cross join, no collect.
-  Dense cells are split on both sides (fragment-and-replicate): a cell with
-  more than ``hot_rows`` points is cut into hash slices of points, each
-  paired with a copy of the cell's amenities, and likewise for amenity-dense
-  cells, so one cell holding a third of all rows spreads over many tasks.
-  The hot-cell table is bounded by construction (cells above N / MAX_HOT_CELLS
-  rows) and is the only broadcast.
+  largest radius R of a type. The amenities are indexed once: every cell of size R lists what its
+  3x3 neighbourhood holds, in chunks of CHUNK_POINTS where that is much. A point looks up its own
+  cell, the exact haversine filter runs on the candidates, and counts are aggregated per coordinate
+  before joining back. The index is a table that batches and micro-batches share.
+  A cell with more than ``hot_rows`` points is cut into hash slices of points, each joined with
+  its own copy of the cell's chunks; the table of such cells is bounded by construction (cells
+  above N / MAX_HOT_CELLS points) and is the only broadcast.
 """
 
 from __future__ import annotations
@@ -35,10 +33,13 @@ AMENITY_RADIUS_KM = {
 # 110 km per degree is deliberately below the true ~111.2: cells are never
 # smaller than the radius, so the 3x3 neighbourhood always covers it.
 KM_PER_DEGREE_LOWER = 110.0
-# A join slice holds at most about this many rows of one side of one cell ...
+# A join slice holds at most about this many points of one cell ...
 HOT_CELL_ROWS = 200_000
-# ... raised so that at most this many cells per side count as hot (broadcast bound).
+# ... raised so that at most this many cells count as hot (broadcast bound).
 MAX_HOT_CELLS = 10_000
+# Amenities packed into one index row, about.
+CHUNK_POINTS = 4_096
+CELL = ["grid", "cy", "cx"]
 
 
 def dedupe_geo_dim(geo: DataFrame, key: str = "address") -> DataFrame:
@@ -57,12 +58,24 @@ def attach_coordinates(df: DataFrame, geo_dim: DataFrame, key: str = "address")
 
 
 def centroids(df: DataFrame, key: str) -> DataFrame:
-    """AG-1: mean lat/lon per key over rows with both coordinates."""
+    """AG-1: mean lat/lon per key over rows with both coordinates. Fit it on training rows."""
     return (df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()
                      & F.col(key).isNotNull())
             .groupBy(key).agg(F.avg("lat").alias(f"{key}_lat"), F.avg("lon").alias(f"{key}_lon")))
 
 
+def fold_centroids(df: DataFrame, key: str, part: str, targets: Sequence) -> DataFrame:
+    """``centroids`` of the rows of all parts but one, for each part in ``targets`` (None: of all
+    rows), by one aggregation: (target, key, <key>_lat, <key>_lon)."""
+    own = lambda c, t: F.col(c) if t is None else F.when(F.col(part) != t, F.col(c))
+    sums = (df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col(key).isNotNull())
+            .groupBy(key).agg(*[f(own(c, t)).alias(f"{c}{j}") for j, t in enumerate(targets)
+                                for f, c in ((F.avg, "lat"), (F.avg, "lon"))]))
+    each = F.array(*[F.struct(F.lit(-1 if t is None else t).alias("target"), F.col(f"lat{j}").alias(f"{key}_lat"),
+                              F.col(f"lon{j}").alias(f"{key}_lon")) for j, t in enumerate(targets)])
+    return sums.select(key, F.inline(each)).where(F.col(f"{key}_lat").isNotNull())
+
+
 def fill_coordinates(df: DataFrame, postal: DataFrame | None, neighbourhood: DataFrame | None,
                      postal_key: str = "postal_code_clean", nb_key: str = "neighborhood",
                      center=G.CITY_CENTER) -> DataFrame:
@@ -98,94 +111,76 @@ def count_column(amenity: str, r_km: float) -> str:
     return f"count_{amenity}_within_{int(r_km * 1000)}m"
 
 
-def _hot_cells(pts: DataFrame, amen9: DataFrame, n_pts: int, n_amen9: int,
-               hot_rows: int) -> DataFrame:
-    """Cells needing a split: (cy, cx, p_slices, a_slices), at most 2 * MAX_HOT_CELLS rows.
-
-    A side's threshold is max(hot_rows, N / MAX_HOT_CELLS); no more than
-    N / threshold cells can exceed it, which bounds the table whatever the data.
-    """
-    t_p = max(hot_rows, math.ceil(n_pts / MAX_HOT_CELLS))
-    t_a = max(hot_rows, math.ceil(n_amen9 / MAX_HOT_CELLS))
-    hp = (pts.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("np"))
-          .where(F.col("np") > t_p))
-    ha = (amen9.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("na"))
-          .where(F.col("na") > t_a))
-    return (hp.join(ha, ["cy", "cx"], "full")
-            .select("cy", "cx",
-                    F.greatest(F.lit(1), F.ceil(F.coalesce("np", F.lit(0)) / t_p))
-                    .cast("int").alias("p_slices"),
-                    F.greatest(F.lit(1), F.ceil(F.coalesce("na", F.lit(0)) / t_a))
-                    .cast("int").alias("a_slices")))
-
-
-def _slice(df: DataFrame, hot: DataFrame, own: str, other: str, key: Column) -> DataFrame:
-    """Own slice from a hash of the row key; one copy per slice of the other side."""
-    return (df.join(F.broadcast(hot), ["cy", "cx"], "left")
-            .withColumn(own, F.pmod(F.xxhash64(key), F.coalesce(f"{own}s", F.lit(1))))
-            .withColumn(other, F.explode(F.sequence(F.lit(0),
-                                                    F.coalesce(f"{other}s", F.lit(1)) - 1)))
-            .drop("p_slices", "a_slices"))
+def build_amenity_index(amenities: DataFrame, radius_km: dict[str, Sequence[float]] = AMENITY_RADIUS_KM,
+                        chunk: int = CHUNK_POINTS) -> tuple[DataFrame, dict]:
+    """Cell index of amenities: (grid, cy, cx, points), where ``points`` packs what can lie within the
+    grid's largest radius of a point in the cell, in chunks of about ``chunk`` for dense cells. There is
+    one grid per largest radius of a type. The second result says how points find their cells."""
+    types = list(radius_km)
+    code = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("amenity_type")) - 1
+    rows = (amenities.where(F.col("amenity_type").isin(types) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+            .groupBy(code.cast("int").alias("t"), "lat", "lon").agg(F.count(F.lit(1)).alias("n")))
+    widest = amenities.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    largest = sorted({max(rs) for rs in radius_km.values()})
+    # a point within reach of an amenity lies at most this far from the equator
+    lat_max = min(widest + largest[-1] / KM_PER_DEGREE_LOWER, 89.0)
+    spec = {"radius_km": {t: list(rs) for t, rs in radius_km.items()}, "lat_max": lat_max}
+    near = [F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox")) for oy in (-1, 0, 1) for ox in (-1, 0, 1)]
+    grid_of = F.array(*[F.lit(largest.index(max(radius_km[t]))) for t in types])
+    placed = rows.withColumn("grid", F.get(grid_of, F.col("t"))).withColumn("o", F.explode(F.array(*near)))
+    cy, cx = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for g, (dy, dx) in enumerate(_cell_sizes(spec)):
+        cy = F.when(F.col("grid") == g, F.floor(F.col("lat") / dy) + F.col("o.oy")).otherwise(cy)
+        cx = F.when(F.col("grid") == g, F.floor(F.col("lon") / dx) + F.col("o.ox")).otherwise(cx)
+    placed = placed.select("grid", cy.alias("cy"), cx.alias("cx"), "t", "lat", "lon", "n")
+    dense = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > chunk)
+    part = F.pmod(F.xxhash64("t", "lat", "lon"), F.ceil(F.coalesce("_m", F.lit(1)) / chunk))
+    index = placed.join(dense, CELL, "left").withColumn("_chunk", part).groupBy(*CELL, "_chunk").agg(
+        F.collect_list(F.struct("t", "lat", "lon", "n")).alias("points"))
+    return index.drop("_chunk"), spec
+
+
+def _cell_sizes(spec: dict) -> list[tuple[float, float]]:
+    """Cell height and width in degrees per grid."""
+    narrow = math.cos(math.radians(spec["lat_max"]))
+    return [(r / KM_PER_DEGREE_LOWER, r / (KM_PER_DEGREE_LOWER * narrow))
+            for r in sorted({max(rs) for rs in spec["radius_km"].values()})]
+
+
+def amenity_counts(points: DataFrame, index: DataFrame, spec: dict, bins: bool = True,
+                   hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+    """JN-3 + GE-3 through a prebuilt index: ``points`` (lat, lon, ...) plus the number of amenities
+    of each type within each radius (inclusive), 0 for points without coordinates and for types
+    without amenities. Points look up their own cell only; nothing is replicated per batch."""
+    cells = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct().select(
+            "p_lat", "p_lon", F.inline(F.array(*[F.struct(
+                F.lit(g).alias("grid"), F.floor(F.col("p_lat") / dy).alias("cy"),
+                F.floor(F.col("p_lon") / dx).alias("cx"))
+                for g, (dy, dx) in enumerate(_cell_sizes(spec))])))
+    cells = scratch_table(cells)
+    limit = max(hot_rows, math.ceil(cells.count() / MAX_HOT_CELLS))
+    # cells of very many points, at most MAX_HOT_CELLS of them, are joined in slices of points
+    hot = F.broadcast(cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+                      .select(*CELL, F.ceil(F.col("_n") / limit).cast("int").alias("_slices")))
+    slices = F.coalesce("_slices", F.lit(1))
+    mine = cells.join(hot, CELL, "left").withColumn("_slice", F.pmod(F.xxhash64("p_lat", "p_lon"), slices).cast("int"))
+    theirs = index.join(hot, CELL, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    near = mine.join(theirs, [*CELL, "_slice"]).select("p_lat", "p_lon", F.inline("points")).withColumn(
+        "d_km", G.haversine_m("p_lat", "p_lon", "lat", "lon") / 1000.0)
+    cols = [(i, t, r) for i, (t, rs) in enumerate(spec["radius_km"].items()) for r in rs]
+    counts = near.groupBy("p_lat", "p_lon").agg(*[
+        F.sum(F.when((F.col("t") == i) & (F.col("d_km") <= r), F.col("n")).otherwise(0)).cast("bigint")
+        .alias(count_column(t, r)) for i, t, r in cols])
+    names = [count_column(t, r) for _, t, r in cols]
+    out = points.join(counts, (F.col("lat") == F.col("p_lat")) & (F.col("lon") == F.col("p_lon")), "left").drop(
+        "p_lat", "p_lon").na.fill(0, names)
+    return out.withColumns({f"{c}_bin_encoded": G.count_bin(F.col(c)) for c in names}) if bins else out
 
 
 def radius_counts(points: DataFrame, amenities: DataFrame,
-                  radius_km: dict[str, Sequence[float]] = AMENITY_RADIUS_KM,
-                  id_col: str = "listing_id", lat_max: float | None = None,
-                  bins: bool = True, hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
-    """JN-3 + GE-3: per point, amenities of each type within each radius (inclusive).
-
-    ``points`` needs (id, lat, lon); ``amenities`` (amenity_type, lat, lon).
-    Rows without coordinates, and types without amenities, count 0. The
-    result keeps every column of ``points``.
-    """
-    types = list(radius_km)
-    has_xy = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    # Both sides are needed several times and have fewer coordinates than rows: write them once.
-    points = scratch_table(points)
-    spots = scratch_table(points.where(has_xy).select(
-        F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct())
-    amen = scratch_table(
-        amenities.where(F.col("amenity_type").isin(types) & has_xy)
-        .select("amenity_type", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-        .groupBy("amenity_type", "a_lat", "a_lon").agg(F.count(F.lit(1)).alias("mult")))
-    # One scalar job: latitude extent (cell width) and the row counts (hot thresholds).
-    stats = (spots.select(F.lit(True).alias("is_pt"), F.abs("p_lat").alias("a"))
-             .unionByName(amen.select(F.lit(False).alias("is_pt"), F.abs("a_lat").alias("a")))
-             .agg(F.max("a").alias("m"), F.count_if("is_pt").alias("n_pts"),
-                  F.count_if(~F.col("is_pt")).alias("n_amen")).first())
-    if lat_max is None:
-        lat_max = stats["m"] if stats["m"] is not None else 0.0
-    lat_max = min(abs(lat_max), 89.0)
-    offsets = F.array(*[F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox"))
-                        for oy in (-1, 0, 1) for ox in (-1, 0, 1)])
-    pairs = None
-    # Types of one largest radius share a grid whose cells have that size.
-    for big_r in sorted({max(rs) for rs in radius_km.values()}):
-        own = [t for t, rs in radius_km.items() if max(rs) == big_r]
-        dy = big_r / KM_PER_DEGREE_LOWER
-        dx = big_r / (KM_PER_DEGREE_LOWER * math.cos(math.radians(lat_max)))
-        amen9 = (amen.where(F.col("amenity_type").isin(own)).withColumn("o", F.explode(offsets))
-                 .withColumns({"cy": F.floor(F.col("a_lat") / dy) + F.col("o.oy"),
-                               "cx": F.floor(F.col("a_lon") / dx) + F.col("o.ox")})
-                 .drop("o"))
-        pts = spots.withColumns({"cy": F.floor(F.col("p_lat") / dy),
-                                 "cx": F.floor(F.col("p_lon") / dx)})
-        hot = _hot_cells(pts, amen9, stats["n_pts"], 9 * stats["n_amen"], hot_rows)
-        pts_s = _slice(pts, hot, "p_slice", "a_slice", F.struct("p_lat", "p_lon"))
-        amen_s = _slice(amen9, hot, "a_slice", "p_slice",
-                        F.struct("amenity_type", "a_lat", "a_lon"))
-        near = (pts_s.join(amen_s, ["cy", "cx", "p_slice", "a_slice"])
-                .withColumn("d_km", G.haversine_m("p_lat", "p_lon", "a_lat", "a_lon") / 1000.0)
-                .where(F.col("d_km") <= big_r)
-                .select("p_lat", "p_lon", "amenity_type", "d_km", "mult"))
-        pairs = near if pairs is None else pairs.unionByName(near)
-    cols = [(t, r) for t, rs in radius_km.items() for r in rs]
-    counts = pairs.groupBy("p_lat", "p_lon").agg(*[
-        F.sum(F.when((F.col("amenity_type") == t) & (F.col("d_km") <= r), F.col("mult"))
-              .otherwise(0)).cast("bigint").alias(count_column(t, r)) for t, r in cols])
-    out = points.join(counts, (F.col("lat") == F.col("p_lat")) & (F.col("lon") == F.col("p_lon")),
-                      "left").drop("p_lat", "p_lon").na.fill(0, [count_column(t, r) for t, r in cols])
-    if bins:
-        out = out.withColumns({count_column(t, r) + "_bin_encoded":
-                               G.count_bin(F.col(count_column(t, r))) for t, r in cols})
-    return out
+                  radius_km: dict[str, Sequence[float]] = AMENITY_RADIUS_KM, bins: bool = True,
+                  hot_rows: int = HOT_CELL_ROWS, chunk: int = CHUNK_POINTS) -> DataFrame:
+    """JN-3 + GE-3 in one call: index the amenities, count around the points."""
+    index, spec = build_amenity_index(amenities, radius_km, chunk)
+    return amenity_counts(points, scratch_table(index), spec, bins, hot_rows)

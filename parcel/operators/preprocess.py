@@ -72,6 +72,11 @@ def facility_indicators(df: DataFrame, vocabulary: Sequence[str],
                            for v in vocabulary})
 
 
+def facility_flags(df: DataFrame, flags: Sequence[str], list_col: str = "facilities_list") -> DataFrame:
+    """NE-11: the indicators a model asks for by column name, whatever items occur."""
+    return facility_indicators(df, [N.indicator_item(f) for f in flags], list_col)
+
+
 def expand_facilities(df: DataFrame, vocabulary: Sequence[str] | None) -> DataFrame:
     """NE-1 / NE-3 / NE-4: facilities text -> list, indicators, count."""
     df = df.withColumn("facilities_list", N.facilities_list(F.col("facilities")))

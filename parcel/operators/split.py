@@ -45,14 +45,3 @@ def fold_column(key, k: int = 5, seed: int = 42) -> Column:
 def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42,
                name: str = "fold") -> DataFrame:
     return df.withColumn(name, fold_column(key, k, seed))
-
-
-def explode_training_folds(df: DataFrame, k: int, fold_col: str = "fold",
-                           name: str = "cv_fold") -> DataFrame:
-    """One copy of each row per fold it trains (every fold except its own).
-
-    Lets per-fold statistics run as one grouped aggregation over ``name``
-    instead of k scans; no cross join, just a bounded ``explode``.
-    """
-    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold_col))
-    return df.withColumn(name, F.explode(folds))

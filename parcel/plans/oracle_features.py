@@ -2,6 +2,7 @@
 transform), in long form so data-dependent columns (log columns, one-hot levels) are rows."""
 
 from parcel.operators.features import DEFAULT_FLAGS
+from parcel.operators.geo_join import AMENITY_RADIUS_KM, count_column
 from parcel.plans.oracle_base import with_listing
 
 _HASH = ("(CAST(('0x' || substr(md5(CAST(listing_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT)"
@@ -34,6 +35,71 @@ CATS = {
 }
 
 
+def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a = (f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+         f" * pow(sin(radians({lon2} - {lon1}) / 2), 2)")
+    return f"(6371000.0 * 2 * atan2(sqrt({a}), sqrt(1 - ({a}))))"
+
+
+def geo_ctes(rows: str, train: str = "TRUE", counts: bool = True) -> str:
+    """Coordinates of ``rows`` (listing_id, address, postal_code_clean, neighborhood): FL with
+    centroids fitted on the training split where ``train`` holds, and CNT with amenity counts (needs A)."""
+    out = f"""OB AS (SELECT address, lat + (k % 3) * 0.001e0 AS lat, lon + (k % 2) * 0.002e0 AS lon FROM L
+        WHERE lat IS NOT NULL AND cu % 100 NOT IN (7, 57) AND neighborhood <> 'NATION_7' AND k % 5 <> 0),
+G AS (SELECT address, lat AS g_lat, lon AS g_lon FROM (SELECT *, row_number() OVER (
+        PARTITION BY address ORDER BY lat, lon) AS rn FROM OB) WHERE rn = 1),
+ATT AS (SELECT R.listing_id, R.address, R.postal_code_clean, R.neighborhood, G.g_lat, G.g_lon,
+          {_HASH} >= 0.3 AND {train} AS fitted FROM {rows} R LEFT JOIN G USING (address)),
+PC AS (SELECT postal_code_clean, avg(g_lat) AS p_lat, avg(g_lon) AS p_lon FROM ATT
+       WHERE fitted AND g_lat IS NOT NULL AND postal_code_clean IS NOT NULL GROUP BY postal_code_clean),
+NB AS (SELECT neighborhood, avg(g_lat) AS n_lat, avg(g_lon) AS n_lon FROM ATT
+       WHERE fitted AND g_lat IS NOT NULL AND neighborhood IS NOT NULL GROUP BY neighborhood),
+FL AS (SELECT listing_id, CAST(g_lat IS NULL OR g_lon IS NULL AS INTEGER) AS lat_lon_missing,
+         CASE WHEN g_lat IS NOT NULL AND g_lon IS NOT NULL THEN g_lat WHEN p_lat IS NOT NULL THEN p_lat
+              WHEN n_lat IS NOT NULL THEN n_lat ELSE 52.3730 END AS lat,
+         CASE WHEN g_lat IS NOT NULL AND g_lon IS NOT NULL THEN g_lon WHEN p_lat IS NOT NULL THEN p_lon
+              WHEN n_lat IS NOT NULL THEN n_lon ELSE 4.8923 END AS lon
+       FROM ATT LEFT JOIN PC USING (postal_code_clean) LEFT JOIN NB USING (neighborhood))"""
+    if not counts:
+        return out
+    within = ", ".join(
+        f"CAST(coalesce(sum(CASE WHEN amenity_type = '{t}' AND d_km <= {r} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+        f" AS {count_column(t, r)}" for t, rs in AMENITY_RADIUS_KM.items() for r in rs)
+    # amenities around every place where a listing is, by comparing all of them
+    return out + f""",
+PL AS (SELECT DISTINCT lat, lon FROM FL),
+DP AS (SELECT PL.lat, PL.lon, A.amenity_type, {hav("PL.lat", "PL.lon", "A.a_lat", "A.a_lon")} / 1000.0 AS d_km
+       FROM PL JOIN A ON TRUE),
+PN AS (SELECT lat, lon, {within} FROM DP GROUP BY lat, lon),
+CNT AS (SELECT FL.listing_id, PN.* EXCLUDE (lat, lon) FROM FL JOIN PN ON PN.lat = FL.lat AND PN.lon = FL.lon)"""
+
+
+def geo_profile_rows() -> dict[str, str]:
+    """Feature name -> expression over FL and CNT, for the features from coordinates."""
+    from parcel.plans.q_geo import HAV_CENTER, count_bin, dist_bin
+    bins = {f"{count_column(t, r)}_bin_encoded": count_bin(count_column(t, r))
+            for t, rs in AMENITY_RADIUS_KM.items() for r in rs}
+    return {"lat": "lat", "lon": "lon", "lat_lon_missing": "lat_lon_missing",
+            "dist_to_center_bin_encoded": dist_bin(HAV_CENTER), **bins}
+
+
+def geo_rows_sql() -> str:
+    """The features from coordinates, per listing with a price."""
+    from parcel.plans.q_geo import _AMEN
+    exprs = geo_profile_rows()
+    exprs |= {"lat": "round(lat, 6)", "lon": "round(lon, 6)"}
+    counts = ", ".join(count_column(t, r) for t, rs in AMENITY_RADIUS_KM.items() for r in rs)
+    sql = f"""
+, {_AMEN},
+{geo_ctes("C", "price_num IS NOT NULL")}
+SELECT FL.listing_id, CASE WHEN {_HASH} < 0.2 THEN 'test' WHEN {_HASH} < 0.3 THEN 'val' ELSE 'train' END AS split,
+  {", ".join(f"{e} AS {n}" for n, e in exprs.items())}, {counts}
+FROM FL JOIN CNT USING (listing_id) JOIN C USING (listing_id, lat, lon)"""
+    sql = sql.replace("JOIN C USING (listing_id, lat, lon)",
+                      "JOIN (SELECT listing_id FROM C WHERE price_num IS NOT NULL) USING (listing_id)")
+    return with_listing(sql, clean=True).replace("\n)\n, ", "\n),\n", 1)
+
+
 def feature_profile_sql() -> str:
     flags = ",\n    ".join(
         (f"CAST(list_contains(facilities_list, '{PRESENT[f]}') AS DOUBLE) AS {f}"
@@ -58,6 +124,11 @@ def feature_profile_sql() -> str:
     long_log = "\nUNION ALL\n".join(
         f"SELECT split, 'log_{n}' AS feature, ln(1 + {n}) AS v FROM X "
         f"WHERE (SELECT sel FROM LOGSEL WHERE name = '{n}')" for n in NUMERIC)
+    from parcel.plans.q_geo import _AMEN
+    geo = geo_profile_rows()
+    geo_list = ", ".join(f"{e} AS g_{n}" for n, e in geo.items())
+    long_geo = "\nUNION ALL\n".join(
+        f"SELECT split, '{n}' AS feature, CAST(g_{n} AS DOUBLE) AS v FROM GX" for n in geo)
     sql = f""",
 I AS (
   SELECT C.*,
@@ -132,11 +203,16 @@ KEPT AS (SELECT name, level FROM SH WHERE greatest(share, 1 - share) < 0.95),
 OH AS (SELECT U.split, KEPT.name || '_' || KEPT.level AS feature,
          CASE WHEN U.level = KEPT.level THEN 1.0 ELSE 0.0 END AS v
        FROM KEPT JOIN U ON U.name = KEPT.name),
+{_AMEN},
+{geo_ctes("C", "price_num IS NOT NULL")},
+GX AS (SELECT split, {geo_list} FROM X JOIN (SELECT * FROM FL JOIN CNT USING (listing_id)) USING (listing_id)),
 LONGF AS ({long_base}
 UNION ALL
 {long_log}
 UNION ALL
-SELECT split, feature, v FROM OH),
+SELECT split, feature, v FROM OH
+UNION ALL
+{long_geo}),
 NS AS (SELECT split, count(*) AS n FROM X GROUP BY split)
 SELECT LONGF.split, max(NS.n) AS n, feature, round(avg(v), 4) AS avg_value
 FROM LONGF JOIN NS ON NS.split = LONGF.split GROUP BY LONGF.split, feature"""

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from parcel.functions import parse as P
 from parcel.operators import features as FE
 from parcel.operators import fit as FIT
+from parcel.operators import levels as LV
 from parcel.operators import schema_ops as S
 from parcel.operators import split as SP
+from parcel.operators.folds import fold_profile
+from parcel.operators.preprocess import facility_flags
 from parcel.plans.common import clean_listings, r6
 from parcel.plans.oracle_base import with_listing
 from parcel.sources.listings import listing_view
+from parcel.sources.store import scratch_table
 from parcel.sources.tables import table
 
 LUX = list(FE.LUXURY_WEIGHTS)
@@ -69,19 +73,31 @@ CATS = list(FE.CATEGORICALS)
 
 
 def one_hot_fixed_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """FE-3 (levels fitted on train, first dropped) + IM-5 low-variance flag."""
+    """FE-3 (levels fitted on train, first dropped) + IM-5 low-variance flag: one row per
+    indicator, from the table of levels; no list of levels and no column per level."""
     base = SP.with_split(FE.categorical_columns(clean_listings(spark, sf)), "listing_id")
-    train = base.where(F.col("split") == "train")
-    levels = FIT.fit_one_hot(train, CATS)
-    dummies = [FIT.one_hot_name(c, lv) for c, lvs in levels.items() for lv in lvs]
-    dropped = set(FIT.fit_low_variance(FIT.apply_one_hot(train, levels), dummies, 0.95))
-    enc = FIT.apply_one_hot(base, levels)
-    is_train = (F.col("split") == "train").cast("int")
-    rows = [F.struct(F.lit(d).alias("dummy"),
-                     F.sum(F.col(d)).cast("bigint").alias("n_ones"),
-                     r6(F.sum(F.col(d) * is_train) / F.sum(is_train)).alias("train_share"),
-                     F.lit(d in dropped).alias("dropped")) for d in dummies]
-    return enc.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    counts = scratch_table(LV.count_levels(base, CATS, by="split"))
+    rows = scratch_table(base.groupBy("split").agg(F.count(F.lit(1)).alias("n")))
+    n_train = F.broadcast(rows.where(F.col("split") == "train").select(F.col("n").alias("n_train")))  # one row
+    train = F.sum(F.when(F.col("split") == "train", F.col("n")))
+    levels = counts.groupBy("name", "level").agg(F.sum("n").alias("n_ones"), train.alias("n_in_train")).where(
+        F.col("n_in_train").isNotNull())
+    first = levels.groupBy("name").agg(F.min("level").alias("first"))     # one row per column
+    share = F.col("n_in_train") / F.col("n_train")
+    return (levels.join(F.broadcast(first), "name").where(F.col("level") != F.col("first")).join(n_train)
+            .select(F.concat_ws("_", "name", "level").alias("dummy"), "n_ones", r6(share).alias("train_share"),
+                    (F.greatest(share, 1 - share) >= 0.95).alias("dropped")))
+
+
+CODED = ["address", "roof_cat", "garden_cat"]
+
+
+def level_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """FE-3 / NE-2 without a ceiling: dense codes of every address, roof and garden level by falling
+    frequency, joined to every listing."""
+    base = FE.categorical_columns(clean_listings(spark, sf)).select("listing_id", *CODED)
+    levels = scratch_table(LV.dictionary(LV.count_levels(base, CODED)))
+    return LV.encode(base, ["listing_id"], levels, CODED).select("listing_id", *[f"{c}_code" for c in CODED])
 
 
 SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -107,9 +123,7 @@ def energy_ordinal(spark: SparkSession, sf: str) -> DataFrame:
 
 def _flagged(spark, sf):
     clean = clean_listings(spark, sf)
-    vocab = FIT.fit_vocabulary(clean, "facilities_list")
-    from parcel.operators.preprocess import facility_indicators
-    return FE.binary_flags(facility_indicators(clean, vocab), LUX)
+    return FE.binary_flags(facility_flags(clean, LUX), LUX)
 
 
 LUX_OUT = ["luxury_score", "num_luxury_facilities", "has_high_end_facilities", "luxury_density",
@@ -147,31 +161,38 @@ def split_hash(spark: SparkSession, sf: str) -> DataFrame:
                     SP.fold_column("o_orderkey", 5, 42).alias("fold"))
 
 
+FOLD_STATS = ("cv_fold int, column_name string, n long, mean double, std double, min double, max double, "
+              "median double")
+
+
 def fold_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """FE-10: per-fold training statistics of size_num, all folds in one grouped job."""
-    k = 5
-    base = SP.with_folds(clean_listings(spark, sf).select("listing_id", "size_num"),
-                         "listing_id", k)
-    rep = SP.explode_training_folds(base, k)
-    s = F.col("size_num").cast("double")
-    stats = rep.groupBy("cv_fold").agg(
-        F.count(s).alias("n"), r6(F.avg(s)).alias("mean"), r6(F.stddev_pop(s)).alias("std"),
-        F.min(s).alias("min"), F.max(s).alias("max"))
-    # One quantile pass for all folds: column f holds the training rows of fold f.
-    per_fold = base.select(*[F.when(F.col("fold") != f, s).alias(f"s{f}") for f in range(k)])
-    qs = FIT.exact_quantiles_multi(per_fold, [f"s{f}" for f in range(k)], [0.5])
-    med = {f: qs[f"s{f}"][0] for f in range(k)}
-    med_col = F.element_at(F.create_map(*[x for f, m in med.items()
-                                          for x in (F.lit(f), F.lit(m))]), F.col("cv_fold"))
-    return stats.withColumn("median", r6(med_col.cast("double")))
+    """FE-10: statistics of every numeric feature over the training rows of every fold; the
+    folds' own summaries are added up, no row is copied."""
+    clean = SP.with_folds(clean_listings(spark, sf), "listing_id", 5)
+    parsed = scratch_table(clean.select("fold", *[P.to_float(F.col(c), numeric=FE._is_numeric(clean, c)).alias(c)
+                                                  for c in FE.DEFAULT_NUMERIC]))
+    rows = list(fold_profile(parsed, FE.DEFAULT_NUMERIC, "fold", 5))     # folds x columns
+    return spark.createDataFrame(rows, FOLD_STATS).select("cv_fold", "column_name", "n", *[
+        r6(c).alias(c) for c in ("mean", "std", "min", "max", "median")])
+
+
+FOLD_META = ("cv_fold int, n_levels long, levels string, log_columns string, size_median double, "
+             "price_m2_median double")
+
+
+def fold_feature_state(spark: SparkSession, sf: str) -> DataFrame:
+    """FE-10 / ML-9: what every fold's feature fit keeps: one-hot levels, log columns, medians."""
+    metas = FE.fit_fold_features(SP.with_folds(clean_listings(spark, sf), "listing_id", 5), "fold", 5)
+    return spark.createDataFrame(
+        [(f, len(m.ohe_columns), ",".join(sorted(m.ohe_columns)), ",".join(sorted(m.log_cols)),
+          m.train_medians["size_num"], m.train_medians["price_per_m2_neighborhood"])
+         for f, m in enumerate(metas)], FOLD_META)
 
 
 def schema_align(spark: SparkSession, sf: str) -> DataFrame:
     """PR-4 / PR-5 / PR-8: conform to an expected list (missing, extra, order, log rebuild)."""
     clean = clean_listings(spark, sf)
-    vocab = FIT.fit_vocabulary(clean, "facilities_list")
-    from parcel.operators.preprocess import facility_indicators
-    flagged = facility_indicators(clean, vocab)
+    flagged = facility_flags(clean, ["has_lift", "has_schuifpui"])
     expected = ["listing_id", "size_num", "has_lift", "has_zwembad", "log_size_num",
                 "missing_feature"]
     out = S.conform(flagged, expected, log_base={"log_size_num": "size_num"},
@@ -238,6 +259,8 @@ QUERIES = {
     "expansion_ratios": expansion_ratios,
     "split_hash": split_hash,
     "fold_statistics": fold_statistics,
+    "fold_feature_state": fold_feature_state,
+    "level_codes": level_codes,
     "schema_align": schema_align,
     "model_vector": model_vector,
     "schema_diff": schema_diff,
@@ -322,6 +345,67 @@ SELECT name || '_' || level AS dummy, CAST(n_ones AS BIGINT) AS n_ones,
   round(share, 6) AS train_share, greatest(share, 1 - share) >= 0.95 AS dropped FROM AGG""",
     clean=True).replace("\n)\n, B AS", "\n),\nB AS")
 
+
+def _numeric_long() -> str:
+    """(listing_id, fold, column_name, v): the numeric features as parsed, in long form."""
+    from parcel.plans.oracle_features import NUMERIC
+    raw = {"size_i": "CAST(size_num AS DOUBLE)", "contrib_i": "CAST(contribution_vve_num AS DOUBLE)",
+           "storage_i": "CAST(external_storage_num AS DOUBLE)"}
+    fold = f"CAST(floor({HASH_U.format(k='listing_id')} * 5) AS INTEGER)"
+    return "\nUNION ALL\n".join(
+        f"SELECT listing_id, {fold} AS fold, '{n}' AS column_name, {raw.get(e, e)} AS v FROM C"
+        for n, e in NUMERIC.items())
+
+
+def _after(sql: str) -> str:
+    return with_listing(sql, clean=True).replace("\n)\n, ", "\n),\n", 1)
+
+
+def _fold_oracle() -> str:
+    return _after(f"""
+, NL AS ({_numeric_long()})
+SELECT CAST(f AS INTEGER) AS cv_fold, column_name, count(v) AS n, round(avg(v), 6) AS mean,
+  round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(median(v), 6) AS median
+FROM NL, range(5) t(f) WHERE fold <> f GROUP BY f, column_name""")
+
+
+def _fold_state_oracle() -> str:
+    from parcel.plans.oracle_features import CATS
+    cats = "\nUNION ALL\n".join(
+        f"SELECT listing_id, '{n}' AS name, CAST({e} AS VARCHAR) AS level FROM C" for n, e in CATS.items())
+    return _after(f"""
+, NL AS ({_numeric_long()}),
+FD AS (SELECT listing_id, CAST(floor({HASH_U.format(k='listing_id')} * 5) AS INTEGER) AS fold FROM C),
+TR AS (SELECT FD.listing_id, f FROM FD, range(5) t(f) WHERE fold <> f),
+N AS (SELECT f, count(*) AS n FROM TR GROUP BY f),
+M AS (SELECT f, column_name, median(v) AS m FROM NL JOIN TR USING (listing_id) GROUP BY f, column_name),
+LG AS (SELECT f, string_agg('log_' || column_name, ',' ORDER BY 'log_' || column_name) AS cols FROM (
+       SELECT f, column_name, min(coalesce(v, m)) AS lo, skewness(coalesce(v, m)) AS s
+       FROM NL JOIN TR USING (listing_id) JOIN M USING (f, column_name) GROUP BY f, column_name)
+       WHERE lo > 0 AND abs(s) > 0.5 GROUP BY f),
+CT AS ({cats}),
+LV AS (SELECT f, name, level, count(*) AS n_ones, row_number() OVER (PARTITION BY f, name ORDER BY level) AS rn
+       FROM CT JOIN TR USING (listing_id) WHERE level IS NOT NULL GROUP BY f, name, level),
+KP AS (SELECT f, count(*) AS n_levels, string_agg(name || '_' || level, ',' ORDER BY name || '_' || level) AS levels
+       FROM LV JOIN N USING (f) WHERE rn > 1 AND greatest(n_ones / n, 1 - n_ones / n) < 0.95 GROUP BY f)
+SELECT CAST(N.f AS INTEGER) AS cv_fold, coalesce(n_levels, 0) AS n_levels, coalesce(levels, '') AS levels,
+  coalesce(LG.cols, '') AS log_columns,
+  (SELECT m FROM M WHERE M.f = N.f AND column_name = 'size_num') AS size_median,
+  (SELECT m FROM M WHERE M.f = N.f AND column_name = 'price_per_m2_neighborhood') AS price_m2_median
+FROM N LEFT JOIN KP USING (f) LEFT JOIN LG USING (f)""")
+
+
+def _codes_oracle() -> str:
+    from parcel.plans.oracle_features import CATS
+    own = {"address": "address", **{c: CATS[c] for c in ("roof_cat", "garden_cat")}}
+    parts = ", ".join(f"""{n}_d AS (SELECT {e} AS level, row_number() OVER (ORDER BY count(*) DESC, {e}) - 1 AS code
+      FROM C WHERE {e} IS NOT NULL GROUP BY 1)""" for n, e in own.items())
+    return _after(f"""
+, {parts}
+SELECT listing_id, {", ".join(f"{n}_d.code AS {n}_code" for n in own)} FROM C
+{" ".join(f"LEFT JOIN {n}_d ON {n}_d.level = ({e})" for n, e in own.items())}""")
+
+
 ORACLE = {
     "impute_strategies": with_listing("""
 SELECT listing_id,
@@ -413,12 +497,9 @@ SELECT o_orderkey,
        WHEN {HASH_U.format(k='o_orderkey')} < 0.2 + 0.1 THEN 'val' ELSE 'train' END AS split,
   CAST(floor({HASH_U.format(k='o_orderkey')} * 5) AS INTEGER) AS fold
 FROM orders""",
-    "fold_statistics": with_listing(f"""
-, B AS (SELECT listing_id, CAST(size_num AS DOUBLE) AS s,
-        CAST(floor({HASH_U.format(k='listing_id')} * 5) AS INTEGER) AS fold FROM C)
-SELECT CAST(f AS INTEGER) AS cv_fold, count(s) AS n, round(avg(s), 6) AS mean,
-  round(stddev_pop(s), 6) AS std, min(s) AS min, max(s) AS max, round(median(s), 6) AS median
-FROM B, range(5) t(f) WHERE fold <> f GROUP BY f""", clean=True).replace("\n)\n, B AS", "\n),\nB AS"),
+    "fold_statistics": _fold_oracle(),
+    "fold_feature_state": _fold_state_oracle(),
+    "level_codes": _codes_oracle(),
     "schema_align": with_listing("""
 SELECT listing_id, CAST(size_num AS DOUBLE) AS size_num,
   CAST(list_contains(facilities_list, 'lift') AS INTEGER) AS has_lift, 0 AS has_zwembad,

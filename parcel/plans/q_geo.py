@@ -11,6 +11,7 @@ from parcel.operators import geo_join as GJ
 from parcel.operators import split as SP
 from parcel.plans.common import clean_listings, r2, r6
 from parcel.plans.oracle_base import with_listing
+from parcel.plans.oracle_features import geo_ctes, hav
 from parcel.sources.listings import AMENITY_TYPES, amenity_points, geo_dimension, listing_view
 from parcel.sources.store import scratch_table
 from parcel.sources.tables import table
@@ -21,14 +22,15 @@ def _filled(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_table(clean_listings(spark, sf).select(
         "listing_id", "address", "postal_code_clean", "neighborhood", "lat", "lon", "price", "size"))
     geo = GJ.dedupe_geo_dim(geo_dimension(base))
-    att = scratch_table(GJ.attach_coordinates(base.select(
-        "listing_id", "address", "postal_code_clean", "neighborhood"), geo))
-    return GJ.fill_coordinates(att, GJ.centroids(att, "postal_code_clean"),
-                               GJ.centroids(att, "neighborhood"))
+    att = scratch_table(SP.with_split(GJ.attach_coordinates(base.select(
+        "listing_id", "address", "postal_code_clean", "neighborhood"), geo), "listing_id", 0.2, 0.1))
+    train = att.where(F.col("split") == "train")
+    return GJ.fill_coordinates(att, GJ.centroids(train, "postal_code_clean"),
+                               GJ.centroids(train, "neighborhood"))
 
 
 def geo_lookup_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """WN-1 dedup, JN-1 lookup, AG-1 centroids, JN-2 fallback chain, GE-2 bin."""
+    """WN-1 dedup, JN-1 lookup, AG-1 centroids of the training split, JN-2 fallback chain, GE-2 bin."""
     f = _filled(spark, sf)
     return f.select("listing_id", r6("lat").alias("lat"), r6("lon").alias("lon"),
                     "lat_lon_missing",
@@ -151,12 +153,6 @@ QUERIES = {
 }
 
 
-def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    a = (f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
-         f" * pow(sin(radians({lon2} - {lon1}) / 2), 2)")
-    return f"(6371000.0 * 2 * atan2(sqrt({a}), sqrt(1 - ({a}))))"
-
-
 def dist_bin(d: str) -> str:
     return (f"CASE WHEN {d} > -1 AND {d} <= 0 THEN 0 WHEN {d} > 0 AND {d} <= 2000 THEN 1 "
             f"WHEN {d} > 2000 AND {d} <= 5000 THEN 2 WHEN {d} > 5000 AND {d} <= 10000 THEN 3 "
@@ -196,25 +192,6 @@ CNT AS (SELECT L.listing_id, {", ".join(cols)} FROM L LEFT JOIN D USING (listing
 SELECT listing_id, {", ".join(outs)} FROM CNT""".replace(d, d)).replace("\n),\n", "\n),\n")
 
 
-_FILLED = """
-, OB AS (SELECT address, lat + (k % 3) * 0.001e0 AS lat, lon + (k % 2) * 0.002e0 AS lon FROM L
-        WHERE lat IS NOT NULL AND cu % 100 NOT IN (7, 57) AND neighborhood <> 'NATION_7' AND k % 5 <> 0),
-G AS (SELECT address, lat AS g_lat, lon AS g_lon FROM (SELECT *, row_number() OVER (
-        PARTITION BY address ORDER BY lat, lon) AS rn FROM OB) WHERE rn = 1),
-ATT AS (SELECT C.listing_id, C.address, C.postal_code_clean, C.neighborhood, G.g_lat, G.g_lon
-        FROM C LEFT JOIN G USING (address)),
-PC AS (SELECT postal_code_clean, avg(g_lat) AS p_lat, avg(g_lon) AS p_lon FROM ATT
-       WHERE g_lat IS NOT NULL AND postal_code_clean IS NOT NULL GROUP BY postal_code_clean),
-NB AS (SELECT neighborhood, avg(g_lat) AS n_lat, avg(g_lon) AS n_lon FROM ATT
-       WHERE g_lat IS NOT NULL AND neighborhood IS NOT NULL GROUP BY neighborhood),
-FL AS (SELECT listing_id, CAST(g_lat IS NULL OR g_lon IS NULL AS INTEGER) AS lat_lon_missing,
-         CASE WHEN g_lat IS NOT NULL AND g_lon IS NOT NULL THEN g_lat WHEN p_lat IS NOT NULL THEN p_lat
-              WHEN n_lat IS NOT NULL THEN n_lat ELSE 52.3730 END AS lat,
-         CASE WHEN g_lat IS NOT NULL AND g_lon IS NOT NULL THEN g_lon WHEN p_lat IS NOT NULL THEN p_lon
-              WHEN n_lat IS NOT NULL THEN n_lon ELSE 4.8923 END AS lon
-       FROM ATT LEFT JOIN PC USING (postal_code_clean) LEFT JOIN NB USING (neighborhood))
-"""
-
 _AREAS = """
 , AR AS (SELECT substr(postal_code_clean, 1, 4) AS pc4, count(price_num) AS n_listings,
     round(avg(price_num), 2) AS avg_price, round(avg(size_num), 6) AS avg_size,
@@ -229,7 +206,8 @@ def _fix(sql: str) -> str:
 
 
 ORACLE = {
-    "geo_lookup_fallback": _fix(with_listing(_FILLED + f"""
+    "geo_lookup_fallback": _fix(with_listing(f"""
+, {geo_ctes("C", counts=False)}
 SELECT listing_id, round(lat, 6) AS lat, round(lon, 6) AS lon, lat_lon_missing,
   {dist_bin(HAV_CENTER)} AS dist_to_center_bin_encoded FROM FL""", clean=True)),
     "centre_distance_bins": with_listing(f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcel.functions import parse as P
 from parcel.operators.fit import apply_impute, fit_impute, fit_vocabulary
+from parcel.operators.levels import most_frequent
 from parcel.operators.preprocess import facility_indicators
 from parcel.plans.common import IMPUTE_DEFAULT, clean_listings, r2, r6
 from parcel.plans.oracle_base import with_listing
@@ -87,7 +88,7 @@ def facility_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def facility_indicators_q(spark: SparkSession, sf: str) -> DataFrame:
     """NE-2 fit -> NE-3 indicators -> NE-4 count, summed per district."""
     clean = clean_listings(spark, sf)
-    vocab = fit_vocabulary(clean, "facilities_list")
+    vocab = most_frequent(fit_vocabulary(clean, "facilities_list"), 50)     # as many columns as asked for
     ind = facility_indicators(clean, vocab)
     cols = [c for c in ind.columns if c.startswith("has_")]
     return (ind.groupBy(P.prefix("postal_code_clean", 3).alias("postal_district"))

@@ -13,25 +13,51 @@ from parcel.operators import fit as FIT
 from parcel.operators import metrics as M
 from parcel.operators import models as ML
 from parcel.operators import split as SP
-from parcel.operators.preprocess import facility_indicators
+from parcel.operators.preprocess import facility_flags
 from parcel.plans.common import IMPUTE_DEFAULT, clean_listings
+from parcel.sources.listings import amenity_points, geo_dimension
 
 KEEP = ["listing_id", "split", "price_num"]
 
 
-def build_feature_matrix(spark: SparkSession, sf: str, priced_only: bool = True
-                         ) -> tuple[DataFrame, FE.FeatureMeta]:
+def build_features(spark: SparkSession, sf: str, priced_only: bool = True, keep: list[str] = KEEP
+                   ) -> tuple[DataFrame, FE.FeatureMeta, dict]:
     """Stages 1-5 of the training pipeline: load, preprocess, impute, drop missing target
     (``priced_only``; scoring keeps every listing), split, fit features on the priced training
-    rows, transform every split."""
+    rows, transform every split. Also returns the imputation values."""
+    base, values, geo = base_listings(spark, sf, priced_only)
+    fitted = base.where((F.col("split") == "train") & F.col("price_num").isNotNull())
+    meta = FE.fit_features(fitted, geo=geo, amenities=amenity_points(spark, sf))
+    keep = keep + (meta.count_columns if "counts" in keep else [])
+    return FE.transform_features(base, meta, keep=[k for k in keep if k != "counts"]), meta, values
+
+
+def base_listings(spark: SparkSession, sf: str, priced_only: bool = True
+                  ) -> tuple[DataFrame, dict, DataFrame]:
+    """Clean, imputed listings with their split, the imputation values, and the geocode cache
+    (of all listings: it is looked up, not fitted)."""
     # Several fit jobs read the cleaned listings: checkpoint them once.
     clean = ML.materialize(clean_listings(spark, sf))
-    clean = facility_indicators(clean, FIT.fit_vocabulary(clean, "facilities_list"))
-    filled = FIT.apply_impute(clean, FIT.fit_impute(clean, IMPUTE_DEFAULT))
-    priced = F.col("price_num").isNotNull()
-    base = SP.with_split(filled.where(priced) if priced_only else filled, "listing_id", 0.2, 0.1)
-    meta = FE.fit_features(base.where((F.col("split") == "train") & priced))
-    return FE.transform_features(base, meta, keep=KEEP), meta
+    values = FIT.fit_impute(clean, IMPUTE_DEFAULT)
+    filled = FIT.apply_impute(facility_flags(clean, FE.FOLD_FLAGS), values)
+    if priced_only:
+        filled = filled.where(F.col("price_num").isNotNull())
+    return SP.with_split(filled, "listing_id", 0.2, 0.1), values, geo_dimension(clean)
+
+
+def build_feature_matrix(spark: SparkSession, sf: str, priced_only: bool = True
+                         ) -> tuple[DataFrame, FE.FeatureMeta]:
+    X, meta, _ = build_features(spark, sf, priced_only)
+    return X, meta
+
+
+def feature_matrix_geo(spark: SparkSession, sf: str) -> DataFrame:
+    """FE-15 / JN-2 / JN-3 inside the fitted pipeline, row by row: coordinates with train-only
+    centroids, distance bins, amenity counts and bins."""
+    X, meta, _ = build_features(spark, sf, keep=[*KEEP, "counts"])
+    cols = [*FE.GEO_FEATURES[2:], *[f"{c}_bin_encoded" for c in meta.count_columns]]
+    return X.select("listing_id", "split", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
+                    *[F.col(c).cast("int").alias(c) for c in cols], *meta.count_columns)
 
 
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +231,7 @@ def elbow_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "feature_matrix": feature_matrix,
+    "feature_matrix_geo": feature_matrix_geo,
     "fit_linear": fit_linear,
     "fit_forest": fit_forest,
     "fit_boosted": fit_boosted,
@@ -219,9 +246,10 @@ QUERIES = {
 }
 
 def _oracles() -> dict[str, str]:
-    from parcel.plans.oracle_features import feature_profile_sql
+    from parcel.plans.oracle_features import feature_profile_sql, geo_rows_sql
     from parcel.plans.q_models import _w
     return {"feature_matrix_profile": feature_profile_sql(),
+            "feature_matrix_geo": geo_rows_sql(),
             "score_coverage": """
 SELECT o_orderkey AS listing_id, count(*) AS predictions FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey GROUP BY o_orderkey""",

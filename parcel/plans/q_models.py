@@ -7,11 +7,12 @@ live in ``q_ml`` with rows-only checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcel.functions import parse as P
 from parcel.operators import fit as FIT
+from parcel.operators import folds as FO
 from parcel.operators import metrics as M
 from parcel.operators import runs as RL
 from parcel.operators import split as SP
@@ -112,11 +113,14 @@ def union_splits(spark: SparkSession, sf: str) -> DataFrame:
 def oof_assembly(spark: SparkSession, sf: str) -> DataFrame:
     """SP-4: out-of-fold predictions of the fold-mean model, one row per key."""
     df = order_features(spark, sf).select("o_orderkey", "y", "fold")
-    means = (SP.explode_training_folds(df, 5).groupBy("cv_fold")
-             .agg(F.avg("y").alias("oof_pred")))
-    # k rows (bounded by the fold count): broadcasting them is size-safe.
-    return (df.join(F.broadcast(means), df.fold == means.cv_fold)
-            .select("o_orderkey", "fold", r6("oof_pred").alias("oof_pred")))
+    stats, _ = FO.moments(df, ["y"], "fold")
+    means = by_fold({f: FO.others(stats["y"], f, FO.Moments()).mean for f in range(5)})
+    return df.select("o_orderkey", "fold", r6(means).alias("oof_pred"))
+
+
+def by_fold(values: dict) -> Column:
+    """A number per fold as a column over ``fold``."""
+    return F.element_at(F.create_map(*[F.lit(x) for f, v in values.items() for x in (f, v)]), F.col("fold"))
 
 
 def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,13 +132,10 @@ def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _per_fold_corr(spark: SparkSession, sf: str) -> DataFrame:
-    df = order_features(spark, sf)
-    rep = SP.explode_training_folds(df, 5)
-    return (rep.groupBy("cv_fold")
-            .agg(F.array(*[F.struct(F.lit(f).alias("feature"),
-                                    F.abs(F.corr(F.col(f), F.col("y"))).alias("importance"))
-                           for f in FEATS]).alias("r"))
-            .select("cv_fold", F.inline("r")))
+    pairs = FO.comoments(order_features(spark, sf), FEATS, "y", "fold")
+    rows = [(f, c, FO.others(pairs[c], f, FO.CoMoments()).corr) for f in range(5) for c in FEATS]
+    return spark.createDataFrame(rows, "cv_fold int, feature string, r double").select(
+        "cv_fold", "feature", F.abs("r").alias("importance"))
 
 
 def importance_mean(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,13 +148,11 @@ def linear_contributions(spark: SparkSession, sf: str) -> DataFrame:
     """ML-15 / AG-18: phi = beta * (x - mean x) with beta fitted on the training folds;
     mean |phi| per fold on held-out rows, then averaged across folds."""
     df = order_features(spark, sf)
-    coef = (SP.explode_training_folds(df, 5).groupBy("cv_fold")
-            .agg(*[F.regr_slope(F.col("y"), F.col(f)).alias(f"b_{f}") for f in FEATS],
-                 *[F.avg(f).alias(f"m_{f}") for f in FEATS]))
-    held = df.join(F.broadcast(coef), df.fold == coef.cv_fold)
-    phi = held.select("fold", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"),
-                 (F.col(f"b_{f}") * (F.col(f) - F.col(f"m_{f}"))).alias("phi")) for f in FEATS])))
+    pairs = FO.comoments(df, FEATS, "y", "fold")
+    fits = {c: {f: FO.others(pairs[c], f, FO.CoMoments()) for f in range(5)} for c in FEATS}
+    phi = df.select("fold", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), (
+        by_fold({f: m.slope for f, m in fits[c].items()}) * (F.col(c) - by_fold({f: m.mx for f, m in fits[c].items()}))
+    ).alias("phi")) for c in FEATS])))
     per_fold = phi.groupBy("fold", "feature").agg(F.avg(F.abs("phi")).alias("m"))
     return per_fold.groupBy("feature").agg(r6(F.avg("m")).alias("mean_abs_contribution"))
 

@@ -2,70 +2,73 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcel.functions import geo as G
 from parcel.functions import parse as P
-from parcel.operators import fit as FIT
-from parcel.operators import geo_join as GJ
 from parcel.operators import models as ML
 from parcel.operators import outliers as OD
-from parcel.operators.preprocess import apply_parsers, facility_indicators, preprocess_listings
-from parcel.plans.common import IMPUTE_DEFAULT, clean_listings, r6
+from parcel.operators.preprocess import apply_parsers, preprocess_listings
+from parcel.plans.common import r6
 from parcel.plans.oracle_base import with_listing
-from parcel.session import ensure_checkpoint_dir
-from parcel.sources.listings import geo_dimension, listing_view
-from parcel.sources.store import scratch_table
+from parcel.plans.q_ml import build_features
+from parcel.sources.listings import listing_view
+from parcel.sources.store import scratch_path
 from parcel.sources.tables import table
 from parcel.streaming import scoring as SS
 
 
 def fit_scoring_state(spark: SparkSession, sf: str) -> SS.ScoringState:
     """Batch fit of everything the scoring path needs."""
-    from parcel.plans.q_ml import build_feature_matrix
-    X, meta = build_feature_matrix(spark, sf)
-    clean = ML.materialize(clean_listings(spark, sf))
-    vocab = FIT.fit_vocabulary(clean, "facilities_list")
-    values = FIT.fit_impute(facility_indicators(clean, vocab), IMPUTE_DEFAULT)
+    X, meta, values = build_features(spark, sf)
     model = ML.fit(ML.materialize(X).where(F.col("split") == "train"), meta.feature_columns,
                    "price_num", "linear", {"fit_intercept": True}, log_target=True)
-    return SS.ScoringState(vocab, values, meta, model)
+    return SS.ScoringState(values, meta, model)
 
 
-def score_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """SM-1..SM-3: listings land as JSON files, a stream scores them (availableNow),
-    a stream-static join adds the address's distance bin per micro-batch, errors go to a
-    dead-letter folder. Returns the rows of both sinks."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parcel_stream/{uuid.uuid4().hex}"
+STREAM_KEEP = ["dist_to_center_bin_encoded", "lat_lon_missing"]
+
+
+def _streamed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Listings land as JSON files, a stream scores them (availableNow): scored, dead letters, counts."""
+    base = scratch_path(spark, "parcel_stream")
     state = fit_scoring_state(spark, sf)
     raw = listing_view(spark, sf)
     raw.drop("lat", "lon").write.mode("overwrite").json(f"{base}/incoming")
-    # the address dimension: one coordinate per address, written once for all micro-batches
-    geo = scratch_table(GJ.dedupe_geo_dim(geo_dimension(raw)).select(
-        "address", G.distance_to_center_bin("lat", "lon").alias("dist_bin")))
-
-    def enrich(batch: DataFrame) -> DataFrame:
-        return batch.join(geo, "address", "left")
-
-    schema_extra = T.StructType(SS.IN.LISTING_RAW.fields
-                                + [T.StructField("listing_id", T.LongType())])
-    stream = spark.readStream.schema(schema_extra).json(f"{base}/incoming")
-    q = SS.start(stream, state, f"{base}/scored", f"{base}/dead_letter", f"{base}/_checkpoint",
-                 keep=("listing_id", "address"), enrich=enrich)
+    stream = SS.listing_stream(spark, f"{base}/incoming", extra=[T.StructField("listing_id", T.LongType())])
+    q = SS.start(stream, state, f"{base}/scored", f"{base}/dead_letter", f"{base}/counts",
+                 f"{base}/_checkpoint", keep=["listing_id", *STREAM_KEEP, *state.meta.count_columns])
     q.awaitTermination()
-    out = spark.read.parquet(f"{base}/scored").unionByName(spark.read.parquet(f"{base}/dead_letter"))
-    return out.select("listing_id", F.round("prediction", 2).alias("prediction"), "dist_bin", "error")
+    return tuple(spark.read.parquet(f"{base}/{t}") for t in ("scored", "dead_letter", "counts"))
+
+
+def score_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-1..SM-3: a stream scores every listing, with the coordinates, centroids and amenity counts
+    of the fitted state joined per micro-batch."""
+    scored, _, _ = _streamed(spark, sf)
+    return scored.select("listing_id", F.round("prediction", 2).alias("prediction"), *STREAM_KEEP,
+                         F.array_join(F.transform("errors", lambda e: e["cause"]), ",").alias("errors"))
 
 
 def stream_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """SM-1..SM-3 checked: every listing comes out once, with its address's bin and error."""
-    return score_stream(spark, sf).select(
-        "listing_id", "dist_bin", F.col("prediction").isNotNull().alias("scored"), "error")
+    """SM-1..SM-3 checked: every listing comes out once, scored, with its distance bin, its amenity
+    counts and the fields that could not be parsed."""
+    scored, _, _ = _streamed(spark, sf)
+    counts = [c for c in scored.columns if c.startswith("count_")]
+    return scored.select("listing_id", F.col("dist_to_center_bin_encoded").cast("int").alias("dist_bin"),
+                         F.col("lat_lon_missing").cast("int").alias("lat_lon_missing"), *counts,
+                         F.col("prediction").isNotNull().alias("scored"),
+                         F.array_join(F.transform("errors", lambda e: e["cause"]), ",").alias("errors"))
+
+
+def stream_error_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """SM-3: records per cause from the micro-batches' counts, next to the dead letters per cause."""
+    _, dead, counts = _streamed(spark, sf)
+    letters = dead.groupBy("cause").agg(F.count(F.lit(1)).alias("letters"))
+    return counts.groupBy("cause").agg(F.sum("n").alias("records")).join(letters, "cause", "left").select(
+        "cause", "records", F.coalesce("letters", F.lit(0)).cast("long").alias("letters"))
 
 
 def isolation_outliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,22 +127,38 @@ def pipeline_steps(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "score_stream": score_stream,
     "stream_coverage": stream_coverage,
+    "stream_error_counts": stream_error_counts,
     "isolation_outliers": isolation_outliers,
     "user_parsers": user_parsers,
     "pipeline_steps": pipeline_steps,
 }
 
+_ERRORS = """
+ER AS (SELECT L.listing_id, concat_ws(',',
+         CASE WHEN regexp_replace(price, '[^0-9]', '', 'g') = '' THEN 'price' END,
+         CASE WHEN postal_code NOT SIMILAR TO '[0-9]{4}.?[A-Z]{2}.*' THEN 'postal_code' END) AS errors FROM L)"""
+
+
 def _stream_oracle() -> str:
-    from parcel.plans.q_geo import _FILLED, CENTER, _fix, dist_bin, hav
-    first = _FILLED[:_FILLED.index("ATT AS")].rstrip().rstrip(",")
-    return _fix(with_listing(first + f"""
-SELECT listing_id, {dist_bin(hav("g_lat", "g_lon", *CENTER))} AS dist_bin, TRUE AS scored,
-  CAST(NULL AS VARCHAR) AS error
-FROM L LEFT JOIN G USING (address)"""))
+    from parcel.operators.geo_join import AMENITY_RADIUS_KM, count_column
+    from parcel.plans.oracle_features import geo_ctes
+    from parcel.plans.q_geo import _AMEN, HAV_CENTER, _fix, dist_bin
+    cols = ", ".join(count_column(t, r) for t, rs in AMENITY_RADIUS_KM.items() for r in rs)
+    return _fix(with_listing(f"""
+, {_AMEN},
+{geo_ctes("C", "price_num IS NOT NULL")},
+{_ERRORS}
+SELECT FL.listing_id, {dist_bin(HAV_CENTER)} AS dist_bin, lat_lon_missing, {cols}, TRUE AS scored, errors
+FROM FL JOIN CNT USING (listing_id) JOIN ER USING (listing_id)""", clean=True))
 
 
 ORACLE = {
     "stream_coverage": _stream_oracle(),
+    "stream_error_counts": with_listing(f""",
+{_ERRORS},
+EC AS (SELECT unnest(CASE WHEN errors = '' THEN ['none'] ELSE string_split(errors, ',') END) AS cause FROM ER)
+SELECT cause, count(*) AS records, CASE WHEN cause = 'none' THEN 0 ELSE count(*) END AS letters
+FROM EC GROUP BY cause""").replace("\n),\n", "\n),\n"),
     "user_parsers": with_listing("""
 SELECT listing_id, TRY_CAST(nullif(regexp_extract(address, '(\\d+)$', 1), '') AS BIGINT) AS address_parsed,
   TRY_CAST(nullif(regexp_replace(price, '[^0-9]', '', 'g'), '') AS BIGINT) AS price_parsed,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S = T.StringType()
+CORRUPT = "_corrupt_record"
 PARCEL = T.StructType([T.StructField("parcel", S), T.StructField("link", S)])
 
 # The raw listing fields (strict schema) plus the scraper-only keys.
@@ -67,7 +68,8 @@ def conform_listing(df: DataFrame, defaults: dict | None = None) -> DataFrame:
     """SRC-3 / SRC-4: every expected field present in fixed order, defaults for missing.
 
     Defaults: NULL for scalars, '' for facilities, empty map / list for nested.
-    Extra columns are dropped. Works on any DataFrame (a JSON read, a table of
+    Extra columns are dropped, but the text of a record that could not be read stays
+    (``errors.with_errors`` reports it). Works on any DataFrame (a JSON read, a table of
     manual inputs, a stream).
     """
     defaults = defaults or {}
@@ -94,7 +96,7 @@ def conform_listing(df: DataFrame, defaults: dict | None = None) -> DataFrame:
         elif isinstance(dtype, T.ArrayType):
             c = F.coalesce(c, F.array().cast(dtype))
         cols.append(c.alias(name))
-    keep = [F.col(k) for k in ("listing_id", "url") if k in df.columns]
+    keep = [F.col(k) for k in ("listing_id", "url", CORRUPT) if k in df.columns]
     return df.select(*keep, *cols)
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,14 +58,17 @@ def load(spark: SparkSession, name: str, config: dict | None = None,
     return spark.read.parquet(_path(spark, name, config, root))
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder (recursive); False when there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
 def clear(spark: SparkSession, name: str, config: dict | None = None,
           root: str | None = None) -> bool:
     """Delete one materialization (recursive)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(_path(spark, name, config, root))
-    fs = p.getFileSystem(conf)
-    return bool(fs.exists(p) and fs.delete(p, True))
+    return delete(spark, _path(spark, name, config, root))
 
 
 def materialize(df: DataFrame, name: str, config: dict | None = None,
@@ -84,10 +88,24 @@ def cached_step(spark: SparkSession, name: str, config: dict | None,
     return materialize(build(), name, config, root)
 
 
+def scratch_path(spark: SparkSession, kind: str = "parcel_scratch") -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
 def scratch_table(df: DataFrame) -> DataFrame:
     """Anonymous lineage cut: a Parquet table under the shared checkpoint folder."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/parcel_scratch/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """``scratch_table`` for jobs that end inside the block; the files go with it."""
+    path = scratch_path(df.sparkSession)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        delete(df.sparkSession, path)

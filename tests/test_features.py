@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcel.operators import features as FE
-from parcel.plans.q_ml import build_feature_matrix
+from parcel.operators import models as ML
+from parcel.operators import split as SP
+from parcel.plans.q_ml import base_listings, build_feature_matrix
 from tests.conftest import SF_SMALL
 
 
@@ -12,21 +14,89 @@ def test_meta_roundtrip_and_one_row_parity(spark):
     X, meta = build_feature_matrix(spark, SF_SMALL)
     assert FE.FeatureMeta.from_json(meta.to_json()) == meta
     assert X.columns == ["listing_id", "split", "price_num"] + meta.feature_columns
+    assert len(meta.count_columns) == 16 and "dist_to_center_bin_encoded" in meta.feature_columns
     # Transforming one row alone gives the same features as inside the full batch.
-    from parcel.plans.common import IMPUTE_DEFAULT, clean_listings
-    from parcel.operators import fit as FIT
-    from parcel.operators.preprocess import facility_indicators
-    clean = clean_listings(spark, SF_SMALL)
-    clean = facility_indicators(clean, FIT.fit_vocabulary(clean, "facilities_list"))
-    filled = FIT.apply_impute(clean, FIT.fit_impute(clean, IMPUTE_DEFAULT))
+    base, _, _ = base_listings(spark, SF_SMALL)
     some_id = X.orderBy("listing_id").first()["listing_id"]
-    one = FE.transform_features(filled.where(F.col("listing_id") == some_id), meta,
+    one = FE.transform_features(base.where(F.col("listing_id") == some_id), meta,
                                 keep=["listing_id"]).first().asDict()
     full = X.where(F.col("listing_id") == some_id).first().asDict()
     for c in meta.feature_columns:
         assert one[c] == pytest.approx(full[c], rel=1e-12, abs=1e-12), c
 
 
+def _tables(spark, meta):
+    read = lambda k: sorted(map(tuple, spark.read.parquet(meta.tables[k]).collect()))
+    return {k: read(k) for k in FE.CENTROID_KEYS}
+
+
+def test_fold_state_ignores_the_folds_own_rows(spark):
+    """Every fold's state equals a fit on the other folds alone, although its own rows hold
+    planted extremes, levels and places that nothing else has."""
+    base, _, _ = base_listings(spark, SF_SMALL)
+    rows = ML.materialize(SP.with_folds(base.limit(400), "listing_id", 4))
+    leak = lambda f, planted, usual: F.when(F.col("fold") == f, planted).otherwise(usual)
+    rows = rows.withColumns({
+        "size_num": leak(1, F.lit(1e9).cast("long"), F.col("size_num")),
+        "nr_rooms": leak(2, F.lit(-5.0), F.col("nr_rooms")),
+        "status": leak(0, F.lit("AAA planted"), F.col("status")),
+        "neighborhood": leak(3, F.lit("planted"), F.col("neighborhood")),
+        "postal_code_clean": leak(1, F.lit("0000XX"), F.col("postal_code_clean"))})
+    rows = ML.materialize(rows)
+    geo = ML.materialize(rows.select("address", F.lit(52.0).alias("lat"), (
+        4.0 + F.col("listing_id") / 1e6).alias("lon")))
+    options = {"geo": geo, "amenities": geo.select(F.lit("school").alias("amenity_type"), "lat", "lon")}
+    metas = FE.fit_fold_features(rows, "fold", 4, **options)
+    assert len(metas[0].binary_flags) == 22
+    for f, meta in enumerate(metas):
+        alone = FE.fit_features(rows.where(F.col("fold") != f), flags=FE.FOLD_FLAGS, **options)
+        assert (meta.log_cols, meta.ohe_levels) == (alone.log_cols, alone.ohe_levels)
+        assert meta.train_medians == pytest.approx(alone.train_medians)
+        for key, want in _tables(spark, alone).items():
+            got = _tables(spark, meta)[key]
+            assert [r[0] for r in got] == [r[0] for r in want]
+            assert [r[1:] for r in got] == [pytest.approx(r[1:]) for r in want]
+    assert not any("planted" in c for c in metas[0].ohe_columns)
+    assert any("planted" in c for m in metas[1:] for c in m.ohe_columns) or metas[1].ohe_levels["status_cat"]
+    assert max(metas[1].train_medians["size_num"], 0) < 1e9
+
+
+def test_toggles(spark):
+    base, _, geo = base_listings(spark, SF_SMALL)
+    rows = base.limit(200)
+    plain = FE.fit_features(rows, extended=False, geo=geo)
+    assert not plain.tables and not plain.expanded_features
+    assert FE.transform_features(rows, plain, ["listing_id"]).columns == ["listing_id", *plain.feature_columns]
+    near = FE.fit_features(rows, geo=geo)
+    assert near.expanded_features == FE.EXPANSION_FEATURES + FE.GEO_FEATURES
+    assert FE.transform_features(rows, near, ["listing_id"]).count() == 200
+    with pytest.raises(ValueError, match="coordinates"):
+        FE.fit_features(rows, amenities=geo)
+
+
+def test_moments_add_up(spark):
+    import numpy as np
+
+    from parcel.operators import folds as FO
+    r = np.random.default_rng(1)
+    parts = [r.gamma(2, 3, n) + 1e4 for n in (50, 1, 0, 200)]
+    whole = np.concatenate(parts)
+    m = sum((FO.Moments(len(p), p.mean(), ((p - p.mean()) ** 2).sum(), ((p - p.mean()) ** 3).sum(), p.min(), p.max())
+             for p in parts if len(p)), FO.Moments())
+    assert m.n == len(whole) and m.lo == whole.min() and m.hi == whole.max()
+    assert m.mean == pytest.approx(whole.mean()) and m.std == pytest.approx(whole.std())
+    import pandas as pd
+    assert m.skew == pytest.approx(pd.Series(whole).skew())
+    xs, ys = r.normal(size=300), r.normal(size=300)
+    df = spark.createDataFrame([(float(x), float(x + y), k % 3) for k, (x, y) in enumerate(zip(xs, ys))],
+                               "x double, y double, fold int")
+    pairs = FO.comoments(df, ["x"], "y", "fold")["x"]
+    keep = np.arange(300) % 3 != 1
+    c = FO.others(pairs, 1, FO.CoMoments())
+    assert c.corr == pytest.approx(np.corrcoef(xs[keep], (xs + ys)[keep])[0, 1])
+    assert c.slope == pytest.approx(np.polyfit(xs[keep], (xs + ys)[keep], 1)[0])
+
+
 def test_energy_ordinal(spark):
     df = spark.createDataFrame([("G",), ("A++++",), (None,), ("N/A",), ("0",), ("B",)], "e string")
     got = [r[0] for r in df.select(FE.energy_ordinal("e")).collect()]

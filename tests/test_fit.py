@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from parcel.operators import fit as FIT
+from parcel.operators import levels as LV
 
 
 def _np_quantile(xs, p):
@@ -37,9 +38,30 @@ def test_exact_quantiles_refinement_path(spark):
     xs = [rnd.gauss(0, 1) for _ in range(20000)] + [1.5] * 7000
     df = spark.createDataFrame([(x,) for x in xs], "v double")
     probs = [0.001, 0.33, 0.5, 0.9, 0.999]
-    got = FIT.exact_quantiles(df, "v", probs, accuracy=100, collect_limit=500)
-    for p, g in zip(probs, got):
-        assert math.isclose(g, _np_quantile(xs, p), rel_tol=1e-12, abs_tol=1e-12)
+    for options in ({"collect_limit": 500}, {"collect_limit": 500, "sketch_k": 8},
+                    {"collect_limit": 1, "max_levels": 1}, {"collect_limit": 3, "max_levels": 0}):
+        got = FIT.exact_quantiles(df, "v", probs, **options)
+        for p, g in zip(probs, got):
+            assert math.isclose(g, _np_quantile(xs, p), rel_tol=1e-12, abs_tol=1e-12), options
+
+
+def test_exact_quantiles_of_training_folds(spark):
+    """Every fold's training rows, several columns, with folds of unlike size and values; by
+    collected pairs, by sketches and by ranges of sorted values."""
+    from parcel.operators import quantiles as Q
+    rnd = random.Random(5)
+    rows = [(k % 7 % 4, rnd.gauss(k % 4, 1), None if k % 3 else float(k), float(k % 2) if k % 4 else math.nan,
+             None if k % 7 % 4 != 2 else 1.0) for k in range(4000)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, c double, d double")
+    probs = [0.25, 0.5]
+    for options in ({}, {"collect_limit": 200}, {"collect_limit": 1, "max_levels": 1}):
+        got = Q.exact(df, ["a", "b", "c", "d"], probs, "fold", 4, **options)
+        assert sorted(got) == [0, 1, 2, 3]
+        for f in range(4):
+            for i, c in enumerate("abcd", 1):
+                xs = [r[i] for r in rows if r[0] != f and r[i] is not None and not math.isnan(r[i])]
+                want = [_np_quantile(xs, p) for p in probs] if xs else [None, None]
+                assert got[f][c] == pytest.approx(want, abs=1e-12) if xs else got[f][c] == want, (f, c, options)
 
 
 def test_exact_quantiles_empty(spark):
@@ -87,7 +109,8 @@ def test_low_variance_and_one_hot(spark):
     rows = [("a", 1)] * 96 + [("b", 0)] * 4
     df = spark.createDataFrame(rows, "cat string, flag int")
     assert FIT.fit_low_variance(df, ["flag"], 0.95) == ["flag"]
-    levels = FIT.fit_one_hot(df, ["cat"])
+    assert FIT.fit_one_hot(df, ["cat"]) == {"cat": []}      # b is in 4 % of the rows
+    levels = FIT.fit_one_hot(df, ["cat"], low_variance=0.97)
     assert levels == {"cat": ["b"]}
     out = FIT.apply_one_hot(df, levels)
     assert out.agg({"cat_b": "sum"}).first()[0] == 4
@@ -95,4 +118,6 @@ def test_low_variance_and_one_hot(spark):
 
 def test_vocabulary_order(spark):
     df = spark.createDataFrame([(["b", "a"],), (["a"],), (["c", "b"],)], "l array<string>")
-    assert FIT.fit_vocabulary(df, "l") == ["a", "b", "c"]
+    table = FIT.fit_vocabulary(df, "l")
+    assert sorted((r["level"], r["n"], r["code"]) for r in table.collect()) == [("a", 2, 0), ("b", 2, 1), ("c", 1, 2)]
+    assert LV.most_frequent(table, 2) == ["a", "b"] and LV.most_frequent(table, 9) == ["a", "b", "c"]

@@ -48,7 +48,7 @@ def test_radius_counts_split_hot_cells_equal_brute_force(spark):
     radius = {"school": [0.5, 1.0], "park": [0.5, 1.0]}
     pdf = spark.createDataFrame(pts, "listing_id long, lat double, lon double")
     adf = spark.createDataFrame(am, "amenity_type string, lat double, lon double")
-    out = GJ.radius_counts(pdf, adf, radius, bins=False, hot_rows=7)
+    out = GJ.radius_counts(pdf, adf, radius, bins=False, hot_rows=7, chunk=5)
     got = {r["listing_id"]: r for r in out.collect()}
     assert len(got) == len(pts)
     for pid, la, lo in pts:
@@ -85,3 +85,34 @@ def test_distance_bins(spark):
     assert [r[0] for r in df.select(G.distance_to_center_bin("lat", "lon")).collect()] == [0, 1, 5]
     bins = spark.createDataFrame([(0,), (1,), (2,), (3,), (6,), (11,)], "n int")
     assert [r[0] for r in bins.select(G.count_bin(F.col("n"))).collect()] == [0, 1, 1, 2, 3, 4]
+
+
+def test_amenity_index_is_shared_by_batches(spark):
+    """One index, built once, gives every batch the counts of a join of its own; chunks of dense
+    cells hold about as many points as asked for."""
+    rnd = random.Random(3)
+    pts = [(i, 52.3 + rnd.random() * 0.1, 4.8 + rnd.random() * 0.1) for i in range(90)]
+    am = [("school", 52.35 + rnd.random() * 0.01, 4.85 + rnd.random() * 0.01) for _ in range(300)]
+    radius = {"school": [0.5, 1.0], "hospital": [2.0]}
+    pdf = spark.createDataFrame(pts, "listing_id long, lat double, lon double")
+    adf = spark.createDataFrame(am, "amenity_type string, lat double, lon double")
+    index, spec = GJ.build_amenity_index(adf, radius, chunk=40)
+    index = index.cache()
+    assert index.count() > 9 and index.agg(F.max(F.size("points"))).first()[0] < 120
+    whole = {r["listing_id"]: r for r in GJ.radius_counts(pdf, adf, radius).collect()}
+    for b in range(3):
+        for r in GJ.amenity_counts(pdf.where(F.col("listing_id") % 3 == b), index, spec).collect():
+            assert r == whole[r["listing_id"]]
+    assert GJ.amenity_counts(pdf.where("false"), index, spec).count() == 0
+    none, spec = GJ.build_amenity_index(adf.where("false"), radius)
+    assert all(r["count_school_within_1000m"] == 0 for r in GJ.amenity_counts(pdf, none, spec).collect())
+
+
+def test_fold_centroids_are_those_of_the_other_folds(spark):
+    rows = [(k, k % 4, f"p{k % 3}", 50.0 + k, float(k)) for k in range(30)] + [(99, 0, "p0", None, None)]
+    df = spark.createDataFrame(rows, "id long, fold int, pc string, lat double, lon double")
+    got = {(r["target"], r["pc"]): (r["pc_lat"], r["pc_lon"])
+           for r in GJ.fold_centroids(df, "pc", "fold", [0, 1, 2, 3]).collect()}
+    for f in range(4):
+        want = {r["pc"]: (r["pc_lat"], r["pc_lon"]) for r in GJ.centroids(df.where(F.col("fold") != f), "pc").collect()}
+        assert {p: v for (t, p), v in got.items() if t == f} == want

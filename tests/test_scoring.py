@@ -34,12 +34,12 @@ def test_missing_features_are_zero(spark, model):
 
 
 def test_extra_and_non_numeric_dropped(spark, model):
-    df = spark.createDataFrame([(1, 120.0, 4.0, 1.0, 0.77, "nice flat")],
+    df = spark.createDataFrame([(1, 90.0, 3.0, 0.0, -12.5, "corner house"), (2, 70.0, 2.0, 1.0, None, None)],
                                "id long, size double, rooms double, has_garden double, "
-                               "random_noise_feature double, description string")
+                               "tide_level double, agent_remark string")
     out = ML.score(df, model, keep=["id"])
     assert out.columns == ["id", "size", "rooms", "has_garden", "prediction"]
-    assert out.count() == 1
+    assert out.count() == 2
 
 
 def test_failures(spark, model):

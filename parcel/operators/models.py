@@ -8,14 +8,15 @@ checkpoint, not from the raw scan and every upstream join.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
+                                   RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +115,19 @@ def stopping_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+FIRST_ROUNDS = 256
+
+
 def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, params: dict,
-                log_target: bool = False, rounds: int = 1000, patience: int = 50
-                ) -> tuple[FittedModel, int]:
+                log_target: bool = False, rounds: int = 1000, patience: int = 50,
+                first: int = FIRST_ROUNDS) -> tuple[FittedModel, int]:
     """ML-3: boosting that stops once the validation error has not improved for ``patience``
-    rounds; returns the model of the best round and that round. Spark's trees come in the same
-    order for the same seed, so a fit of more rounds begins with the rounds of a shorter one:
-    the number of rounds is doubled until the rule has stopped it or ``rounds`` is reached."""
+    rounds; returns the model of the best round and that round. The errors of all rounds are read
+    from one fit of ``first`` rounds; only if the rule has not stopped by then, the fit is
+    repeated with twice as many (a fit of more rounds begins with the same trees). The model keeps
+    the trees up to the best round; nothing is fitted again for that."""
     lab = F.log1p(F.col(label)) if log_target else F.col(label).cast("double")
-    n = min(rounds, patience + 14)
+    n = min(rounds, max(first, patience + 1))
     while True:
         fm = fit(train, features, label, "gbt", {**params, "num_boost_round": n}, log_target)
         assembler, model = fm.model.stages
@@ -132,9 +137,23 @@ def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], label
         if stopped or n >= rounds:
             break
         n = min(rounds, 2 * n)
-    if best < n:
-        fm = fit(train, features, label, "gbt", {**params, "num_boost_round": best}, log_target)
-    return fm, best
+    return (fm if best == n else first_rounds(fm, best)), best
+
+
+def first_rounds(fm: FittedModel, n: int) -> FittedModel:
+    """The boosted model of the first ``n`` rounds of a longer fit."""
+    assembler, model = fm.model.stages
+    java, sc = model._java_obj, SparkContext._active_spark_context
+    kind = sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees = sc._gateway.new_array(kind, n)
+    weights = sc._gateway.new_array(sc._gateway.jvm.double, n)
+    for k, (tree, weight) in enumerate(list(zip(model.trees, model.treeWeights))[:n]):
+        trees[k], weights[k] = tree._java_obj, float(weight)
+    shorter = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights)
+    shorter.setFeaturesCol(java.getFeaturesCol())
+    shorter.setPredictionCol(java.getPredictionCol())
+    return FittedModel(PipelineModel([assembler, GBTRegressionModel(shorter)]), fm.features, fm.family,
+                       fm.log_target, fm.ignored_params)
 
 
 def predict(fm: FittedModel, df: DataFrame) -> DataFrame:
@@ -211,22 +230,3 @@ def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int], seed: int =
         model, _ = kmeans(df, features, k, seed)
         out.append((k, float(model.stages[-1].summary.trainingCost)))
     return out
-
-
-def sample_params(space: dict, u: dict[str, float]) -> dict:
-    """ML-8 for one trial: uniform draws ``u[name]`` in [0,1) -> parameter values."""
-    out = {}
-    for name, spec in space.items():
-        x = u[name]
-        kind = spec["type"]
-        if kind == "int":
-            out[name] = int(spec["low"] + math.floor(x * (spec["high"] - spec["low"] + 1)))
-        elif kind == "float" and spec.get("log"):
-            lo, hi = spec["low"], spec["high"]
-            out[name] = math.exp(math.log(lo) + x * math.log(hi / lo))
-        elif kind == "float":
-            out[name] = spec["low"] + x * (spec["high"] - spec["low"])
-        else:
-            ch = spec["choices"]
-            out[name] = ch[min(int(x * len(ch)), len(ch) - 1)]
-    return out

@@ -37,6 +37,10 @@ def with_split(df: DataFrame, key: str, test_size: float = 0.2, val_size: float
     return df.withColumn(name, split_column(key, test_size, val_size, seed))
 
 
+#: Folds of one split's rows need draws of their own: by the split's seed they would be uneven.
+FOLD_SEED = 43
+
+
 def fold_column(key, k: int = 5, seed: int = 42) -> Column:
     """SP-3: fold id in 0..k-1 from the same hash (shuffled K-fold)."""
     return F.floor(hash_unit(key, seed) * F.lit(k)).cast("int")

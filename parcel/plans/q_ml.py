@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,15 @@ from parcel.functions import parse as P
 from parcel.operators import features as FE
 from parcel.operators import fit as FIT
 from parcel.operators import metrics as M
+from parcel.operators import model_config as MC
 from parcel.operators import models as ML
 from parcel.operators import split as SP
+from parcel.operators import study as ST
 from parcel.operators.preprocess import facility_flags
 from parcel.plans.common import IMPUTE_DEFAULT, clean_listings
+from parcel.session import store_root
 from parcel.sources.listings import amenity_points, geo_dimension
+from parcel.sources.store import config_key
 
 KEEP = ["listing_id", "split", "price_num"]
 
@@ -104,64 +109,78 @@ def fit_boosted(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(ML.predict(fm, X)).withColumn("n_rounds", F.lit(rounds))
 
 
-SEARCH_SPACE = {"alpha": {"type": "float", "low": 1e-4, "high": 10.0, "log": True},
-                "l1_ratio": {"type": "float", "low": 0.0, "high": 1.0}}
-
-
-def _trials(n: int, seed: int = 42) -> list[dict]:
-    import hashlib
-    out = []
-    for t in range(n):
-        u = {}
-        for name in SEARCH_SPACE:
-            h = hashlib.md5(f"{t}:{name}:{seed}".encode()).hexdigest()[:8]
-            u[name] = int(h, 16) / 2.0 ** 32
-        out.append(ML.sample_params(SEARCH_SPACE, u))
-    return out
-
-
-def _search(spark: SparkSession, X: DataFrame, feats: list[str], n_trials: int):
-    train = SP.with_folds(X.where(F.col("split") == "train"), "listing_id", 5)
-    state = FIT.fit_scaler(train, feats, "standard")
-    train = ML.materialize(FIT.apply_scaler(train, state))
-    rows = []
-    for t, params in enumerate(_trials(n_trials)):
-        cv = ML.cross_validate(train, feats, "price_num", "linear", params, log_target=True)
-        r = cv.agg(F.avg("rmse").alias("m")).first()
-        rows.append((t, params["alpha"], params["l1_ratio"], float(r["m"])))
-    best = math.inf
-    out = []
-    for t, a, l1, m in rows:
-        best = min(best, m)
-        out.append((t, a, l1, round(m, 2), round(best, 2)))
+# The catalogue's budget: the families and folds of a full study, few trials of small models. The
+# defaults of ``study.run_study`` and ``model_config.CONFIGS`` are the full ones.
+SMALL_FOREST = MC.ModelConfig(
+    "random_forest_small", "random_forest", [], model_params={"random_state": 42},
+    space={"n_estimators": {"type": "int", "low": 5, "high": 15}, "max_depth": {"type": "int", "low": 4, "high": 6},
+           "max_features": {"type": "categorical", "choices": ["sqrt", "log2"]}})
+SMALL_BOOSTING = MC.ModelConfig(
+    "xgboost_small", "gbt", [], model_params={"max_depth": 3, "seed": 42},
+    fit_params={"num_boost_round": 12, "early_stopping_rounds": 3},
+    space={"eta": {"type": "float", "low": 0.1, "high": 0.4, "log": True},
+           "subsample": {"type": "float", "low": 0.8, "high": 1.0}})
+
+
+def study(spark: SparkSession, sf: str, configs=(SMALL_BOOSTING, SMALL_FOREST), trials: int = 2,
+          folds: int = ST.FOLDS) -> ST.Ledger:
+    """The catalogue's study of this table, worked off or resumed: trials that its ledger in the
+    store already has are not run again."""
+    key = config_key({"sf": sf, "configs": [asdict(c) for c in configs], "folds": folds})
+    ledger = ST.Ledger(spark, f"{store_root(spark)}/studies", f"listings_{key}")
+    have = {(r["family"], r["trial"]) for r in ledger.results().select("family", "trial").distinct().collect()}
+    if len(have) < trials * len(configs):
+        base, _, geo = base_listings(spark, sf)
+        train = ML.materialize(SP.with_folds(base.where(F.col("split") == "train"), "listing_id", folds,
+                                            SP.FOLD_SEED))
+        matrices = ST.fold_matrices(train, "fold", folds, "price_num", ["listing_id"], geo=geo,
+                                    amenities=amenity_points(spark, sf))
+        ST.run_study(ledger, configs, ST.cv_objective(matrices, "fold", "price_num"), trials)
+    return ledger
+
+
+def cv_random_search(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-8..ML-11 / WN-2: random search over two families, features refitted in every fold, trials
+    in a ledger, best so far per family."""
+    return study(spark, sf).trials().select(
+        "family", "trial", "params", F.round("mean_val_rmse", 2).alias("mean_val_rmse"),
+        F.round("best_so_far", 2).alias("best_so_far"))
+
+
+def retrain_best(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-12: the ledger's best trial of either family, refitted on train + val with fixed
+    parameters (boosting: the mean number of rounds its folds kept), evaluated on test."""
+    ledger = study(spark, sf)
+    base, _, geo = base_listings(spark, sf)
+    base = ML.materialize(base)
+    fitset = base.where(F.col("split") != "test")
+    meta = FE.fit_features(fitset, flags=FE.FOLD_FLAGS, geo=geo, amenities=amenity_points(spark, sf))
+    X = ML.materialize(FE.transform_features(base, meta, keep=KEEP))
+    out = None
+    for config in (SMALL_BOOSTING, SMALL_FOREST):
+        best = ledger.best(config.family)
+        params = json.loads(best["params"])
+        chosen = {**params["model"], **params["fit"]}
+        if best["rounds"]:
+            chosen["num_boost_round"] = round(best["rounds"])
+        model, _ = ST.fit_config(config, chosen, X.where(F.col("split") != "test"), None,
+                                 meta.feature_columns, "price_num", True)
+        m = _metrics(ML.predict(model, X.where(F.col("split") == "test"))).withColumn(
+            "family", F.lit(config.family))
+        out = m if out is None else out.unionByName(m)
     return out
 
 
-def cv_random_search(spark: SparkSession, sf: str, n_trials: int = 6) -> DataFrame:
-    """ML-8 / ML-9 / ML-10 / WN-2: random search, 5-fold CV objective, best so far."""
-    X, feats = _training(spark, sf)
-    return spark.createDataFrame(_search(spark, X, feats, n_trials),
-                                 "trial int, alpha double, l1_ratio double, "
-                                 "mean_val_rmse double, best_so_far double")
-
-
-def retrain_best(spark: SparkSession, sf: str, n_trials: int = 6) -> DataFrame:
-    """ML-12: refit the best trial on train+val (fixed parameters), evaluate on test."""
-    X, feats = _training(spark, sf)
-    trials = _search(spark, X, feats, n_trials)
-    _, alpha, l1, _, _ = min(trials, key=lambda r: (r[3], r[0]))
-    fitset = X.where(F.col("split") != "test")
-    state = FIT.fit_scaler(fitset, feats, "standard")
-    Xs = FIT.apply_scaler(X, state)
-    fm = ML.fit(Xs.where(F.col("split") != "test"), feats, "price_num", "linear",
-                {"alpha": alpha, "l1_ratio": l1}, log_target=True)
-    return _metrics(ML.predict(fm, Xs).where(F.col("split") == "test"))
+def config_features(spark: SparkSession, sf: str) -> DataFrame:
+    """PR-2 / PR-3 / PR-6: the matrix of the linear model's configured features, gaps filled with 0."""
+    X = MC.feature_matrix(clean_listings(spark, sf), MC.CONFIGS["linear_regression"], ["listing_id"])
+    return X.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in X.dtypes])
 
 
 def importance_folds(spark: SparkSession, sf: str) -> DataFrame:
     """ML-13 / ML-14 / AG-17: forest importances per fold, mean over folds (absent = 0)."""
     X, feats = _training(spark, sf)
-    train = SP.with_folds(X.where(F.col("split") != "test"), "listing_id", 5)
+    train = SP.with_folds(X.where(F.col("split") != "test"), "listing_id", 5, SP.FOLD_SEED)
     per = None
     for f in range(5):
         fm = ML.fit(train.where(F.col("fold") != f), feats, "price_num", "random_forest",
@@ -237,6 +256,7 @@ QUERIES = {
     "fit_boosted": fit_boosted,
     "cv_random_search": cv_random_search,
     "retrain_best": retrain_best,
+    "config_features": config_features,
     "importance_folds": importance_folds,
     "score_batch": score_batch,
     "score_coverage": score_coverage,
@@ -246,10 +266,23 @@ QUERIES = {
 }
 
 def _oracles() -> dict[str, str]:
+    from parcel.plans.oracle_base import with_listing
     from parcel.plans.oracle_features import feature_profile_sql, geo_rows_sql
     from parcel.plans.q_models import _w
     return {"feature_matrix_profile": feature_profile_sql(),
             "feature_matrix_geo": geo_rows_sql(),
+            "config_features": with_listing("""
+SELECT listing_id, coalesce(CAST(size_num AS DOUBLE), 0) AS size_num, coalesce(bedrooms_d, 0) AS bedrooms,
+  CAST(CASE coalesce(energy_label, 'G') WHEN 'G' THEN 0 WHEN 'F' THEN 1 WHEN 'E' THEN 2 WHEN 'D' THEN 3
+    WHEN 'C' THEN 4 WHEN 'B' THEN 5 WHEN 'A' THEN 6 WHEN 'A+' THEN 7 WHEN 'A++' THEN 8 WHEN 'A+++' THEN 9
+    WHEN 'A++++' THEN 10 END AS DOUBLE) AS energy_label,
+  coalesce(year_of_construction_d, 0) AS year_of_construction, coalesce(nr_rooms_d, 0) AS nr_rooms,
+  coalesce(bathrooms_d, 0) AS bathrooms, coalesce(toilets_d, 0) AS toilets,
+  coalesce(CAST(contribution_vve_num AS DOUBLE), 0) AS contribution_vve_num,
+  coalesce(CAST(external_storage_num AS DOUBLE), 0) AS external_storage_num,
+  coalesce(CAST(nb_inhabitants AS DOUBLE), 0) AS inhabitants_in_neighborhood,
+  round(coalesce(nb_families, 0), 6) AS families_with_children_pct,
+  coalesce(nb_price_m2, 0) AS price_per_m2_neighborhood, price_num FROM C""", clean=True),
             "score_coverage": """
 SELECT o_orderkey AS listing_id, count(*) AS predictions FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey GROUP BY o_orderkey""",

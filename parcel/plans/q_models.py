@@ -16,6 +16,7 @@ from parcel.operators import folds as FO
 from parcel.operators import metrics as M
 from parcel.operators import runs as RL
 from parcel.operators import split as SP
+from parcel.operators import study as ST
 from parcel.operators.ordered import SLICE_ROWS, running_min
 from parcel.plans.common import r6
 from parcel.sources.tables import table
@@ -172,28 +173,17 @@ def contribution_eur(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- trials
-SPACE_INT = {"max_depth": (3, 10)}
-SPACE_FLOAT = {"subsample": (0.5, 1.0)}
-SPACE_LOG = {"eta": (0.01, 0.3)}
-SPACE_CAT = {"booster": ["gbtree", "dart"]}
+SPACE = {"max_depth": {"type": "int", "low": 3, "high": 10},
+         "subsample": {"type": "float", "low": 0.5, "high": 1.0},
+         "eta": {"type": "float", "low": 0.01, "high": 0.3, "log": True},
+         "booster": {"type": "categorical", "choices": ["gbtree", "dart"]}}
 
 
 def trial_sampling(spark: SparkSession, sf: str) -> DataFrame:
     """ML-8: one parameter draw per trial (trial ids = event ids), hash-uniform per name."""
-    import math
     ev = table(spark, sf, "events").select("event_id")
-
-    def u(name):
-        return SP.hash_unit(F.concat(F.col("event_id").cast("string"), F.lit(f":{name}")))
-    cols = [(F.lit(lo) + F.floor(u(n) * (hi - lo + 1))).cast("int").alias(n)
-            for n, (lo, hi) in SPACE_INT.items()]
-    cols += [r6(F.lit(lo) + u(n) * (hi - lo)).alias(n) for n, (lo, hi) in SPACE_FLOAT.items()]
-    cols += [r6(F.exp(F.lit(math.log(lo)) + u(n) * math.log(hi / lo))).alias(n)
-             for n, (lo, hi) in SPACE_LOG.items()]
-    cols += [F.element_at(F.array(*[F.lit(c) for c in ch]),
-                          (F.floor(u(n) * len(ch)) + 1).cast("int")).alias(n)
-             for n, ch in SPACE_CAT.items()]
-    return ev.select("event_id", *cols)
+    draws = ST.sampled(SPACE, F.col("event_id"))
+    return ev.select("event_id", *[(r6(c) if SPACE[n]["type"] == "float" else c).alias(n) for n, c in draws.items()])
 
 
 def best_so_far(spark: SparkSession, sf: str, slice_rows: int = SLICE_ROWS) -> DataFrame:

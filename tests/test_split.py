@@ -18,6 +18,9 @@ def test_folds_cover_all_rows_once(spark):
     df = SP.with_folds(spark.range(5000).withColumnRenamed("id", "k"), "k", 5)
     counts = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
     assert set(counts) == {0, 1, 2, 3, 4} and sum(counts.values()) == 5000
+    train = SP.with_split(spark.range(5000).withColumnRenamed("id", "k"), "k", 0.2, 0.1).where("split = 'train'")
+    counts = {r["fold"]: r["count"] for r in SP.with_folds(train, "k", 5, SP.FOLD_SEED).groupBy("fold").count().collect()}
+    assert len(counts) == 5 and min(counts.values()) > 0.8 * max(counts.values())
 
 
 def test_run_family_of_an_unknown_name_stops(spark):
@@ -47,7 +50,7 @@ def test_boosting_stops_no_worse_than_all_rounds(spark):
         "y", 100 * F.col("a") + 10 * F.col("b") * F.col("a") + (F.hash("id") % 7))
     train, val = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
     params = {"max_depth": 3, "eta": 0.3, "seed": 1}
-    fm, best = ML.fit_boosted(train, val, ["a", "b"], "y", params, rounds=24, patience=4)
+    fm, best = ML.fit_boosted(train, val, ["a", "b"], "y", params, rounds=24, patience=4, first=8)
     every = ML.fit(train, ["a", "b"], "y", "gbt", {**params, "num_boost_round": 24})
     error = lambda m: ML.predict(m, val).agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))).first()[0]
     assert 1 <= best <= 24 and error(fm) <= error(every) * 1.0001

@@ -64,3 +64,8 @@ def planar_km(lat1, lon1, lat2, lon2) -> Column:
     dy = _num(lat1) - _num(lat2)
     dx = _num(lon1) - _num(lon2)
     return F.sqrt(dy * dy + dx * dx) * F.lit(111.0)
+
+
+def box_km2(lat_min, lat_max, lon_min, lon_max) -> Column:
+    """GE-5: planar area of a box, degrees x 111 km."""
+    return (_num(lat_max) - _num(lat_min)) * F.lit(111.0) * (_num(lon_max) - _num(lon_min)) * F.lit(111.0)

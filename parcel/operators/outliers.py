@@ -1,10 +1,10 @@
 """Isolation-forest outlier flagging (OD-2).
 
-* Sampling: tree ``t`` takes the rows whose hash ``u_t(key)`` (xxhash64) is below
-  ``p = oversample * psi / n`` (a Bernoulli sample decided per row, stable
-  under repartitioning), then keeps the ``psi`` smallest ``u_t`` inside its
-  group: every tree group is bounded by ~``oversample * psi`` rows whatever
-  the table size or key skew.
+* Sampling: every tree takes each row with probability ``p = oversample * psi / n``, decided by
+  hashes of the key (stable under repartitioning), then keeps the ``psi`` smallest draws inside
+  its group: every tree group is bounded by ~``oversample * psi`` rows whatever the table size or
+  key skew. One hash says how many trees a row skips before its first one; most rows skip them
+  all, and only the others are asked about the trees that follow.
 * Building: ``groupBy(tree_id).applyInPandas`` grows one tree per group with
   numpy (seeded by the tree id) -- the only Python in the operator.
 * Scoring: the forest is a fixed-size array set (``n_trees x (2*psi - 1)``
@@ -93,10 +93,13 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str,
     # deterministic, partition-independent and cheap enough to evaluate n_trees times.
     def unit(k: Column, t: Column, s: int) -> Column:
         return F.pmod(F.xxhash64(k, t, F.lit(s)), F.lit(1 << 32)).cast("double") / float(1 << 32)
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: unit(F.col(key), t, seed) < F.lit(p))
-    sampled = (df.select(F.col(key), *feats).na.drop(subset=list(features))
-               .withColumn("tree_id", F.explode(trees))
+    rest = lambda first: F.filter(F.sequence(first + 1, F.lit(n_trees)), lambda t: (
+        t < n_trees) & (unit(F.col(key), t, seed) < F.lit(p)))
+    skip = F.lit(0) if p >= 1 else F.floor(F.log(1.0 - unit(F.col(key), F.lit(-1), seed)) / math.log1p(-p))
+    rows = df.select(F.col(key), *feats).na.drop(subset=list(features)).withColumn("first", skip)
+    sampled = (rows.where(F.col("first") < n_trees).withColumn("first", F.col("first").cast("int"))
+               .withColumn("tree_id", F.explode(F.concat(F.array("first"), rest(F.col("first")))))
+               .drop("first")
                .withColumn("u", unit(F.col(key), F.col("tree_id"), seed + 1)))
     forest = (sampled.groupBy("tree_id")
               .applyInPandas(_build_group(features, psi), TREE_SCHEMA).collect())

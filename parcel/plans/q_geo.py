@@ -69,16 +69,19 @@ def _areas(spark: SparkSession, sf: str) -> DataFrame:
                  r6(F.avg("size_num")).alias("avg_size"),
                  r6(F.avg(P.safe_ratio("price_num", "size_num"))).alias("avg_price_m2"),
                  r6(F.avg("year_of_construction_num")).alias("avg_year"),
-                 F.avg(lat).alias("c_lat"), F.avg("lon").alias("c_lon")))
+                 F.avg(lat).alias("c_lat"), F.avg("lon").alias("c_lon"),
+                 G.box_km2(F.min(lat), F.max(lat), F.min("lon"), F.max("lon")).alias("area_km2")))
 
 
 def area_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-2 multi-aggregate per PC4 area + GE-5 planar centroid distance."""
+    """AG-2 multi-aggregate per PC4 area + GE-5 planar centroid distance and listings per km2 (of the
+    box around the area's listings)."""
     a = _areas(spark, sf)
     return a.select("pc4", "n_listings", "avg_price", "avg_size", "avg_price_m2", "avg_year",
                     r6("c_lat").alias("centroid_lat"), r6("c_lon").alias("centroid_lon"),
                     r6(G.planar_km("c_lat", "c_lon", G.CITY_CENTER[0], G.CITY_CENTER[1]))
-                    .alias("centre_km"))
+                    .alias("centre_km"),
+                    r6(P.safe_ratio("n_listings", "area_km2")).alias("listings_per_km2"))
 
 
 def address_having(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +199,8 @@ _AREAS = """
 , AR AS (SELECT substr(postal_code_clean, 1, 4) AS pc4, count(price_num) AS n_listings,
     round(avg(price_num), 2) AS avg_price, round(avg(size_num), 6) AS avg_size,
     round(avg(CAST(price_num AS DOUBLE) / nullif(CAST(size_num AS DOUBLE), 0)), 6) AS avg_price_m2,
-    round(avg(year_of_construction_num), 6) AS avg_year, avg(lat) AS c_lat, avg(lon) AS c_lon
+    round(avg(year_of_construction_num), 6) AS avg_year, avg(lat) AS c_lat, avg(lon) AS c_lon,
+    (max(lat) - min(lat)) * 111.0 * (max(lon) - min(lon)) * 111.0 AS area_km2
   FROM C GROUP BY 1)
 """
 
@@ -223,7 +227,7 @@ FROM L"""),
 SELECT pc4, n_listings, avg_price, avg_size, avg_price_m2, avg_year, round(c_lat, 6) AS centroid_lat,
   round(c_lon, 6) AS centroid_lon,
   round(sqrt((c_lat - 52.3730) * (c_lat - 52.3730) + (c_lon - 4.8923) * (c_lon - 4.8923)) * 111.0, 6)
-    AS centre_km FROM AR""", clean=True)),
+    AS centre_km, round(n_listings / nullif(area_km2, 0), 6) AS listings_per_km2 FROM AR""", clean=True)),
     "address_having": with_listing("""
 SELECT address, count(price_num) AS n_listings, round(avg(price_num), 2) AS avg_price FROM C
 GROUP BY address HAVING count(price_num) >= 3""", clean=True),

@@ -91,21 +91,21 @@ def fit_linear(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(ML.predict(fm, Xs))
 
 
-def fit_forest(spark: SparkSession, sf: str) -> DataFrame:
+def fit_forest(spark: SparkSession, sf: str, trees: int = 200, depth: int = 10) -> DataFrame:
     """ML-2: random forest (200 trees, depth 10, seed 42), metrics per split."""
     X, feats = _training(spark, sf)
     fm = ML.fit(X.where(F.col("split") == "train"), feats, "price_num", "random_forest",
-                {"n_estimators": 200, "max_depth": 10, "random_state": 42})
+                {"n_estimators": trees, "max_depth": depth, "random_state": 42})
     return _metrics(ML.predict(fm, X))
 
 
-def fit_boosted(spark: SparkSession, sf: str) -> DataFrame:
+def fit_boosted(spark: SparkSession, sf: str, max_rounds: int = 1000, patience: int = 50) -> DataFrame:
     """ML-3: boosted trees on log price; up to 1000 rounds, stopped after 50 without a better
     validation error. The number of rounds kept comes with the metrics."""
     X, feats = _training(spark, sf)
     fm, rounds = ML.fit_boosted(
         X.where(F.col("split") == "train"), X.where(F.col("split") == "val"), feats, "price_num",
-        {"max_depth": 6, "eta": 0.05, "seed": 42, "subsample": 0.85}, log_target=True)
+        {"max_depth": 6, "eta": 0.05, "seed": 42, "subsample": 0.85}, True, max_rounds, patience)
     return _metrics(ML.predict(fm, X)).withColumn("n_rounds", F.lit(rounds))
 
 
@@ -177,14 +177,14 @@ def config_features(spark: SparkSession, sf: str) -> DataFrame:
     return X.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in X.dtypes])
 
 
-def importance_folds(spark: SparkSession, sf: str) -> DataFrame:
+def importance_folds(spark: SparkSession, sf: str, trees: int = 200, depth: int = 10) -> DataFrame:
     """ML-13 / ML-14 / AG-17: forest importances per fold, mean over folds (absent = 0)."""
     X, feats = _training(spark, sf)
     train = SP.with_folds(X.where(F.col("split") != "test"), "listing_id", 5, SP.FOLD_SEED)
     per = None
     for f in range(5):
         fm = ML.fit(train.where(F.col("fold") != f), feats, "price_num", "random_forest",
-                    {"n_estimators": 200, "max_depth": 10, "random_state": 42})
+                    {"n_estimators": trees, "max_depth": depth, "random_state": 42})
         imp = ML.feature_importances(fm, spark).withColumn("fold", F.lit(f))
         per = imp if per is None else per.unionByName(imp)
     return (per.groupBy("feature").agg((F.sum("importance") / F.lit(5.0)).alias("importance"))
@@ -240,11 +240,11 @@ def kmeans_areas(spark: SparkSession, sf: str) -> DataFrame:
                  F.round(F.max("avg_price"), 2).alias("max_avg_price")))
 
 
-def elbow_curve(spark: SparkSession, sf: str) -> DataFrame:
+def elbow_curve(spark: SparkSession, sf: str, most: int = 14) -> DataFrame:
     """ML-18: within-cluster cost for k = 2..14."""
     areas = ML.materialize(_area_table(spark, sf))
     scaled = FIT.apply_scaler(areas, FIT.fit_scaler(areas, AREA_FEATS, "standard"), "_z")
-    cost = ML.elbow(scaled, [c + "_z" for c in AREA_FEATS], range(2, 15))
+    cost = ML.elbow(scaled, [c + "_z" for c in AREA_FEATS], range(2, most + 1))
     return spark.createDataFrame([(k, round(c, 4)) for k, c in cost], "k int, cost double")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcel.operators import pages as PG
 from parcel.plans.oracle_base import with_listing
-from parcel.sources.ingest import sitemap_locs
+from parcel.sources.ingest import sitemap_locs, sitemap_pages
 from parcel.sources.listings import listing_view
 from parcel.sources.tables import table
 
@@ -134,12 +134,15 @@ def url_ids(spark: SparkSession, sf: str) -> DataFrame:
                     .alias("record_id"))
 
 
-def url_filters(spark: SparkSession, sf: str) -> DataFrame:
-    """PG-13: every URL that meets the predicate, with its host's number of hits."""
+def url_filters(spark: SparkSession, sf: str, pattern: str = "/en/", first: int | None = None) -> DataFrame:
+    """PG-13: every URL with the pattern (or the first ones in URL order), its host's number of
+    hits and the number of all hits."""
     p = table(spark, sf, "pages").select("page_id", "url")
-    hits = PG.first_urls(p, F.col("url").contains("/en/")).withColumn("host", PG.url_host(F.col("url")))
+    hits = PG.first_urls(p, F.col("url").contains(pattern)).withColumn("host", PG.url_host(F.col("url")))
     per_host = hits.groupBy("host").agg(F.count(F.lit(1)).alias("host_hits"))
-    return hits.join(per_host, "host").select("page_id", "url", "host_hits")
+    every = F.broadcast(hits.agg(F.count(F.lit(1)).alias("all_hits")))      # one row
+    return PG.first_urls(hits.join(per_host, "host").join(every), F.lit(True), first).select(
+        "page_id", "url", "host_hits", "all_hits")
 
 
 def robots_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,6 +182,33 @@ def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", F.explode(sitemap_locs(xml)).alias("loc"))
 
 
+SITEMAP = "https://sitemaps.example/"
+XMLNS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def _sitemap_xml(kind: str, item: str, urls) -> Column:
+    esc = F.transform(urls, lambda u: F.replace(F.replace(F.replace(
+        u, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    body = F.array_join(F.transform(esc, lambda u: F.concat(F.lit(f"<{item}><loc>"), u, F.lit(f"</loc></{item}>"))), "")
+    return F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><{kind} {XMLNS}>'), body, F.lit(f"</{kind}>"))
+
+
+def sitemap_index_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-10: a root index names indexes, each names sitemaps of 100 pages and the root again; the
+    frontier loop gives every page once."""
+    numbered = table(spark, sf, "pages").select("url", F.floor(F.col("page_id") / 100).alias("part"))
+    part = F.concat(F.lit(f"{SITEMAP}part/"), F.col("part").cast("string"))
+    index = F.concat(F.lit(f"{SITEMAP}index/"), (F.col("part") % 7).cast("string"))
+    parts = numbered.groupBy("part").agg(F.collect_list("url").alias("urls")).select(      # 100 pages each
+        part.alias("url"), _sitemap_xml("urlset", "url", F.col("urls")).alias("xml"), index.alias("index"))
+    indexes = parts.groupBy(F.col("index").alias("url")).agg(F.collect_list("url").alias("urls")).select(
+        "url", _sitemap_xml("sitemapindex", "sitemap", F.array_append("urls", F.lit(f"{SITEMAP}root"))).alias("xml"))
+    root = spark.range(1).select(F.lit(f"{SITEMAP}root").alias("url"), _sitemap_xml(
+        "sitemapindex", "sitemap", F.array(*[F.lit(f"{SITEMAP}index/{k}") for k in range(7)])).alias("xml"))
+    documents = parts.select("url", "xml").unionByName(indexes).unionByName(root)
+    return sitemap_pages(documents, root.select("url"))
+
+
 QUERIES = {
     "page_fields": page_fields,
     "page_listing_extract": page_listing_extract,
@@ -190,6 +220,7 @@ QUERIES = {
     "robots_filter": robots_filter,
     "rooms_regex": rooms_regex,
     "sitemap_urls": sitemap_urls,
+    "sitemap_index_urls": sitemap_index_urls,
 }
 
 
@@ -244,7 +275,8 @@ FROM pages""",
 SELECT page_id, substr(md5(url), 1, 8) || '_20250101_000000' AS record_id FROM pages""",
     "url_filters": """
 SELECT page_id, url, count(*) OVER (PARTITION BY lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)))
-    AS host_hits FROM pages WHERE contains(url, '/en/')""",
+    AS host_hits, count(*) OVER () AS all_hits FROM pages WHERE contains(url, '/en/')""",
+    "sitemap_index_urls": "SELECT DISTINCT url FROM pages",
     "robots_filter": """
 WITH P AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host,
                   regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcel.functions import parse as P
+from parcel.operators import errors as ER
 from parcel.operators import pages as PG
+from parcel.operators import runs as RL
 from parcel.operators.preprocess import preprocess_listings
 from parcel.plans.common import r2, r6
 from parcel.plans.oracle_base import with_listing
+from parcel.plans.q_models import _RUNS, runs_from_events
 from parcel.session import ensure_checkpoint_dir
 from parcel.sources import ingest as IN
 from parcel.sources import store as ST
@@ -52,6 +55,30 @@ def listing_from_json(spark: SparkSession, sf: str) -> DataFrame:
                         "inhabitants_in_neighborhood", "location", "garden")
 
 
+def listings_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1 / SRC-2 / SRC-3: listings as JSON lines, read with the fixed schema, conformed and
+    parsed, with the fields that could not be parsed."""
+    path = _scratch(spark, "listings")
+    listing_view(spark, sf).drop("lat", "lon").write.json(path)
+    raw = IN.read_listings_json(spark, path, extra=[T.StructField("listing_id", T.LongType())])
+    checked = ER.with_errors(IN.conform_listing(raw))
+    return checked.select("listing_id", P.parse_price("price").alias("price_num"),
+                          P.parse_size("size").alias("size_num"), "facilities",
+                          F.array_join(F.transform("errors", lambda e: e["cause"]), ",").alias("errors"))
+
+
+def ledger_appends(spark: SparkSession, sf: str) -> DataFrame:
+    """RL-1 -> RL-2: runs appended in three batches, read back, ranked by name; only logged metrics."""
+    runs = runs_from_events(spark, sf).withColumn("metrics", RL.logged_metrics(F.col("metrics")))
+    path = _scratch(spark, "ledger")
+    for part in range(3):
+        RL.append_runs(runs.where(F.col("run_id") % 3 == part), path)
+    best = RL.leaderboard(spark.read.parquet(path), "test_rmse")
+    return best.groupBy("run_name").agg(
+        F.count(F.lit(1)).alias("finished"), r6(F.min("test_rmse")).alias("best_test_rmse"),
+        F.max(F.size("metrics")).alias("most_metrics"))
+
+
 def conform_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-4 / NE-10 / NE-11: manual-input rows with numbers instead of text, a JSON list
     of facilities and a lone ownership string -> the full schema with defaults."""
@@ -128,8 +155,17 @@ def persist_pages(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "load_date")
 
 
+def _after_errors() -> str:
+    return with_listing("""
+SELECT listing_id, price_num, size_num, coalesce(facilities, '') AS facilities, concat_ws(',',
+  CASE WHEN regexp_replace(price, '[^0-9]', '', 'g') = '' THEN 'price' END,
+  CASE WHEN postal_code NOT SIMILAR TO '[0-9]{4}.?[A-Z]{2}.*' THEN 'postal_code' END) AS errors FROM C""", clean=True)
+
+
 QUERIES = {
     "listing_from_json": listing_from_json,
+    "listings_from_files": listings_from_files,
+    "ledger_appends": ledger_appends,
     "conform_defaults": conform_defaults,
     "materialize_roundtrip": materialize_roundtrip,
     "csv_dimension": csv_dimension,
@@ -138,6 +174,11 @@ QUERIES = {
 }
 
 ORACLE = {
+    "listings_from_files": _after_errors(),
+    "ledger_appends": "WITH " + _RUNS + """
+SELECT run_name, count(*) AS finished, round(min(test_rmse), 6) AS best_test_rmse,
+  max(CASE WHEN run_name IN ('RandomForest_optuna', 'RF_Feature_Eng_log') THEN 3 ELSE 4 END) AS most_metrics
+FROM R WHERE status = 'FINISHED' GROUP BY run_name""",
     "listing_from_json": with_listing("""
 SELECT listing_id, price_num, size_num, postal_code_clean, city,
   CAST(len(facilities_list) AS INTEGER) AS num_facilities, CAST(n_parcels AS INTEGER) AS num_parcels,

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcel.sources.store import scratch_table
+
 S = T.StringType()
 CORRUPT = "_corrupt_record"
 PARCEL = T.StructType([T.StructField("parcel", S), T.StructField("link", S)])
@@ -39,17 +41,18 @@ ENVELOPE = T.StructType([T.StructField("success", T.BooleanType()),
                          T.StructField("error", S)])
 
 
-def read_listings_json(spark: SparkSession, path: str | Sequence[str],
-                       multiline: bool = False) -> DataFrame:
+def read_listings_json(spark: SparkSession, path: str | Sequence[str], multiline: bool = False,
+                       extra: Sequence[T.StructField] = ()) -> DataFrame:
     """SRC-1 / SRC-2: listing JSON files (local or object-store path/glob), fixed schema.
 
     ``multiline=True`` reads one object per file (pretty-printed files); the
-    default reads JSON lines. An empty prefix yields an empty frame.
+    default reads JSON lines. An empty prefix yields an empty frame. ``extra`` adds fields, such as
+    an id. Text that is no listing object comes back whole in ``_corrupt_record``.
     """
-    schema = T.StructType(LISTING_RAW.fields + [T.StructField("_corrupt_record", S)])
+    schema = T.StructType([*LISTING_RAW.fields, *extra, T.StructField(CORRUPT, S)])
     return (spark.read.schema(schema).option("mode", "PERMISSIVE")
             .option("multiLine", multiline)
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
 def read_envelopes_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -167,3 +170,21 @@ def sitemap_locs(xml: Column) -> Column:
     stripped first so the XPath stays plain)."""
     plain = F.regexp_replace(xml, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     return F.xpath(plain, F.lit("//loc/text()"))
+
+
+def sitemap_pages(documents: DataFrame, roots: DataFrame) -> DataFrame:
+    """SRC-10: page URLs reachable from the root sitemaps. ``documents`` (url, xml) holds the fetched
+    sitemaps, ``roots`` (url) where to start. An index names further sitemaps, which are followed
+    until no new one turns up, so cycles end; every page comes out once. A frontier is anti-joined
+    with what has been visited; documents are parsed once, before the first round."""
+    locs = scratch_table(documents.select(
+        F.col("url").alias("sitemap"), F.col("xml").contains("<sitemapindex").alias("is_index"),
+        F.explode(sitemap_locs(F.col("xml"))).alias("url")).distinct())
+    frontier = scratch_table(roots.select("url").distinct())
+    visited = frontier
+    while not frontier.isEmpty():
+        children = locs.where("is_index").join(frontier.withColumnRenamed("url", "sitemap"), "sitemap", "left_semi")
+        frontier = scratch_table(children.select("url").distinct().join(visited, "url", "left_anti"))
+        visited = scratch_table(visited.union(frontier))
+    return locs.where("not is_index").join(visited.withColumnRenamed("url", "sitemap"), "sitemap", "left_semi").select(
+        "url").distinct()

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from parcel.operators import outliers as OD
 
 
@@ -19,3 +21,17 @@ def test_isolation_forest_flags_planted_outliers(spark):
     # Same forest for the same data and seed (hash sampling, seeded tree growth).
     again = OD.fit_isolation_forest(df, ["a", "b"], "k", n_trees=5)
     assert again == OD.fit_isolation_forest(df.repartition(7), ["a", "b"], "k", n_trees=5)
+
+
+def test_every_tree_draws_its_share(spark, monkeypatch):
+    """Sampling by skips: each tree gets about p * n rows, each row about p * trees trees."""
+    df = spark.range(20_000).select("id", (F.col("id") % 97).cast("double").alias("a"))
+    seen = []
+    monkeypatch.setattr(OD, "_build_group", lambda features, psi: None)
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas",
+                        lambda self, f, schema: seen.append(self._df) or spark.createDataFrame([], OD.TREE_SCHEMA))
+    OD.fit_isolation_forest(df, ["a"], "id", n_trees=40, psi=256, oversample=2.0)
+    drawn = seen[0].groupBy("tree_id").agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).collect()
+    assert sorted(r["tree_id"] for r in drawn) == list(range(40))
+    assert all(r["n"] == r["d"] and 400 < r["n"] < 630 for r in drawn)
+    assert 19_000 < sum(r["n"] for r in drawn) < 22_000

@@ -106,3 +106,24 @@ def test_first_urls_keeps_all_without_a_cap(spark):
     df = spark.createDataFrame([(f"u{k}",) for k in range(150)], "url string")
     assert PG.first_urls(df, F.lit(True)).count() == 150
     assert [r.url for r in PG.first_urls(df, F.lit(True), 2).collect()] == ["u0", "u1"]
+
+
+def test_url_filter_count_and_first_ones(spark):
+    from parcel.plans.q_pages import url_filters
+    from tests.conftest import SF_SMALL
+    every = sorted(url_filters(spark, SF_SMALL).collect(), key=lambda r: r["url"])
+    first = url_filters(spark, SF_SMALL, first=3).collect()
+    assert {r["all_hits"] for r in every} == {len(every)} == {r["all_hits"] for r in first}
+    assert sorted(first) == sorted(every[:3])
+    assert url_filters(spark, SF_SMALL, "/nowhere/").count() == 0
+
+
+def test_sitemap_cycles_end_and_dead_links_are_passed_over(spark):
+    from parcel.sources.ingest import sitemap_pages
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    urls = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    docs = spark.createDataFrame([("r", index("a", "b", "r", "gone")), ("a", index("c", "r")), ("b", urls("p1", "p2")),
+                                  ("c", urls("p2", "p3")), ("unlinked", urls("p9"))], "url string, xml string")
+    got = [r["url"] for r in sitemap_pages(docs, docs.where("url = 'r'").select("url")).collect()]
+    assert sorted(got) == ["p1", "p2", "p3"]
+    assert sitemap_pages(docs, docs.where("false").select("url")).count() == 0

@@ -1,4 +1,4 @@
-"""Model fitting, tuning and scoring on ``pyspark.ml`` (ML-1..4, ML-8..14, ML-16..18).
+"""Model fitting, tuning and scoring on ``pyspark.ml`` (ML-1..4, ML-13, ML-14, ML-16..18).
 
 Models consume the wide feature DataFrame; ``VectorAssembler`` appears only
 at the model edge. Training data is checkpointed to the shared checkpoint
@@ -187,33 +187,6 @@ def feature_importances(fm: FittedModel, spark) -> DataFrame:
                                  "feature string, importance double")
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], label: str, family: str,
-                   params: dict, fold_col: str = "fold", k: int = 5,
-                   log_target: bool = False, parallelism: int = 5) -> DataFrame:
-    """ML-9 / ML-11: one fit per fold on the other folds; validation RMSE per fold.
-
-    Returns (fold, rmse, n) as a DataFrame, evaluated in one grouped pass
-    over the union of held-out predictions.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from parcel.operators import metrics as M
-
-    def one(f: int) -> DataFrame:
-        fm = fit(df.where(F.col(fold_col) != f), features, label, family, params, log_target)
-        return predict(fm, df.where(F.col(fold_col) == f)).select(fold_col, label, "prediction")
-
-    # The k fits are independent Spark jobs: submit them concurrently (the scheduler
-    # interleaves their tasks) instead of one after another.
-    with ThreadPoolExecutor(max_workers=min(k, parallelism)) as pool:
-        parts = list(pool.map(one, range(k)))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    return M.evaluate(preds, label, "prediction", fold_col,
-                      metrics={"rmse": M.rmse, "n": lambda y, p: F.count(y)})
-
-
 def kmeans(df: DataFrame, features: Sequence[str], k: int, seed: int = 42):
     """ML-17: k-means on (already scaled) columns; returns (model, assignments)."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")

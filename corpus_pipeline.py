@@ -20,6 +20,7 @@ from parcel.llm import linedup, minhash, packing, toxic
 from parcel.llm.common import table
 from parcel.llm.queries import vocabulary
 from parcel.session import ensure_checkpoint_dir
+from parcel.sources.store import delete
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again."""
+    """All stages on ``documents``, each written and read again; only the last one's table stays."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus_pipeline/{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:          # nothing reads the stage before the last one any more
+            delete(spark, before)
+        before = path
     return docs

@@ -36,6 +36,23 @@ def test_directory_doubles_only_where_needed(spark):
 
 def test_chains_and_empty(spark):
     df = frame(spark, rows())
-    _, index = exact.build_index(df, 50, 1)
+    _, index, _ = exact.build_index(df, 50, 1)
     assert index.agg({"chain": "max"}).first()[0] > 1
+    assert index.where("chain > links").count() == 0
     assert exact.exact_dedup(df.where("false")).count() == 0
+
+
+def test_one_owner_per_bucket_and_hot_copies_combined(spark):
+    from pyspark.sql import functions as F
+    pairs = [(k, "hot text" if k % 3 == 0 else prose(k % 900, 9)) for k in range(3000)]
+    df = frame(spark, pairs).repartition(6)
+    keyed, index, hot = exact.build_index(df, 4)
+    assert hot.count() == 1 and index.count() == len({t for _, t in pairs})
+    assert index.agg(F.max("n")).first()[0] == 1000
+    placed = index.select("bucket", F.spark_partition_id().alias("task")).distinct()
+    owners = placed.groupBy("bucket").agg(F.count("task").alias("tasks"))
+    assert owners.where("tasks > 1").count() == 0 and owners.count() > 64
+    got = exact.exact_dedup(df, 4)
+    assert got.count() == 3000 and got.where("kept").count() == index.count()
+    extra = df.selectExpr("*", "1 as key", "2 as bucket", "'x' as norm", "doc_id as head", "'y' as sha")
+    assert sorted(exact.exact_dedup(extra, 4).collect()) == sorted(got.collect())

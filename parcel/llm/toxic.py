@@ -2,14 +2,22 @@
 
 Words are compared by the gap-weighted subsequence kernel: common subsequences of ORDER
 characters count, each less the wider it is spread, so letters put between an insult's letters
-lower the similarity but do not remove it. Characters that are no letters or digits are taken
-out of a word first, and runs of single characters are read as one more word ("i d i o t").
-
-Landmarks are the words of toxic training texts with the largest likelihood ratio. A text is
+lower the similarity but do not remove it. A word is compared in two ways and the larger value
+counts: the normalised kernel at DECAY (likeness of whole words), and, at the slower WIDE_DECAY, the
+kernel over the landmark's kernel with itself (how much of the landmark the word holds, however many
+letters were put between). Both go through a smooth curve (``fade``), by which accidental likeness
+fades; no value is cut off.
+Before, signs at a word's ends go, signs inside that stand for letters (LEET) are read as these and
+others are taken out; runs of single characters are read as one more word ("i d i o t"), and so are
+neighbours of which one is the beginning or the end of a landmark ("mo ron"). Words of more than three
+times a landmark's length are read in overlapping windows of that length, and their largest values count.
+
+Landmarks are words, beginnings and ends of words of toxic training texts with the largest likelihood
+ratio, those that chance would not bring forth among as many, less those that hold a better one. A text is
 the sum of its words' kernel rows, as a count and as a density, mapped by the inverse root of
 the landmarks' kernel matrix (Nyström); a squared-hinge SVM and a logistic curve over its
-margin give the score. Kernel values below FLOOR count as zero; a letter mask and the lengths
-rule out, before the dynamic program, words whose kernel value is small.
+margin give the score. A letter mask and the lengths rule out, before the dynamic program, words
+that lack a third of a landmark's letters or are shorter than half of it.
 
 Training reads at most ``max_train`` labelled texts (a documented bound, the smallest hashes of
 doc_id), none of them held out; scoring reads every whole text. Null or empty texts get the
@@ -20,7 +28,9 @@ toxic labels, smoothed.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +42,19 @@ from pyspark.sql import functions as F
 from parcel.llm.bpe import slices
 from parcel.llm.common import cut, documents, worker_cache
 
-ORDER, DECAY = 3, 0.7
+ORDER, DECAY, WIDE_DECAY = 3, 0.7, 0.85
 LANDMARKS = 64
 MAX_TRAIN = 6_000
-FLOOR = 0.45
+LIKE = (0.45, 16)
+HOLDS = (0.7, 20)
+STEM = 10
+SPREAD = 0.9
+TRACE = 1e-6
+LEET = str.maketrans("013457@$", "oieastas")
 MAX_WORDS = 300_000
 GROUP_CHARS = 1 << 20
 _SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
+_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ALNUM = re.compile(r"[\W_]+")
 
 
@@ -56,7 +72,11 @@ def text_words(text: str) -> list[str]:
 
 
 def bare(word: str) -> str:
-    return word if word.isalnum() else _ALNUM.sub("", word)
+    """Letters and digits only; inside a word, signs that stand for letters are replaced."""
+    if word.isalpha():
+        return word
+    word = _EDGE.sub("", word)
+    return word if word.isdigit() else _ALNUM.sub("", word.translate(LEET))
 
 
 def codes(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +118,12 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
     return total
 
 
+def fade(value: np.ndarray, half: float, steep: int) -> np.ndarray:
+    """A smooth step: one half at ``half``, falling with the power ``steep`` below it."""
+    power = np.minimum(value, 1).astype(np.float64) ** steep
+    return power / (power + half ** steep)
+
+
 class Landmarks:
     """Kernel rows of words against the landmarks; keeps what it has met."""
 
@@ -106,6 +132,10 @@ class Landmarks:
         self.width = 3 * max(map(len, words))
         self.codes, self.sizes, self.masks = codes(words, max(map(len, words)))
         self.norm = np.sqrt(kernel(self.codes, self.codes))
+        self.whole = kernel(self.codes, self.codes, decay=WIDE_DECAY)
+        self.lengths = sorted({len(w) for w in words})
+        self.starts = {w[:k] for w in words for k in range(2, len(w) - 1)}
+        self.ends = {w[k:] for w in words for k in range(2, len(w) - 1)}
         self.allowed = np.maximum(1, np.bitwise_count(self.masks).astype(np.int64) * 3 // 10)
         self.forget()
 
@@ -114,7 +144,7 @@ class Landmarks:
         self.active: dict[str, np.ndarray] = {}
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel values (words x landmarks), zero below FLOOR."""
+        """Values of the words (words x landmarks), faded."""
         c, size, mask = codes(words, self.width)
         missing = np.bitwise_count(self.masks[None, :] & ~mask[:, None]).astype(np.int64)
         ok = (missing <= self.allowed) & (size[:, None] <= 3 * self.sizes) & (
@@ -128,14 +158,31 @@ class Landmarks:
         for part in _by_length(size[used]):
             x = c[used[part], :size[used[part]].max()]
             norm[part] = np.sqrt(kernel(x, x))
-        value = np.zeros(len(w), np.float32)
+        like, holds = np.zeros(len(w), np.float32), np.zeros(len(w), np.float32)
         for part in _by_length(size[w]):
-            value[part] = kernel(c[w[part], :size[w[part]].max()],
-                                 self.codes[m[part], :self.sizes[m[part]].max()])
-        value /= np.maximum(norm[back] * self.norm[m], 1e-12)
-        out[w, m] = np.where(value >= FLOOR, np.minimum(value, 1), 0)
+            x, y = c[w[part], :size[w[part]].max()], self.codes[m[part], :self.sizes[m[part]].max()]
+            like[part] = kernel(x, y)
+            holds[part] = kernel(x, y, decay=WIDE_DECAY)
+        like = np.minimum(like / np.maximum(norm[back] * self.norm[m], 1e-12), 1)
+        out[w, m] = np.maximum(like * fade(like, *LIKE), fade(holds / self.whole[m], *HOLDS))
         return out
 
+    def joined(self, words: list[str]) -> list[str]:
+        """Neighbours read as one word where either is a part of a landmark."""
+        return [a + b for a, b in zip(words, words[1:])
+                if (a in self.starts or b in self.ends) and len(a) + len(b) <= self.width]
+
+    def windows(self, word: str) -> list[str]:
+        """A bare word, or overlapping windows of three times each landmark's length."""
+        return list(dict.fromkeys(word[at:at + 3 * n] for n in self.lengths
+                                  for at in range(0, max(1, len(word) - 2 * n), n)))
+
+    def strongest(self, words: list[str]) -> np.ndarray:
+        """Per bare word the largest values among its windows."""
+        parts = [self.windows(w) for w in words]
+        rows = self.rows([p for ps in parts for p in ps])
+        return np.maximum.reduceat(rows, np.cumsum([0] + [len(ps) for ps in parts[:-1]]), axis=0)
+
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > MAX_WORDS:
             self.forget()
@@ -144,13 +191,21 @@ class Landmarks:
         stripped: dict[str, list[str]] = {}
         for w in new:
             b = bare(w)
-            if 3 <= len(b) <= self.width:
+            if len(b) >= 3:
                 stripped.setdefault(b, []).append(w)
-        names = list(stripped)
-        for at in range(0, len(names), 20_000):
-            part = names[at:at + 20_000]
-            rows = self.rows(part)
-            for k in np.flatnonzero(rows.any(axis=1)):
+        part, size = [], 0
+        for b in stripped:
+            part.append(b)
+            size += len(b)
+            if size > GROUP_CHARS // 8:
+                self._learn_part(part, stripped)
+                part, size = [], 0
+        self._learn_part(part, stripped)
+
+    def _learn_part(self, part: list[str], stripped: dict[str, list[str]]) -> None:
+        if part:
+            rows = self.strongest(part)
+            for k in np.flatnonzero((rows > TRACE).any(axis=1)):
                 for w in stripped[part[k]]:
                     self.active[w] = rows[k]
 
@@ -168,13 +223,14 @@ class Landmarks:
 
     def _add_evidence(self, texts: list[str], out: np.ndarray) -> None:
         words = [text_words(t) for t in texts]
+        out[:, -1] = [len(ws) for ws in words]
+        words = [ws + self.joined(ws) for ws in words]
         self.learn({w for ws in words for w in ws})
         active = self.active
         for k, ws in enumerate(words):
             hits = [active[w] for w in ws if w in active]
             if hits:
                 out[k, :-1] = np.sum(hits, axis=0)
-            out[k, -1] = len(ws)
 
 
 def _by_length(size: np.ndarray) -> list[np.ndarray]:
@@ -237,29 +293,47 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFr
 
 
 def choose_landmarks(train: DataFrame, many: int) -> list[str]:
-    """Words with the largest log-likelihood ratio among those commoner in toxic texts."""
+    """Words, and their beginnings and ends of 4 to STEM letters, with the largest log-likelihood ratio
+    among those commoner in toxic texts: only ratios that less than one of as many unrelated ones would
+    reach, and none that holds SPREAD of a better one."""
     def run(batches):
         for b in batches:
-            words, toxic = [], []
+            seen = {1: Counter(), 0: Counter()}
             for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = {bare(w) for w in text_words(text)}
-                own = [w for w in own if 4 <= len(w) <= 16]
-                words += own
-                toxic += [t] * len(own)
+                own = {w for w in map(bare, text_words(text)) if 4 <= len(w) <= 16}
+                own |= {part for w in own for k in range(4, min(len(w), STEM + 1))
+                        for part in (w[:k], w[-k:])}
+                seen[t].update(own)
+            words = list(seen[1] | seen[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "t"])
+                [pa.array(words, pa.string())] + [pa.array([seen[t][w] for w in words], pa.int64())
+                                                  for t in (1, 0)], names=["word", "a", "b"])
 
     total = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
-    counts = train.select("text", "toxic").mapInArrow(run, "word string, t int").groupBy("word").agg(
-        F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
+    counts = cut(train.select("text", "toxic").mapInArrow(run, "word string, a long, b long").groupBy(
+        "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    chance = math.log(max(2, counts.count()))
     a, b = F.col("a"), F.col("b")
     both = (a + b) / F.lit(float(n1 + n0))
     part = lambda k, p: F.when(k > 0, k * F.log(k / p)).otherwise(0.0)
     ratio = part(a, both * n1) + part(b, both * n0) + part(n1 - a, n1 * (1 - both)) + part(
         n0 - b, n0 * (1 - both))
-    return [r[0] for r in counts.where((a >= 3) & (a * n0 > b * n1 * 4) & (a + b < n1 + n0)).orderBy(
-        F.desc(ratio), "word").limit(many).collect()]
+    best = [r[0] for r in counts.where((a >= 3) & (a * n0 > b * n1 * 4) & (a + b < n1 + n0) & (
+        ratio > chance)).orderBy(F.desc(ratio), F.desc(F.length("word")), "word").limit(4 * many).collect()]
+    return spread_words(best)[:many]
+
+
+def spread_words(words: list[str]) -> list[str]:
+    """Those of the words, best first, that do not hold a better one."""
+    if not words:
+        return []
+    like = Landmarks(words).rows(words)
+    chosen: list[int] = []
+    for k in range(len(words)):
+        if not chosen or like[k, chosen].max() < SPREAD:
+            chosen.append(k)
+    return [words[k] for k in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS):

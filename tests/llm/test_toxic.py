@@ -59,28 +59,6 @@ def test_held_out_and_gapped_insults(spark, data):
         k for k, r in got.items() if r.predicted == 0)
 
 
-def test_gaps_and_parts(spark, data):
-    docs, labels = data
-    model = toxic.fit(docs, labels)
-    plain = [prose(500 + k, 30) for k in range(60)]
-    hidden = ["idiot moron", "idxiot moxron", "idxioyt moxroyn", "ixdxixoxt mxoxrxoxn", "idi0t", "id iot and mo ron",
-              "youidiotyouandeveryoneelsehere", "x" * 3000 + "idiot" + "y" * 3000]
-    df = frame(spark, list(enumerate(plain)) + [(100 + k, t) for k, t in enumerate(hidden)])
-    got = {r.doc_id: r.score for r in toxic.score(df, model).collect()}
-    assert not [(hidden[k][:30], got[100 + k]) for k in range(len(hidden)) if got[100 + k] < 0.5]
-    assert sum(got[k] >= 0.5 for k in range(60)) == 0
-    assert set(model["words"]) & set(INSULTS)
-
-
-def test_windows_bound_long_words():
-    known = toxic.Landmarks(INSULTS)
-    parts = known.windows("ab" * 5000)
-    assert max(map(len, parts)) <= known.width
-    assert known.windows("idiotic") == ["idiotic"]
-    assert known.strongest(["idiotic", "z" * 400]).shape == (2, len(INSULTS))
-    assert toxic.bare("*i.d1ot$$$") == "idiot" and toxic.bare("2024") == "2024"
-
-
 def test_labels_of_held_out_rows_do_not_matter(spark, data):
     docs, labels = data
     from pyspark.sql import functions as F

@@ -1,8 +1,9 @@
 """Page extraction over a ``pages(url, html)`` table (PG-1..PG-13, UD-4).
 
-Python does one thing: a pandas UDF tokenizes each page (stdlib
+Python does one thing: an Arrow UDF tokenizes each page (stdlib
 ``html.parser``) into a flat element list
-``array<struct<id, parent, tag, path, anc, text, href, attrs>>``. Every
+``array<struct<id, parent, tag, path, anc, text, href, attrs>>``, a few pages
+(CHUNK_CHARS of html) at a time. Every
 selection rule -- CSS-like selectors, ``dt -> dd`` siblings, sections,
 label matching, de-duplication -- is a Catalyst higher-order expression over
 that array, so it runs column-wise inside the JVM and the per-page work is
@@ -17,13 +18,18 @@ the driver into a regular expression over each element's ``path``.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from html.parser import HTMLParser
+from itertools import accumulate, chain
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcel.sources.store import scratch_table
+
 # Fixed values that must match the reference's results (selector config).
 SELECTORS = {
     "price": "div.flex.flex-col.text-xl div.flex.gap-2.font-bold span",
@@ -80,73 +86,82 @@ def _token(tag: str, attrs: list) -> str:
     return tag + "".join("." + c for c in sorted(set(classes))) + "".join(sorted(rest))
 
 
-def tokenize(html: str | None) -> list[dict]:
-    """One page -> element dicts in document order (the per-row helper)."""
-    from html.parser import HTMLParser
-
-    out: list[dict] = []
-    stack: list[int] = []
-    texts: dict[int, list[str]] = {}
-    children: dict[int, list] = {}      # element ids and texts; None for a comment
-
-    class P(HTMLParser):
-        def handle_starttag(self, tag, attrs):
-            parent = stack[-1] if stack else -1
-            ppath = out[parent]["path"] if parent >= 0 else ""
-            panc = out[parent]["anc"] if parent >= 0 else "/"
-            eid = len(out)
-            out.append({"id": eid, "parent": parent, "tag": tag,
-                        "path": ppath + "/" + _token(tag, attrs),
-                        "anc": panc + (f"{parent}/" if parent >= 0 else ""),
-                        "text": None, "single": None, "href": dict(attrs).get("href"),
-                        "attrs": {k: (v or "") for k, v in attrs if k != "class"}})
-            texts[eid] = []
-            children[eid] = []
-            if parent >= 0:
-                children[parent].append(eid)
-            if tag not in _VOID:
-                stack.append(eid)
-
-        def handle_startendtag(self, tag, attrs):
-            self.handle_starttag(tag, attrs)
-            if tag not in _VOID and stack:
-                stack.pop()
-
-        def handle_endtag(self, tag):
-            for i in range(len(stack) - 1, -1, -1):
-                if out[stack[i]]["tag"] == tag:
-                    del stack[i:]
-                    return
-
-        def handle_comment(self, data):
-            if stack:
-                children[stack[-1]].append(None)
-
-        def handle_data(self, data):
-            if stack:
-                children[stack[-1]].append(data)
-            s = data.strip()
-            if not s or (stack and out[stack[-1]]["tag"] in _NO_TEXT):
+class _Elements(HTMLParser):
+    """Collects the elements of one page in document order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[dict] = []
+        self.stack: list[int] = []
+        self.texts: list[list[str]] = []
+        self.children: list[list] = []      # element ids and texts; None for a comment
+
+    def add(self, element: dict) -> None:
+        self.out.append(element)
+        self.texts.append([])
+        self.children.append([])
+
+    def handle_starttag(self, tag, attrs):
+        eid = len(self.out)
+        token = _token(tag, attrs) if attrs else tag
+        if self.stack:
+            parent = self.stack[-1]
+            above = self.out[parent]
+            path, anc = f"{above['path']}/{token}", f"{above['anc']}{parent}/"
+            self.children[parent].append(eid)
+        else:
+            parent, path, anc = -1, "/" + token, "/"
+        self.add({"id": eid, "parent": parent, "tag": tag, "path": path, "anc": anc, "text": None,
+                  "single": None, "href": dict(attrs).get("href") if attrs else None,
+                  "attrs": {k: (v or "") for k, v in attrs if k != "class"}})
+        if tag not in _VOID:
+            self.stack.append(eid)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID and self.stack:
+            self.stack.pop()
+
+    def handle_endtag(self, tag):
+        stack = self.stack
+        for i in range(len(stack) - 1, -1, -1):
+            if self.out[stack[i]]["tag"] == tag:
+                del stack[i:]
                 return
-            for eid in stack:
-                texts[eid].append(s)
 
+    def handle_comment(self, data):
+        if self.stack:
+            self.children[self.stack[-1]].append(None)
+
+    def handle_data(self, data):
+        if not self.stack:
+            return
+        self.children[self.stack[-1]].append(data)
+        s = data.strip()
+        if not s or self.out[self.stack[-1]]["tag"] in _NO_TEXT:
+            return
+        for eid in self.stack:
+            self.texts[eid].append(s)
+
+
+def tokenize(html: str | None) -> list[dict]:
+    """One page -> element dicts in document order (the per-row helper)."""
+    p = _Elements()
     if html:
-        p = P(convert_charrefs=True)
         try:
             p.feed(html)
             p.close()
         except Exception as err:  # noqa: BLE001 - the page is reported as failed
-            out.append({"id": len(out), "parent": -1, "tag": ERROR_TAG, "path": "", "anc": "/",
-                        "text": None, "single": None, "href": None, "attrs": {}})
-            texts[len(out) - 1] = [f"{type(err).__name__}: {err}"]
-            children[len(out) - 1] = []
-    for e in reversed(out):     # children come after their parents
-        e["text"] = "".join(texts[e["id"]])
-        own = _joined(children[e["id"]])
+            p.add({"id": len(p.out), "parent": -1, "tag": ERROR_TAG, "path": "", "anc": "/",
+                   "text": None, "single": None, "href": None, "attrs": {}})
+            p.texts[-1] = [f"{type(err).__name__}: {err}"]
+    for e in reversed(p.out):     # children come after their parents
+        e["text"] = "".join(p.texts[e["id"]])
+        own = p.children[e["id"]]
+        own = _joined(own) if len(own) > 1 else own
         if len(own) == 1 and own[0] is not None:
-            e["single"] = own[0] if isinstance(own[0], str) else out[own[0]]["single"]
-    return out
+            e["single"] = own[0] if isinstance(own[0], str) else p.out[own[0]]["single"]
+    return p.out
 
 
 ERROR_TAG = "#error"
@@ -163,10 +178,50 @@ def _joined(nodes: list) -> list:
     return out
 
 
-@F.pandas_udf(ELEMENTS)
-def html_elements(html: pd.Series) -> pd.Series:
-    """UD-4 helper: html text -> flat element list (Arrow batches, one call per batch)."""
-    return html.map(tokenize)
+CHUNK_CHARS = 1 << 18       # html tokenized before its elements are handed on; a longer page goes alone
+
+
+def _columns(pages: list[list[dict]]) -> pa.Array:
+    """The element lists of a few pages as one Arrow array."""
+    flat = list(chain.from_iterable(pages))
+    ends = [0, *accumulate(map(len, pages))]
+    columns = []
+    for f in ELEMENT.fields[:-1]:
+        values = list(map(itemgetter(f.name), flat))
+        columns.append(pa.array(values, pa.int32() if f.dataType == T.IntegerType() else pa.string()))
+    attrs = list(map(itemgetter("attrs"), flat))
+    columns.append(pa.MapArray.from_arrays(
+        pa.array([0, *accumulate(map(len, attrs))], pa.int32()),
+        pa.array(list(chain.from_iterable(attrs)), pa.string()),
+        pa.array([v for a in attrs for v in a.values()], pa.string())))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+        columns, names=ELEMENT.names))
+
+
+def element_chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Element lists of all pages in order, CHUNK_CHARS of html at a time, so that Python never
+    holds the elements of a whole batch."""
+    for batch in batches:
+        pages, chars = [], 0
+        for html in batch:
+            html = html.as_py()
+            if pages and chars + len(html or "") > CHUNK_CHARS:
+                yield _columns(pages)
+                pages, chars = [], 0
+            pages.append(tokenize(html))
+            chars += len(html or "")
+        yield _columns(pages)
+
+
+@F.arrow_udf(ELEMENTS)
+def html_elements(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """UD-4 helper: html text -> flat element list."""
+    return element_chunks(html)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 # ---------------------------------------------------------------------------- selectors
@@ -218,6 +273,16 @@ def select_text(els: Column, selector: str, default: str | None = NA) -> Column:
     return F.coalesce(first["text"], F.lit(default)) if default is not None else first["text"]
 
 
+def tagged(els: Column, tag: str) -> Column:
+    return F.filter(els, lambda e: e["tag"] == tag)
+
+
+def inside(els: Column, box: Column) -> Column:
+    """Those of ``els`` that lie in the element ``box``."""
+    return let(F.concat(F.lit("/"), box["id"].cast("string"), F.lit("/")), lambda needle: F.filter(
+        els, lambda e: F.instr(e["anc"], needle) > 0))
+
+
 def dt_dd_pairs(els: Column, within_section: str | None = None, all_labels: bool = False) -> Column:
     """PG-2/4/7/8: every ``dt`` with its next sibling ``dd`` (text + first link), optionally
     only inside ``div[data-testid=<section>]``; ``all_labels`` keeps those without a ``dd``."""
@@ -226,15 +291,17 @@ def dt_dd_pairs(els: Column, within_section: str | None = None, all_labels: bool
         rx = selector_regex(f"div[data-testid={within_section}] dt")
         dts = F.filter(dts, lambda e: e["path"].rlike(rx))
 
-    def pair(dt):
-        dd = F.try_element_at(F.filter(els, lambda e: (e["parent"] == dt["parent"])
-                                       & (e["tag"] == "dd") & (e["id"] > dt["id"])), F.lit(1))
-        needle = F.concat(F.lit("/"), dd["id"].cast("string"), F.lit("/"))
-        link = F.try_element_at(F.filter(els, lambda e: (e["tag"] == "a")
-                                         & (F.instr(e["anc"], needle) > 0)), F.lit(1))
-        return F.struct(dt["text"].alias("dt"), dt["single"].alias("single"), dd["text"].alias("dd"),
-                        link["href"].alias("link"), dd.isNotNull().alias("has_dd"))
-    pairs = F.transform(dts, pair)
+    def pair(dt, dds, links):
+        first = F.try_element_at(F.filter(dds, lambda e: (e["parent"] == dt["parent"])
+                                          & (e["id"] > dt["id"])), F.lit(1))
+
+        def whole(dd):
+            link = F.try_element_at(inside(links, dd), F.lit(1))
+            return F.struct(dt["text"].alias("dt"), dt["single"].alias("single"), dd["text"].alias("dd"),
+                            link["href"].alias("link"), dd.isNotNull().alias("has_dd"))
+        return let(first, whole)
+    pairs = let(tagged(els, "dd"), lambda dds: let(tagged(els, "a"), lambda links: F.transform(
+        dts, lambda dt: pair(dt, dds, links))))
     return pairs if all_labels else F.filter(pairs, lambda p: p["has_dd"])
 
 
@@ -258,11 +325,7 @@ def _first_label(label: Column, labels: dict[str, str]) -> Column:
     return out
 
 
-def _key_is(key: str):
-    # One-argument lambdas only: Spark reads a two-argument lambda as (element, index).
-    return lambda p: p["key"] == key
-
-
+# One-argument lambdas only: Spark reads a two-argument lambda as (element, index).
 def _dt_equals(label: str):
     return lambda p: p["dt"] == label
 
@@ -270,43 +333,40 @@ def _dt_equals(label: str):
 def icon_list(els: Column) -> Column:
     """PG-3: (label, value) spans inside ``li.flex`` items; the last match per label wins."""
     items = select_all(els, ICON_LIST["item"])
-    lab_rx = selector_regex(ICON_LIST["label"])
-    val_rx = selector_regex(ICON_LIST["value"])
-
-    def lv(li):
-        needle = F.concat(F.lit("/"), li["id"].cast("string"), F.lit("/"))
-        spans = F.filter(els, lambda e: (F.instr(e["anc"], needle) > 0) & (e["tag"] == "span"))
-        lab = F.try_element_at(F.filter(spans, lambda e: e["path"].rlike(lab_rx)), F.lit(1))
-        val = F.try_element_at(F.filter(spans, lambda e: e["path"].rlike(val_rx)), F.lit(1))
-        return F.struct(_first_label(F.lower(lab["text"]), ICON_LIST["labels"]).alias("key"),
-                        val["text"].alias("value"))
-    pairs = F.filter(F.transform(items, lv),
-                     lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    out = {}
-    for name in ICON_LIST["labels"]:
-        hits = F.filter(pairs, _key_is(name))
-        out[name] = F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA))
-    return F.struct(*[v.alias(k) for k, v in out.items()])
+
+    def lv(li, spans):
+        return let(inside(spans, li), lambda own: _labelled(first_in(own, "label"), first_in(own, "value"),
+                                                            ICON_LIST["labels"]))
+
+    def first_in(spans, part):
+        return F.try_element_at(select_all(spans, ICON_LIST[part]), F.lit(1))["text"]
+    pairs = let(tagged(els, "span"), lambda spans: F.transform(items, lambda li: lv(li, spans)))
+    return let(pairs, lambda p: F.struct(*[_last_value(p, name).alias(name) for name in ICON_LIST["labels"]]))
+
+
+def _labelled(label: Column, value: Column, labels: dict[str, str]) -> Column:
+    return let(F.lower(label), lambda low: F.struct(_first_label(low, labels).alias("key"), value.alias("value")))
+
+
+def _last_value(pairs: Column, key: str) -> Column:
+    """The value of the last pair with the key and a value, else N/A."""
+    hits = F.filter(pairs, lambda p: (p["key"] == key) & p["value"].isNotNull())
+    return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA))
 
 
 def neighbourhood_details(els: Column) -> Column:
     """PG-4: 3-key map from ``dt``/``dd`` inside the neighbourhood containers, default N/A."""
     boxes = select_all(els, NEIGHBOURHOOD["container"])
 
-    def pair(box):
-        needle = F.concat(F.lit("/"), box["id"].cast("string"), F.lit("/"))
-        inside = F.filter(els, lambda e: F.instr(e["anc"], needle) > 0)
-        dt = F.try_element_at(F.filter(inside, lambda e: e["tag"] == "dt"), F.lit(1))
-        dd = F.try_element_at(F.filter(inside, lambda e: e["tag"] == "dd"), F.lit(1))
-        return F.struct(_first_label(F.lower(dt["text"]), NEIGHBOURHOOD["labels"]).alias("key"),
-                        dd["text"].alias("value"))
-    pairs = F.filter(F.transform(boxes, pair), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    keys, vals = [], []
-    for key in NEIGHBOURHOOD["labels"]:
-        hits = F.filter(pairs, _key_is(key))
-        keys.append(F.lit(key))
-        vals.append(F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(NA)))
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
+    def pair(box, cells):
+        first = lambda own, tag: F.try_element_at(tagged(own, tag), F.lit(1))["text"]
+        return let(inside(cells, box), lambda own: _labelled(first(own, "dt"), first(own, "dd"),
+                                                             NEIGHBOURHOOD["labels"]))
+    pairs = let(F.filter(els, lambda e: e["tag"].isin("dt", "dd")), lambda cells: F.transform(
+        boxes, lambda box: pair(box, cells)))
+    keys = [F.lit(k) for k in NEIGHBOURHOOD["labels"]]
+    return let(pairs, lambda p: F.map_from_arrays(F.array(*keys), F.array(
+        *[_last_value(p, k) for k in NEIGHBOURHOOD["labels"]])))
 
 
 def rooms(text: Column) -> Column:
@@ -328,7 +388,10 @@ def toilets(text: Column) -> Column:
 
 def cadastral(els: Column) -> Column:
     """PG-7: parcels (first-seen order, de-duplicated by label), ownership list, charges."""
-    pairs = dt_dd_pairs(els, CADASTRAL["section"])
+    return let(dt_dd_pairs(els, CADASTRAL["section"]), _cadastral)
+
+
+def _cadastral(pairs: Column) -> Column:
     own = F.transform(F.filter(pairs, lambda p: p["dt"].contains(CADASTRAL["ownership"])),
                       lambda p: p["dd"])
     charges = F.transform(F.filter(pairs, lambda p: p["dt"].contains(CADASTRAL["charges"])),
@@ -337,20 +400,19 @@ def cadastral(els: Column) -> Column:
                        & ~p["dt"].contains(CADASTRAL["ownership"])
                        & ~p["dt"].contains(CADASTRAL["charges"]))
     # De-duplicate by label, first-seen order (array_distinct keeps first occurrences).
-    labels = F.array_distinct(F.transform(parcels, lambda p: p["dt"]))
-    dedup = F.transform(labels, lambda d: F.struct(
-        d.alias("parcel"),
-        F.try_element_at(F.filter(parcels, lambda p: p["dt"] == d), F.lit(1))["link"].alias("link")))
+    dedup = let(parcels, lambda found: F.transform(
+        F.array_distinct(F.transform(found, lambda p: p["dt"])), lambda d: F.struct(
+            d.alias("parcel"),
+            F.try_element_at(F.filter(found, lambda p: p["dt"] == d), F.lit(1))["link"].alias("link"))))
     return F.struct(dedup.alias("cadastral_parcels"), own.alias("ownership_situations"),
                     charges.alias("charges"))
 
 
 def outdoor(els: Column) -> Column:
     """PG-8: fixed outdoor labels -> map with NULL defaults (last match wins)."""
-    pairs = dt_dd_pairs(els, OUTDOOR["section"])
-    vals = [F.try_element_at(F.filter(pairs, _dt_equals(f)), F.lit(-1))["dd"]
-            for f in OUTDOOR["fields"]]
-    return F.map_from_arrays(F.array(*[F.lit(f) for f in OUTDOOR["fields"]]), F.array(*vals))
+    return let(dt_dd_pairs(els, OUTDOOR["section"]), lambda pairs: F.map_from_arrays(
+        F.array(*[F.lit(f) for f in OUTDOOR["fields"]]),
+        F.array(*[F.try_element_at(F.filter(pairs, _dt_equals(f)), F.lit(-1))["dd"] for f in OUTDOOR["fields"]])))
 
 
 def extract_listing(pages: DataFrame, url_col: str = "url", html_col: str = "html",
@@ -403,9 +465,10 @@ def all_na(df: DataFrame, fields: Sequence[str] = SCALAR_FIELDS) -> Column:
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """PG-10: (kept, dead-letter) by the all-N/A rule."""
-    flag = all_na(df)
-    return df.where(~flag), df.where(flag)
+    """PG-10: (kept, dead-letter) by the all-N/A rule. The records are written once: both sides
+    read them, and the rule is not pushed below what made the fields."""
+    marked = scratch_table(df.withColumn("_rejected", all_na(df)))
+    return tuple(marked.where(F.col("_rejected") == side).drop("_rejected") for side in (False, True))
 
 
 def page_id(url: Column, ts: Column) -> Column:

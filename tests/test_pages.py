@@ -127,3 +127,24 @@ def test_sitemap_cycles_end_and_dead_links_are_passed_over(spark):
     got = [r["url"] for r in sitemap_pages(docs, docs.where("url = 'r'").select("url")).collect()]
     assert sorted(got) == ["p1", "p2", "p3"]
     assert sitemap_pages(docs, docs.where("false").select("url")).count() == 0
+
+
+def test_elements_come_in_small_chunks_and_equal_each_page_alone(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(PG, "CHUNK_CHARS", 1000)
+    page = '<div data-x="1" class="b a"><dl><dt>Wonen</dt><dd>30 <a href="/u">m</a></dd></dl><!-- c --></div>'
+    html = [page * 400, None, "", "<p>tekst", page, "<html><p>af<![x["] * 60
+    chunks = list(PG.element_chunks(iter([pa.array(html[:200]), pa.array(html[200:])])))
+    assert len(chunks) > 60                                     # no chunk holds two of the long pages
+    assert max(len(c.flatten()) for c in chunks) <= 5 * 400 + 30
+    got = [[{**e, "attrs": dict(e["attrs"])} for e in els] for c in chunks for els in c.to_pylist()]
+    assert got == [PG.tokenize(h) for h in html]
+
+
+def test_rejects_read_written_records(spark):
+    df = spark.createDataFrame([(1, "u1", "<p>niets</p>"), (2, "u2", "<dl><dt>Bouwjaar</dt><dd>1900</dd></dl>")],
+                               "page_id long, url string, html string")
+    sides = PG.split_rejects(PG.extract_listing(df, keep=["page_id"]))
+    for side, ids in zip(sides, ([2], [1])):
+        assert [r["page_id"] for r in side.select("page_id").collect()] == ids
+        assert "EvalPython" not in side._jdf.queryExecution().toString()     # not extracted once more

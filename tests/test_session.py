@@ -41,3 +41,13 @@ def test_user_settings_and_local_mode_are_left_alone():
     local = _fake("local[8]", 8)
     S._size_cluster_shuffles(local)
     assert dict(local.conf) == {}
+
+
+def test_stages_too_long_to_be_compiled_are_not_fused(monkeypatch):
+    for name in ("ensure_checkpoint_dir", "ship_package", "_size_cluster_shuffles"):
+        monkeypatch.setattr(S, name, lambda spark: None)
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    for given, want in (("65535", "8000"), (None, "8000"), ("20000", "20000")):
+        spark = _fake("yarn", 8, **({limit: given} if given else {}))
+        S.configure(spark)
+        assert spark.conf[limit] == want

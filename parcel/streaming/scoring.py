@@ -2,7 +2,7 @@
 
 Listings arrive as JSON files. Every micro-batch goes through the same ``conform -> errors ->
 preprocess -> impute -> transform_features -> score`` functions as a batch, including the joins with
-the fitted state's tables (coordinates, centroids, amenity index), so batch, stream and one-row
+the fitted state's tables (coordinates and centroids with their amenity counts), so batch, stream and one-row
 scoring cannot drift apart. Nothing is carried from batch to batch: no watermark or state store is needed.
 
 A micro-batch is written into ``batch_id=<n>`` folders in overwrite mode, so a replayed batch

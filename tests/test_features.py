@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from parcel.functions import geo as G
 from parcel.operators import features as FE
+from parcel.operators import geo_join as GJ
 from parcel.operators import models as ML
 from parcel.operators import split as SP
 from parcel.plans.q_ml import base_listings, build_feature_matrix
+from parcel.sources.listings import amenity_points
 from tests.conftest import SF_SMALL
 
 
@@ -123,3 +126,26 @@ def test_expansion_zero_denominators(spark):
     r = FE.expansion_features(df).first()
     assert r["room_utilization_ratio"] == 0.0 and r["floor_to_size"] == 0.0
     assert r["building_age"] == 0.0 and r["lease_ratio"] == 0.0
+
+
+def test_transform_looks_amenity_counts_up(spark, monkeypatch):
+    """Counts stand next to the state's places: a transform joins no amenities, and its counts are
+    those of the radius join around the same places."""
+    base, _, geo = base_listings(spark, SF_SMALL)
+    rows = ML.materialize(base.limit(200).withColumns({
+        "address": F.when(F.col("listing_id") % 5 == 0, F.lit("nowhere 0")).otherwise(F.col("address")),
+        "neighborhood": F.when(F.col("listing_id") % 10 == 0, F.lit(None)).otherwise(F.col("neighborhood")),
+        "postal_code_clean": F.when(F.col("listing_id") % 5 == 0, F.lit(None)).otherwise(F.col("postal_code_clean"))}))
+    meta = FE.fit_features(rows.where(F.col("listing_id") % 2 == 0), geo=geo, amenities=amenity_points(spark, SF_SMALL))
+    counts = meta.count_columns
+    with monkeypatch.context() as m:
+        m.setattr(FE.GJ, "amenity_counts", None)
+        X = FE.transform_features(rows, FE.FeatureMeta.from_json(meta.to_json()), keep=["listing_id", *counts]).collect()
+    places = spark.createDataFrame([(r["listing_id"], r["lat"], r["lon"]) for r in X],
+                                   "listing_id long, lat double, lon double")
+    want = {r["listing_id"]: r for r in GJ.radius_counts(places, amenity_points(spark, SF_SMALL)).collect()}
+    assert len(X) == 200 and any(r[c] for r in X for c in counts)
+    assert sum((r["lat"], r["lon"]) == G.CITY_CENTER for r in X) > 0
+    for r in X:
+        assert [r[c] for c in counts] == [want[r["listing_id"]][c] for c in counts]
+        assert [r[f"{c}_bin_encoded"] for c in counts] == [want[r["listing_id"]][f"{c}_bin_encoded"] for c in counts]

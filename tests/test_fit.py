@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcel.operators import fit as FIT
 from parcel.operators import levels as LV
@@ -121,3 +122,17 @@ def test_vocabulary_order(spark):
     table = FIT.fit_vocabulary(df, "l")
     assert sorted((r["level"], r["n"], r["code"]) for r in table.collect()) == [("a", 2, 0), ("b", 2, 1), ("c", 1, 2)]
     assert LV.most_frequent(table, 2) == ["a", "b"] and LV.most_frequent(table, 9) == ["a", "b", "c"]
+
+
+def test_wide_scaler_in_jobs_of_few_columns(spark, monkeypatch):
+    cols = [f"c{i}" for i in range(45)]
+    df = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).cast("double").alias(c) for i, c in enumerate(cols)])
+    rows = np.array([tuple(r) for r in df.collect()])
+    kind, sizes = type(df), []
+    agg = kind.agg
+    monkeypatch.setattr(kind, "agg", lambda self, *e: (sizes.append(len(e)), agg(self, *e))[1])
+    state = FIT.fit_scaler(df, cols, "standard")
+    assert max(sizes) <= 2 * FIT.SCALER_COLUMNS
+    assert list(state) == cols
+    assert [state[c][0] for c in cols] == pytest.approx(rows.mean(axis=0))
+    assert [state[c][1] for c in cols] == pytest.approx(rows.std(axis=0))

@@ -140,7 +140,8 @@ def test_transform_looks_amenity_counts_up(spark, monkeypatch):
     counts = meta.count_columns
     with monkeypatch.context() as m:
         m.setattr(FE.GJ, "amenity_counts", None)
-        X = FE.transform_features(rows, FE.FeatureMeta.from_json(meta.to_json()), keep=["listing_id", *counts]).collect()
+        same = FE.FeatureMeta.from_json(meta.to_json())
+        X = FE.transform_features(rows, same, keep=["listing_id", *counts]).collect()
     places = spark.createDataFrame([(r["listing_id"], r["lat"], r["lon"]) for r in X],
                                    "listing_id long, lat double, lon double")
     want = {r["listing_id"]: r for r in GJ.radius_counts(places, amenity_points(spark, SF_SMALL)).collect()}

@@ -126,7 +126,8 @@ def test_vocabulary_order(spark):
 
 def test_wide_scaler_in_jobs_of_few_columns(spark, monkeypatch):
     cols = [f"c{i}" for i in range(45)]
-    df = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).cast("double").alias(c) for i, c in enumerate(cols)])
+    df = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).cast("double").alias(c)
+                                  for i, c in enumerate(cols)])
     rows = np.array([tuple(r) for r in df.collect()])
     kind, sizes = type(df), []
     agg = kind.agg

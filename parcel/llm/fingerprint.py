@@ -13,17 +13,14 @@ bytes. A boundary is the key of a record; that record is also sent to the end of
 it, so every task sees the neighbour of its last record, and a task streams through its sorted
 records with one of them in hand. No document is numbered, and texts are shuffled once.
 
-``near_copies`` joins signature bands: documents with equal texts are one class; every class of
-a band's bucket is paired with the bucket's leader, pairs whose likeness is far too small (MARGIN
-under the threshold, more than six standard errors) go, and the others are verified on their full
-shingle sets. Leaders differ from bucket to bucket, and two classes at the threshold share a bucket
-in 10 of the 32 bands on average (in none with probability 5e-6), so a group is held together by
-many stars. Bands come in two waves; the second leaves out pairs that the first has put into one
-group. The number of pairs is at most one per class and band: it does not grow with the square of
-a bucket. What that costs: a link is seen when one of its two classes leads a bucket that they share,
-or through classes linked with both; between two large groups that a single pair joins it can be
-missed. (The operator for complete components is ``minhash``.) Buckets are pre-aggregated before
-they are joined, and no bucket is ever gathered in one row or task.
+``near_copies`` joins signature bands: documents with equal texts are one class. All members of a
+bucket are compared, in cells of two blocks; those whose fingerprints do not rule the threshold out
+(MARGIN under it, more than six standard errors) belong to one family. Two classes at the threshold share
+no bucket with probability 5e-6. Within a family every two classes are compared on their full shingle
+sets, in cells of two blocks: ``n_links`` counts all links, and the components of the links are the
+groups. No pair leaves a task: a cell gives counts and who is joined there (a star for each group). What
+that costs: a bucket or family of m classes takes m * m / 2 comparisons by the nature of the count, and
+a class is sent to m / BLOCK cells; a cell is bounded in members and in characters.
 
 Defined results: a null text is empty. A text without words has no shingles and a fingerprint of
 its own kind (all f); it is like other such texts (1) and unlike the rest (0), and linked with
@@ -52,7 +49,9 @@ PERMS = 128
 ROWS = 4                   # places of a band
 SHINGLE = 5                # words
 MARGIN = 0.25
-WAVES = ((0, 8), (8, PERMS // ROWS))      # bands joined together
+WAVE = 16                  # bands joined together
+BLOCK = 256                # classes of a block
+BLOCK_CHARS = 1 << 23      # and their characters, at most about
 GROUP_CHARS = 1 << 19      # characters fingerprinted at once; a longer text goes alone
 RANGE_BYTES = 1 << 30      # of text in a range, at most about
 SAMPLES = 8                # sampled keys for each boundary
@@ -210,7 +209,7 @@ def described(pairs: list[tuple]) -> pa.RecordBatch:
 
 
 # ---------------------------------------------------------------------------- near copies
-def banded(classes: DataFrame, first: int = 0, last: int = PERMS // ROWS) -> DataFrame:
+def banded(classes: DataFrame, first: int, last: int) -> DataFrame:
     """(bucket, md5): one row per class and band; a bucket is a band's number and places."""
     return classes.select("md5", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("band"),
                           "places").select(F.concat(
@@ -218,31 +217,89 @@ def banded(classes: DataFrame, first: int = 0, last: int = PERMS // ROWS) -> Dat
                               _slice("places", "band", 2 * ROWS)).alias("bucket"), "md5")
 
 
-def led(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of each bucket's members with its leader, the member whose hash with
-    the bucket is smallest: another one in every bucket."""
-    leaders = bands.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "md5").alias("h"), F.col("md5").alias(
-        "m"))).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = bands.join(leaders.select("bucket", F.col("leader.m").alias("leader")), "bucket").where("leader <> md5")
-    return both.select(F.least("leader", "md5").alias("a"), F.greatest("leader", "md5").alias("b")).distinct()
+def shared(classes: DataFrame) -> DataFrame:
+    """(bucket, md5, n) of the buckets with n classes, two or more; checkpointed."""
+    out = None
+    for first in range(0, PERMS // ROWS, WAVE):
+        bands = banded(classes, first, first + WAVE)
+        several = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = cut(bands.join(several, "bucket"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def dealt(members: DataFrame, blocks: str, *key: str) -> DataFrame:
+    """Members in their slot, one row for each cell (i, j) of two of the ``blocks`` slots that has theirs."""
+    return members.withColumn("slot", F.pmod(F.xxhash64("md5", *key), F.col(blocks)).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))).withColumns(
+            {"i": F.least("slot", "other"), "j": F.greatest("slot", "other")}).drop("other", blocks)
 
 
 def _slice(col: str, at: str, width: int) -> Column:
     return F.expr(f"substring({col}, {at} * {width} + 1, {width})")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose fingerprints do not rule the threshold out."""
-    side = lambda c: classes.select(F.col("md5").alias(c), F.col("places").alias(f"{c}_places"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_places", "b_places")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u2").reshape(-1, PERMS)
-                    for c in ("a_places", "b_places"))
-            yield b.select(["a", "b"]).filter(pa.array(likeness(x, y) >= threshold - MARGIN))
+def cells(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Stretches of equal keys in batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in key)))
+        start = 0
+        for k in range(len(keys)):
+            if keys[k] != last:
+                if k > start:
+                    held.append(b.slice(start, k - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], k, keys[k]
+        if start < len(keys):
+            held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def join(part: np.ndarray, x: int, ys: np.ndarray) -> None:
+    """The parts of members ``x`` and ``ys`` become one."""
+    others = np.unique(part[ys[part[ys] != part[x]]])
+    if len(others):
+        part[np.isin(part, others)] = part[x]
+
+
+def stars(part: np.ndarray, nodes: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """(a, b): the members of every part with the smallest of them."""
+    a, b, first = [], [], None
+    for k in sorted(range(len(nodes)), key=lambda k: (part[k], nodes[k])):
+        if first is None or part[k] != part[first]:
+            first = k
+        else:
+            a.append(nodes[first])
+            b.append(nodes[k])
+    return a, b
+
+
+def likely(bands: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that join the members of one bucket whose fingerprints do not rule the threshold
+    out: every two members are compared (unless joined already), and a cell gives stars."""
+    key = ("bucket", "i", "j")
+    rows = dealt(bands.withColumn("n", F.ceil(F.col("n") / BLOCK).cast("int")).join(
+        classes.select("md5", "places"), "md5"), "n", "bucket")
 
-    return both.mapInArrow(keep, "a binary, b binary")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in cells(batches, key):
+            nodes = t.column("md5").to_pylist()
+            places = np.frombuffer(b"".join(t.column("places").to_pylist()), ">u2").reshape(-1, PERMS)
+            part = np.arange(len(nodes))
+            for x in range(len(nodes) - 1):
+                ys = x + 1 + np.flatnonzero(part[x + 1:] != part[x])
+                if len(ys):
+                    join(part, x, ys[likeness(places[ys], places[x]) >= threshold - MARGIN])
+            a, b = stars(part, nodes)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                                 names=["a", "b"])
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a binary, b binary")
 
 
 def filter_words(wanted: DataFrame, n: int) -> np.ndarray:
@@ -256,13 +313,39 @@ def filter_words(wanted: DataFrame, n: int) -> np.ndarray:
     return words
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose shingle sets have at least the Jaccard similarity. Only the texts of classes in
-    pairs are shuffled: a bit table of bounded size sorts out nearly all others in the scan."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("md5")).union(pairs.select("b")).distinct())
-    n = wanted.count()
-    words = docs.sparkSession.sparkContext.broadcast(filter_words(wanted, n))
+def sets_linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
+                ) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, members of higher number linked with it); all in one list, those of ``right`` after those
+    of ``left``. Without ``right`` all pairs are compared, else those of one side with the other."""
+    full = left + (right or [])
+    size = np.array([len(x) for x in full])
+    starts = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(full), return_inverse=True)[1]
+    mark = np.zeros(ids.max() + 1, np.int64)
+    for x in range(len(left)):
+        first = x + 1 if right is None else len(left)
+        if first == len(full):
+            return
+        own = ids[starts[x]:starts[x] + size[x]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[ids[starts[first]:]], starts[first:] - starts[first])
+        mark[own] = 0
+        ok = 100 * both >= percent * (size[x] + size[first:] - both)
+        yield x, first + np.flatnonzero(ok)
+
+
+def compared(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): for members (node, label) the links with classes of the same label, by Jaccard
+    similarity of the full shingle sets. Rows with b say that a and b are linked, if by way of others; the
+    rest give a's number of links in one cell. Only the texts of the members are shuffled: a bit table of bounded
+    size sorts out nearly all others in the scan."""
+    known = members.join(classes.select(F.col("md5").alias("node"), "n_chars"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).cast("int")
+    placed = cut(known.join(known.groupBy("label").agg(blocks.alias("blocks")), "label").select(
+        F.col("node").alias("md5"), "label", "blocks"))
+    words = docs.sparkSession.sparkContext.broadcast(filter_words(placed, placed.count()))
+    percent = round(100 * threshold)
+    key = ("label", "i", "j")
 
     def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.value.view(np.uint64)
@@ -277,47 +360,53 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             for a, z in groups(texts):
                 hashes, count = shingles(texts[a:z])
                 own = [np.unique(h).tobytes() for h in np.split(hashes, np.cumsum(count)[:-1])]
-                yield pa.RecordBatch.from_arrays([b.column("md5").slice(a, z - a), pa.array(
-                    own, pa.binary())], names=["md5", "shingles"])
+                yield pa.RecordBatch.from_arrays([*b.select(["md5", "label", "blocks"]).slice(a, z - a).columns,
+                                                  pa.array(own, pa.binary())],
+                                                 names=["md5", "label", "blocks", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in cells(batches, key):
+            slot = t.column("slot").to_numpy()
+            order = np.argsort(slot, kind="stable")
+            t = t.take(pa.array(order))
+            nodes = t.column("md5").to_pylist()
+            full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            cut_at = int((slot == slot.min()).sum())
+            if t.column("i")[0] == t.column("j")[0]:
+                found = sets_linked(full, None, percent)
+            elif cut_at < len(full):
+                found = sets_linked(full[:cut_at], full[cut_at:], percent)
+            else:
+                continue                       # the other block is empty
+            part, n = np.arange(len(full)), np.zeros(len(full), np.int64)
+            for x, ys in found:
+                n[x] += len(ys)
+                n[ys] += 1
+                join(part, x, ys)
+            a, b = stars(part, nodes)
+            some = np.flatnonzero(n).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a + [nodes[k] for k in some], pa.binary()), pa.array(b + [None] * len(some), pa.binary()),
+                 pa.array([0] * len(a) + n[some].tolist(), pa.int64())], names=["a", "b", "n"])
 
     text = documents(docs).select(F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("md5"), "text")
     bits = 64 * len(words.value)
     full = text.withColumn("p", F.pmod(F.xxhash64("md5"), F.lit(bits))).mapInArrow(
-        sifted, "md5 binary, text string").join(wanted, "md5", "left_semi").groupBy("md5").agg(
-            F.first("text").alias("text"))
-    table = cut(full.mapInArrow(sets, "md5 binary, shingles binary"))
-    side = lambda c: table.select(F.col("md5").alias(c), F.col("shingles").alias(f"{c}_set"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("a_set").to_pylist(), b.column("b_set").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= round(100 * threshold) * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "a_set", "b_set").mapInArrow(compare, "a binary, b binary"))
+        sifted, "md5 binary, text string").groupBy("md5").agg(F.first("text").alias("text")).join(placed, "md5")
+    rows = dealt(full.mapInArrow(sets, "md5 binary, label binary, blocks int, shingles binary"), "blocks")
+    return cut(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+        compare, "a binary, b binary, n long"))
 
 
 def near_copies(prints: DataFrame, docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``prints`` plus group_id, the smallest doc_id reachable through verified links (its
-    own for a text without words), and n_links, the number of other classes it was linked with."""
+    own for a text without words), and n_links, the number of other classes it is linked with."""
     classes = cut(prints.where("has_words").groupBy("md5").agg(
-        F.first("places").alias("places"), F.min("doc_id").alias("class_doc")))
-    links = labels = None
-    for first, last in WAVES:
-        pairs = led(banded(classes, first, last))
-        if labels is not None:            # who is in one group already needs no further link
-            side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l"))
-            pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(
-                F.coalesce("a_l", "a") != F.coalesce("b_l", "b")).select("a", "b")
-        found = verified(likely(pairs, classes, threshold), docs, threshold)
-        links = found if links is None else cut(links.union(found))
-        labels = components(links)
-    number = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("_c")).agg(
-        F.count(F.lit(1)).alias("n_links"))
+        F.first("places").alias("places"), F.min("doc_id").alias("class_doc"), F.first("n_chars").alias("n_chars")))
+    families = components(likely(shared(classes), classes, threshold))
+    found = compared(families, classes, docs, threshold)
+    labels = components(found.where("b is not null").select("a", "b"))
+    number = found.where("b is null").groupBy(F.col("a").alias("_c")).agg(F.sum("n").alias("n_links"))
     smallest = classes.join(labels, F.col("md5") == F.col("node")).groupBy("label").agg(
         F.min("class_doc").alias("group_id"))
     linked = labels.join(smallest, "label").join(number, F.col("node") == F.col("_c")).select(

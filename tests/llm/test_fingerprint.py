@@ -126,6 +126,47 @@ def test_groups_hold_together(spark):
     assert sorted(((r.doc_id, r.group_id) for r in got), key=repr) == components(data)
 
 
+def link_counts(data):
+    """Number of other texts a document's text is linked with."""
+    texts = sorted({t or "" for _, t in data})
+    sets = {t: shingle_set(t) for t in texts}
+    n = {t: sum(o != t and 100 * len(sets[t] & sets[o]) >= 75 * len(sets[t] | sets[o]) and bool(sets[t])
+                for o in texts) for t in texts}
+    return sorted(((d, n[t or ""]) for d, t in data), key=repr)
+
+
+def test_every_link_counts(spark, monkeypatch):
+    """Near copies that are linked with all others, in one block and over many."""
+    words = prose(80, 400).split()
+    data = rows(extra())
+    for k in range(40):
+        w = list(words)
+        w[9 * k] = f"x{k}"
+        data.append((400 + k, " ".join(w)))
+    docs = frame(spark, data)
+    want = link_counts(data)
+    assert dict(want)[400] == 39
+    for block in (fp.BLOCK, 5):
+        monkeypatch.setattr(fp, "BLOCK", block)
+        got = fp.near_copies(fp.fingerprints(docs), docs).collect()
+        assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == want
+        assert sorted(((r.doc_id, r.group_id) for r in got), key=repr) == components(data)
+
+
+def test_members_of_a_bucket_meet_beside_their_leader(spark, monkeypatch):
+    """Pairs that no member of the bucket links with the others: every two members are looked at."""
+    monkeypatch.setattr(fp, "BLOCK", 2)
+    sig = np.arange(12 * fp.PERMS).reshape(12, -1)
+    sig[:, :fp.ROWS] = 7                                   # all share the first bucket
+    sig[9] = sig[4]
+    sig[10, :110] = sig[5, :110]
+    key = [bytes([k]) * 16 for k in range(12)]
+    classes = spark.createDataFrame([(bytearray(k), bytearray(s.astype(">u2").tobytes()))
+                                     for k, s in zip(key, sig)], "md5 binary, places binary")
+    got = fp.likely(fp.shared(classes), classes, 0.75).collect()
+    assert {tuple(sorted((bytes(r.a)[0], bytes(r.b)[0]))) for r in got} == {(4, 9), (5, 10)}
+
+
 def test_empty_and_single(spark):
     docs = frame(spark, [(1, "one two three")])
     one = fp.near_copies(fp.fingerprints(docs), docs).collect()

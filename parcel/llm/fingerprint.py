@@ -18,7 +18,8 @@ bucket are compared, in cells of two blocks; those whose fingerprints do not rul
 (MARGIN under it, more than six standard errors) belong to one family. Two classes at the threshold share
 no bucket with probability 5e-6. Within a family every two classes are compared on their full shingle
 sets, in cells of two blocks: ``n_links`` counts all links, and the components of the links are the
-groups. No pair leaves a task: a cell gives counts and who is joined there (a star for each group). What
+groups. No pair leaves a task: a cell gives counts and who is joined there (a star for each group), and
+before components are sought the stars of all cells are hung together, about one link for a member. What
 that costs: a bucket or family of m classes takes m * m / 2 comparisons by the nature of the count, and
 a class is sent to m / BLOCK cells; a cell is bounded in members and in characters.
 
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcel.llm.common import cut, documents
@@ -302,6 +303,17 @@ def likely(bands: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a binary, b binary")
 
 
+def hung(links: DataFrame) -> DataFrame:
+    """The components of ``links`` (a, b) by fewer links: every node hangs on its smallest neighbour, and
+    so do the other neighbours that are smaller than the node. A member has a star's centre in each of its
+    cells; what is left of them is about one link a member and some between centres."""
+    low = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    first = F.min("a").over(Window.partitionBy("b"))
+    return low.withColumn("first", first).select(
+        F.col("first").alias("a"), F.when(F.col("a") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b")
+    ).distinct()
+
+
 def filter_words(wanted: DataFrame, n: int) -> np.ndarray:
     """A bit for every wanted class (8 bits or more for each, 2**27 bits at most) as longs."""
     bits = 1 << min(27, max(16, (8 * n).bit_length()))
@@ -403,9 +415,9 @@ def near_copies(prints: DataFrame, docs: DataFrame, threshold: float = 0.75) ->
     own for a text without words), and n_links, the number of other classes it is linked with."""
     classes = cut(prints.where("has_words").groupBy("md5").agg(
         F.first("places").alias("places"), F.min("doc_id").alias("class_doc"), F.first("n_chars").alias("n_chars")))
-    families = components(likely(shared(classes), classes, threshold))
+    families = components(hung(hung(likely(shared(classes), classes, threshold))))
     found = compared(families, classes, docs, threshold)
-    labels = components(found.where("b is not null").select("a", "b"))
+    labels = components(hung(found.where("b is not null").select("a", "b")))
     number = found.where("b is null").groupBy(F.col("a").alias("_c")).agg(F.sum("n").alias("n_links"))
     smallest = classes.join(labels, F.col("md5") == F.col("node")).groupBy("label").agg(
         F.min("class_doc").alias("group_id"))

@@ -173,3 +173,19 @@ def test_empty_and_single(spark):
     assert len(one) == 1 and one[0].group_id == 1 and one[0].near_next == 1.0
     none = fp.near_copies(fp.fingerprints(docs.where("false")), docs.where("false"))
     assert none.count() == 0
+
+
+def test_stars_of_all_cells_hang_together_by_one_link_a_member(spark):
+    """The stars of a large group's cells, each member with another centre in every cell of its block."""
+    links, blocks, size = [], 20, 30
+    for i in range(blocks):
+        for j in range(i, blocks):
+            links += [(min(i, j) * size, k) for b in {i, j} for k in range(b * size, (b + 1) * size)]
+    links += [(9001, 9002), (9003, 9002)]
+    n = blocks * size + 3
+    df = spark.createDataFrame(links, "a long, b long").where("a <> b")
+    assert df.distinct().count() > 8 * n
+    few = fp.hung(df)
+    assert few.count() <= n + blocks
+    label = {r.node: r.label for r in fp.components(few).collect()}
+    assert label == {**{k: 0 for k in range(blocks * size)}, 9001: 9001, 9002: 9001, 9003: 9001}

@@ -96,3 +96,92 @@ def test_endings_and_ends():
     assert ends.tolist() == [3, 4, 6]
     assert state.tolist() == [0, ord("a") * 256 + ord("b"), ord("c"), 0, 0, 0xC3 * 256 + 0xA9]
     assert (word[[2, 3, 5]] == hpylm.END).all()
+
+
+def test_contexts_are_whole_words():
+    """Words with equal endings are contexts of their own."""
+    word, context, ends = hpylm.pairs_of(["running x", "Sing x", "running x x"])
+    assert context[[0, 3, 6]].tolist() == [hpylm.END] * 3 and ends.tolist() == [3, 6, 10]
+    assert context[1] == word[0] == context[7] and context[4] == word[3] != context[1]
+    assert hpylm.ending(context[[1, 4]]).tolist() == [ord("n") * 256 + ord("g")] * 2
+
+
+def test_equal_endings_share_no_distribution(spark):
+    """After "sing" always red, after "ring" always blue: the other way round is less likely by far."""
+    train = [k for k in range(600) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 7 == 2][:4]
+    pairs = [(k, ("sing red", "ring blue")[k % 2]) for k in train]
+    pairs += list(zip(held, ("sing red", "ring blue", "sing blue", "ring red")))
+    got = {r.doc_id: r.score for r in hpylm.language_scores(frame(spark, pairs).repartition(3)).collect()}
+    assert min(got[held[0]], got[held[1]]) > max(got[held[2]], got[held[3]]) + 1
+
+
+def test_restaurants_of_whole_words_add_up(monkeypatch):
+    """The rounds of owners and contexts by hand: probabilities after every word add up to one."""
+    monkeypatch.setattr(hpylm, "STRENGTH", 1.0)
+    r = np.random.default_rng(3)
+    owners = 3
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.5, 40) % 30) for _ in range(50)]
+    word, _, _ = hpylm.pairs_of(texts)
+    cells = hpylm.Cells(word, owners)
+    count = np.bincount(cells.of_token)
+    kept = {o: hpylm.Contexts(cells.word[a:b], cells.context[a:b], count[a:b]) for o, a, b in cells.by_owner()}
+    tables = {o: k.start() for o, k in kept.items()}
+
+    def total_g():
+        parts = [x for o in kept for x in hpylm.written(kept[o], tables[o], o, owners, False).to_pylist()
+                 if x["level"] is not None]
+        by = Counter()
+        for x in parts:
+            by[x["level"], x["state"], "c"] += x["customers"]
+            by[x["level"], x["state"], "t"] += x["tables"]
+        rows = [(lv, st, by[lv, st, "c"], by[lv, st, "t"]) for lv, st in {k[:2] for k in by}]
+
+        class Levels:
+            def groupBy(self, *a):
+                return self
+
+            def agg(self, *a):
+                return self
+
+            def collect(self):
+                return rows
+        return hpylm.gather_totals(Levels())
+
+    def sums():
+        c = Counter()
+        for o, k in kept.items():
+            t = np.ones(len(k.word), np.int64)
+            t[k.open] = tables[o][0]
+            for u, n in zip(k.context.tolist(), t.tolist()):
+                c[u] += n
+        return c
+
+    monkeypatch.setattr(hpylm.F, "sum", lambda c: c)
+    rounds = []
+    for sweep in range(4):
+        g, now = total_g(), sums()
+        rounds.append((g, dict(tables), now))
+        tables = {o: k.sweep(tables[o], np.array([now[u] for u in k.asked.tolist()], float), g,
+                             np.random.default_rng([sweep, o])) for o, k in kept.items()}
+    assert any((t[0] > 1).any() for t in tables.values())
+    known = np.unique(word)
+    lexica = {o: hpylm.Lexicon(k, [(g, t[o]) for g, t, _ in rounds], [
+        (np.array(sorted(n), np.uint64), np.array([n[u] for u in sorted(n)])) for _, _, n in rounds])
+        for o, k in kept.items()}
+    for u in known.tolist():
+        total = 0.0
+        for w in [*known.tolist(), 12345]:                # every known word and the unknown one
+            o = int(hpylm.owner_of(np.array([w], np.uint64), owners)[0])
+            own, parent = lexica[o].of_cells(np.array([w], np.uint64), np.array([u], np.uint64))
+            ou = int(hpylm.owner_of(np.array([u], np.uint64), owners)[0])
+            c, t = lexica[ou].of_words(np.array([u], np.uint64))
+            total += ((own + (1 + rounds[-1][0]["d3"] * t) * parent) / (1 + c))[0]
+        assert abs(total - 1) < 1e-9
+
+
+def test_packed_numbers_come_back():
+    x = [np.array([0, 1, 254, 255, 256, 1 << 40]), np.array([1 << 63, 3], np.uint64), np.zeros(0, np.int64),
+         np.array([0.5, 2], np.float32)]
+    got = hpylm.unpack(hpylm.pack(*x))
+    assert [g.tolist() for g in got] == [v.tolist() for v in x]

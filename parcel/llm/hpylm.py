@@ -34,18 +34,23 @@ so a block holds the same rows both times.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcel.llm.common import cut, documents
+from parcel.llm.common import cut, documents, shuffles_released
 from parcel.llm.hashing import _SPACE, words_of
+from parcel.session import ensure_checkpoint_dir
+from parcel.sources.store import delete
 
 BLOCK_BITS = 12              # rows of a block: 4096
 PACK_LEVEL = 6
 CELLS_PER_TASK = 2_000_000   # cells that one owner task is meant to hold
 SWEEPS, BURN = 4, 1
+WAVES = 4                    # groups of owners that answer one after another
 STRENGTH = 1.0
 HASH_BITS = np.uint64(48)
 END = np.uint64(0x5851F42D4C95)       # id of the end token, and of "no word before"; its ending is 0
@@ -132,7 +137,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = []
     for x in arrays:
         if x.dtype in KINDS:
-            out += [np.array([KINDS.index(x.dtype), len(x)], "<i8").tobytes(), x.tobytes()]
+            planes = x.view(np.uint8).reshape(len(x), x.itemsize).T          # like bytes together
+            out += [np.array([KINDS.index(x.dtype), len(x)], "<i8").tobytes(), planes.tobytes()]
         else:
             big = x[x >= 255].astype("<i8")
             out += [np.array([len(KINDS), len(x), len(big)], "<i8").tobytes(),
@@ -148,8 +154,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         kind, n = np.frombuffer(body, "<i8", 2, at).tolist()
         at += 16
         if kind < len(KINDS):
-            out.append(np.frombuffer(body, KINDS[kind], n, at))
-            at += out[-1].nbytes
+            width = np.dtype(KINDS[kind]).itemsize
+            planes = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n)
+            out.append(np.ascontiguousarray(planes.T).view(KINDS[kind]).reshape(n))
+            at += n * width
         else:
             many = int(np.frombuffer(body, "<i8", 1, at)[0])
             x = np.frombuffer(body, np.uint8, n, at + 8).astype(np.int64)
@@ -456,7 +464,7 @@ def _rng(owner: int, sweep: int) -> np.random.Generator:
 
 # What owners write and send: ``kind`` says what a packet holds, ``part`` whom it is from.
 PACKETS = "owner int, part int, kind int, packet binary, " + LEVELS
-TABLES, NAMES, CLOSED, OPEN, REPLY, SUMS, CELLS = range(7)
+TABLES, NAMES, CLOSED, OPEN, REPLY, EVERY, SUMS, CELLS = range(8)
 
 
 def packets(rows: list[tuple]) -> pa.Table:
@@ -505,7 +513,10 @@ def owner_tables(cells: DataFrame) -> DataFrame:
 
 def context_sums(sent: DataFrame, first: DataFrame) -> DataFrame:
     """PACKETS of the owners of contexts: replies to the owners that sent OPEN tables, in their order, and
-    SUMS of all tables of all contexts. NAMES and CLOSED are those of the ``first`` round."""
+    SUMS of all tables of all contexts, ascending (EVERY, in the first round only, says which). NAMES and
+    CLOSED are those of the ``first`` round."""
+    named = sent is first
+
     def run(table: pa.Table) -> pa.Table:
         owner = table.column("owner")[0].as_py()
         names, values, ids, shares = {}, {}, [], []
@@ -521,7 +532,9 @@ def context_sums(sent: DataFrame, first: DataFrame) -> DataFrame:
         every, at = np.unique(np.concatenate(ids), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(shares), minlength=len(every)).astype(np.int64)
         rows = [(part, owner, REPLY, pack(total[np.searchsorted(every, names[part])])) for part in names]
-        return packets([*rows, (owner, owner, SUMS, pack(every, total))])
+        if named:
+            rows.append((owner, owner, EVERY, pack(every)))
+        return packets([*rows, (owner, owner, SUMS, pack(total))])
 
     return sent.where(F.col("kind") == OPEN).unionByName(first.where(F.col("kind").isin(NAMES, CLOSED))).groupBy(
         "owner").applyInArrow(run, PACKETS)
@@ -558,8 +571,8 @@ def swept(owner_df: DataFrame, own: DataFrame, owners: int, g: dict, sweep: int)
 
 
 def train(owner_df: DataFrame, owners: int, sweeps: int = SWEEPS, burn: int = BURN):
-    """(totals of endings, PACKETS with each owner's TABLES, PACKETS with SUMS) after each sweep but the
-    first ``burn``; the last one in any case."""
+    """PACKETS with EVERY context, and after each sweep but the first ``burn`` (the last one in any case):
+    (totals of endings, PACKETS with each owner's TABLES, PACKETS with SUMS)."""
     def begin(batches):
         for b in batches:
             for owner, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -567,14 +580,16 @@ def train(owner_df: DataFrame, owners: int, sweeps: int = SWEEPS, burn: int = BU
                 yield from written(kept, kept.start(), owner, owners, True).combine_chunks().to_batches()
 
     now = cut(owner_df.mapInArrow(begin, PACKETS))
-    first, rounds = now, []
+    first, rounds, every = now, [], None
     for k in range(sweeps + 1):
         g = gather_totals(now.where("level is not null").select("level", "state", "customers", "tables"))
         sums = cut(context_sums(now, first))
+        if every is None:
+            every = sums.where(F.col("kind") == EVERY)
         if k > burn or k == sweeps:
             rounds.append((g, now, sums))
         if k == sweeps:
-            return rounds
+            return every, rounds
 
         own = now.where(F.col("kind") == TABLES).unionByName(sums.where(F.col("kind") == REPLY))
         now = cut(swept(owner_df, own, owners, g, k))
@@ -607,7 +622,7 @@ def place(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Lexicon:
     """An owner's part of the model, averaged over rounds of (totals, tables)."""
 
-    def __init__(self, kept: Contexts, rounds: list[tuple], sums: list[tuple]):
+    def __init__(self, kept: Contexts, rounds: list[tuple], every: np.ndarray, sums: list[np.ndarray]):
         self.kept, n = kept, len(rounds)
         total, self.below = 0, []
         for g, tables in rounds:
@@ -620,10 +635,7 @@ class Lexicon:
         self.pairs = Places(kept.word, kept.context)
         self.two = Places(kept.below.word, kept.below.state)
         self.one = Places(kept.below.mid_word, kept.below.mid_state)
-        self.names = np.unique(np.concatenate([s[0] for s in sums])) if sums else np.zeros(0, np.uint64)
-        self.tables = np.zeros(len(self.names))
-        for names, values in sums:
-            self.tables[np.searchsorted(self.names, names)] += values / n
+        self.names, self.tables = every, sum(sums) / n if sums else np.zeros(0)
 
     def of_cells(self, word: np.ndarray, context: np.ndarray):
         """(weight of the pair itself for each cell, probability that the parent gives for each word and ending)."""
@@ -661,29 +673,31 @@ def unseen(g: dict):
             (STRENGTH + d1 * g["T1"]) / (STRENGTH + g["C1"]), (STRENGTH + d2 * g["T2"]) / (STRENGTH + g["C2"]))
 
 
-def answers(owner_df: DataFrame, cells: DataFrame, rounds: list[tuple]) -> DataFrame:
+def answers(owner_df: DataFrame, cells: DataFrame, every: DataFrame, rounds: list[tuple]) -> DataFrame:
     """block, owner, answer: for the block's cells of that owner what ``Lexicon`` gives of cells and words."""
     gs = [r[0] for r in rounds]
-    told = None
+    told = every.select("owner", F.lit(0).cast("long").alias("block"), "kind", F.col("packet").alias("cells"))
     for k, (_, now, sums) in enumerate(rounds):
         part = now.where(F.col("kind") == TABLES).unionByName(sums.where(F.col("kind") == SUMS)).select(
             "owner", F.lit(k).cast("long").alias("block"), "kind", F.col("packet").alias("cells"))
-        told = part if told is None else told.unionByName(part)
+        told = told.unionByName(part)
     right_side = told.unionByName(cells.withColumn("kind", F.lit(CELLS)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.zeros(0, np.uint64)
         kept = Contexts(*(unpack_cells(left.column("cells")[0].as_py()) if left.num_rows
                           else (none, none, np.zeros(0, np.int64))))
-        tables, sums, asked = {}, [], []
+        tables, names, sums, asked = {}, none, [], []
         for row, (block, kind) in enumerate(zip(right.column("block").to_pylist(), right.column("kind").to_pylist())):
             if kind == CELLS:
                 asked.append((row, block))
             elif kind == TABLES:
                 tables[block] = unpack(right.column("cells")[row].as_py())
+            elif kind == EVERY:
+                names = unpack(right.column("cells")[row].as_py())[0]
             else:
-                sums.append(unpack(right.column("cells")[row].as_py()))
-        lexicon = Lexicon(kept, [(g, tables.get(k, kept.start())) for k, g in enumerate(gs)], sums)
+                sums.append(unpack(right.column("cells")[row].as_py())[0])
+        lexicon = Lexicon(kept, [(g, tables.get(k, kept.start())) for k, g in enumerate(gs)], names, sums)
         out = []
         for row, _ in asked:
             word, context, _ = unpack_cells(right.column("cells")[row].as_py())
@@ -713,15 +727,30 @@ def block_scores(block: Cells, got: dict[int, bytes], d3: float) -> tuple[np.nda
     return np.log10(np.maximum((own + (STRENGTH + d3 * t[at]) * parent) / (STRENGTH + c[at]), 1e-300)), c[block.at]
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written in the shared checkpoint folder, for tables that are deleted before the end."""
+    with shuffles_released(df.sparkSession):
+        df.select("*").write.option("compression", "none").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def language_scores(docs: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     size = documents(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = cut(packed_blocks(docs))
     owners = max(8, -(-size // (15 * CELLS_PER_TASK)))   # some fifteen bytes of text to a cell
-    cells = cut(block_cells(packed, owners))
-    owner_df = cut(owner_tables(cells))
-    rounds = train(owner_df, owners, sweeps, burn)
-    found = answers(owner_df, cells, rounds)
+    spark = docs.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pitman_yor/{uuid.uuid4().hex}"
+    cells = stored(block_cells(packed, owners), f"{folder}/cells")
+    owner_df = stored(owner_tables(cells), f"{folder}/owners")
+    every, rounds = train(owner_df, owners, sweeps, burn)
+    found = None
+    for wave in range(WAVES):            # a wave's shuffles go before the next one's are written
+        those = [df.where(F.col("owner") % WAVES == wave) for df in (owner_df, cells, every)]
+        part = cut(answers(*those, [(g, *(df.where(F.col("owner") % WAVES == wave) for df in told))
+                                    for g, *told in rounds]))
+        found = part if found is None else found.unionByName(part)
+    delete(spark, folder)
     g = rounds[-1][0]
     n_all, v_all, d3 = int(g["N"]), int(g["V"]), g["d3"]
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

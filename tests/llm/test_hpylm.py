@@ -166,9 +166,8 @@ def test_restaurants_of_whole_words_add_up(monkeypatch):
                              np.random.default_rng([sweep, o])) for o, k in kept.items()}
     assert any((t[0] > 1).any() for t in tables.values())
     known = np.unique(word)
-    lexica = {o: hpylm.Lexicon(k, [(g, t[o]) for g, t, _ in rounds], [
-        (np.array(sorted(n), np.uint64), np.array([n[u] for u in sorted(n)])) for _, _, n in rounds])
-        for o, k in kept.items()}
+    lexica = {o: hpylm.Lexicon(k, [(g, t[o]) for g, t, _ in rounds], np.array(sorted(rounds[0][2]), np.uint64), [
+        np.array([n[u] for u in sorted(n)]) for _, _, n in rounds]) for o, k in kept.items()}
     for u in known.tolist():
         total = 0.0
         for w in [*known.tolist(), 12345]:                # every known word and the unknown one

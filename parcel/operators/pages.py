@@ -1,13 +1,14 @@
 """Page extraction over a ``pages(url, html)`` table (PG-1..PG-13, UD-4).
 
 Python does one thing: an Arrow UDF tokenizes each page (stdlib
-``html.parser``) into a flat element list
-``array<struct<id, parent, tag, path, anc, text, href, attrs>>``, a few pages
-(CHUNK_CHARS of html) at a time. Every
-selection rule -- CSS-like selectors, ``dt -> dd`` siblings, sections,
-label matching, de-duplication -- is a Catalyst higher-order expression over
-that array, so it runs column-wise inside the JVM and the per-page work is
-spread over the cluster like any projection.
+``html.parser``) into a flat element list, a few pages (CHUNK_CHARS of html) at a time.
+``html_elements`` hands on all elements
+(``array<struct<id, parent, tag, path, anc, text, href, attrs>>``); the listing extractor
+takes ``marked_elements``: only the elements that one of its selectors matches, each
+with a bit per selector, the end of its subtree and, for a ``dt``, its ``dd``. Every
+extraction rule -- first match, sections, label matching, de-duplication -- is a Catalyst
+higher-order expression over that array, so it runs column-wise inside the JVM and the
+per-page work is spread over the cluster like any projection.
 
 Selectors support the subset the reference's selector file uses: compound
 selectors of ``tag``, ``.class`` and ``[attr]`` / ``[attr=value]`` joined by
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
+from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate, chain
 from operator import itemgetter
@@ -198,7 +201,8 @@ def _columns(pages: list[list[dict]]) -> pa.Array:
         columns, names=ELEMENT.names))
 
 
-def element_chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def element_chunks(batches: Iterator[pa.Array], read: Callable = tokenize, columns: Callable = _columns
+                   ) -> Iterator[pa.Array]:
     """Element lists of all pages in order, CHUNK_CHARS of html at a time, so that Python never
     holds the elements of a whole batch."""
     for batch in batches:
@@ -206,11 +210,11 @@ def element_chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for html in batch:
             html = html.as_py()
             if pages and chars + len(html or "") > CHUNK_CHARS:
-                yield _columns(pages)
+                yield columns(pages)
                 pages, chars = [], 0
-            pages.append(tokenize(html))
+            pages.append(read(html))
             chars += len(html or "")
-        yield _columns(pages)
+        yield columns(pages)
 
 
 @F.arrow_udf(ELEMENTS)
@@ -273,36 +277,258 @@ def select_text(els: Column, selector: str, default: str | None = NA) -> Column:
     return F.coalesce(first["text"], F.lit(default)) if default is not None else first["text"]
 
 
-def tagged(els: Column, tag: str) -> Column:
-    return F.filter(els, lambda e: e["tag"] == tag)
+# ---------------------------------------------------------------------------- marked elements
+#: What the extractor looks for: a selector, a tag, or both; an element has a bit for each it meets.
+SOUGHT = {
+    **{name: (selector, None) for name, selector in SELECTORS.items()},
+    "item": (ICON_LIST["item"], None), "label": (ICON_LIST["label"], "span"), "value": (ICON_LIST["value"], "span"),
+    "box": (NEIGHBOURHOOD["container"], None),
+    "cadastral": (f"div[data-testid={CADASTRAL['section']}] dt", "dt"),
+    "outdoor": (f"div[data-testid={OUTDOOR['section']}] dt", "dt"),
+    "dt": (None, "dt"), "dd": (None, "dd"), "a": (None, "a"), "error": (None, ERROR_TAG)}
+BIT = {name: 1 << k for k, name in enumerate(SOUGHT)}
+#: ``end``: the last of the following elements that lie in this one; ``dd``: the next dd beside a dt.
+MARKED_ELEMENT = T.StructType([
+    T.StructField("id", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("dd", T.IntegerType()), T.StructField("marks", T.IntegerType()),
+    T.StructField("text", T.StringType()), T.StructField("single", T.StringType()),
+    T.StructField("href", T.StringType())])
+#: ``n`` counts all elements of the page.
+MARKED = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("els", T.ArrayType(MARKED_ELEMENT))])
+KEPT = 1 << 14              # start tags and paths a worker remembers
+
+
+@cache
+def _sought() -> tuple[list, set[str], dict[str, bool], tuple[str, ...]]:
+    """(bit, path pattern, tag) of all that is sought; the classes and attributes (and whether the
+    attribute's value matters) that the selectors name; ``.class`` of each of these."""
+    rules = [(BIT[n], re.compile(selector_regex(s)).search if s else None, tag) for n, (s, tag) in SOUGHT.items()]
+    named = re.findall(r"\.[^.\[\]\s]+|\[[^\]]+\]", " ".join(s for s, _ in SOUGHT.values() if s))
+    classes = {_TOKEN_SAFE.sub("_", q[1:]) for q in named if q[0] == "."}
+    attrs: dict[str, bool] = {}
+    for q in named:
+        if q[0] == "[":
+            name, _, value = q[1:-1].partition("=")
+            attrs[name] = attrs.get(name, False) or bool(value)
+    return rules, classes, attrs, tuple(f".{c}" for c in classes)
+
+
+def _short_token(tag: str, attrs: list) -> str:
+    """The path segment without classes and attributes that no selector can tell from others."""
+    _, classes, named, dotted = _sought()
+    kept = []
+    for k, v in attrs:
+        if k == "class":
+            kept.append((k, " ".join(c for c in (v or "").split()
+                                     if _TOKEN_SAFE.sub("_", c) in classes or "." in c or "[" in c)))
+        elif named.get(k) or any(d in f"{k}={v}" for d in dotted) or "[" in f"{k}{v}":
+            kept.append((k, v))
+        elif k in named:
+            kept.append((k, ""))
+    return _token(tag, kept) if kept else tag
+
+
+class _Marked(HTMLParser):
+    """Collects those elements of one page that are sought, in document order."""
+    tags: dict[str, tuple] = {}         # start tag as written -> tag, path segment, href
+    paths: dict[tuple, int] = {}        # tag, path -> bits
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.n = 0
+        self.out: list[dict] = []
+        self.stack: list[tuple] = []            # tag, path, place in out (or -1), children, dts without a dd
+        self.texts: list[list[str]] = []        # of the sought elements among the open ones
+        self.top: list[int] = []
+
+    def updatepos(self, i, j):          # lines are not counted
+        return j
+
+    def parse_starttag(self, i):
+        return self.run(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self.run(super().parse_endtag(i))
+
+    def run(self, i: int) -> int:
+        """Reads on from ``i`` while there are texts, plain end tags and start tags seen before;
+        the rest is the base class's."""
+        if i < 0 or self.cdata_elem:
+            return i
+        raw, tags, match = self.rawdata, self.tags, _PLAIN.match
+        while m := match(raw, i):
+            text, closed, opened = m.groups()
+            known = tags.get(opened)
+            if closed is None and known is None:
+                break
+            if text:
+                self.handle_data(unescape(text))
+            if known is None:
+                self.handle_endtag(closed)
+            else:
+                self.enter(*known)
+            i = m.end()
+        return i
+
+    def handle_starttag(self, tag, attrs):
+        known = (tag, "/" + (_short_token(tag, attrs) if attrs else tag), dict(attrs).get("href"))
+        self.enter(*known)
+        raw = self.get_starttag_text()[1:]
+        if _START_TAG.fullmatch(raw) and tag not in _RAW:
+            _remember(self.tags, raw, known)
+
+    def handle_startendtag(self, tag, attrs):
+        self.enter(tag, "/" + (_short_token(tag, attrs) if attrs else tag), dict(attrs).get("href"))
+        if tag not in _VOID and self.stack:
+            self.leave(len(self.stack) - 1)
+
+    def enter(self, tag: str, token: str, href: str | None) -> None:
+        above = self.stack[-1] if self.stack else None
+        path = above[1] + token if above else token
+        marks = self.paths.get((tag, path))
+        if marks is None:
+            marks = sum(bit for bit, match, own in _sought()[0]
+                        if (own is None or own == tag) and (match is None or match(path)))
+            _remember(self.paths, (tag, path), marks)
+        self.n += 1
+        children: list = []
+        if above:
+            above[3].append(children)
+        place = -1
+        if marks:
+            place = len(self.out)
+            waiting = above[4] if above else self.top
+            if marks & BIT["dd"]:
+                for k in waiting:
+                    self.out[k]["dd"] = place
+                waiting.clear()
+            elif marks & BIT["dt"]:
+                waiting.append(place)
+            self.add(marks, children, href)
+        if tag not in _VOID:
+            self.stack.append((tag, path, place, children, []))
+            if marks:
+                self.texts.append(self.out[place]["text"])
+
+    def add(self, marks: int, children: list, href: str | None) -> None:
+        place = len(self.out)
+        self.out.append({"id": place, "end": place, "dd": None, "marks": marks, "text": [], "single": children,
+                         "href": href})
+
+    def leave(self, depth: int) -> None:
+        """The open elements from ``depth`` on end."""
+        for _, _, place, _, _ in self.stack[depth:]:
+            if place >= 0:
+                self.out[place]["end"] = len(self.out) - 1
+                self.texts.pop()
+        del self.stack[depth:]
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                self.leave(k)
+                return
+
+    def handle_comment(self, data):
+        if self.stack:
+            self.stack[-1][3].append(None)
+
+    def handle_data(self, data):
+        if not self.stack:
+            return
+        tag, _, _, children, _ = self.stack[-1]
+        children.append(data)
+        if self.texts and tag not in _NO_TEXT and (s := data.strip()):
+            for text in self.texts:
+                text.append(s)
+
+
+_PLAIN = re.compile(r"([^<]*)<(?:/([a-z][a-z0-9]*)>|([a-z][^<>]{0,1000}>))")
+_START_TAG = re.compile(r'[a-z][a-z0-9]*(?:\s+[a-z-]+="[^"<>]{0,200}")*\s*>')
+_RAW = {*HTMLParser.CDATA_CONTENT_ELEMENTS, *getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()), "plaintext"}
+
+
+def _remember(known: dict, key, value) -> None:
+    if len(known) >= KEPT:
+        known.clear()
+    known[key] = value
+
+
+def _single(children: list) -> str | None:
+    """The text of an element that holds one text and nothing else, however deep."""
+    own = _joined(children) if len(children) > 1 else children
+    return None if len(own) != 1 or own[0] is None else own[0] if isinstance(own[0], str) else _single(own[0])
+
+
+def marked(html: str | None) -> tuple[int, list[dict]]:
+    """One page -> number of its elements, and those that are sought in document order."""
+    p, failed = _Marked(), None
+    if html:
+        try:
+            p.feed(html)
+            p.close()
+        except Exception as err:  # noqa: BLE001 - the page is reported as failed
+            failed = f"{type(err).__name__}: {err}"
+    p.leave(0)
+    if failed is not None:
+        p.n += 1
+        p.add(BIT["error"], [], None)
+        p.out[-1]["text"].append(failed)
+    for e in p.out:
+        e["text"] = "".join(e["text"])
+        e["single"] = _single(e["single"]) if e["marks"] & BIT["dt"] else None
+    return p.n, p.out
+
+
+def _marked_columns(pages: list[tuple[int, list[dict]]]) -> pa.Array:
+    """The sought elements of a few pages as one Arrow array."""
+    flat = list(chain.from_iterable(els for _, els in pages))
+    columns = [pa.array(list(map(itemgetter(f.name), flat)),
+                        pa.int32() if f.dataType == T.IntegerType() else pa.string()) for f in MARKED_ELEMENT.fields]
+    els = pa.ListArray.from_arrays(pa.array([0, *accumulate(len(found) for _, found in pages)], pa.int32()),
+                                   pa.StructArray.from_arrays(columns, names=MARKED_ELEMENT.names))
+    return pa.StructArray.from_arrays([pa.array([n for n, _ in pages], pa.int32()), els], names=MARKED.names)
+
+
+@F.arrow_udf(MARKED)
+def marked_elements(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """UD-4 helper: html text -> the elements that the extractor's selectors match."""
+    return element_chunks(html, marked, _marked_columns)
+
+
+def has(e: Column, name: str) -> Column:
+    return e["marks"].bitwiseAND(F.lit(BIT[name])) != 0
+
+
+def sought(els: Column, name: str) -> Column:
+    """The elements of the page (or of a part of it) that meet ``SOUGHT[name]``, document order."""
+    return F.filter(els, lambda e: has(e, name))
+
+
+def first_text(els: Column, name: str) -> Column:
+    """PG-1: stripped text of the first match, else NULL."""
+    return F.try_element_at(sought(els, name), F.lit(1))["text"]
 
 
 def inside(els: Column, box: Column) -> Column:
-    """Those of ``els`` that lie in the element ``box``."""
-    return let(F.concat(F.lit("/"), box["id"].cast("string"), F.lit("/")), lambda needle: F.filter(
-        els, lambda e: F.instr(e["anc"], needle) > 0))
+    """Those of ``els`` (all of the page) that lie in the element ``box``."""
+    return F.slice(els, box["id"] + 2, box["end"] - box["id"])
 
 
-def dt_dd_pairs(els: Column, within_section: str | None = None, all_labels: bool = False) -> Column:
-    """PG-2/4/7/8: every ``dt`` with its next sibling ``dd`` (text + first link), optionally
-    only inside ``div[data-testid=<section>]``; ``all_labels`` keeps those without a ``dd``."""
-    dts = F.filter(els, lambda e: e["tag"] == "dt")
-    if within_section is not None:
-        rx = selector_regex(f"div[data-testid={within_section}] dt")
-        dts = F.filter(dts, lambda e: e["path"].rlike(rx))
+def dt_dd_pairs(els: Column) -> Column:
+    """PG-2/4/7/8: every ``dt`` with its next sibling ``dd`` (text, and first link where parcels
+    stand) and the sections it lies in; those without a ``dd`` too."""
+    def pair(dt):
+        return let(F.get(els, dt["dd"]), lambda dd: F.struct(
+            dt["marks"].alias("marks"), dt["text"].alias("dt"), dt["single"].alias("single"), dd["text"].alias("dd"),
+            F.when(has(dt, "cadastral"), F.try_element_at(sought(inside(els, dd), "a"), F.lit(1))["href"])
+            .alias("link"), dd.isNotNull().alias("has_dd")))
+    return F.transform(sought(els, "dt"), pair)
 
-    def pair(dt, dds, links):
-        first = F.try_element_at(F.filter(dds, lambda e: (e["parent"] == dt["parent"])
-                                          & (e["id"] > dt["id"])), F.lit(1))
 
-        def whole(dd):
-            link = F.try_element_at(inside(links, dd), F.lit(1))
-            return F.struct(dt["text"].alias("dt"), dt["single"].alias("single"), dd["text"].alias("dd"),
-                            link["href"].alias("link"), dd.isNotNull().alias("has_dd"))
-        return let(first, whole)
-    pairs = let(tagged(els, "dd"), lambda dds: let(tagged(els, "a"), lambda links: F.transform(
-        dts, lambda dt: pair(dt, dds, links))))
-    return pairs if all_labels else F.filter(pairs, lambda p: p["has_dd"])
+def in_section(pairs: Column, name: str) -> Column:
+    """The pairs inside ``div[data-testid=<section>]`` whose dt has a dd."""
+    return F.filter(pairs, lambda p: has(p, name) & p["has_dd"])
 
 
 def dd_by_label(pairs: Column, label: str, exact: bool = False, default: str = NA) -> Column:
@@ -332,16 +558,11 @@ def _dt_equals(label: str):
 
 def icon_list(els: Column) -> Column:
     """PG-3: (label, value) spans inside ``li.flex`` items; the last match per label wins."""
-    items = select_all(els, ICON_LIST["item"])
-
-    def lv(li, spans):
-        return let(inside(spans, li), lambda own: _labelled(first_in(own, "label"), first_in(own, "value"),
-                                                            ICON_LIST["labels"]))
-
-    def first_in(spans, part):
-        return F.try_element_at(select_all(spans, ICON_LIST[part]), F.lit(1))["text"]
-    pairs = let(tagged(els, "span"), lambda spans: F.transform(items, lambda li: lv(li, spans)))
-    return let(pairs, lambda p: F.struct(*[_last_value(p, name).alias(name) for name in ICON_LIST["labels"]]))
+    def lv(li):
+        return let(inside(els, li), lambda own: _labelled(first_text(own, "label"), first_text(own, "value"),
+                                                          ICON_LIST["labels"]))
+    return let(F.transform(sought(els, "item"), lv), lambda p: F.struct(
+        *[_last_value(p, name).alias(name) for name in ICON_LIST["labels"]]))
 
 
 def _labelled(label: Column, value: Column, labels: dict[str, str]) -> Column:
@@ -356,16 +577,11 @@ def _last_value(pairs: Column, key: str) -> Column:
 
 def neighbourhood_details(els: Column) -> Column:
     """PG-4: 3-key map from ``dt``/``dd`` inside the neighbourhood containers, default N/A."""
-    boxes = select_all(els, NEIGHBOURHOOD["container"])
-
-    def pair(box, cells):
-        first = lambda own, tag: F.try_element_at(tagged(own, tag), F.lit(1))["text"]
-        return let(inside(cells, box), lambda own: _labelled(first(own, "dt"), first(own, "dd"),
-                                                             NEIGHBOURHOOD["labels"]))
-    pairs = let(F.filter(els, lambda e: e["tag"].isin("dt", "dd")), lambda cells: F.transform(
-        boxes, lambda box: pair(box, cells)))
+    def pair(box):
+        return let(inside(els, box), lambda own: _labelled(first_text(own, "dt"), first_text(own, "dd"),
+                                                           NEIGHBOURHOOD["labels"]))
     keys = [F.lit(k) for k in NEIGHBOURHOOD["labels"]]
-    return let(pairs, lambda p: F.map_from_arrays(F.array(*keys), F.array(
+    return let(F.transform(sought(els, "box"), pair), lambda p: F.map_from_arrays(F.array(*keys), F.array(
         *[_last_value(p, k) for k in NEIGHBOURHOOD["labels"]])))
 
 
@@ -386,9 +602,9 @@ def toilets(text: Column) -> Column:
                       F.lit(NA))
 
 
-def cadastral(els: Column) -> Column:
+def cadastral(pairs: Column) -> Column:
     """PG-7: parcels (first-seen order, de-duplicated by label), ownership list, charges."""
-    return let(dt_dd_pairs(els, CADASTRAL["section"]), _cadastral)
+    return let(in_section(pairs, "cadastral"), _cadastral)
 
 
 def _cadastral(pairs: Column) -> Column:
@@ -408,9 +624,9 @@ def _cadastral(pairs: Column) -> Column:
                     charges.alias("charges"))
 
 
-def outdoor(els: Column) -> Column:
+def outdoor(pairs: Column) -> Column:
     """PG-8: fixed outdoor labels -> map with NULL defaults (last match wins)."""
-    return let(dt_dd_pairs(els, OUTDOOR["section"]), lambda pairs: F.map_from_arrays(
+    return let(in_section(pairs, "outdoor"), lambda pairs: F.map_from_arrays(
         F.array(*[F.lit(f) for f in OUTDOOR["fields"]]),
         F.array(*[F.try_element_at(F.filter(pairs, _dt_equals(f)), F.lit(-1))["dd"] for f in OUTDOOR["fields"]])))
 
@@ -419,18 +635,16 @@ def extract_listing(pages: DataFrame, url_col: str = "url", html_col: str = "htm
                     keep: Sequence[str] = ()) -> DataFrame:
     """PG-9: html -> raw listing fields + success/error; a field that fails is N/A, the
     row is kept (the whole extraction is column expressions over the element list)."""
-    els = html_elements(F.col(html_col))
     base = pages.select(*[F.col(k) for k in keep], F.col(url_col).alias("url"),
-                        els.alias("els"))
+                        marked_elements(F.col(html_col)).alias("page"))
     # what several fields need is computed once, as a column of its own
-    e = F.col("els")
-    base = base.select("*", dt_dd_pairs(e, all_labels=True).alias("pairs"), icon_list(e).alias("icons"),
-                       cadastral(e).alias("cad"))
-    pairs, icons, cad = F.col("pairs"), F.col("icons"), F.col("cad")
-    base = base.select("*", dd_by_label(pairs, DL_LABELS["rooms_info"]).alias("rooms_txt"),
+    e, n = F.col("page.els"), F.col("page.n")
+    base = base.select("*", dt_dd_pairs(e).alias("pairs"), icon_list(e).alias("icons"))
+    pairs, icons = F.col("pairs"), F.col("icons")
+    base = base.select("*", cadastral(pairs).alias("cad"), dd_by_label(pairs, DL_LABELS["rooms_info"]).alias("rooms_txt"),
                        dd_by_label(pairs, DL_LABELS["bathrooms_info"]).alias("bath_txt"))
-    rooms_txt, bath_txt = F.col("rooms_txt"), F.col("bath_txt")
-    fields = {k: select_text(e, s) for k, s in SELECTORS.items()}
+    rooms_txt, bath_txt, cad = F.col("rooms_txt"), F.col("bath_txt"), F.col("cad")
+    fields = {k: F.coalesce(first_text(e, k), F.lit(NA)) for k in SELECTORS}
     fields.update({"size": icons["size"], "bedrooms": icons["bedrooms"],
                    "energy_label": icons["energy_label"],
                    "neighborhood_details": neighbourhood_details(e)})
@@ -443,11 +657,11 @@ def extract_listing(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     fields["cadastral_parcels"] = cad["cadastral_parcels"]
     fields["ownership_situations"] = cad["ownership_situations"]
     fields["charges"] = cad["charges"]
-    fields["outdoor_features"] = outdoor(e)
-    broken = F.try_element_at(F.filter(e, lambda x: x["tag"] == ERROR_TAG), F.lit(1))["text"]
+    fields["outdoor_features"] = outdoor(pairs)
+    broken = first_text(e, "error")
     out = base.select(*[F.col(k) for k in keep], "url",
-                      (broken.isNull() & (F.size(e) > 0)).alias("success"),
-                      F.coalesce(broken, F.when(F.size(e) == 0, F.lit("empty page"))).alias("error"),
+                      (broken.isNull() & (n > 0)).alias("success"),
+                      F.coalesce(broken, F.when(n == 0, F.lit("empty page"))).alias("error"),
                       *[v.alias(k) for k, v in fields.items()])
     return out
 

@@ -148,3 +148,35 @@ def test_rejects_read_written_records(spark):
     for side, ids in zip(sides, ([2], [1])):
         assert [r["page_id"] for r in side.select("page_id").collect()] == ids
         assert "EvalPython" not in side._jdf.queryExecution().toString()     # not extracted once more
+
+
+def test_marked_elements_equal_a_search_of_all_elements():
+    import re
+    odd = ('<li class="a.flex">x</li><li data-z="q.flex.r" class="flex"><SPAN class=ml-1>a</SPAN></li><dt/><dd>1'
+           '<dt data-n="1">Tuin<b>b</b><!-- c --></dt><script>"<dd>"</script><p><a href="/a?b&amp;c">d</a></p><dd>2'
+           '<a href="/u">e</a><br><dt><i>Lasten</i></dt></dd><h1 data-global-id="7"><a>&amp;f</a></h1><p>')
+    for page in (PAGE, odd, odd * 2 + PAGE + "<![x[", "los", "", None):
+        els = PG.tokenize(page)
+        wanted = {name: [e["id"] for e in els if (tag is None or e["tag"] == tag) and (
+            selector is None or re.search(PG.selector_regex(selector), e["path"]))] for name, (selector, tag) in PG.SOUGHT.items()}
+        ids = sorted({i for found in wanted.values() for i in found})
+        n, found = PG.marked(page)
+        assert n == len(els) and len(found) == len(ids)
+        for place, (i, e) in enumerate(zip(ids, found)):
+            assert (e["id"], e["text"], e["href"]) == (place, els[i]["text"], els[i]["href"])
+            assert e["marks"] == sum(PG.BIT[name] for name in wanted if i in wanted[name])
+            assert e["end"] == max([place, *(k for k, j in enumerate(ids) if f"/{i}/" in els[j]["anc"])])
+            dds = [k for k, j in enumerate(ids) if j > i and els[j]["tag"] == "dd" and els[j]["parent"] == els[i]["parent"]]
+            if els[i]["tag"] == "dt":
+                assert (e["single"], e["dd"]) == (els[i]["single"], min(dds, default=None))
+
+
+def test_elements_nobody_seeks_are_not_handed_on(spark):
+    from pyspark.sql import functions as F
+    noise = "".join(f'<div class="c{k}" data-k="{k}"><p>tekst {k}</p><svg><path></path></svg></div>' for k in range(2000))
+    page = noise + "<dl><dt>Bouwjaar</dt>" + noise + "<dd>1930</dd></dl>" + noise
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    r = df.select(PG.marked_elements("html").alias("p")).select("p.n", F.size("p.els").alias("m")).first()
+    assert (r["n"], r["m"]) == (3 * 8000 + 3, 2)
+    assert _extract(spark, page)["year_of_construction"] == "1930"
+    assert len(PG._Marked.tags) <= PG.KEPT and len(PG._Marked.paths) <= PG.KEPT
